@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality_rules, url_filters
+from tidemark.llm import bpe, html_content, minhash, quality_rules, url_filters
 from tidemark.llm.common import table
 
 #: Rules of the url query (verdict, host, path), as its contract fixes them.
@@ -36,6 +36,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_content.extract(pages, html_content.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
@@ -47,7 +56,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
+    found = [op1_byte_bpe, op4_minhash_forest, op7_html_content, op9_quality_rules, op10_url_filters]
+    return {f.__name__: f for f in found}
 
 
 OP10_SQL = r"""
