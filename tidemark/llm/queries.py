@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html_content, minhash, quality_rules, url_filters
+from tidemark.llm import bpe, factorisation, html_content, minhash, quality_rules, token_counts, url_filters
 from tidemark.llm.common import table
 
 #: Rules of the url query (verdict, host, path), as its contract fixes them.
@@ -36,10 +37,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_pieces", "n_unknown")
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    model = factorisation.fit(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    scored = factorisation.score(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_content.extract(pages, html_content.fit(pages)).select("page_id", "url", "text", "n_chars")
@@ -56,7 +70,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op4_minhash_forest, op7_html_content, op9_quality_rules, op10_url_filters]
+    found = [op1_byte_bpe, op2_token_counts, op4_minhash_forest, op6_factorisation, op7_html_content, op9_quality_rules, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
