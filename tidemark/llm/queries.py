@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, factorisation, html_content, minhash, quality_rules, token_counts, url_filters
+from tidemark.llm import bpe, decontaminate, factorisation, html_content, minhash, quality_rules, suffixes, token_counts, url_filters
 from tidemark.llm.common import table
 
 #: Rules of the url query (verdict, host, path), as its contract fixes them.
@@ -46,6 +46,12 @@ def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode_outer("hits").alias("hit")).where("hit is not null").select("doc_id", "hit.*")
+
+
 def op6_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
@@ -59,6 +65,10 @@ def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract(pages, html_content.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
@@ -70,7 +80,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_token_counts, op4_minhash_forest, op6_factorisation, op7_html_content, op9_quality_rules, op10_url_filters]
+    found = [op1_byte_bpe, op2_token_counts, op4_minhash_forest, op5_decontaminate, op6_factorisation, op7_html_content, op8_suffix_dedup, op9_quality_rules, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
