@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, quality_rules
+from tidemark.llm import bpe, decontaminate, line_dedup, minhash, quality_rules
 from tidemark.llm.common import shared_folder, table
 from tidemark.llm.queries import vocabulary
 
@@ -18,13 +19,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go; every document stays, shorter where it repeats others."""
+    return line_dedup.remove_lines(docs, line_dedup.duplicate_lines(docs)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-duplicates stays."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    marked = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return marked.where(F.coalesce(F.size("hits"), F.lit(0)) <= 0).select(*COLUMNS)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each document, with digests of the ids and of the decoded bytes."""
     path = vocabulary("byte_bpe_50k.tiktoken")
     return bpe.digests(bpe.decode(bpe.encode(docs, path), path)).select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("quality_rules", quality), ("byte_bpe", tokens)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_forest", near_duplicates), ("decontaminate", benchmark_free), ("byte_bpe", tokens)]
 
 #: The near-duplicate, decontamination and BPE stages cannot be expressed in SQL; tests compare them with brute force.
 ORACLE_SQL = None

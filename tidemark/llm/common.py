@@ -47,4 +47,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of finished jobs once their plans are collected
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, factorisation, html_content, minhash, quality_rules, suffixes, token_counts, url_filters
+from tidemark.llm import bpe, decontaminate, factorisation, html_content, line_dedup, minhash, quality_rules, suffixes, token_counts, url_filters
 from tidemark.llm.common import table
 
 #: Rules of the url query (verdict, host, path), as its contract fixes them.
@@ -42,6 +42,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_pieces", "n_unknown")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,7 +84,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_token_counts, op4_minhash_forest, op5_decontaminate, op6_factorisation, op7_html_content, op8_suffix_dedup, op9_quality_rules, op10_url_filters]
+    found = [op1_byte_bpe, op2_token_counts, op3_line_dedup, op4_minhash_forest, op5_decontaminate, op6_factorisation, op7_html_content, op8_suffix_dedup, op9_quality_rules, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
