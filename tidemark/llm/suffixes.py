@@ -94,7 +94,7 @@ def anchors(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, least: i
 def contexts(docs: DataFrame, wanted: DataFrame, *, gram: int = GRAM, ahead: int = AHEAD, behind: int = BEHIND) -> DataFrame:
     """(hash, after, before, doc_id, place) of wanted places; after and before hold 16-bit word hashes, before read backwards."""
     places = wanted.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(places, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(places.hint("merge"), "doc_id")  # merge: places grow with the documents
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
