@@ -5,46 +5,59 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import change, full
 
-BY = W.partitionBy("key").orderBy("date")
-V = F.col("value")
 
+def _by() -> WindowSpec:
+    return W.partitionBy("key").orderBy("date")
 
-def sma(n: int, value: Column = V) -> Column:
-    return full(value, BY, n, F.avg)
 
+def _value() -> Column:
+    return F.col("value")
 
-def ret(n: int = 1, value: Column = V) -> Column:
-    return change(value, BY, n)
 
+def sma(n: int, value: Column | None = None) -> Column:
+    value = _value() if value is None else value
+    return full(value, _by(), n, F.avg)
 
-def diff(n: int = 1, value: Column = V) -> Column:
-    return value - F.lag(value, n).over(BY)
 
+def ret(n: int = 1, value: Column | None = None) -> Column:
+    value = _value() if value is None else value
+    return change(value, _by(), n)
 
-def stdev(n: int, value: Column = V) -> Column:
-    return full(value, BY, n, F.stddev_samp)
 
+def diff(n: int = 1, value: Column | None = None) -> Column:
+    value = _value() if value is None else value
+    return value - F.lag(value, n).over(_by())
 
-def zscore(n: int, value: Column = V) -> Column:
+
+def stdev(n: int, value: Column | None = None) -> Column:
+    value = _value() if value is None else value
+    return full(value, _by(), n, F.stddev_samp)
+
+
+def zscore(n: int, value: Column | None = None) -> Column:
+    value = _value() if value is None else value
     spread = stdev(n, value)
     return F.when(spread != 0, (value - sma(n, value)) / spread)
 
 
-def high(n: int, value: Column = V) -> Column:
-    return full(value, BY, n, F.max)
+def high(n: int, value: Column | None = None) -> Column:
+    value = _value() if value is None else value
+    return full(value, _by(), n, F.max)
 
 
-def low(n: int, value: Column = V) -> Column:
-    return full(value, BY, n, F.min)
+def low(n: int, value: Column | None = None) -> Column:
+    value = _value() if value is None else value
+    return full(value, _by(), n, F.min)
 
 
-def drawdown(n: int = 252, value: Column = V) -> Column:
+def drawdown(n: int = 252, value: Column | None = None) -> Column:
+    value = _value() if value is None else value
     return value / high(n, value) - 1
 
 
@@ -55,8 +68,8 @@ def vol(series: DataFrame, n: int = 21) -> DataFrame:
 
 def realised_vol(series: DataFrame, n: int = 21) -> DataFrame:
     """Standard deviation of n log returns times the square root of 252; null if a price is missing or not positive."""
-    before = F.lag("value").over(BY)
-    logs = F.when((V > 0) & (before > 0), F.log(V / before))
+    before = F.lag("value").over(_by())
+    logs = F.when((_value() > 0) & (before > 0), F.log(_value() / before))
     return series.withColumn("_r", logs).withColumn("realised_vol", stdev(n, F.col("_r")) * math.sqrt(252)).drop("_r")
 
 
@@ -64,14 +77,14 @@ def yoy(series: DataFrame) -> DataFrame:
     """Change against the value on the latest date 365 days before or earlier; a null there is not skipped."""
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
     before = F.last("value").over(W.partitionBy("key").orderBy("_day").rangeBetween(W.unboundedPreceding, -365))
-    return series.withColumn("_day", day).withColumn("_b", before).withColumn("yoy", F.when(F.col("_b") != 0, V / F.col("_b") - 1)).drop("_day", "_b")
+    return series.withColumn("_day", day).withColumn("_b", before).withColumn("yoy", F.when(F.col("_b") != 0, _value() / F.col("_b") - 1)).drop("_day", "_b")
 
 
 def log_growth(series: DataFrame, n: int = 12, k: int = 3) -> DataFrame:
     """Log growth over n rows of positive values, and its change over k rows."""
-    before = F.lag("value", n).over(BY)
-    out = series.withColumn("growth", F.when((V > 0) & (before > 0), F.log(V / before)))
-    return out.withColumn("acceleration", F.col("growth") - F.lag("growth", k).over(BY))
+    before = F.lag("value", n).over(_by())
+    out = series.withColumn("growth", F.when((_value() > 0) & (before > 0), F.log(_value() / before)))
+    return out.withColumn("acceleration", F.col("growth") - F.lag("growth", k).over(_by()))
 
 
 def _ema(x: pd.Series, n: int) -> pd.Series:
@@ -114,23 +127,26 @@ def recursive(series: DataFrame, ema_n: int = 12, slow_n: int = 26, rsi_n: int =
     return series.select("key", "date", "value").groupBy("key").applyInPandas(run, "key long, date date, value double, ema double, macd double, rsi double")
 
 
-def trailing_rank(n: int = 756, least: int = 252, value: Column = V) -> Column:
+def trailing_rank(n: int = 756, least: int = 252, value: Column | None = None) -> Column:
     """Share of the non-null values of the window that are at or below the current one."""
-    frame = BY.rowsBetween(1 - n, 0)
+    value = _value() if value is None else value
+    frame = _by().rowsBetween(1 - n, 0)
     inside = F.collect_list(value).over(frame)
     return F.when(value.isNotNull() & (F.count(value).over(frame) >= least), F.size(F.filter(inside, lambda x: x <= value)) / F.size(inside))
 
 
-def range_index(n: int = 156, least: int = 52, value: Column = V) -> Column:
+def range_index(n: int = 156, least: int = 52, value: Column | None = None) -> Column:
     """100 x (value - least) / (most - least) over the window, 50 when flat."""
-    frame = BY.rowsBetween(1 - n, 0)
+    value = _value() if value is None else value
+    frame = _by().rowsBetween(1 - n, 0)
     low_, high_ = F.min(value).over(frame), F.max(value).over(frame)
     return F.when(F.count(value).over(frame) >= least, F.when(high_ == low_, F.when(value.isNotNull(), 50.0)).otherwise(100 * (value - low_) / (high_ - low_)))
 
 
-def deviation(n: int, least: int = 20, value: Column = V) -> Column:
+def deviation(n: int, least: int = 20, value: Column | None = None) -> Column:
     """Value less the mean of the n rows before it."""
-    frame = BY.rowsBetween(-n, -1)
+    value = _value() if value is None else value
+    frame = _by().rowsBetween(-n, -1)
     return F.when(F.count(value).over(frame) >= least, value - F.avg(value).over(frame))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import breadth, indicators, prices
 from tidemark.plans.registry import query
 
-B = F.col("value")
 R = lambda c, d=6: F.round(c, d)
 
 FACTORS = """
@@ -42,7 +41,7 @@ def jump_cut(closes, actions):
 
 @query("prc_05_calendar_series", "closes", sql="SELECT s.security_id, d.date, round(c.close, 6) AS value FROM (SELECT DISTINCT security_id FROM closes) s CROSS JOIN (SELECT DISTINCT date FROM closes WHERE security_id = 0) d LEFT JOIN closes c ON c.security_id = s.security_id AND c.date = d.date")
 def calendar_series(closes):
-    return prices.on_calendar(closes, prices.calendar(closes), "close").withColumn("value", R(B))
+    return prices.on_calendar(closes, prices.calendar(closes), "close").withColumn("value", R(F.col("value")))
 
 
 @query("prc_06_calendar", "closes", sql="SELECT DISTINCT date FROM closes WHERE security_id = 0")
@@ -65,8 +64,8 @@ def split_factor(securities, actions):
 
 BREADTH_SQL = f"""WITH sp AS (SELECT c.security_id, c.date, c.close, c.volume, coalesce(product(a.value), 1) AS r FROM closes c LEFT JOIN (SELECT a.security_id, a.ex_date, a.value FROM actions a JOIN (SELECT security_id, max(date) AS last FROM closes GROUP BY 1) l ON l.security_id = a.security_id AND a.ex_date <= l.last WHERE a.action = 'split') a
   ON a.security_id = c.security_id AND a.ex_date > c.date WHERE c.close > 0 GROUP BY 1, 2, 3, 4),
-p AS (SELECT security_id, date, volume, round(close / r, 6) AS p FROM sp),
-w AS (SELECT *, lag(p) OVER (PARTITION BY security_id ORDER BY date) AS b, {', '.join(f"CASE WHEN count(p) OVER w{n} = {n} THEN {f} END AS {a}" for n, f, a in [(50, 'round(avg(p) OVER w50, 6)', 'ma50'), (200, 'round(avg(p) OVER w200, 6)', 'ma200'), (252, 'max(p) OVER w252', 'hi'), (252, 'min(p) OVER w252', 'lo')])} FROM p
+q AS (SELECT security_id, date, volume, round(close / r, 6) AS p FROM sp),
+w AS (SELECT *, lag(p) OVER (PARTITION BY security_id ORDER BY date) AS b, {', '.join(f"CASE WHEN count(p) OVER w{n} = {n} THEN {f} END AS {a}" for n, f, a in [(50, 'round(avg(p) OVER w50, 6)', 'ma50'), (200, 'round(avg(p) OVER w200, 6)', 'ma200'), (252, 'max(p) OVER w252', 'hi'), (252, 'min(p) OVER w252', 'lo')])} FROM q
   WINDOW {', '.join(f"w{n} AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (50, 200, 252))}),
 stocks AS (SELECT security_id, sic FROM securities WHERE security_type = 'CS' AND mic IN ('XNYS', 'XNAS', 'XASE')),
 u AS (SELECT security_id, 'all' AS universe FROM stocks UNION ALL SELECT security_id, 'sector:' || s.name FROM stocks JOIN (VALUES {', '.join(f"('{n}', {a}, {b})" for n, a, b in breadth.SECTORS)}) s(name, a, b) ON sic BETWEEN a AND b),
@@ -92,20 +91,20 @@ O = "OVER (PARTITION BY key ORDER BY date)"  # noqa: E741
 
 def one(name: str, column, sql: str) -> None:
     """An indicator that is a column over the series."""
-    query(name, "series", sql=f"SELECT key, date, round({sql}, 6) AS value FROM series")(lambda s: s.select("key", "date", R(column).alias("value")))
-
-
-one("ind_01_sma", indicators.sma(50), _full(50, "avg"))
-one("ind_05_ret", indicators.ret(5), f"CASE WHEN lag(value, 5) {O} != 0 THEN value / lag(value, 5) {O} - 1 END")
-one("ind_05_diff", indicators.diff(2), f"value - lag(value, 2) {O}")
-one("ind_06_stdev", indicators.stdev(20), _full(20, "stddev_samp"))
-one("ind_07_zscore", indicators.zscore(20), f"(value - {_full(20, 'avg')}) / nullif({_full(20, 'stddev_samp')}, 0)")
-one("ind_08_high", indicators.high(20), _full(20, "max"))
-one("ind_08_low", indicators.low(20), _full(20, "min"))
-one("ind_09_drawdown", indicators.drawdown(20), f"value / {_full(20, 'max')} - 1")
-one("sta_03_range_index", indicators.range_index(), """CASE WHEN count(value) OVER w >= 52 THEN CASE WHEN max(value) OVER w = min(value) OVER w THEN CASE WHEN value IS NOT NULL THEN 50 END ELSE 100 * (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END END""".replace("OVER w", "OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 155 PRECEDING AND CURRENT ROW)"))
-one("sta_04_deviation", indicators.deviation(60), "CASE WHEN count(value) OVER w >= 20 THEN value - avg(value) OVER w END".replace("OVER w", "OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"))
-one("sta_01_trailing_rank", indicators.trailing_rank(120, 60), "CASE WHEN value IS NOT NULL AND count(value) OVER w >= 60 THEN len(list_filter(list(value) OVER w, lambda x: x <= value))::DOUBLE / count(value) OVER w END".replace("OVER w", "OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)"))
+    query(name, "series", sql=f"SELECT key, date, round({sql}, 6) AS value FROM series")(lambda s: s.select("key", "date", R(column()).alias("value")))
+
+
+one("ind_01_sma", lambda: indicators.sma(50), _full(50, "avg"))
+one("ind_05_ret", lambda: indicators.ret(5), f"CASE WHEN lag(value, 5) {O} != 0 THEN value / lag(value, 5) {O} - 1 END")
+one("ind_05_diff", lambda: indicators.diff(2), f"value - lag(value, 2) {O}")
+one("ind_06_stdev", lambda: indicators.stdev(20), _full(20, "stddev_samp"))
+one("ind_07_zscore", lambda: indicators.zscore(20), f"(value - {_full(20, 'avg')}) / nullif({_full(20, 'stddev_samp')}, 0)")
+one("ind_08_high", lambda: indicators.high(20), _full(20, "max"))
+one("ind_08_low", lambda: indicators.low(20), _full(20, "min"))
+one("ind_09_drawdown", lambda: indicators.drawdown(20), f"value / {_full(20, 'max')} - 1")
+one("sta_03_range_index", lambda: indicators.range_index(), """CASE WHEN count(value) OVER w >= 52 THEN CASE WHEN max(value) OVER w = min(value) OVER w THEN CASE WHEN value IS NOT NULL THEN 50 END ELSE 100 * (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END END""".replace("OVER w", "OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 155 PRECEDING AND CURRENT ROW)"))
+one("sta_04_deviation", lambda: indicators.deviation(60), "CASE WHEN count(value) OVER w >= 20 THEN value - avg(value) OVER w END".replace("OVER w", "OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"))
+one("sta_01_trailing_rank", lambda: indicators.trailing_rank(120, 60), "CASE WHEN value IS NOT NULL AND count(value) OVER w >= 60 THEN len(list_filter(list(value) OVER w, lambda x: x <= value))::DOUBLE / count(value) OVER w END".replace("OVER w", "OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)"))
 
 
 @query("ind_06_vol", "series", sql=f"WITH r AS (SELECT key, date, CASE WHEN lag(value) {O} != 0 THEN value / lag(value) {O} - 1 END AS r FROM series) SELECT key, date, round({_full(21, 'stddev_samp', 'r')} * sqrt(252), 6) AS value FROM r")

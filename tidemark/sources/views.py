@@ -18,13 +18,13 @@ def _sum(column: str, kind: str = "DOUBLE") -> str:
 
 
 VIEWS = {
-    "bars": f"""SELECT l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_returnflag = 'N' THEN 'deep' ELSE 'wide' END AS source,
+    "bars": f"""SELECT l_suppkey + 1 AS security_id, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_returnflag = 'N' THEN 'deep' ELSE 'wide' END AS source,
         {_sum('l_extendedprice')} / {_sum('l_quantity')} AS close, {_sum('l_quantity', 'BIGINT')} AS volume FROM lineitem GROUP BY 1, 2, 3
         UNION ALL SELECT CAST(0 AS BIGINT), CAST(l_shipdate AS DATE), 'wide', {_sum('l_extendedprice')} / {_sum('l_quantity')}, {_sum('l_quantity', 'BIGINT')} FROM lineitem GROUP BY 2""",
-    "actions": """SELECT l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS ex_date, CASE WHEN l_linenumber = 7 THEN 'split' ELSE 'dividend' END AS action, 'wide' AS source,
+    "actions": """SELECT l_suppkey + 1 AS security_id, CAST(l_shipdate AS DATE) AS ex_date, CASE WHEN l_linenumber = 7 THEN 'split' ELSE 'dividend' END AS action, 'wide' AS source,
         MAX(CASE WHEN l_linenumber = 7 THEN CASE WHEN l_linestatus = 'O' THEN CAST(2 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END ELSE l_discount * 100 END) AS value
         FROM lineitem WHERE (l_linenumber = 7 AND ROUND(l_tax * 100) = 8) OR (l_linenumber = 6 AND ROUND(l_tax * 100) = 0) GROUP BY 1, 2, 3""",
-    "securities": """SELECT s_suppkey AS security_id, s_name AS ticker, s_suppkey % 60 AS cik, CASE s_suppkey % 4 WHEN 0 THEN 'ETF' WHEN 1 THEN 'ADRC' ELSE 'CS' END AS security_type,
+    "securities": """SELECT s_suppkey + 1 AS security_id, s_name AS ticker, s_suppkey % 60 AS cik, CASE s_suppkey % 4 WHEN 0 THEN 'ETF' WHEN 1 THEN 'ADRC' ELSE 'CS' END AS security_type,
         CASE s_nationkey % 3 WHEN 0 THEN 'XNYS' WHEN 1 THEN 'XNAS' ELSE 'OTC' END AS mic, CAST(100 + (s_suppkey * 97) % 9800 AS INT) AS sic, s_acctbal > 0 AS active FROM supplier""",
     "vintages": """SELECT event_type AS series_id, CAST(ts AS DATE) AS date, CAST(ts AS DATE) + CAST(user_id % 10 AS INT) AS realtime_start,
         CASE WHEN MAX(event_id) % 17 = 0 THEN NULL ELSE MAX(value) END AS value FROM events GROUP BY 1, 2, 3""",
