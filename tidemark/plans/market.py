@@ -69,8 +69,8 @@ w AS (SELECT *, lag(p) OVER (PARTITION BY security_id ORDER BY date) AS b, {', '
   WINDOW {', '.join(f"w{n} AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (50, 200, 252))}),
 stocks AS (SELECT security_id, sic FROM securities WHERE security_type = 'CS' AND mic IN ('XNYS', 'XNAS', 'XASE')),
 u AS (SELECT security_id, 'all' AS universe FROM stocks UNION ALL SELECT security_id, 'sector:' || s.name FROM stocks JOIN (VALUES {', '.join(f"('{n}', {a}, {b})" for n, a, b in breadth.SECTORS)}) s(name, a, b) ON sic BETWEEN a AND b),
-g AS (SELECT universe, date, count(b) AS stocks, count_if(p > b) AS advancers, count_if(p < b) AS decliners, count_if(p = b) AS unchanged, CAST(coalesce(sum(volume) FILTER (p > b), 0) AS BIGINT) AS up_volume, CAST(coalesce(sum(volume) FILTER (p < b), 0) AS BIGINT) AS down_volume,
-  count(ma50) AS eligible_50, count_if(p > ma50) AS above_50, count(ma200) AS eligible_200, count_if(p > ma200) AS above_200, count(hi) AS eligible_252, count_if(p >= hi) AS new_highs, count_if(p <= lo) AS new_lows FROM w JOIN u USING (security_id) GROUP BY 1, 2)
+g AS (SELECT universe, date, count(b) AS stocks, count(*) FILTER (p > b) AS advancers, count(*) FILTER (p < b) AS decliners, count(*) FILTER (p = b) AS unchanged, CAST(coalesce(sum(volume) FILTER (p > b), 0) AS BIGINT) AS up_volume, CAST(coalesce(sum(volume) FILTER (p < b), 0) AS BIGINT) AS down_volume,
+  count(ma50) AS eligible_50, count(*) FILTER (p > ma50) AS above_50, count(ma200) AS eligible_200, count(*) FILTER (p > ma200) AS above_200, count(hi) AS eligible_252, count(*) FILTER (p >= hi) AS new_highs, count(*) FILTER (p <= lo) AS new_lows FROM w JOIN u USING (security_id) GROUP BY 1, 2)
 SELECT universe, date, stocks::BIGINT AS stocks, advancers::BIGINT AS advancers, decliners::BIGINT AS decliners, unchanged::BIGINT AS unchanged, up_volume, down_volume, eligible_50::BIGINT AS eligible_50, above_50::BIGINT AS above_50, eligible_200::BIGINT AS eligible_200, above_200::BIGINT AS above_200, eligible_252::BIGINT AS eligible_252, new_highs::BIGINT AS new_highs, new_lows::BIGINT AS new_lows,
  CAST(sum(advancers - decliners) OVER (PARTITION BY universe ORDER BY date) AS BIGINT) AS ad_line, round(100.0::DOUBLE * above_50 / nullif(eligible_50, 0), 6) AS pct_above_50, round(100.0::DOUBLE * above_200 / nullif(eligible_200, 0), 6) AS pct_above_200, round(advancers::DOUBLE / nullif(decliners, 0), 6) AS ad_ratio,
  round(up_volume::DOUBLE / nullif(up_volume + down_volume, 0), 6) AS up_volume_share, CASE WHEN stocks > 0 THEN CAST(advancers - decliners AS BIGINT) END AS net_advances, CASE WHEN eligible_252 > 0 THEN CAST(new_highs - new_lows AS BIGINT) END AS net_new_highs FROM g"""
