@@ -1,0 +1,50 @@
+"""Rule backtests (BKT operators) over many securities at once."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def by_date() -> WindowSpec:
+    return W.partitionBy("security_id").orderBy("date")
+
+
+def run(prices: DataFrame, signal: Column, cost_bps: float = 0.0, short: bool = False) -> DataFrame:
+    """BKT-02, BKT-03: the signal at t is held from t to t + 1; cost on traded weight; a missing price earns 0 and keeps the last one.
+
+    An unknown signal holds nothing. prices: security_id, date, close.
+    """
+    by = by_date()
+    rows = prices.withColumn("signal", signal).withColumn("_price", F.last("close", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    target = F.when(F.col("signal"), 1.0).otherwise(-1.0 if short else 0.0)
+    rows = rows.withColumn("target", F.when(F.col("signal").isNull(), 0.0).otherwise(target))
+    held, before = F.lag("target", 1, 0.0).over(by), F.lag("_price").over(by)
+    rows = rows.withColumns({"position": held, "_move": F.coalesce(F.when(before > 0, F.col("_price") / before - 1), F.lit(0.0)), "_traded": F.abs(F.col("target") - held)})
+    paid = F.lag("_traded", 1, 0.0).over(by)
+    rows = rows.withColumn("ret", F.col("position") * F.col("_move") - paid * cost_bps / 10_000)
+    equity = F.exp(F.sum(F.log1p("ret")).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.withColumn("equity", equity).select("security_id", "date", "signal", "position", "ret", "equity")
+
+
+def statistics(results: DataFrame) -> DataFrame:
+    """BKT-04, BKT-06: total, yearly rate, volatility, Sharpe ratio, largest fall from 1.0 on, exposure."""
+    peak = F.greatest(F.lit(1.0), F.max("equity").over(by_date().rowsBetween(W.unboundedPreceding, 0)))
+    rows = results.withColumn("_fall", F.col("equity") / peak - 1)
+    out = rows.groupBy("security_id").agg(F.max_by("equity", "date").alias("_e"), (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("_y"), F.stddev_samp("ret").alias("_s"), F.avg("ret").alias("_m"), F.min("_fall").alias("max_drawdown"), F.avg((F.col("position") != 0).cast("double")).alias("exposure"))
+    return out.select("security_id", (F.col("_e") - 1).alias("total"), F.when((F.col("_y") > 0) & (F.col("_e") > 0), F.pow("_e", 1 / F.col("_y")) - 1).alias("cagr"), (F.col("_s") * F.sqrt(F.lit(252.0))).alias("vol"), F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * F.sqrt(F.lit(252.0))).alias("sharpe"), "max_drawdown", "exposure")
+
+
+def trades(results: DataFrame) -> DataFrame:
+    """BKT-05: runs of one position other than 0, with their compounded return; a run that goes on has no exit."""
+    by = by_date()
+    begins = F.coalesce(F.col("position") != F.lag("position").over(by), F.lit(True)).cast("int")
+    rows = results.withColumn("_run", F.sum(begins).over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("_last", F.max("date").over(W.partitionBy("security_id")))
+    runs = rows.where("position != 0").groupBy("security_id", "_run").agg(F.min("date").alias("entry"), F.max("date").alias("_end"), F.first("_last").alias("_last"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"))
+    return runs.select("security_id", "entry", F.when(F.col("_end") < F.col("_last"), F.col("_end")).alias("exit"), "ret")
+
+
+def yearly(results: DataFrame) -> DataFrame:
+    """BKT-06: return per calendar year and share of days invested."""
+    return results.groupBy("security_id", F.year("date").alias("year")).agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"), F.avg((F.col("position") != 0).cast("double")).alias("exposure"))

@@ -34,9 +34,9 @@ VIEWS = {
     "positions": f"""SELECT o_custkey % 40 AS filer_cik, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS period,
         lpad(CAST(l_partkey % 200 AS STRING), 9, '0') AS cusip, CASE WHEN l_returnflag = 'A' THEN 'PUT' ELSE '' END AS put_call,
         {_sum('l_quantity')} AS shares, {_sum('l_extendedprice')} AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3, 4""",
-    "transactions": """SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey % 20 AS account_id, CAST(l_shipdate AS DATE) AS trade_date, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS action,
+    "transactions": """SELECT (l_orderkey * 10 + l_linenumber) * 10 + line_copy AS id, o_custkey % 20 AS account_id, CAST(l_shipdate AS DATE) AS trade_date, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS action,
         CAST(l_suppkey AS STRING) AS symbol, l_quantity AS quantity, l_extendedprice / l_quantity AS price, l_extendedprice AS amount, CAST(0 AS DOUBLE) AS fees
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS line_copy FROM lineitem) l JOIN orders ON o_orderkey = l_orderkey""",
     "statement_items": f"""SELECT o_custkey % 50 AS cik, 'revenue' AS line_item, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_start,
         CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS period_end, 'USD' AS unit, {_sum('o_totalprice')} AS value,
         CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) + CAST(40 AS INT) AS filed FROM orders GROUP BY 1, 3, 4""",
