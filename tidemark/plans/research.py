@@ -76,9 +76,9 @@ def fifo_lots(t):
     return portfolio.fifo_lots(t).groupBy("account_id", "symbol", "buy_id", "sell_id").agg(F.sum("quantity").alias("quantity"))
 
 
-@query("ptf_03_realized_gains", "transactions", sql=f"WITH {LOTS} SELECT sell_id, buy_id, sold, round(quantity * sp, 4) AS proceeds, round(quantity * bp, 4) AS cost, CASE WHEN buy_id IS NOT NULL THEN CASE WHEN sold > CASE WHEN month(bought) = 2 AND day(bought) = 29 THEN CAST(bought + INTERVAL 12 MONTH AS DATE) + 1 ELSE CAST(bought + INTERVAL 12 MONTH AS DATE) END THEN 'long' ELSE 'short' END END AS term FROM m")
+@query("ptf_03_realized_gains", "transactions", sql=f"WITH {LOTS} SELECT sell_id, buy_id, sold, round(quantity * sp, 8) AS proceeds, round(quantity * bp, 8) AS cost, CASE WHEN buy_id IS NOT NULL THEN CASE WHEN sold > CASE WHEN month(bought) = 2 AND day(bought) = 29 THEN CAST(bought + INTERVAL 12 MONTH AS DATE) + 1 ELSE CAST(bought + INTERVAL 12 MONTH AS DATE) END THEN 'long' ELSE 'short' END END AS term FROM m")
 def realized_gains(t):
-    return portfolio.realized_gains(portfolio.fifo_lots(t)).select("sell_id", "buy_id", "sold", R(F.col("proceeds"), 4).alias("proceeds"), R(F.col("cost"), 4).alias("cost"), "term")
+    return portfolio.realized_gains(portfolio.fifo_lots(t)).select("sell_id", "buy_id", "sold", R(F.col("proceeds"), 8).alias("proceeds"), R(F.col("cost"), 8).alias("cost"), "term")
 
 
 @query("ptf_04_wash_sales", "transactions", sql=f"WITH {LOTS} SELECT sell_id, buy_id, coalesce(quantity * (sp - bp) < 0 AND EXISTS (SELECT 1 FROM transactions w WHERE w.action = 'buy' AND w.symbol = m.symbol AND abs(datediff('day', m.sold, w.trade_date)) <= 30 AND w.trade_date != m.bought), false) AS wash FROM m")
