@@ -102,3 +102,32 @@ def split_factor(pairs: DataFrame, actions: DataFrame) -> DataFrame:
     hit = pairs.join(splits, (F.col("security_id") == F.col("_s")) & (F.col("ex_date") > low) & (F.col("ex_date") <= high), "left")
     out = hit.groupBy("security_id", "lo", "hi").agg(product(F.col("_v")).alias("_p"))
     return out.select("security_id", "lo", "hi", F.when(F.col("lo") <= F.col("hi"), F.col("_p")).otherwise(1 / F.col("_p")).alias("factor"))
+
+
+def median_prices(positions: DataFrame) -> DataFrame:
+    """PRC-10: per identifier and period the median of value / shares over share positions, distinct filers and totals."""
+    plain = positions.where("put_call = '' AND shares > 0")
+    total = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c)
+    return plain.groupBy("cusip", "period").agg(F.percentile(F.col("value") / F.col("shares"), F.lit(0.5)).alias("price"), F.count_distinct("filer_cik").alias("filers"), total("shares"), total("value"))
+
+
+def quarter_returns(medians: DataFrame) -> DataFrame:
+    """PRC-12: return to the next period of the same identifier, shares held telling splits.
+
+    A whole ratio of 2 or more is a split when price and shares moved by
+    opposite factors (logs cancel within 0.15) and the share ratio is within 10%
+    of it. Above +300% null.
+    """
+    by = W.partitionBy("cusip").orderBy("period")
+    rows = medians.withColumns({"_p": F.lead("price").over(by), "_s": F.lead("shares").over(by), "next": F.lead("period").over(by)})
+    ratio = F.col("_s") / F.col("shares")
+    whole = F.round(ratio)
+    split = (whole >= 2) & (F.abs(ratio / whole - 1) <= 0.1) & (F.abs(F.log(F.col("_p") / F.col("price") * ratio)) <= 0.15)
+    ret = F.col("_p") * F.when(split, whole).otherwise(1.0) / F.col("price") - 1
+    return rows.where("next = last_day(add_months(period, 3))").select("cusip", "period", F.when(split, whole).otherwise(1.0).alias("split"), F.when(ret <= 3, ret).alias("ret"))
+
+
+def latest_rates(rates: DataFrame, as_of: Column, inverted: list[str]) -> DataFrame:
+    """PRC-13: the latest rate per currency on or before a day, inverted where it is quoted per dollar."""
+    last = rates.where((F.col("date") <= as_of) & F.col("value").isNotNull()).groupBy("currency").agg(F.max_by("value", "date").alias("rate"))
+    return last.withColumn("rate", F.when(F.col("currency").isin(inverted), 1 / F.col("rate")).otherwise(F.col("rate")))

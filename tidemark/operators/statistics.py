@@ -89,3 +89,18 @@ def normal_tail(z: Column) -> Column:
         poly = poly * t + k
     erfc = t * F.exp(-z * z / 2 + poly)
     return F.when(z >= 0, erfc / 2).otherwise(1 - erfc / 2)
+
+
+def expanding_gap(rows: DataFrame, least: int = 20) -> DataFrame:
+    """STS-25: at each row y less its fit on x over all rows so far, and the change of y over the next four. rows: key, date, x, y."""
+    by = W.partitionBy("key").orderBy("date")
+    sofar = by.rowsBetween(W.unboundedPreceding, 0)
+    slope, intercept = F.regr_slope("y", "x").over(sofar), F.regr_intercept("y", "x").over(sofar)
+    gap = F.when(F.count("x").over(sofar) >= least, F.col("y") - (intercept + slope * F.col("x")))
+    return rows.withColumns({"gap": gap, "ahead": F.lead("y", 4).over(by) - F.col("y")})
+
+
+def calendar_time(rows: DataFrame) -> DataFrame:
+    """STS-21: mean, median and share above zero of the per-period means of excess returns. rows: group, period, excess."""
+    means = rows.groupBy("group", "period").agg(F.avg("excess").alias("m"))
+    return means.groupBy("group").agg(F.count(F.lit(1)).alias("periods"), F.avg("m").alias("mean"), F.percentile("m", F.lit(0.5)).alias("median"), F.avg((F.col("m") > 0).cast("double")).alias("hit_rate"))
