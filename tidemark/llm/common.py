@@ -45,10 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: it outlives executors and is computed once."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Spark drops the shuffle files of finished jobs once their plans are collected, on Python's side first
+    # Spark drops the shuffle files of earlier jobs once their plans are collected, on Python's side first
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
