@@ -145,6 +145,46 @@ def test_neighbours_in_crowded_regions_use_the_window():
     assert len(a) == 8 * 15 + 1  # all pairs of each small region, none across trees
 
 
+def linked(rows, percent):
+    """{doc_id: least doc_id of its component} by all pairs."""
+    sets, column = [shingles(t) for _, t in rows], {}
+    places = [[column.setdefault(x, len(column)) for x in s] for s in sets]
+    m = np.zeros((len(rows), len(column)), np.float32)
+    for i, at in enumerate(places):
+        m[i, at] = 1
+    both, sizes, root = (m @ m.T).astype(int), np.array(list(map(len, sets))), {k: k for k, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in np.argwhere((100 * both >= percent * (sizes[:, None] + sizes - both)) & (both > 0)).tolist():
+        x, y = find(rows[i][0]), find(rows[j][0])
+        root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in root}
+
+
+def test_near_duplicates_in_a_template_crowd(spark, documents):
+    r = random.Random(12)
+    template = [f"w{j}" for j in range(604)]
+
+    def swapped(words, n, tag):  # places too far apart to share a shingle
+        out = list(words)
+        for j in r.sample([j for j in range(6, 600, 6) if words[j] == template[j]], n):
+            out[j] = f"{tag}x{j}"
+        return out
+
+    crowd = [swapped(template, 7, f"t{k}") for k in range(600)]  # similarity 0.79 to 0.85 with each other
+    texts = crowd + [swapped(x, 9, f"p{k}") for k, x in enumerate(crowd[:300])]  # their partners, at 0.860
+    r.shuffle(texts)
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    want = linked(rows, 85)
+    assert 590 < len(set(want.values())) <= 600
+    out = {x.doc_id: x.component_id for x in minhash.near_duplicates(documents(rows)).collect()}
+    assert sum(out[k] != want[k] for k in want) == 0
+
+
 def test_decontamination(spark, documents):
     r = random.Random(4)
     items = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(5, 60)))) for i in range(30)] + [(50, None), (51, ""), (52, "one")]

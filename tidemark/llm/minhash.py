@@ -7,16 +7,20 @@ Every tree is one sorted order of its signatures (a range-partitioned sort), and
 candidates are neighbours in that order: two classes meet when they share a
 prefix of at least ``least_depth`` values and either stand within ``window``
 places, or the region of the order that shares their longest common prefix has
-at most ``region`` classes. Crowded regions are thereby read at greater depth,
-sparse ones at less, and the pairs grow in proportion to the classes.
+at most ``region`` classes. Classes of larger regions (texts on one template)
+are also joined exactly with each other: two sets of the wanted similarity share
+one of their rarest shingles (prefix filter), and lengths and places of the
+shared shingle bound their overlap.
 
-Confirmation takes two rounds so that large groups of near copies stay linear:
+Confirmation takes three rounds so that large groups of near copies stay linear:
 first each class with its best earlier neighbour, then those remaining pairs
-whose ends the first round's links do not yet connect. Both compare full sets
+whose ends the first round's links do not yet connect, then the pairs of the
+exact join between groups that are still apart. All compare full sets
 (intersection and union sizes of 64-bit shingle hashes, as integers).
 
-Recall is that of the forest: at the threshold, similarity 0.85, a pair shares
-three values in a tree with probability 0.61, so all 16 trees miss it with
+Recall is that of the forest, in crowds as elsewhere: at similarity 0.85 a pair
+shares three values in a tree with probability 0.61 and is then met, in a small
+region directly and in a large one by the join, so all 16 trees miss it with
 3e-7; a pair at the border of two range partitions is lost to that tree alone.
 
 Null and empty texts have empty sets, are linked with nothing and are kept.
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
@@ -133,8 +138,20 @@ def neighbours(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, least: int,
     return np.minimum(a, b)[differ], np.maximum(a, b)[differ], c[differ].astype(np.int32)
 
 
+def crowded(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, least: int, region: int) -> np.ndarray:
+    """Ids of the rows whose first ``least`` values more than ``region`` rows share."""
+    if not len(ids):
+        return ids
+    begins = (keys[1:, :least] != keys[:-1, :least]).any(axis=1) | (tree[1:] != tree[:-1])
+    run = np.concatenate([[0], np.cumsum(begins)])
+    return np.unique(ids[np.bincount(run)[run] > region])
+
+
 def candidates(classes: DataFrame, *, depth: int = DEPTH, least_depth: int = LEAST_DEPTH, window: int = WINDOW, region: int = REGION) -> DataFrame:
-    """(a, b, weight) of class pairs that meet in the forest, a < b; weight sums the common prefixes over the trees."""
+    """(a, b, weight) of class pairs that meet in the forest, a < b; weight sums the common prefixes over the trees.
+
+    Rows with a = b are the classes of regions that are too large to be paired here.
+    """
     cuts = F.expr(f"transform(sequence(0, cast(size(signature) / {depth} as int) - 1), t -> slice(signature, t * {depth} + 1, {depth}))")
     rows = classes.select("class_id", F.posexplode_outer(cuts).alias("tree", "key")).where("key is not null")
     ordered = rows.repartitionByRange("tree", "key", "class_id").sortWithinPartitions("tree", "key", "class_id")
@@ -151,6 +168,8 @@ def candidates(classes: DataFrame, *, depth: int = DEPTH, least_depth: int = LEA
 
         def pairs(x: list[np.ndarray]):
             a, b, c = neighbours(*x, least_depth, window, region)
+            many = crowded(*x, least_depth, region)
+            a, b, c = np.concatenate([a, many]), np.concatenate([b, many]), np.concatenate([c, np.zeros(len(many), np.int32)])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["a", "b", "common"])
 
         for batch in batches:
@@ -192,13 +211,51 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.lit(100).cast("long") * F.col("n") >= percent * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b").distinct()
 
 
+def prefix_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different groups, among them every pair with 100 * |intersection| >= percent * |union|.
+
+    Shingles are ordered by rarity. The first shingle that such a pair shares lies
+    in the prefix of both sets, where enough shingles follow for the overlap.
+    """
+    n, p = F.size("hashes"), F.lit(percent).cast("long")
+    rows = sets.select("class_id", n.alias("n"), F.explode("hashes").alias("hash"))
+    rarity = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # shingles of one class meet nothing but come first in its order
+    alone = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("class_id"))
+    ranked = rows.join(rarity.hint("merge"), "hash").withColumn("place", alone + F.row_number().over(W.partitionBy("class_id").orderBy("often", "hash")))
+    probed = ranked.where(F.col("place") <= F.col("n") - F.ceil(p * F.col("n") / 100 - 1e-9) + 1)
+    indexed = F.col("place") <= F.col("n") - F.ceil(2 * p * F.col("n") / (100 + p) - 1e-9) + 1
+    known = groups.select(F.col("node").alias("class_id"), "component")
+    posted = staged(probed.withColumn("indexed", indexed).join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("hash", "class_id", "component", "n", "place", "indexed"), "postings")
+    tops = posted.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("hash").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    # pairs inside the largest group of a list are never formed: one side is always of another group
+    tagged = posted.join(tops.hint("merge"), "hash").select("hash", "class_id", "component", "n", "place", "indexed", (F.col("component") == F.col("top")).alias("main"))
+    x, y = tagged.where("indexed").alias("x"), tagged.alias("y")
+    overlap = f"ceil({percent} * cast(x.n + y.n as bigint) / {100 + percent} - 1e-9)"
+    fits = F.expr(f"x.hash = y.hash and (x.n < y.n or x.n = y.n and x.class_id < y.class_id) and x.component <> y.component and 100 * x.n >= {percent} * y.n and x.n - x.place + 1 >= {overlap} and y.n - y.place + 1 >= {overlap}")
+    found = [left.hint("merge").join(right, fits).select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b")) for left, right in ((x.where("not x.main"), y), (x.where("x.main"), y.where("not y.main")))]
+    return found[0].unionByName(found[1]).distinct()
+
+
+def regrouped(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, component) of the groups after linked pairs (a, b) of nodes join them."""
+    group_a = groups.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    group_b = groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    links = staged(pairs.join(group_a, "a", "left").join(group_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "links")
+    merged = components(links).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    final = groups.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    alone = merged.join(groups.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
+    return final.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH, window: int = WINDOW, region: int = REGION, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     signed = staged(signatures(docs, trees=trees, depth=depth, shingle=shingle), "signatures")
     some = signed.where("set_key is not null and doc_id is not null")
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.any_value("signature").alias("signature"))
-    met = staged(candidates(classes, depth=depth, least_depth=least_depth, window=window, region=region), "candidates")
-    wanted = met.select(F.col("a").alias("class_id")).unionByName(met.select(F.col("b").alias("class_id"))).distinct()
+    found = staged(candidates(classes, depth=depth, least_depth=least_depth, window=window, region=region), "candidates")
+    met, crowd = found.where("a < b"), found.where("a = b").select(F.col("a").alias("class_id"))
+    wanted = found.select(F.col("a").alias("class_id")).unionByName(found.select(F.col("b").alias("class_id"))).distinct()
     sets = staged(shingle_sets(docs, wanted, shingle=shingle), "sets")
     first = met.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a"))
     groups = components(confirm(first, sets, percent))
@@ -206,12 +263,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     group_b = groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = met.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti").join(group_a, "a", "left").join(group_b, "b", "left")
     apart = apart.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
-    links = staged(confirm(apart, sets, percent).join(group_a, "a", "left").join(group_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "links")
-    merged = components(links).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    final = groups.join(merged, "component", "left").select(F.col("node").alias("class_id"), F.coalesce("final", "component").alias("found"))
-    alone = merged.join(groups.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("class_id"), F.col("final").alias("found"))
+    groups = regrouped(groups, confirm(apart, sets, percent))
+    if not crowd.isEmpty():
+        groups = staged(groups, "groups")
+        dense = sets.join(crowd.hint("merge"), "class_id", "left_semi")
+        groups = regrouped(groups, confirm(prefix_pairs(dense, groups, percent), sets, percent))
     members = some.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
-    known = members.join(final.unionByName(alone), "class_id", "left").select("set_key", F.coalesce("found", "class_id").alias("component_id"))
+    known = members.join(groups.select(F.col("node").alias("class_id"), F.col("component").alias("found")), "class_id", "left").select("set_key", F.coalesce("found", "class_id").alias("component_id"))
     out = signed.select("doc_id", "set_key", "n_shingles").join(known, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
