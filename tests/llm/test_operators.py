@@ -208,6 +208,22 @@ def test_decontamination(spark, documents):
     assert decontaminate.find_contamination(documents(rows), benchmark.limit(0)).where("size(hits) > 0").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_decontamination_at_the_edit_limit(kind):
+    r = random.Random(13)
+    sizes = [n for n in (5, 9, 15, 30, 60, 100, 200) for _ in range(8)]
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(n))) for i, n in enumerate(sizes)]
+    index = decontaminate.Index(items)
+    for i, text in items:
+        words = text.split()
+        k = decontaminate.allowed(len(words))
+        for j in sorted(r.sample(range(1, len(words) - 1), k), reverse=True):
+            words[j : j + (kind != "insert")] = [] if kind == "delete" else ["kax"]
+        found = index.hits(" ".join(["lop"] * 50 + words + ["lop"] * 50))
+        assert [(h["item_id"], h["distance"]) for h in found] == [(i, k)]
+        assert index.hits(" ".join(["lop"] * 50 + words[:1] + ["kax"] + words[1:-1])) == []  # an edit more, and the end gone
+
+
 def test_alignment_is_the_least_edit_distance():
     r = random.Random(5)
     for _ in range(200):

@@ -1,18 +1,12 @@
-"""Benchmark decontamination: item-sized windows under the CGK embedding, bit-sampling LSH, exact verification.
+"""Benchmark decontamination: a q-gram filter that loses nothing, and exact alignment of what passes it.
 
 Texts and benchmark items are sequences of words (runs of letters and digits,
 lower case). A document holds an item when some stretch of it is within
-``distance`` * (item length) word edits of the item. For each repetition a
-random walk (CGK embedding) maps a sequence to a longer one whose Hamming
-distance is small when the edit distance is small; the symbols at a few sampled
-places are the window's signature, and a window meets the items of its size
-with an equal signature in any repetition. A met item is then aligned exactly
-(bit-parallel semi-global edit distance), so nothing false is reported.
-
-Only windows that could succeed are embedded: within k edits of an item of n
-words at least n - q + 1 - k q of its q-grams survive, in order and within k
-places of their own offset; windows are placed where a document shows that many.
-This bound loses nothing. Recall is therefore that of the repetitions.
+``distance`` * (item length) word edits of the item. Within k edits of an item of
+n words at least n - q + 1 - k q of its q-grams survive, in order and within k
+places of their own offset. Where a document shows that many, the item is aligned
+exactly (bit-parallel semi-global edit distance), so nothing false is reported
+and nothing is missed.
 
 The index of the benchmark is broadcast in blocks of at most ``block_chars``
 characters of items, one pass over the documents for each block; documents are
@@ -32,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-DISTANCE, REPETITIONS, PLACES, GRAM = 0.2, 40, 4, 3
+DISTANCE, GRAM = 0.2, 3
 HIT = StructType().add("item_id", LongType()).add("start_word", LongType()).add("n_words", LongType()).add("distance", LongType())
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -47,34 +41,11 @@ def allowed(n: int, distance: float = DISTANCE) -> int:
     return int(math.floor(distance * n + 1e-9))
 
 
-def embed(windows: np.ndarray, repetitions: int, places: int) -> np.ndarray:
-    """Signatures (window, repetition) of windows of one size, given as rows of word codes."""
-    count, n = windows.shape
-    random = np.random.default_rng(1_000 + n)
-    steps = 2 * n
-    sampled = random.integers(0, steps, (repetitions, places))
-    salt = random.integers(1, 1 << 62, (steps, repetitions), dtype=np.int64).astype(np.uint64)
-    padded = np.concatenate([windows.astype(np.uint64) + np.uint64(1), np.zeros((count, 1), np.uint64)], axis=1)
-    at = np.zeros((count, repetitions), np.int64)
-    signature = np.zeros((count, repetitions), np.uint64)
-    rows = np.arange(count)[:, None]
-    for j in range(int(sampled.max()) + 1):
-        symbol = padded[rows, at]
-        if (taken := (sampled == j).any(axis=1)).any():
-            mixed = (signature ^ symbol) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j + 1)
-            signature = np.where(taken, mixed ^ (mixed >> np.uint64(29)), signature)
-        step = (symbol ^ salt[j]) * np.uint64(0xD6E8FEB86659FD93)
-        step ^= step >> np.uint64(32)
-        step *= np.uint64(0xD6E8FEB86659FD93)
-        at = np.minimum(at + (step >> np.uint64(63)).astype(np.int64), n)
-    return signature
-
-
 class Index:
-    """Items of one block: word codes, q-grams with offsets, and LSH buckets by item size."""
+    """Items of one block: word codes, and q-grams with offsets."""
 
-    def __init__(self, items: list[tuple[int, str]], *, distance: float = DISTANCE, repetitions: int = REPETITIONS, places: int = PLACES):
-        self.distance, self.repetitions, self.places = distance, repetitions, places
+    def __init__(self, items: list[tuple[int, str]], *, distance: float = DISTANCE):
+        self.distance = distance
         self.codes, self.ids, self.words = _Codes(), [], []
         for key, text in items:
             if found := _WORDS(text.lower()):
@@ -82,19 +53,12 @@ class Index:
                 self.words.append(np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in found], np.int64))
         self.base = len(self.codes) + 1
         grams = {q: defaultdict(list) for q in range(1, GRAM + 1)}
-        by_size = defaultdict(list)
         for i, w in enumerate(self.words):
             k = allowed(len(w), distance)
             q = min(GRAM, len(w) // (k + 1))
             for offset, gram in enumerate(self._grams(w, q).tolist()):
                 grams[q][gram].append((i, offset))
-            by_size[len(w)].append(i)
         self.grams = {q: (np.array(sorted(g), np.int64), g) for q, g in grams.items() if g}
-        self.buckets = defaultdict(list)
-        for n, members in by_size.items():
-            for i, row in zip(members, embed(np.stack([self.words[i] for i in members]), repetitions, places), strict=True):
-                for r, s in enumerate(row.tolist()):
-                    self.buckets[n, r, s].append(i)
 
     def _grams(self, codes: np.ndarray, q: int) -> np.ndarray:
         out = np.zeros(max(0, len(codes) - q + 1), np.int64)
@@ -124,7 +88,7 @@ class Index:
     def hits(self, text: str) -> list[dict]:
         """The items that a text holds, each with the best place found."""
         codes = np.fromiter(map(self.codes.__getitem__, _WORDS(text.lower())), np.int64)
-        windows = defaultdict(dict)  # size: {start: None}
+        best: dict[int, tuple[int, int, int]] = {}
         for item, found in self.seeds(codes).items():
             n = len(self.words[item])
             k = allowed(n, self.distance)
@@ -134,27 +98,17 @@ class Index:
                 continue
             diagonals = np.array(sorted(d for d, _ in found))
             near = np.searchsorted(diagonals, diagonals + k, "right") - np.searchsorted(diagonals, diagonals - k, "left")
+            spans: list[list[int]] = []  # stretches that overlap are aligned as one
             for start in np.unique(diagonals[near >= needed]).tolist():
-                windows[n][start] = None
-        met = {}
-        for n, starts in windows.items():
-            rows = np.zeros((len(starts), n), np.int64)
-            for row, start in zip(rows, starts, strict=True):
-                part = codes[max(0, start) : max(0, start + n)]
-                row[max(0, -start) : max(0, -start) + len(part)] = part
-            for block in range(0, len(rows), 512):
-                for start, signature in zip(list(starts)[block : block + 512], embed(rows[block : block + 512], self.repetitions, self.places).tolist(), strict=True):
-                    for r, s in enumerate(signature):
-                        for item in self.buckets.get((n, r, s), ()):
-                            met[item, start] = None
-        best: dict[int, tuple[int, int, int]] = {}
-        for item, start in met:
-            n = len(self.words[item])
-            k = allowed(n, self.distance)
-            low = max(0, start - k)
-            d, end = align(self.words[item], codes[low : max(0, start + n + k)])
-            if d <= k:
-                best[item] = min(best.get(item, (d + 1, 0, 0)), (d, max(low, low + end - n), n))
+                low, high = max(0, start - k), max(0, start + n + k)
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = high
+                else:
+                    spans.append([low, high])
+            for low, high in spans:
+                d, end = align(self.words[item], codes[low:high])
+                if d <= k:
+                    best[item] = min(best.get(item, (d + 1, 0, 0)), (d, max(low, low + end - n), n))
         return [{"item_id": self.ids[i], "start_word": s, "n_words": n, "distance": d} for i, (d, s, n) in sorted(best.items(), key=lambda x: (self.ids[x[0]], x[1]))]
 
 
@@ -180,7 +134,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, distance: float = DISTANCE, repetitions: int = REPETITIONS, places: int = PLACES, block_chars: int = 32_000_000, text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, distance: float = DISTANCE, block_chars: int = 32_000_000, text: str = "text") -> DataFrame:
     """Add ``hits``: the benchmark items (item_id, text) that each document holds, with place and distance."""
     items = benchmark.select("item_id", "text").dropna().distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -194,7 +148,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, distance: float
             import pyarrow as pa
             from pyspark.sql.pandas.types import to_arrow_type
 
-            index = Index(shared.value, distance=distance, repetitions=repetitions, places=places)
+            index = Index(shared.value, distance=distance)
             kind = to_arrow_type(ArrayType(HIT))
             for batch in batches:
                 at = batch.schema.get_field_index("hits")
