@@ -382,3 +382,19 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert counts == sorted(counts, reverse=True)
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
+
+
+def test_pipeline_near_duplicates_at_80_percent(spark, documents):
+    import corpus_pipeline
+
+    r = random.Random(14)
+    rows = []
+    for k in range(0, 60, 2):  # four or five words apart: 20 to 25 of 200 shingles, similarity 0.82 or 0.78
+        words = [r.choice(WORDS) for _ in range(204)]
+        near = list(words)
+        for j in range(4 + k // 2 % 2):
+            near[20 + 30 * j] = f"x{j}"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(near))]
+    root = linked(rows, 80)
+    assert len(set(root.values())) == 45 and len(set(linked(rows, 85).values())) == 60
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, documents(rows), SF).collect()} == set(root.values())
