@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtests, disclosures, identity, indicators, portfolio, prices, series, tables, text
@@ -44,15 +47,56 @@ def test_adjustment(spark):
     acts = lambda rows: spark.createDataFrame([(1, day(i), k, v) for i, k, v in rows], "security_id long, ex_date date, action string, value double")
     assert values(prices.adjust(bars([100.0, 50.0]), acts([(1, "split", 2.0)])), "price_factor") == [0.5, 1.0]
     assert values(prices.adjust(bars([100.0, 99.0, 98.0]), acts([(2, "dividend", 1.0), (9, "split", 2.0)])), "price_factor") == [round(1 - 1 / 99, 6)] * 2 + [1.0]
-    jumps = prices.cut_jumps(bars([0.3, 0.28, 0.27, 0.26, 0.25, 0.25] + [40.0] * 14), acts([]))
-    assert jumps.count() == 14
+    jumps = prices.cut_jumps(bars([0.5, 0.52, 0.49, 0.51, 0.5, 0.48, 0.5] + [30.0, 31.0, 29.5] * 4), acts([]))
+    assert jumps.count() == 12
 
 
 def test_vintages(spark):
-    v = spark.createDataFrame([("u", D("2024-07-01"), D("2024-08-01"), 4.1), ("u", D("2024-07-01"), D("2024-09-05"), 4.2), ("u", D("2024-08-01"), D("2024-09-05"), 4.3)], "series_id string, date date, realtime_start date, value double")
-    days = spark.createDataFrame([(D(d),) for d in ("2024-07-31", "2024-08-01", "2024-09-04", "2024-09-05")], "date date")
+    v = spark.createDataFrame([("g", D("2022-01-01"), D("2022-02-10"), 7.0), ("g", D("2022-01-01"), D("2022-03-12"), 7.5), ("g", D("2022-02-01"), D("2022-03-12"), 8.25), ("g", D("2022-02-01"), D("2022-04-01"), None)], "series_id string, date date, realtime_start date, value double")
+    days = spark.createDataFrame([(D(d),) for d in ("2022-02-09", "2022-02-10", "2022-03-11", "2022-03-12", "2022-04-02")], "date date")
     known = {r.day.isoformat(): r.value for r in series.as_known(v, days).collect()}
-    assert known == {"2024-08-01": 4.1, "2024-09-04": 4.1, "2024-09-05": 4.3}
+    assert known == {"2022-02-10": 7.0, "2022-03-11": 7.0, "2022-03-12": 8.25, "2022-04-02": 7.5}
+
+
+def test_filter_gap_is_the_last_point_of_the_whole_fit(spark):
+    x = [1.0, 2.5, 2.0, 4.0, 3.5, 5.5, 5.0, 8.0, 6.5, 9.0, 9.5, 12.0]
+    out = values(indicators.one_sided_gap(as_series(spark, x), 10.0, least=5), "gap")
+    for n in range(5, len(x) + 1):
+        d = np.diff(np.eye(n), 2, axis=0)
+        trend = np.linalg.solve(np.eye(n) + 10.0 * d.T @ d, np.array(x[:n]))
+        assert abs(out[n - 1] - (x[n - 1] - trend[-1])) < 1e-5
+    assert out[:4] == [None] * 4
+
+
+def test_specs():
+    series.register_source("px", lambda t: t)
+    assert series.spec_parts("px:A/px:B-C|sma:5|z") == ([("px", "A"), ("px", "B-C")], "/", [("sma", 5), ("z", 20)])
+    for bad in ("zz:A", "px:A|nope", "px:A|ret:x", "px:A/px:B/px:C"):
+        with pytest.raises(ValueError):
+            series.spec_parts(bad)
+
+
+def test_rules(spark):
+    assert backtests.rule_clauses("a>1 and b <= c or d < 2") == [[("a", ">", "1"), ("b", "<=", "c")], [("d", "<", "2")]]
+    df = spark.createDataFrame([(2.0, 1.0), (None, 9.0), (None, 1.0), (0.0, 9.0)], "a double, b double")
+    assert [r[0] for r in df.select(backtests.rule_column("a > 1 and b < 5 or b > 8")).collect()] == [True, True, None, True]
+    with pytest.raises(ValueError):
+        backtests.rule_clauses("a >")
+
+
+def test_ruin_ends_a_run(spark):
+    rows = [(1, D("2024-01-01") + dt.timedelta(days=i), x) for i, x in enumerate([10.0, 5.0, -1.0])]
+    out = backtests.run(spark.createDataFrame(rows, "security_id long, date date, close double"), F.lit(True))
+    stats = backtests.statistics(out).first()
+    assert stats.cagr == -1.0 and stats.total < -1
+
+
+def test_lots_through_splits_and_short_sales(spark):
+    rows = [(1, 1, D("2023-01-02"), "sell", "S", 4.0, 40.0), (2, 1, D("2023-02-01"), "buy", "S", 10.0, 100.0), (3, 1, D("2023-06-01"), "sell", "S", 5.0, 50.0), (4, 1, D("2023-07-01"), "buy", "S", 3.0, 60.0), (5, 1, D("2023-08-01"), "sell", "S", 20.0, 200.0)]
+    t = spark.createDataFrame(rows, "id long, account_id long, trade_date date, action string, symbol string, quantity double, amount double")
+    splits = spark.createDataFrame([("S", D("2023-05-01"), 2.0)], "symbol string, ex_date date, ratio double")
+    got = {(r.buy and r.buy.id, r.sell and r.sell.id): r.quantity for r in portfolio.lots(t, splits).collect()}
+    assert got == {(None, 1): 8.0, (2, 3): 5.0, (2, 5): 15.0, (4, 5): 3.0, (None, 5): 2.0}
 
 
 def test_backtest(spark):
@@ -99,14 +143,19 @@ def test_keywords_and_page_text(spark):
     assert text.page_text(page).first().text == "A & b\n\n1\t2"
 
 
+def test_search_operators(spark):
+    docs = spark.createDataFrame([(1, "Trade wars and tariffs"), (2, "a tariff on trade"), (3, "peace"), (4, None), (5, "war on trade, trade war")], "id long, text string")
+    found = lambda q: {r.id for r in text.search(text.inverted_index(docs, "id"), docs, "id", q).collect()}
+    assert found("tariff") == {1, 2} and found('"trade war"') == {5} and found("trade -war") == {1, 2} and found("peace OR tariffs") == {1, 2, 3}
+
+
 def test_streams_equal_their_batch_twins(spark, tmp_path):
     folder = "/root/testdata/sf0.001/"
     events = spark.read.parquet(folder + "events.parquet").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type", "value", "props")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = streams.read_events(spark, str(tmp_path / "in"))
-    got = streams.drain(streams.daily_activity(stream, "60 days"), "daily", str(tmp_path / "c1"), "complete").select("day", "event_type", "n")
+    got = streams.drain(streams.daily_activity(stream, "60 days"), str(tmp_path / "c1"), "complete").select("day", "event_type", "n")
     want = events.groupBy(F.window("ts", "1 day").start.alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    flags = streams.drain(streams.newly_flagged(stream, 50.0), "flags", str(tmp_path / "c2"))
-    assert flags.count() > 0
-    assert streams.drain(streams.once(stream), "once", str(tmp_path / "c3")).count() <= events.count()
+    assert streams.drain(streams.newly_flagged(stream, 50.0), str(tmp_path / "c2")).count() > 0
+    assert streams.drain(streams.once(stream, ["user_id"], "60 days"), str(tmp_path / "c3")).count() == events.select("user_id").distinct().count()

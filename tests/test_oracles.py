@@ -12,6 +12,8 @@ SF = "/root/testdata/sf0.001"
 def test_query(spark, name):
     sql = catalog.oracle_sql().get(name)
     if sql:
-        assert difference(spark, SF, catalog.queries()[name], sql, connect(SF)) is None
+        c = connect(SF)
+        assert difference(spark, SF, catalog.queries()[name], sql, c) is None
+        assert c.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] > 0, "an empty result compares nothing"
     else:
-        assert catalog.queries()[name](spark, SF).count() >= 0
+        assert catalog.queries()[name](spark, SF).count() > 0

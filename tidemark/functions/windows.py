@@ -26,6 +26,12 @@ def filled(value: Column, order: WindowSpec) -> Column:
     return F.last(value, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
 
 
+def running_product(value: Column, over: WindowSpec) -> Column:
+    """Product of a frame's values, through logarithms; zero and negative factors are counted apart."""
+    size = F.exp(F.coalesce(F.sum(F.when(value != 0, F.log(F.abs(value)))).over(over), F.lit(0.0)))
+    negative = F.coalesce(F.sum(F.when(value < 0, 1).otherwise(0)).over(over), F.lit(0)) % 2 == 1
+    zero = F.coalesce(F.sum(F.when(value == 0, 1).otherwise(0)).over(over), F.lit(0)) > 0
+    return F.when(zero, 0.0).otherwise(F.when(negative, -size).otherwise(size))
 
 
 def product(value: Column) -> Column:

@@ -2,49 +2,161 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import filled, product, running_product
+
+YEAR_DAYS, TRADING_DAYS = 365.25, 252
+
 
 def by_date() -> WindowSpec:
     return W.partitionBy("security_id").orderBy("date")
 
 
-def run(prices: DataFrame, signal: Column, cost_bps: float = 0.0, short: bool = False) -> DataFrame:
-    """BKT-02, BKT-03: the signal at t is held from t to t + 1; cost on traded weight; a missing price earns 0 and keeps the last one.
+def sofar() -> WindowSpec:
+    return by_date().rowsBetween(W.unboundedPreceding, 0)
+
+
+def rule_clauses(rule: str) -> list[list[tuple[str, str, str]]]:
+    """BKT-01: comparisons of series or numbers; ``and`` binds tighter than ``or``: [[a, b], [c]] is (a and b) or c."""
+    out = []
+    for group in re.split(r"\s+or\s+", rule.strip()):
+        found = [re.fullmatch(r"\s*(\S+?)\s*(<=|>=|<|>)\s*(\S+)\s*", clause) for clause in re.split(r"\s+and\s+", group)]
+        if not all(found):
+            raise ValueError(f"{group!r}: a comparison is '<series> <op> <series or number>'")
+        out.append([m.groups() for m in found])
+    return out
+
+
+def rule_column(rule: str, series: Callable[[str], Column] = F.col) -> Column:
+    """BKT-01, BKT-02: the rule as a condition; true if a group is all true, unknown if none is but one is undecided, else false."""
+    side = lambda text: F.lit(float(text)) if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)(e[-+]?\d+)?", text, re.I) else series(text)
+    compare = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    groups = []
+    for clauses in rule_clauses(rule):
+        terms = [compare[op](side(a), side(b)) for a, op, b in clauses]
+        for t in terms[1:]:
+            terms[0] = terms[0] & t
+        groups.append(terms[0])
+    for g in groups[1:]:
+        groups[0] = groups[0] | g
+    return groups[0]
 
-    An unknown signal holds nothing. prices: security_id, date, close.
+
+def run(prices: DataFrame, signal: Column, cost_bps: float = 0.0, short: bool = False, inputs: Column | None = None) -> DataFrame:
+    """BKT-03: the signal at t is held from t to t + 1; cost on traded weight; a missing price earns 0 and keeps the last one.
+
+    The run starts on the first day on which the signal, the close and all
+    ``inputs`` are known; the days after it are returned, with ``start``. An
+    unknown signal holds nothing. prices: security_id, date, close.
     """
     by = by_date()
-    rows = prices.withColumn("signal", signal).withColumn("_price", F.last("close", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    target = F.when(F.col("signal"), 1.0).otherwise(-1.0 if short else 0.0)
-    rows = rows.withColumn("target", F.when(F.col("signal").isNull(), 0.0).otherwise(target))
-    held, before = F.lag("target", 1, 0.0).over(by), F.lag("_price").over(by)
-    rows = rows.withColumns({"position": held, "_move": F.coalesce(F.when(before > 0, F.col("_price") / before - 1), F.lit(0.0)), "_traded": F.abs(F.col("target") - held)})
-    paid = F.lag("_traded", 1, 0.0).over(by)
-    rows = rows.withColumn("ret", F.col("position") * F.col("_move") - paid * cost_bps / 10_000)
-    equity = F.exp(F.sum(F.log1p("ret")).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.withColumn("equity", equity).select("security_id", "date", "signal", "position", "ret", "equity")
+    known = F.col("signal").isNotNull() & F.col("close").isNotNull() & (F.lit(True) if inputs is None else inputs)
+    rows = prices.withColumn("signal", signal).withColumn("start", F.min(F.when(known, F.col("date"))).over(W.partitionBy("security_id"))).where("date >= start")
+    rows = rows.withColumn("_price", filled(F.col("close"), by))
+    target = F.when(F.col("signal"), 1.0).when(~F.col("signal"), -1.0 if short else 0.0).otherwise(0.0)
+    before = F.lag("_price").over(by)
+    rows = rows.withColumns({"position": F.lag(target, 1, 0.0).over(by), "bench": F.coalesce(F.when(before != 0, F.when(F.col("close").isNotNull(), F.col("close") / before - 1)), F.lit(0.0))})
+    traded = F.abs(F.col("position") - F.lag("position", 1, 0.0).over(by))
+    rows = rows.withColumn("ret", F.col("position") * F.col("bench") - traded * cost_bps / 10_000)
+    rows = rows.withColumn("equity", running_product(1 + F.when(F.col("date") > F.col("start"), F.col("ret")).otherwise(0.0), sofar()))
+    return rows.where("date > start").select("security_id", "date", "start", "signal", "position", "bench", "ret", "equity")
+
+
+def figures(rows: DataFrame, *keys: str, ret: str = "ret") -> DataFrame:
+    """BKT-04: total, yearly rate (-1 at ruin), volatility, Sharpe ratio and largest fall from 1.0 on. rows: keys, date, start, ret."""
+    order = W.partitionBy(*keys).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    held = rows.withColumn("_e", running_product(1 + F.col(ret), order))
+    held = held.withColumn("_fall", F.col("_e") / F.greatest(F.lit(1.0), F.max("_e").over(order)) - 1)
+    out = held.groupBy(*keys).agg(F.max_by("_e", "date").alias("_e"), (F.datediff(F.max("date"), F.min("start")) / YEAR_DAYS).alias("_y"), F.coalesce(F.stddev_samp(ret), F.lit(0.0)).alias("_s"), F.avg(ret).alias("_m"), F.least(F.min("_fall"), F.lit(0.0)).alias("max_drawdown"))
+    vol = F.col("_s") * F.sqrt(F.lit(float(TRADING_DAYS)))
+    rate = F.when((F.col("_y") > 0) & (F.col("_e") > 0), F.pow("_e", 1 / F.col("_y")) - 1).otherwise(-1.0)
+    return out.select(*keys, (F.col("_e") - 1).alias("total"), rate.alias("cagr"), vol.alias("vol"), F.when(vol > 0, F.col("_m") * TRADING_DAYS / vol).alias("sharpe"), "max_drawdown")
+
+
+def exposure() -> Column:
+    return F.avg((F.col("position") != 0).cast("double")).alias("exposure")
 
 
 def statistics(results: DataFrame) -> DataFrame:
-    """BKT-04, BKT-06: total, yearly rate, volatility, Sharpe ratio, largest fall from 1.0 on, exposure."""
-    peak = F.greatest(F.lit(1.0), F.max("equity").over(by_date().rowsBetween(W.unboundedPreceding, 0)))
-    rows = results.withColumn("_fall", F.col("equity") / peak - 1)
-    out = rows.groupBy("security_id").agg(F.max_by("equity", "date").alias("_e"), (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("_y"), F.stddev_samp("ret").alias("_s"), F.avg("ret").alias("_m"), F.min("_fall").alias("max_drawdown"), F.avg((F.col("position") != 0).cast("double")).alias("exposure"))
-    return out.select("security_id", (F.col("_e") - 1).alias("total"), F.when((F.col("_y") > 0) & (F.col("_e") > 0), F.pow("_e", 1 / F.col("_y")) - 1).alias("cagr"), (F.col("_s") * F.sqrt(F.lit(252.0))).alias("vol"), F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * F.sqrt(F.lit(252.0))).alias("sharpe"), "max_drawdown", "exposure")
+    """BKT-04, BKT-06: the figures of each run and its share of days invested."""
+    return figures(results, "security_id").join(results.groupBy("security_id").agg(exposure()), "security_id")
 
 
 def trades(results: DataFrame) -> DataFrame:
-    """BKT-05: runs of one position other than 0, with their compounded return; a run that goes on has no exit."""
+    """BKT-05: runs of one position other than 0, from the day of the decision, with their compounded return; a run that goes on has no exit."""
     by = by_date()
     begins = F.coalesce(F.col("position") != F.lag("position").over(by), F.lit(True)).cast("int")
-    rows = results.withColumn("_run", F.sum(begins).over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("_last", F.max("date").over(W.partitionBy("security_id")))
-    runs = rows.where("position != 0").groupBy("security_id", "_run").agg(F.min("date").alias("entry"), F.max("date").alias("_end"), F.first("_last").alias("_last"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"))
-    return runs.select("security_id", "entry", F.when(F.col("_end") < F.col("_last"), F.col("_end")).alias("exit"), "ret")
+    rows = results.withColumns({"_run": begins, "_decided": F.coalesce(F.lag("date").over(by), F.col("start"))})
+    rows = rows.withColumn("_run", F.sum("_run").over(sofar())).withColumn("_last", F.max("date").over(W.partitionBy("security_id")))
+    runs = rows.where("position != 0").groupBy("security_id", "_run").agg(F.min("_decided").alias("entry"), F.max("date").alias("_end"), F.first("_last").alias("_last"), F.count(F.lit(1)).alias("days"), (product(1 + F.col("ret")) - 1).alias("ret"))
+    return runs.select("security_id", "entry", F.when(F.col("_end") < F.col("_last"), F.col("_end")).alias("exit"), "days", "ret")
 
 
 def yearly(results: DataFrame) -> DataFrame:
-    """BKT-06: return per calendar year and share of days invested."""
-    return results.groupBy("security_id", F.year("date").alias("year")).agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"), F.avg((F.col("position") != 0).cast("double")).alias("exposure"))
+    """BKT-06: return of the rule and of holding per calendar year, and share of days invested."""
+    total = lambda c: (product(1 + F.col(c)) - 1).alias(c)
+    return results.groupBy("security_id", F.year("date").alias("year")).agg(total("ret"), total("bench"), exposure())
+
+
+def regime(days: DataFrame, decision: Column, window_ends: Column, cost_bps: float = 5.0) -> DataFrame:
+    """BKT-07, BKT-09: a weight decided at ``window_ends``, held until the next decision; the rest earns the cash yield (percent a year).
+
+    ``decision`` is the weight wanted on a day (null counts as none). Cost is
+    charged on the weight that changes. days: security_id, date, close, yield.
+    """
+    by = by_date()
+    rows = days.withColumn("_asked", F.when(window_ends, F.coalesce(decision, F.lit(0.0))))
+    rows = rows.withColumns({"position": F.coalesce(F.lag(filled(F.col("_asked"), by)).over(by), F.lit(0.0)), "hold": F.coalesce(F.when(F.lag("close").over(by) != 0, F.col("close") / F.lag("close").over(by) - 1), F.lit(0.0)), "cash": F.coalesce(F.lag("yield").over(by) / 100 / TRADING_DAYS, F.lit(0.0)), "start": F.min("date").over(W.partitionBy("security_id"))})
+    moved = F.abs(F.col("position") - F.lag("position", 1, 0.0).over(by))
+    ret = F.col("position") * F.col("hold") + (1 - F.col("position")) * F.col("cash") - moved * cost_bps / 10_000
+    return rows.withColumns({"ret": ret, "switched": moved != 0}).where("date > start").select("security_id", "date", "start", "position", "hold", "cash", "ret", "switched")
+
+
+def month_end(date: str = "date") -> Column:
+    """Whether a row is the last of its month."""
+    return F.coalesce(F.trunc(date, "month") != F.trunc(F.lead(date).over(by_date()), "month"), F.lit(True))
+
+
+def constant_mix(results: DataFrame, weight: float, cost_bps: float = 5.0) -> DataFrame:
+    """BKT-08: a fixed weight that drifts within the month and is set back at month ends, at a cost.
+
+    Inside a month the weighted asset and cash grow on their own, so a day's
+    return is the ratio of two running sums of products; no fold is needed.
+    results: security_id, date, hold, cash (of ``regime``).
+    """
+    month = W.partitionBy("security_id", F.trunc("date", "month")).orderBy("date")
+    upto = month.rowsBetween(W.unboundedPreceding, 0)
+    rows = results.withColumns({"_a": weight * running_product(1 + F.col("hold"), upto), "_c": (1 - weight) * running_product(1 + F.col("cash"), upto), "_end": month_end()})
+    value = F.col("_a") + F.col("_c")
+    rows = rows.withColumn("mix", value / F.coalesce(F.lag(value).over(month), F.lit(1.0)) - 1)
+    drift = F.abs(F.col("_a") / value - weight)
+    return rows.withColumn("mix", F.col("mix") - F.when(F.col("_end"), drift * cost_bps / 10_000).otherwise(0.0)).drop("_a", "_c", "_end")
+
+
+def period_report(results: DataFrame, window: int = 12) -> DataFrame:
+    """BKT-10: for strategy (ret), hold and mix: the figures and the worst ``window`` months; the strategy's exposure and switches a year."""
+    legs = [c for c in ("ret", "hold", "mix") if c in results.columns]
+    long = results.select("security_id", "date", "start", F.explode(F.array(*(F.struct(F.lit(c).alias("leg"), F.col(c).alias("r")) for c in legs))).alias("x")).select("security_id", "date", "start", "x.leg", "x.r")
+    months = long.groupBy("security_id", "leg", F.trunc("date", "month").alias("month")).agg(product(1 + F.col("r")).alias("g"))
+    frame = W.partitionBy("security_id", "leg").orderBy("month").rowsBetween(1 - window, 0)
+    worst = months.withColumn("_w", F.when(F.count("g").over(frame) == window, running_product(F.col("g"), frame) - 1)).groupBy("security_id", "leg").agg(F.min("_w").alias("worst"))
+    out = figures(long.withColumnRenamed("r", "ret"), "security_id", "leg").join(worst, ["security_id", "leg"])
+    years = F.datediff(F.max("date"), F.min("start")) / YEAR_DAYS
+    held = results.groupBy("security_id").agg(F.avg("position").alias("exposure"), F.try_divide(F.sum(F.col("switched").cast("double")), years).alias("switches"))
+    return out.join(held, "security_id")
+
+
+def expanding_view(results: DataFrame) -> DataFrame:
+    """BKT-11: at each year's end the strategy's and the holder's growth so far, and their returns in the year that follows."""
+    total = lambda c: product(1 + F.col(c)).alias(c)
+    years = results.groupBy("security_id", F.year("date").alias("year")).agg(total("ret"), total("hold"))
+    by = W.partitionBy("security_id").orderBy("year")
+    upto = by.rowsBetween(W.unboundedPreceding, 0)
+    after = lambda c: F.when(F.lead("year").over(by) == F.col("year") + 1, F.lead(c).over(by) - 1)
+    return years.select("security_id", "year", *((running_product(F.col(c), upto) - 1).alias(f"{c}_sofar") for c in ("ret", "hold")), *(after(c).alias(f"{c}_next") for c in ("ret", "hold")))

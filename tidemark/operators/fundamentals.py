@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import running_product
+
 
 def period_type(start: Column, end: Column) -> Column:
     """FND-01: instant, quarter, half, nine_months, annual or other, by inclusive days."""
@@ -73,3 +75,148 @@ def forward_returns(closes: DataFrame, horizons: list[int]) -> DataFrame:
 
     full = F.lead("close", 1 + h).over(by).isNotNull()
     return out.withColumn("max_drawdown", F.when(full, F.aggregate(window, start, step)["fall"]))
+
+
+def fiscal_ends(facts: DataFrame) -> DataFrame:
+    """FND-02: year ends of an issuer: of each annual filing the latest annual period end not after it (dei left out), with the commonest year label.
+
+    facts: accession, cik, taxonomy, form, period_start, period_end, filed, fiscal_year.
+    """
+    annual = facts.where((F.col("taxonomy") != "dei") & F.regexp_replace("form", "/A$", "").isin("10-K", "20-F", "40-F") & (F.col("period_end") <= F.col("filed")) & (period_type(F.col("period_start"), F.col("period_end")) == "annual"))
+    ends = annual.groupBy("cik", "accession").agg(F.max(F.struct("period_end", "fiscal_year")).alias("x")).select("cik", "x.*")
+    labels = ends.groupBy("cik", "period_end", "fiscal_year").agg(F.count(F.lit(1)).alias("n"))
+    return labels.groupBy("cik", "period_end").agg(F.max_by("fiscal_year", F.struct("n", "fiscal_year")).alias("fiscal_year"))
+
+
+def year_distance(a: Column, b: Column) -> Column:
+    """Days between two dates within the year, over New Year where that is shorter."""
+    d = F.abs(F.dayofyear(a) - F.dayofyear(b))
+    return F.least(d, 365 - d)
+
+
+def year_end_regimes(ends: DataFrame, near: int = 10, rounds: int = 3) -> DataFrame:
+    """FND-03: runs of year ends at about the same day of the year; a lone end that is not the last goes and the rest is grouped again.
+
+    Every round is two windows over an issuer's few ends; ``rounds`` bounds how
+    many lone ends in a row are taken out.
+    """
+    by = W.partitionBy("cik").orderBy("period_end")
+    rows = ends
+    for k in range(rounds + 1):
+        begins = F.coalesce(year_distance(F.col("period_end"), F.lag("period_end").over(by)) > near, F.lit(True)).cast("int")
+        rows = rows.withColumn("_b", begins).withColumn("segment", F.sum("_b").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_b")
+        if k < rounds:
+            lone = (F.count(F.lit(1)).over(W.partitionBy("cik", "segment")) == 1) & (F.col("segment") < F.max("segment").over(W.partitionBy("cik")))
+            rows = rows.withColumn("_l", lone).where("NOT _l").drop("_l", "segment")
+    offset = F.col("fiscal_year") - F.year("period_end")
+    labels = rows.groupBy("cik", "segment", offset.alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.max("period_end").alias("last"))
+    return labels.groupBy("cik", "segment").agg(F.max("last").alias("last_end"), F.max_by("offset", F.struct("n", "offset")).alias("offset")).select("cik", "segment", F.month("last_end").alias("month"), F.dayofmonth("last_end").alias("day"), "offset", "last_end")
+
+
+def located(rows: DataFrame, regimes: DataFrame) -> DataFrame:
+    """FND-04: fiscal year and quarter of each (cik, date): the regime that is the first to end on or after the date less ten days, else the last.
+
+    The year end is the regime's nominal day (29 February clamped) on or after the date less ten days.
+    """
+    asked = rows.select("cik", "date").distinct()
+    pairs = asked.join(regimes, "cik")  # an issuer has a few regimes
+    late = F.date_sub("date", 10)
+    rank = F.struct((F.col("last_end") < late).cast("int"), F.when(F.col("last_end") < late, -F.datediff("last_end", F.lit("1970-01-01").cast("date"))).otherwise(F.datediff("last_end", F.lit("1970-01-01").cast("date"))))
+    best = pairs.groupBy("cik", "date").agg(F.min_by(F.struct("month", "day", "offset"), rank).alias("r"))
+    nominal = lambda y: F.date_add(F.make_date(y, F.col("r.month"), F.lit(1)), F.least(F.col("r.day"), F.dayofmonth(F.last_day(F.make_date(y, F.col("r.month"), F.lit(1))))) - 1)
+    year = F.year(late)
+    end = F.when(nominal(year) >= late, nominal(year)).otherwise(nominal(year + 1))
+    out = best.withColumn("year_end", end)
+    quarter = F.greatest(F.lit(1), F.least(F.lit(4), (4 - F.bround(F.datediff("year_end", "date") / 91.31)).cast("int")))
+    return out.select("cik", "date", "year_end", (F.year("year_end") + F.col("r.offset")).alias("fiscal_year"), quarter.alias("quarter"))
+
+
+def transitions(periods: DataFrame, regimes: DataFrame, near: int = 10) -> DataFrame:
+    """FND-05: periods that begin about the day after the old regime's last end and end about the new regime's first year end."""
+    by = W.partitionBy("cik").orderBy("segment")
+    moves = regimes.withColumn("old_end", F.lag("last_end").over(by)).where("old_end IS NOT NULL").select("cik", "old_end", "month", "day")
+    first = F.make_date(F.year("old_end") + F.when(F.make_date(F.year("old_end"), F.col("month"), F.lit(28)) > F.col("old_end"), 0).otherwise(1), F.col("month"), F.least("day", F.lit(28)))
+    joined = periods.join(moves.withColumn("_first", first), "cik")
+    return joined.where((F.abs(F.datediff("period_start", "old_end") - 1) <= near) & (F.abs(F.datediff("period_end", "_first")) <= near)).select("cik", "period_start", "period_end").distinct()
+
+
+def fact_labels(facts: DataFrame, places: DataFrame) -> DataFrame:
+    """FND-06: period type, fiscal year and period (FY, Q1..Q4, H1/H2, 9M, T) of facts; an instant in quarter 4 is FY."""
+    kind = period_type(F.col("period_start"), F.col("period_end"))
+    rows = facts.join(places.select("cik", F.col("date").alias("period_end"), F.col("fiscal_year").alias("fy"), F.col("quarter").alias("fq")), ["cik", "period_end"], "left")
+    q = F.concat(F.lit("Q"), F.col("fq").cast("string"))
+    label = F.when(F.col("fq").isNull(), None).when(kind == "annual", "FY").when(kind == "quarter", q).when(kind == "half", F.when(F.col("fq") <= 2, "H1").otherwise("H2")).when(kind == "nine_months", "9M").when(kind == "instant", F.when(F.col("fq") == 4, "FY").otherwise(q))
+    return rows.withColumns({"kind": kind, "fiscal_period": label})
+
+
+def report_period_end(facts: DataFrame) -> DataFrame:
+    """FND-07: a filing's latest duration end on or before the filing day, dei left out."""
+    return facts.where((F.col("taxonomy") != "dei") & F.col("period_start").isNotNull() & (F.col("period_end") <= F.col("filed"))).groupBy("accession").agg(F.max("period_end").alias("period_end"))
+
+
+def split_restated(facts: DataFrame, splits: DataFrame, as_of: Column) -> DataFrame:
+    """FND-09, MET-04: share counts times, and per-share values over, the splits after the filing and not after ``as_of``. splits: cik, ex_date, ratio.
+
+    Facts and splits run through one window per issuer, from the latest day down.
+    """
+    rows = facts.withColumns({"_d": F.col("filed"), "_k": F.lit(1), "_r": F.lit(1.0)})
+    marks = splits.where(F.col("ex_date") <= as_of).select("cik", F.col("ex_date").alias("_d"), F.lit(0).alias("_k"), F.col("ratio").alias("_r"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    factor = F.when(F.col("_d").isNull(), 1.0).otherwise(running_product(F.col("_r"), W.partitionBy("cik").orderBy(F.desc_nulls_last("_d"), F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)))
+    value = F.when(F.col("unit") == "shares", F.col("value") * F.col("_f")).when(F.col("unit").endswith("/shares"), F.col("value") / F.col("_f")).otherwise(F.col("value"))
+    return both.withColumn("_f", factor).where("_k = 1").withColumn("value", value).drop("_d", "_k", "_r", "_f")
+
+
+def fact_query(facts: DataFrame, concept: str, unit: str, kind: str | None = None, form: str | None = None, as_reported: bool = False) -> DataFrame:
+    """FND-11: facts of one concept and unit; the value filed last of each period unless as reported."""
+    rows = facts.where((F.col("concept") == concept) & (F.col("unit") == unit))
+    rows = rows if form is None else rows.where(F.col("form") == form)
+    rows = rows if kind is None else rows.where(period_type(F.col("period_start"), F.col("period_end")) == kind)
+    if as_reported:
+        return rows.select("cik", "accession", "period_start", "period_end", "value", "filed")
+    return rows.groupBy("cik", "period_start", "period_end").agg(F.max(F.struct("filed", "accession", "value")).alias("x")).select("cik", "x.accession", "period_start", "period_end", "x.value", "x.filed")
+
+
+def line_items(facts: DataFrame, concepts: DataFrame, currency: Column) -> DataFrame:
+    """FND-12: each line item and period from the concept of best rank (values in another currency last), filed last. concepts: concept, line_item, rank."""
+    rows = facts.join(concepts, "concept")
+    order = F.struct((F.col("unit") != currency).cast("int"), "rank", (-F.datediff("filed", F.lit("1970-01-01").cast("date"))).alias("late"), "accession")
+    return rows.groupBy("cik", "line_item", "period_start", "period_end").agg(F.min_by(F.struct("concept", "unit", "value", "filed"), order).alias("x")).select("cik", "line_item", "period_start", "period_end", "x.*")
+
+
+def reporting_currency(facts: DataFrame) -> DataFrame:
+    """FND-13: the commonest currency over an issuer's distinct (period, currency) pairs."""
+    pairs = facts.where(F.length("unit") == 3).select("cik", "period_start", "period_end", "unit").distinct()
+    return pairs.groupBy("cik", "unit").agg(F.count(F.lit(1)).alias("n")).groupBy("cik").agg(F.max_by("unit", F.struct("n", "unit")).alias("currency"))
+
+
+def of_kind(facts: DataFrame) -> DataFrame:
+    """FND-15: stocks at instants; flows over years, quarters, halves and nine months; per-share values over years and quarters. stock: boolean column."""
+    kind = period_type(F.col("period_start"), F.col("period_end"))
+    flow = kind.isin("annual", "quarter") | (kind.isin("half", "nine_months") & ~F.col("unit").endswith("shares"))
+    return facts.where(F.when(F.col("stock"), kind == "instant").otherwise((kind != "instant") & flow))
+
+
+def statement(items: DataFrame, names: list[str], newest: int) -> DataFrame:
+    """FND-17: one row per issuer and period with a column for each line item, the newest periods first."""
+    periods = items.groupBy("cik", "period_end").pivot("line_item", names).agg(F.max("value"))
+    return periods.withColumn("rank", F.row_number().over(W.partitionBy("cik").orderBy(F.desc("period_end")))).where(F.col("rank") <= newest)
+
+
+def derived_sums(balances: DataFrame, parts: DataFrame) -> DataFrame:
+    """FND-18: concepts that are sums of component balances of one instant. parts: line_item, concept."""
+    return balances.join(parts, "line_item").groupBy("cik", "period_end", "concept").agg(F.sum("value").alias("value"))
+
+
+def listings(facts: DataFrame) -> DataFrame:
+    """FND-19: facts, first and last day of each concept and unit of an issuer."""
+    return facts.groupBy("cik", "taxonomy", "concept", "unit").agg(F.count(F.lit(1)).alias("facts"), F.min("filed").alias("first"), F.max("filed").alias("last"))
+
+
+def trailing_or_year(quarters: DataFrame, years: DataFrame) -> DataFrame:
+    """MET-01: the newest trailing year of quarters, unless a fiscal year ends later or there is none. years: cik, line_item, unit, period_end, value."""
+    four = trailing_year(quarters).where("ttm IS NOT NULL").groupBy("cik", "line_item", "unit").agg(F.max(F.struct("period_end", "ttm")).alias("q"))
+    last = years.groupBy("cik", "line_item", "unit").agg(F.max(F.struct("period_end", "value")).alias("y"))
+    out = four.join(last, ["cik", "line_item", "unit"], "full_outer")
+    use = F.col("q").isNotNull() & (F.col("y").isNull() | (F.col("q.period_end") >= F.col("y.period_end")))
+    return out.select("cik", "line_item", "unit", F.when(use, F.col("q.period_end")).otherwise(F.col("y.period_end")).alias("period_end"), F.when(use, F.col("q.ttm")).otherwise(F.col("y.value")).alias("ttm"))

@@ -41,3 +41,27 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     down = edges.join(nodes, edges["src"] == nodes["node"]).select("node", F.lit("supplies").alias("kind"), F.col("dst").alias("other"), "share")
     up = edges.join(nodes, edges["dst"] == nodes["node"]).select("node", F.lit("buys").alias("kind"), F.col("src").alias("other"), "share")
     return down.unionByName(up)
+
+
+def hierarchy(codes: DataFrame) -> DataFrame:
+    """GRF-02: part_of edges from each code to its longest prefix that is a code too; codes without one have no edge. codes: code."""
+    heads = codes.select("code", F.explode(F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring("code", F.lit(1), n))).alias("parent")).where("parent <> code")
+    known = heads.join(codes.select(F.col("code").alias("parent")), "parent", "left_semi")
+    return known.groupBy(F.col("code").alias("src")).agg(F.max_by("parent", F.length("parent")).alias("dst")).withColumn("kind", F.lit("part_of"))
+
+
+def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """GRF-02: edges whose ends are both nodes."""
+    return edges.join(nodes.select(F.col("key").alias("src")), "src", "left_semi").join(nodes.select(F.col("key").alias("dst")), "dst", "left_semi")
+
+
+def company_edges(companies: DataFrame, weights: DataFrame, themes: DataFrame) -> DataFrame:
+    """GRF-04: companies to industries by their code's weights, and to the themes that hold one of these industries. companies: company, code; weights: code, industry, weight; themes: industry, theme."""
+    to = companies.join(weights, "code").groupBy("company", "industry").agg(F.sum("weight").alias("weight"))
+    themed = to.join(themes, "industry").select("company", F.col("theme").alias("to")).distinct()
+    return to.select("company", F.col("industry").alias("to"), F.lit("industry").alias("kind"), "weight").unionByName(themed.select("company", "to", F.lit("theme").alias("kind"), F.lit(None).cast("double").alias("weight")))
+
+
+def members(edges: DataFrame, group: str) -> DataFrame:
+    """GRF-07: companies of an industry or theme by weight, unweighted ones last."""
+    return edges.where(F.col("to") == group).select("company", "weight").orderBy(F.desc_nulls_last("weight"), "company")

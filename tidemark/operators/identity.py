@@ -125,3 +125,111 @@ def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
 def search(securities: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """IDN-24: securities whose ticker contains the text, active ones, by ticker."""
     return securities.where(F.lower("ticker").contains(text.lower()) & F.col("active")).orderBy("ticker").limit(limit)
+
+
+def attach_ids(rows: DataFrame, history: DataFrame, current: DataFrame) -> DataFrame:
+    """IDN-02: each market row with the holder of its symbol on its date; rows of unknown symbols go. Distinct (symbol, date) pairs are resolved once."""
+    known = symbol_as_of(rows.select("symbol", "date").distinct(), history, current).where("security_id IS NOT NULL")
+    return rows.join(known, ["symbol", "date"])
+
+
+def current_else_latest(asked: DataFrame, current: DataFrame, history: DataFrame) -> DataFrame:
+    """IDN-03: the security that uses a ticker now, else the one last seen under it."""
+    last = history.groupBy("symbol").agg(F.max_by("security_id", F.struct("last_seen", "security_id")).alias("_l"))
+    return asked.join(current.select("symbol", F.col("security_id").alias("_c")), "symbol", "left").join(last, "symbol", "left").select("symbol", F.coalesce("_c", "_l").alias("security_id"))
+
+
+def first_link(rows: DataFrame, securities: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
+    """IDN-04: link rows to securities by several identifiers in order; the first hit wins. steps: (column of rows, column of securities)."""
+    out, found = rows, []
+    for i, (own, other) in enumerate(steps):
+        unique = securities.where(F.col(other).isNotNull()).groupBy(F.col(other).alias(f"_k{i}")).agg(F.min("security_id").alias(f"_s{i}"))
+        out = out.join(unique, F.col(own) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        found.append(f"_s{i}")
+    step = F.coalesce(*(F.when(F.col(c).isNotNull(), i) for i, c in enumerate(found)))
+    return out.withColumns({"security_id": F.coalesce(*found), "step": step}).drop(*found)
+
+
+def unmapped(held: list[DataFrame], mapped: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """IDN-05: distinct held identifiers that are neither linked nor looked up."""
+    every = held[0].select("cusip")
+    for h in held[1:]:
+        every = every.unionByName(h.select("cusip"))
+    return every.distinct().join(mapped.select("cusip"), "cusip", "left_anti").join(looked_up.select("cusip"), "cusip", "left_anti")
+
+
+NICE_RATIOS = [1 / 100, 1 / 50, 1 / 20, 1 / 10, 1 / 5, 1 / 4, 1 / 3, 1 / 2, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 16, 20, 25, 30, 40, 50, 100]
+
+
+def inferred_ratios(pairs: DataFrame, closes: DataFrame, as_of: Column, days: int = 180, least: int = 3, within: float = 0.08) -> DataFrame:
+    """IDN-11: the median ratio of two listings' closes (same day or the day before), snapped to the nearest plain ratio. pairs: receipt, ordinary."""
+    recent = closes.where((F.col("date") <= as_of) & (F.col("date") > F.date_sub(as_of, days)) & (F.col("close") > 0))
+    a = recent.select(F.col("security_id").alias("receipt"), "date", F.col("close").alias("x")).join(pairs, "receipt")
+    b = recent.select(F.col("security_id").alias("ordinary"), F.explode(F.array(F.struct("date", F.lit(0).alias("late")), F.struct(F.date_add("date", 1).alias("date"), F.lit(1).alias("late")))).alias("d"), F.col("close").alias("y")).select("ordinary", "d.date", "d.late", "y")
+    both = a.join(b, ["ordinary", "date"]).groupBy("receipt", "ordinary", "date").agg(F.min_by(F.struct("x", "y"), "late").alias("p"))
+    middle = both.groupBy("receipt", "ordinary").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col("p.x") / F.col("p.y"), F.lit(0.5)).alias("ratio")).where(F.col("n") >= least)
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.log(F.col("ratio") / r)).alias("d"), F.lit(float(r)).alias("r")) for r in NICE_RATIOS)))["r"]
+    return middle.withColumn("nice", nearest).select("receipt", "ordinary", "n", "ratio", F.when(F.abs(F.col("ratio") / F.col("nice") - 1) <= within, F.col("nice")).alias("nice"))
+
+
+def prefix_classes(codes: DataFrame, prefixes: DataFrame, curated: DataFrame) -> DataFrame:
+    """IDN-16: (group, code, how): a code that begins with a group's prefix is full, one that its prefix begins with (three characters or more) partial; curated pairs win.
+
+    Every prefix of a code is spread out, so both directions are equi-joins.
+    """
+    heads = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
+    full = codes.select("code", F.explode(heads(F.col("code"))).alias("prefix")).join(prefixes, "prefix").select("group", "code", F.lit(1).alias("r"))
+    part = prefixes.select("group", F.explode(heads(F.col("prefix"))).alias("code")).join(codes, "code").where(F.length("code") > 2).select("group", "code", F.lit(0).alias("r"))
+    best = full.unionByName(part).unionByName(curated.select("group", "code", F.lit(2).alias("r"))).groupBy("group", "code").agg(F.max("r").alias("r"))
+    return best.select("group", "code", F.when(F.col("r") == 2, "curated").when(F.col("r") == 1, "full").otherwise("partial").alias("how"))
+
+
+def capped_assignment(candidates: DataFrame, groups: list[str], limit: int) -> DataFrame:
+    """IDN-18: group by group in order, its named companies and then the largest, up to a limit; each company once.
+
+    candidates: group, company, named, size. The groups are a short list, so
+    there is one step for each; a step sees what the ones before have taken.
+    """
+    taken = None
+    for g in groups:
+        rows = candidates.where(F.col("group") == g)
+        if taken is not None:
+            rows = rows.join(taken.select("company"), "company", "left_anti")
+        order = W.partitionBy("group").orderBy(F.desc("named"), F.desc_nulls_last("size"), "company")
+        chosen = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("group", "company", "rank")
+        taken = chosen if taken is None else taken.unionByName(chosen)
+    return taken
+
+
+def enriched(first: DataFrame, second: DataFrame) -> DataFrame:
+    """IDN-21: the second list fills type and exchange; the first keeps its names. A known id under another symbol is a rename if the second list owns it, else an alias."""
+    s = second.select(F.col("symbol").alias("_s"), F.col("figi").alias("_f"), F.col("kind").alias("_k"), F.col("exchange").alias("_x"), F.col("name").alias("_n"))
+    by_symbol = first.join(s, F.col("symbol") == F.col("_s"), "full_outer")
+    ids = first.select(F.col("figi").alias("_f"), F.col("symbol").alias("_old"), F.col("owned").alias("_owned"))
+    rows = by_symbol.join(ids, "_f", "left")
+    moved = F.col("symbol").isNull() & F.col("_old").isNotNull()
+    what = F.when(moved, F.when(F.col("_owned"), "rename").otherwise("alias")).when(F.col("symbol").isNull(), "new").when(F.col("_s").isNull(), "kept").otherwise("filled")
+    return rows.select(F.coalesce("symbol", "_s").alias("symbol"), F.coalesce("name", "_n").alias("name"), F.coalesce("kind", "_k").alias("kind"), F.coalesce("exchange", "_x").alias("exchange"), F.when(moved, F.col("_old")).alias("known_as"), what.alias("what"))
+
+
+def delisted_moves(rows: DataFrame, gone: DataFrame, current: DataFrame) -> DataFrame:
+    """IDN-22: bars of a symbol up to a delisting belong to the delisted entity, unless the symbol's holder is not contradicted.
+
+    gone: symbol, figi, until; current: symbol, security_id, figi. A holder of
+    another id is contradicted; then rows up to the day move to a new entity.
+    """
+    j = gone.join(current, "symbol", "left").select("symbol", "until", "security_id", (gone["figi"] == current["figi"]).alias("_same"))
+    verdict = j.select("symbol", "until", "security_id", F.when(F.col("security_id").isNull(), "new").when(F.coalesce("_same", F.lit(True)), "delisted").otherwise("separate").alias("what"))
+    moved = rows.join(verdict, "symbol")
+    at = F.when((F.col("what") == "delisted") | (F.col("date") > F.col("until")), F.col("security_id").cast("string")).otherwise(F.concat(F.col("symbol"), F.lit("*")))
+    return moved.select("symbol", "date", "what", at.alias("entity"))
+
+
+def without_cross_listings(issuers: DataFrame, same_as: DataFrame) -> DataFrame:
+    """IDN-23: issuers that stand for themselves. same_as: cik, home."""
+    return issuers.join(same_as.where("home IS NOT NULL").select("cik"), "cik", "left_anti")
+
+
+def find_names(names: DataFrame, text: str, limit: int) -> DataFrame:
+    """IDN-25: rows whose name holds the text in any case, by name."""
+    return names.where(F.lower("name").contains(text.lower())).orderBy("name").limit(limit)

@@ -135,6 +135,48 @@ def trailing_rank(n: int = 756, least: int = 252, value: Column | None = None) -
     return F.when(value.isNotNull() & (F.count(value).over(frame) >= least), F.size(F.filter(inside, lambda x: x <= value)) / F.size(inside))
 
 
+def expanding_rank(least: int = 20, value: Column | None = None) -> Column:
+    """STA-02: share of the non-null values so far that are at or below the current one, once ``least`` exist."""
+    value = _value() if value is None else value
+    frame = _by().rowsBetween(W.unboundedPreceding, 0)
+    inside = F.collect_list(value).over(frame)
+    return F.when(value.isNotNull() & (F.count(value).over(frame) >= least), F.size(F.filter(inside, lambda x: x <= value)) / F.size(inside))
+
+
+def basket_log_level(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """IND-13: mean log price of each basket and day, null where a member has none. rows: key, date, value; members: basket, key."""
+    sizes = members.groupBy("basket").agg(F.count_distinct("key").alias("_n"))
+    prices = rows.where("value > 0").join(members, "key").groupBy("basket", "date").agg(F.avg(F.log("value")).alias("level"), F.count(F.lit(1)).alias("_k"))
+    return prices.join(sizes, "basket").select("basket", "date", F.when(F.col("_k") == F.col("_n"), F.col("level")).alias("level"))
+
+
+def one_sided_gap(series: DataFrame, smoothing: float = 1600.0, least: int = 15) -> DataFrame:
+    """STA-05: value less the last point of the HP trend fitted on the values up to it, from ``least`` values on.
+
+    That last point is the filtered level of a trend whose second differences
+    have variance 1 / smoothing, so one pass of a two-state filter gives it for
+    every prefix. The filter's gains depend on the row number alone.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[frame["value"].notna()].sort_values("date")
+        x, gap = frame["value"].tolist(), [None] * len(frame)
+        level, before = (x[1], x[0]) if len(x) > 1 else (0.0, 0.0)
+        a, b, c = 1.0, 0.0, 1.0  # covariance of the last two trend points
+        for i in range(2, len(x)):
+            guess = 2 * level - before
+            a, b, c = 4 * a - 4 * b + c + 1 / smoothing, 2 * a - b, a
+            gain, back = a / (a + 1), b / (a + 1)
+            error = x[i] - guess
+            level, before = guess + gain * error, level + back * error
+            a, b, c = a * (1 - gain), b * (1 - gain), c - back * b
+            if i + 1 >= least:
+                gap[i] = x[i] - level
+        return frame.assign(gap=pd.Series(gap, index=frame.index, dtype=float))[["key", "date", "gap"]]
+
+    return series.select("key", "date", "value").groupBy("key").applyInPandas(run, "key long, date date, gap double")
+
+
 def range_index(n: int = 156, least: int = 52, value: Column | None = None) -> Column:
     """100 x (value - least) / (most - least) over the window, 50 when flat."""
     value = _value() if value is None else value

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import product
+from tidemark.functions.windows import product, running_product
 
 
 def merge_sources(bars: DataFrame) -> DataFrame:
@@ -38,13 +38,6 @@ def action_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
     return based.select("security_id", F.col("day").alias("ex_date"), "action", price.alias("price_factor"), F.when(split, F.col("value")).otherwise(1.0).alias("volume_factor"))
 
 
-def running_product(value: Column, over) -> Column:
-    size = F.exp(F.coalesce(F.sum(F.when(value != 0, F.log(F.abs(value)))).over(over), F.lit(0.0)))
-    negative = F.coalesce(F.sum(F.when(value < 0, 1).otherwise(0)).over(over), F.lit(0)) % 2 == 1
-    zero = F.coalesce(F.sum(F.when(value == 0, 1).otherwise(0)).over(over), F.lit(0)) > 0
-    return F.when(zero, 0.0).otherwise(F.when(negative, -size).otherwise(size))
-
-
 def adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """PRC-01, PRC-02: adjusted close and volume with their factors, back from the latest bar.
 
@@ -131,3 +124,14 @@ def latest_rates(rates: DataFrame, as_of: Column, inverted: list[str]) -> DataFr
     """PRC-13: the latest rate per currency on or before a day, inverted where it is quoted per dollar."""
     last = rates.where((F.col("date") <= as_of) & F.col("value").isNotNull()).groupBy("currency").agg(F.max_by("value", "date").alias("rate"))
     return last.withColumn("rate", F.when(F.col("currency").isin(inverted), 1 / F.col("rate")).otherwise(F.col("rate")))
+
+
+def with_fallback(market: DataFrame, held: DataFrame) -> DataFrame:
+    """PRC-08: the market's latest price of a symbol, else the broker's. Both: symbol, price."""
+    both = market.select("symbol", F.col("price").alias("_m")).join(held.select("symbol", F.col("price").alias("_h")), "symbol", "full_outer")
+    return both.select("symbol", F.coalesce("_m", "_h").alias("price"), F.when(F.col("_m").isNotNull(), "market").otherwise("broker").alias("source"))
+
+
+def best_part(parts: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """PRC-11: of the parts of a quarter the first in order."""
+    return parts.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

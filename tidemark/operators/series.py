@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import product
+from tidemark.operators import indicators
+
 
 def combine(series: DataFrame, benchmark: int = 0) -> DataFrame:
     """TSR-03: ratio to and difference from the benchmark series on each date; null if either is null or the divisor 0."""
@@ -19,25 +26,153 @@ def step(known: DataFrame, days: DataFrame) -> DataFrame:
 
     Values and days run through one window, so there is no range join. known: key, known_on, value.
     """
-    grid = known.select("key").distinct().crossJoin(F.broadcast(days.select("date")))  # days: a calendar, a few thousand dates
+    grid = known.select("key").distinct().crossJoin(days.select("date"))  # one row for each series and day is the result
     events = known.where("value is not null").select("key", F.col("known_on").alias("date"), "value", F.lit(0).alias("asked"))
     both = events.unionByName(grid.select("key", "date", F.lit(None).cast("double").alias("value"), F.lit(1).alias("asked")))
     latest = F.last("value", ignorenulls=True).over(W.partitionBy("key").orderBy("date", "asked").rowsBetween(W.unboundedPreceding, 0))
     return both.withColumn("value", latest).where("asked = 1").select("key", "date", "value")
 
 
-def as_known(vintages: DataFrame, days: DataFrame) -> DataFrame:
-    """TSR-06: on each day the newest observation that has a value as published by then.
+def newest_known(vintages: DataFrame, days: DataFrame) -> DataFrame:
+    """series_id, day, date, value: on each day the newest observation that has a value as published by then.
 
     A vintage holds from its realtime_start to the next one of its observation;
-    a null vintage withdraws. Null if the observation is dated after the day.
+    a null vintage withdraws. An observation stops to matter once a newer one
+    has its last vintage, so spans are short; they meet the days by month.
+    """
+    order = W.partitionBy("series_id", "date").orderBy("realtime_start")
+    spans = vintages.withColumns({"until": F.lead("realtime_start").over(order), "final": F.lead("realtime_start").over(order).isNull() & F.col("value").isNotNull()})
+    settled = spans.groupBy("series_id", "date").agg(F.min(F.when(F.col("final"), F.col("realtime_start"))).alias("settled"))
+    newer = F.min("settled").over(W.partitionBy("series_id").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.where("value is not null").join(settled.select("series_id", "date", newer.alias("covered")), ["series_id", "date"])
+    last = days.agg(F.max("date").alias("last"))
+    ends = spans.crossJoin(F.broadcast(last)).withColumn("until", F.least("until", "covered", F.date_add("last", 1))).where("realtime_start < until")  # last: one row
+    months = F.sequence(F.trunc("realtime_start", "month"), F.trunc(F.date_sub("until", 1), "month"), F.expr("interval 1 month"))
+    met = ends.withColumn("month", F.explode(months)).join(days.select(F.col("date").alias("day"), F.trunc("date", "month").alias("month")), "month").where("day >= realtime_start and day < until")
+    return met.groupBy("series_id", "day").agg(F.max(F.struct("date", "value")).alias("b")).select("series_id", "day", "b.date", "b.value")
+
+
+def as_known(vintages: DataFrame, days: DataFrame) -> DataFrame:
+    """TSR-06: the newest observation's value on each day; null if it is dated after the day."""
+    return newest_known(vintages, days).select("series_id", "day", F.when(F.col("date") <= F.col("day"), F.col("value")).alias("value"))
+
+
+def known_growth(vintages: DataFrame, days: DataFrame, back: int) -> DataFrame:
+    """TSR-07: log growth of the newest known observation over the one ``back`` days earlier, both in their vintages of the day."""
+    now = newest_known(vintages, days).select("series_id", "day", F.date_sub("date", back).alias("date"), F.col("value").alias("now"))
+    asked = now.select("series_id", "date", F.col("day").alias("at"), F.lit(1).alias("asked"), "now", F.lit(None).cast("double").alias("value"), F.lit(False).alias("void"))
+    told = vintages.select("series_id", "date", F.col("realtime_start").alias("at"), F.lit(0).alias("asked"), F.lit(None).cast("double").alias("now"), "value", F.col("value").isNull().alias("void"))
+    upto = W.partitionBy("series_id", "date").orderBy("at", "asked").rowsBetween(W.unboundedPreceding, 0)
+    vintage = F.last(F.when(F.col("asked") == 0, F.struct("value")), ignorenulls=True).over(upto)
+    rows = asked.unionByName(told).withColumn("before", vintage["value"]).where("asked = 1")
+    return rows.select("series_id", F.col("at").alias("day"), F.when((F.col("now") > 0) & (F.col("before") > 0), F.log(F.col("now") / F.col("before"))).alias("growth"))
+
+
+def conditional_availability(date: Column, since: str, days: int = 31) -> Column:
+    """TSR-10: from ``since`` on, known ``days`` after the month's end; before, on 30 June of the next year."""
+    return F.when(date >= F.lit(since).cast("date"), F.date_add(F.last_day(date), days)).otherwise(F.make_date(F.year(date) + 1, F.lit(6), F.lit(30)))
+
+
+def exact(series: DataFrame, days: DataFrame, shift: int = 0) -> DataFrame:
+    """TSR-16, TSR-17: the value of exactly that day, or of the day ``shift`` rows of the calendar before; nothing is carried."""
+    source = F.lag("date", shift).over(W.orderBy("date")) if shift else F.col("date")
+    asked = days.select("date", source.alias("source"))  # a calendar: one row a day
+    return series.select("key", F.col("date").alias("source"), "value").join(asked, "source").select("key", "date", "value")
+
+
+def deflate(prices: DataFrame, index: DataFrame) -> DataFrame:
+    """TSR-22: price over the latest index value on or before its day. prices: key, date, value; index: date, value."""
+    rows = prices.select("key", "date", "value", F.lit(None).cast("double").alias("index"), F.lit(1).alias("asked"))
+    keys = prices.select("key").distinct().crossJoin(index.where("value is not null").select("date", F.col("value").alias("index")))  # one index series a key
+    both = rows.unionByName(keys.select("key", "date", F.lit(None).cast("double").alias("value"), "index", F.lit(0).alias("asked")))
+    latest = F.last("index", ignorenulls=True).over(W.partitionBy("key").orderBy("date", "asked").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("base", latest).where("asked = 1").select("key", "date", F.when(F.col("base") != 0, F.col("value") / F.col("base")).alias("value"))
+
+
+def observations(series: DataFrame, start: str, end: str) -> DataFrame:
+    """TSR-23: the observations dated in [start, end]."""
+    return series.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def lagged(rows: DataFrame, key: Column, date: Column, value: Column, known_on: Column) -> DataFrame:
+    """TSR-08, TSR-11..15, TSR-18: any table as public-dated observations (key, date, known_on, value)."""
+    return rows.select(key.cast("string").alias("key"), date.alias("date"), known_on.alias("known_on"), value.cast("double").alias("value"))
+
+
+#: EXT-01: series sources by name; each makes (ident, known_on, value) from its tables. The last registration counts.
+SOURCES: dict[str, Callable[..., DataFrame]] = {}
+#: EXT-03: transforms by name, with the default window (None: no window).
+TRANSFORMS: dict[str, tuple[Callable[..., Column], int | None]] = {}
+
+
+def register_source(name: str, loader: Callable[..., DataFrame]) -> None:
+    SOURCES[name] = loader
+
+
+def register_transform(name: str, make: Callable[..., Column], window: int | None = None) -> None:
+    TRANSFORMS[name] = (make, window)
+
+
+for _name, _make, _window in [("sma", indicators.sma, 20), ("ret", indicators.ret, 1), ("diff", indicators.diff, 1), ("stdev", indicators.stdev, 20), ("z", indicators.zscore, 20), ("high", indicators.high, 252), ("low", indicators.low, 252), ("dd", indicators.drawdown, 252)]:
+    register_transform(_name, _make, _window)
+
+
+def spec_parts(spec: str) -> tuple[list[tuple[str, str]], str | None, list[tuple[str, int | None]]]:
+    """TSR-01: ``source:id``, or two of them around one / or -, then ``|name[:N]`` transforms.
+
+    An operator counts only where a known source follows it, so ids may hold both signs.
+    """
+    head, *chain = (x.strip() for x in spec.split("|"))
+    known = "|".join(map(re.escape, sorted(SOURCES, key=len, reverse=True)))
+    m = re.fullmatch(rf"(?P<a>({known}):.+?)(?:\s*(?P<op>[/-])\s*(?P<b>({known}):.+))?", head)
+    if not m:
+        raise ValueError(f"{spec!r}: expected one of {sorted(SOURCES)} and an id")
+    terms = [tuple(x.strip() for x in t.split(":", 1)) for t in (m["a"], m["b"]) if t]
+    if any(re.search(rf"[/-]\s*({known}):", ident) for _, ident in terms):
+        raise ValueError(f"{spec!r}: at most one / or - between two series")
+    steps = []
+    for text in chain:
+        name, _, n = (x.strip() for x in text.partition(":"))
+        if name not in TRANSFORMS:
+            raise ValueError(f"{spec!r}: no transform {name!r}")
+        window = TRANSFORMS[name][1]
+        if n and (window is None or not n.isdigit() or int(n) < 1):
+            raise ValueError(f"{spec!r}: bad window {n!r}")
+        steps.append((name, int(n) if n else window))
+    return terms, m["op"], steps
+
+
+def build(specs: list[str], tables: dict[str, DataFrame], days: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """TSR-02: key (the spec), date, value of every spec over the calendar, in one job.
+
+    Each term is loaded once and carried forward; transforms see the whole
+    history before the cut to [start, end]. ``tables`` has the input of each source.
     """
-    until = F.lead("realtime_start").over(W.partitionBy("series_id", "date").orderBy("realtime_start"))
-    spans = vintages.withColumn("_until", until).where("value is not null")
-    grid = days.select(F.col("date").alias("day"))
-    open_ = spans.join(F.broadcast(grid), (F.col("realtime_start") <= F.col("day")) & (F.col("_until").isNull() | (F.col("day") < F.col("_until"))))
-    best = open_.groupBy("series_id", "day").agg(F.max(F.struct("date", "value")).alias("b"))
-    return best.select("series_id", "day", F.when(F.col("b.date") <= F.col("day"), F.col("b.value")).alias("value"))
+    parts = {s: spec_parts(s) for s in specs}
+    terms = sorted({t for terms, _, _ in parts.values() for t in terms})
+    loaded = []
+    for source in sorted({s for s, _ in terms}):
+        wanted = [i for s, i in terms if s == source]
+        rows = SOURCES[source](tables[source]).where(F.col("ident").isin(wanted))
+        loaded.append(rows.select(F.concat(F.lit(f"{source}:"), "ident").alias("key"), "known_on", "value"))
+    grid = step(reduce(DataFrame.unionByName, loaded), days)
+    plan = [(s, f"{a[0]}:{a[1]}", f"{b[0]}:{b[1]}" if b else None, op, "|".join(f"{n}:{w}" for n, w in steps)) for s, ((a, b), op, steps) in ((s, ((*t, None)[:2], o, c)) for s, (t, o, c) in parts.items())]
+    table = days.sparkSession.createDataFrame(plan, "spec string, a string, b string, op string, chain string")  # one row a spec
+    rows = grid.select(F.col("key").alias("a"), "date", F.col("value").alias("x")).join(table, "a").join(grid.select(F.col("key").alias("b"), "date", F.col("value").alias("y")), ["b", "date"], "left")
+    value = F.when(F.col("op") == "/", F.when(F.col("y") != 0, F.col("x") / F.col("y"))).when(F.col("op") == "-", F.col("x") - F.col("y")).otherwise(F.col("x"))
+    out = rows.select(F.col("spec").alias("key"), "date", value.alias("value"), "chain")
+    done = []
+    for chain in sorted({p[4] for p in plan}):
+        group = out.where(F.col("chain") == chain)
+        for text in chain.split("|") if chain else []:
+            name, _, n = text.partition(":")
+            make = TRANSFORMS[name][0]
+            group = group.withColumn("value", make() if n == "None" else make(int(n)))
+        done.append(group.select("key", "date", "value"))
+    out = reduce(DataFrame.unionByName, done)
+    if start:
+        out = out.where(F.col("date") >= F.lit(start).cast("date"))
+    return out.where(F.col("date") <= F.lit(end).cast("date")) if end else out
 
 
 def latest_revision(vintages: DataFrame) -> DataFrame:
@@ -60,7 +195,7 @@ def month_ends(days: DataFrame) -> DataFrame:
 
 def monthly_returns(returns: DataFrame) -> DataFrame:
     """TSR-21: daily returns compounded within the month."""
-    return returns.where("value is not null").groupBy("key", F.trunc("date", "month").alias("month")).agg((F.exp(F.sum(F.log1p("value"))) - 1).alias("value"))
+    return returns.where("value is not null").groupBy("key", F.trunc("date", "month").alias("month")).agg((product(1 + F.col("value")) - 1).alias("value"))
 
 
 def averages(series: DataFrame) -> DataFrame:

@@ -3,23 +3,38 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def newey_west(series: DataFrame, lags: int = 4) -> DataFrame:
-    """STS-01: mean, error with autocovariances up to ``lags`` (Bartlett weights) and 95% interval per key; null under 3 values."""
+def lag_products(rows: DataFrame, keys: list[str], order: list[str], value: str, lags: Column | int | None, most: int) -> DataFrame:
+    """Per key n, and the long-run sum of squares of ``value`` with Bartlett weights: lags None is floor(4 (n / 100)^(2/9)).
+
+    ``most`` bounds the lags that are formed; 20 do for four hundred thousand values.
+    """
+    by = W.partitionBy(*keys).orderBy(*order)
+    shifted = rows.withColumns({f"_g{k}": F.col(value) * F.lag(value, k).over(by) for k in range(1, most + 1)})
+    out = shifted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * F.col(value)).alias("_g0"), *(F.coalesce(F.sum(f"_g{k}"), F.lit(0.0)).alias(f"_g{k}") for k in range(1, most + 1)))
+    used = F.floor(4 * F.pow(F.col("n") / 100, F.lit(2 / 9))) if lags is None else (F.lit(lags) if isinstance(lags, int) else lags)
+    out = out.withColumn("_L", F.least(used, F.lit(most)).cast("double"))
+    total = F.col("_g0")
+    for k in range(1, most + 1):
+        total = total + F.when(F.col("_L") >= k, 2 * (1 - k / (F.col("_L") + 1)) * F.col(f"_g{k}")).otherwise(0.0)
+    return out.select(*keys, "n", F.greatest(total, F.lit(0.0)).alias("long_run"))
+
+
+def newey_west(series: DataFrame, lags: int | None = None, most: int = 20) -> DataFrame:
+    """STS-01: mean, error with autocovariances (Bartlett weights) and 95% interval per key; null under 3 values. Lags follow n unless given."""
     rows = series.where("value IS NOT NULL")
     centred = rows.withColumn("e", F.col("value") - F.avg("value").over(W.partitionBy("key")))
-    by = W.partitionBy("key").orderBy("date")
-    shifted = centred.withColumns({f"_g{k}": F.col("e") * F.lag("e", k).over(by) for k in range(1, lags + 1)})
-    out = shifted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.sum(F.col("e") * F.col("e")).alias("_g0"), *(F.sum(f"_g{k}").alias(f"_g{k}") for k in range(1, lags + 1)))
-    total = F.col("_g0")
-    for k in range(1, lags + 1):
-        total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.col(f"_g{k}"), F.lit(0.0))
-    error = F.when(F.col("n") >= 3, F.sqrt(F.greatest(total, F.lit(0.0))) / F.col("n"))
+    sums = lag_products(centred, ["key"], ["date"], "e", lags, most if lags is None else lags)
+    out = rows.groupBy("key").agg(F.avg("value").alias("mean")).join(sums, "key")
+    error = F.when(F.col("n") >= 3, F.sqrt("long_run") / F.col("n"))
     return out.select("key", "n", "mean", error.alias("error"), (F.col("mean") - 1.96 * error).alias("low"), (F.col("mean") + 1.96 * error).alias("high"))
 
 
@@ -63,12 +78,17 @@ def top_share(rows: DataFrame, by: str, score: str, share: float) -> DataFrame:
     return rows.join(cut, by).withColumn("flagged", F.col(score) >= F.col("_cut")).drop("_cut")
 
 
-def hac_slope(pairs: DataFrame) -> DataFrame:
-    """STS-02 (point estimate): least-squares slope and intercept per key with ten pairs or more."""
-    return pairs.where("x IS NOT NULL AND y IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")).where("n >= 10")
+def hac_slope(pairs: DataFrame, lags: int = 1) -> DataFrame:
+    """STS-02: least-squares slope and intercept per key with ten pairs or more, with the slope's HAC error. pairs: key, date, x, y."""
+    rows = pairs.where("x IS NOT NULL AND y IS NOT NULL")
+    fit = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.avg("x").alias("_m"), F.regr_sxx("y", "x").alias("_sxx")).where("n >= 10")
+    scores = rows.join(fit.select("key", "slope", "intercept", "_m"), "key").withColumn("s", (F.col("x") - F.col("_m")) * (F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")))
+    sums = lag_products(scores, ["key"], ["date"], "s", lags, lags).select("key", "long_run")
+    error = F.when(F.col("_sxx") > 0, F.sqrt("long_run") / F.col("_sxx"))
+    return fit.join(sums, "key").select("key", "n", "slope", "intercept", error.alias("error"))
 
 
-def bootstrap_means(series: DataFrame, replicates: int = 200, block: int = 10, seed: int = 7) -> DataFrame:
+def bootstrap_means(series: DataFrame, replicates: int = 2000, block: int = 10, seed: int = 7) -> DataFrame:
     """STS-03: moving-block bootstrap interval of the mean per key; block starts are seeded hashes, replicates run in parallel."""
     rows = series.where("value IS NOT NULL").withColumn("i", F.row_number().over(W.partitionBy("key").orderBy("date")) - 1)
     sized = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= block)
@@ -104,3 +124,198 @@ def calendar_time(rows: DataFrame) -> DataFrame:
     """STS-21: mean, median and share above zero of the per-period means of excess returns. rows: group, period, excess."""
     means = rows.groupBy("group", "period").agg(F.avg("excess").alias("m"))
     return means.groupBy("group").agg(F.count(F.lit(1)).alias("periods"), F.avg("m").alias("mean"), F.percentile("m", F.lit(0.5)).alias("median"), F.avg((F.col("m") > 0).cast("double")).alias("hit_rate"))
+
+
+def cluster_bootstrap(rows: DataFrame, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """STS-04: interval of a mean per key, whole clusters drawn again. rows: key, cluster, value.
+
+    Clusters are summed first, so a replicate draws sums and counts; draws are seeded hashes.
+    """
+    sums = rows.where("value IS NOT NULL").groupBy("key", "cluster").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("c"))
+    numbered = sums.withColumns({"i": F.row_number().over(W.partitionBy("key").orderBy("cluster")) - 1, "g": F.count(F.lit(1)).over(W.partitionBy("key"))})
+    reps = numbered.select("key", "g", F.col("i").alias("draw")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = reps.select("key", "rep", F.pmod(F.xxhash64(F.lit(seed), "key", "rep", "draw"), F.col("g")).alias("i"))
+    means = drawn.join(numbered.select("key", F.col("i").cast("long").alias("i"), "s", "c"), ["key", "i"]).groupBy("key", "rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+    return means.groupBy("key").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.stddev_samp("m").alias("error"), F.count(F.lit(1)).alias("replicates"))
+
+
+def bootstrap(rows: DataFrame, draws: DataFrame, statistic: Callable[..., Column], keys: list[str]) -> DataFrame:
+    """EXT-04: any grouped aggregate over drawn rows, with its 95% interval. draws: keys, rep, i; rows: keys, i and what the statistic reads."""
+    values = draws.join(rows, [*keys, "i"]).groupBy(*keys, "rep").agg(statistic().alias("m"))
+    return values.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def clark_west(rows: DataFrame, lags: int = 0) -> DataFrame:
+    """STS-07: t and one-sided p that the model beats the nested base, and 1 - MSE(model) / MSE(base). rows: key, date, actual, base, model."""
+    y, f1, f2 = F.col("actual"), F.col("base"), F.col("model")
+    adjusted = F.pow(y - f1, F.lit(2)) - (F.pow(y - f2, F.lit(2)) - F.pow(f1 - f2, F.lit(2)))
+    mean = newey_west(rows.select("key", "date", adjusted.alias("value")), lags)
+    fit = rows.groupBy("key").agg((1 - F.sum(F.pow(y - f2, F.lit(2))) / F.sum(F.pow(y - f1, F.lit(2)))).alias("r2"))
+    t = F.coalesce(F.when(F.col("error") > 0, F.col("mean") / F.col("error")), F.lit(0.0))
+    return mean.join(fit, "key").select("key", "n", t.alias("t"), normal_tail(t).alias("p"), "r2")
+
+
+def normal_quantile(p: float) -> float:
+    """STS-09: the normal quantile; with p = 1 - alpha / trials the t that many trials ask for."""
+    return NormalDist().inv_cdf(p)
+
+
+def bonferroni_t(trials: Column, alpha: float = 0.05, most: int = 1000) -> Column:
+    """STS-09: the t that a number of trials asks for, from a table up to ``most``."""
+    table = F.array(*(F.lit(normal_quantile(1 - alpha / n / 2)) for n in range(1, most + 1)))
+    return F.get(table, trials.cast("int") - 1)
+
+
+def trial_guard(log: DataFrame) -> DataFrame:
+    """STS-10: per hypothesis its distinct variants, the frozen one (the first freeze counts) and whether the holdout may be used: frozen and not used yet. log: hypothesis, variant, kind, at."""
+    at = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("at", "variant")))
+    out = log.groupBy("hypothesis").agg(F.count_distinct(F.when(F.col("kind") == "run", F.col("variant"))).alias("variants"), at("freeze").alias("f"), at("holdout").alias("h"))
+    return out.select("hypothesis", "variants", F.col("f.variant").alias("frozen"), (F.col("f").isNotNull() & F.col("h").isNull()).alias("holdout_allowed"))
+
+
+def expanding_forecasts(origins: DataFrame, least: int = 20, ahead: int = 1) -> DataFrame:
+    """STS-11: at each origin the mean of the targets known by then (base) and the fit on x (model); a target is known ``ahead`` rows later. origins: key, date, x, y."""
+    known = W.partitionBy("key").orderBy("date").rowsBetween(W.unboundedPreceding, -ahead)
+    slope, intercept = F.regr_slope("y", "x").over(known), F.regr_intercept("y", "x").over(known)
+    enough = F.sum((F.col("x").isNotNull() & F.col("y").isNotNull()).cast("int")).over(known) >= least
+    pair = F.when(F.col("x").isNotNull(), F.col("y"))
+    return origins.withColumns({"base": F.when(enough, F.avg(pair).over(known)), "model": F.when(enough, intercept + slope * F.col("x"))})
+
+
+def logit_fit(rows: DataFrame, names: list[str], outcome: str, events: int = 10, rounds: int = 25) -> list[float] | None:
+    """STS-13: intercept and weights of a logistic regression on standardised features by Newton steps; None with too few events.
+
+    Each step is one aggregation of a few sums; only those reach the driver.
+    """
+    stats = rows.agg(F.sum(outcome).alias("e"), *(F.avg(n).alias(f"m_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names)).first()
+    if (stats["e"] or 0) < events:
+        return None
+    z = rows.select(F.col(outcome).cast("double").alias("o"), *(((F.col(n) - stats[f"m_{n}"]) / (stats[f"s_{n}"] or 1.0)).alias(f"z{i + 1}") for i, n in enumerate(names))).withColumn("z0", F.lit(1.0))
+    k, beta = len(names) + 1, np.zeros(len(names) + 1)
+    for _ in range(rounds):
+        eta = sum((F.col(f"z{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-eta))
+        sums = z.withColumns({"p": p}).agg(*(F.sum(F.col(f"z{i}") * (F.col("o") - F.col("p"))).alias(f"g{i}") for i in range(k)), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}") * F.col("p") * (1 - F.col("p"))).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
+        g = np.array([sums[f"g{i}"] for i in range(k)])
+        h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + 1e-9 * np.eye(k)
+        step = np.linalg.solve(h, g)
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
+    slopes = [float(b) / (stats[f"s_{n}"] or 1.0) for b, n in zip(beta[1:], names, strict=True)]
+    return [float(beta[0]) - sum(w * stats[f"m_{n}"] for w, n in zip(slopes, names, strict=True)), *slopes]
+
+
+def leave_one_out(rows: DataFrame, group: str, groups: list, names: list[str], outcome: str) -> DataFrame:
+    """STS-12: for each group the AUC on it of a logit fitted without it. The groups are a short list."""
+    scored = None
+    for g in groups:
+        fit = logit_fit(rows.where(F.col(group) != g), names, outcome)
+        if fit is None:
+            continue
+        eta = sum((w * F.col(n) for w, n in zip(fit[1:], names, strict=True)), F.lit(fit[0]))
+        part = rows.where(F.col(group) == g).select(F.col(group), F.round(eta, 9).alias("score"), F.col(outcome).cast("int").alias("label"))
+        scored = part if scored is None else scored.unionByName(part)
+    return auc(scored, group, "score", "label")
+
+
+def warning_days(flags: DataFrame, failures: DataFrame) -> DataFrame:
+    """STS-17: median days from the first flag in the year before a failure to the failure. flags: cik, date; failures: cik, failed."""
+    first = flags.join(failures, "cik").where(F.datediff("failed", "date").between(1, 365)).groupBy("cik", "failed").agg(F.min("date").alias("first"))
+    return first.agg(F.count(F.lit(1)).alias("failures"), F.percentile(F.datediff("failed", "first"), F.lit(0.5)).alias("days"))
+
+
+def daily_alerts(scores: DataFrame) -> DataFrame:
+    """STS-18: flags of each day, and whether an entity is new: not flagged at the scoring day before. scores: day, cik, score, cutoff."""
+    days = scores.select("day").distinct().withColumn("before", F.lag("day").over(W.orderBy("day")))  # scoring days: one row a day
+    flagged = scores.where(F.col("score") >= F.col("cutoff")).select("day", "cik", "score")
+    past = flagged.select(F.col("day").alias("before"), "cik", F.lit(True).alias("_p"))
+    return flagged.join(days, "day").join(past, ["before", "cik"], "left").select("day", "cik", "score", F.col("_p").isNull().alias("new"))
+
+
+def failure_dates(events: DataFrame, reports: DataFrame) -> DataFrame:
+    """STS-15: bankruptcy items, and exit forms with no report later than 120 days on and no takeover evidence in the year before. events: cik, form, item, filed; reports: cik, filed."""
+    last = reports.groupBy("cik").agg(F.max("filed").alias("last"))
+    takeover = events.where(F.col("form").isin(TAKEOVER_FORMS) | (F.col("form").startswith("8-K") & F.col("item").isin(TAKEOVER_ITEMS))).select("cik", F.col("filed").alias("t")).distinct()
+    exits = events.where(F.col("form").isin(EXIT_FORMS)).join(last, "cik", "left").where(F.col("last").isNull() | (F.datediff("last", "filed") <= 120)).select("cik", "filed")
+    taken = exits.join(takeover, (exits["cik"] == takeover["cik"]) & F.datediff("filed", "t").between(0, 365), "left_anti")
+    broke = events.where(F.col("form").startswith("8-K") & (F.col("item") == "1.03")).select("cik", "filed")
+    return broke.unionByName(taken).distinct()
+
+
+def quarter_sections(rows: DataFrame, least: int = 20) -> DataFrame:
+    """STS-20: per quarter the size and momentum deciles of each name and its return over the mean of its size peers (``least`` names). rows: period, key, ret, size, momentum."""
+    decile = lambda c: F.floor((F.row_number().over(W.partitionBy("period").orderBy(c, "key")) - 1) * 10 / F.count(F.lit(1)).over(W.partitionBy("period"))).cast("int")
+    ranked = rows.withColumns({"size_decile": decile("size"), "momentum_decile": decile("momentum")})
+    peers = W.partitionBy("period", "size_decile")
+    return ranked.withColumn("excess", F.when(F.count("ret").over(peers) >= least, F.col("ret") - F.avg("ret").over(peers)))
+
+
+def after_controls(rows: DataFrame, controls: list[str]) -> DataFrame:
+    """STS-22: mean excess of flagged names and their number, with controls demeaned: the constant of the regression is that mean. rows: group, period, excess."""
+    known = rows.where("excess IS NOT NULL")
+    for c in controls:
+        known = known.where(F.col(c).isNotNull())
+    return known.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("excess").alias("mean"), F.count_distinct("period").alias("periods"))
+
+
+def exit_counts(flags: DataFrame, prices: DataFrame, exits: DataFrame, ahead: int = 3) -> DataFrame:
+    """STS-23: per period flagged names priced now, priced no more ``ahead`` months later, and those of them with an exit filing since. flags: period, key; prices: period, key; exits: key, filed."""
+    now = flags.join(prices.select("period", "key"), ["period", "key"]).withColumn("until", F.last_day(F.add_months("period", ahead)))
+    later = prices.select(F.col("period").alias("until"), "key", F.lit(True).alias("_l"))
+    gone = now.join(later, ["until", "key"], "left").withColumn("gone", F.col("_l").isNull())
+    filed = gone.where("gone").join(exits, "key").where("filed > period AND filed <= until").select("period", "key", F.lit(True).alias("_f")).distinct()
+    return gone.join(filed, ["period", "key"], "left").groupBy("period").agg(F.count(F.lit(1)).alias("priced"), F.sum(F.col("gone").cast("long")).alias("gone"), F.sum(F.col("_f").cast("long")).alias("with_filing"))
+
+
+def manager_flags(books: DataFrame, ideas: DataFrame, positions: tuple[int, int] = (10, 40), value: float = 0.0, turnover: float = 0.25, past: int = 4) -> DataFrame:
+    """STS-24: companies flagged at the quarter end after the signal: by any manager, by eligible ones, by two or more of these. books: filer_cik, period, positions, value, turnover; ideas: filer_cik, period, company."""
+    by = W.partitionBy("filer_cik").orderBy("period")
+    steady = F.datediff("period", F.lag("period", past).over(by)) < 380
+    good = F.col("positions").between(*positions) & (F.col("value") >= value) & (F.col("turnover") <= turnover) & steady
+    able = books.withColumn("eligible", F.coalesce(good, F.lit(False))).select("filer_cik", "period", "eligible")
+    rows = ideas.join(able, ["filer_cik", "period"], "left").withColumn("entry", F.last_day(F.add_months("period", 3)))
+    out = rows.groupBy("company", "entry").agg(F.count_distinct("filer_cik").alias("any_manager"), F.count_distinct(F.when(F.col("eligible"), F.col("filer_cik"))).alias("best_idea"))
+    return out.withColumn("consensus", F.col("best_idea") >= 2)
+
+
+def lead_correlation(rows: DataFrame, start: str, end: str, leads: range = range(0, 7)) -> DataFrame:
+    """STS-26: correlation of x with y ``lead`` rows later inside a window, and whether the lead is the peak. rows: key, date, x, y."""
+    inside = rows.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    numbered = inside.select("key", F.row_number().over(W.partitionBy("key").orderBy("date")).alias("i"), "x", "y")
+    out = cross_correlation(numbered, leads, least=10)
+    return out.withColumn("peak", F.row_number().over(W.partitionBy("key").orderBy(F.desc(F.round(F.col("corr"), 9)), "lag")) == 1)
+
+
+def latest_scores(watched: DataFrame, scores: DataFrame, reasons: DataFrame) -> DataFrame:
+    """STS-27: each watched entity's newest score, and a reason where there is none."""
+    newest = scores.groupBy("cik").agg(F.max(F.struct("day", "score")).alias("s"))
+    out = watched.join(newest, "cik", "left").join(reasons, "cik", "left")
+    return out.select("cik", "s.day", "s.score", F.when(F.col("s").isNull(), F.coalesce("reason", F.lit("not in the population"))).alias("reason"))
+
+
+#: Fixed values of STS-15 and STS-16.
+EXIT_FORMS = ["15-12B", "15-12G", "15-15D", "25-NSE"]
+TAKEOVER_FORMS = ["SC 13E3", "DEFM14A", "PREM14A", "SC TO-T"]
+TAKEOVER_ITEMS = ["2.01", "5.01"]
+
+
+def company_quarters(members: DataFrame, quarters: DataFrame, snapshots: DataFrame, events: DataFrame, failures: DataFrame) -> DataFrame:
+    """STS-16: members by quarter ends with their latest snapshot, the year's event signals and whether they fail within a year.
+
+    members: cik, first, last; quarters: date; snapshots: cik, known_on, value;
+    events: cik, filed, signal; failures: cik, failed. Events and failures are
+    spread to the quarter ends they reach, so the joins are on equal keys.
+    """
+    grid = members.crossJoin(quarters.select(F.col("date").alias("quarter"))).where("quarter >= first AND quarter <= last").select("cik", "quarter")  # the panel itself
+    reach = lambda start, end: F.explode(F.sequence(F.trunc(start, "quarter"), F.trunc(end, "quarter"), F.expr("interval 3 months")))
+    near = events.select("cik", "signal", "filed", reach(F.col("filed"), F.date_add("filed", 365)).alias("_q")).withColumn("quarter", F.last_day(F.add_months("_q", 2))).where("filed <= quarter AND filed > date_sub(quarter, 365)")
+    told = near.groupBy("cik", "quarter").agg(F.count_distinct("signal").alias("signals"))
+    fails = failures.select("cik", "failed", reach(F.date_sub("failed", 365), F.col("failed")).alias("_q")).withColumn("quarter", F.last_day(F.add_months("_q", 2))).where("failed > quarter AND failed <= date_add(quarter, 365)").select("cik", "quarter", F.lit(True).alias("fails")).distinct()
+    done = failures.groupBy("cik").agg(F.min("failed").alias("_done"))
+    asked = grid.select("cik", F.col("quarter").alias("date"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("k"))
+    both = asked.unionByName(snapshots.select("cik", F.col("known_on").alias("date"), "value", F.lit(0).alias("k")))
+    latest = F.last("value", ignorenulls=True).over(W.partitionBy("cik").orderBy("date", "k").rowsBetween(W.unboundedPreceding, 0))
+    panel = both.withColumn("snapshot", latest).where("k = 1").select("cik", F.col("date").alias("quarter"), "snapshot")
+    panel = panel.join(done, "cik", "left").where("_done IS NULL OR _done > quarter").drop("_done")
+    return panel.join(told, ["cik", "quarter"], "left").join(fails, ["cik", "quarter"], "left").select("cik", "quarter", "snapshot", F.coalesce("signals", F.lit(0)).alias("signals"), F.coalesce("fails", F.lit(False)).alias("fails"))

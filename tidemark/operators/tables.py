@@ -120,6 +120,115 @@ def read_tsv(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("quote", "").option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
-def wide(series: DataFrame, keys: list) -> DataFrame:
-    """SRC-03: one row per date, one column per key, values to six significant digits as text."""
-    return series.groupBy("date").pivot("key", keys).agg(F.first(F.format_string("%.6g", "value")))
+def wide(series: DataFrame, keys: list, form: str = "%.6g") -> DataFrame:
+    """SRC-03: one row per date, one column per key, values as text (six significant digits unless told)."""
+    return series.groupBy("date").pivot("key", keys).agg(F.first(F.when(F.col("value").isNotNull(), F.format_string(form, "value")), ignorenulls=True))
+
+
+def scan(spark, path: str, keys: list[str], schema: str | None = None, where: Column | None = None) -> DataFrame:
+    """SRC-01: a predicate scan of a Parquet table with a natural key; the last row of a repeated key counts."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    rows = rows if where is None else rows.where(where)
+    value = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*value)).alias("_v")).select(*keys, "_v.*")
+
+
+def position_sums(rows: DataFrame, change: str = "2023-01-03") -> DataFrame:
+    """SRC-09: rows summed per accession, identifier and kind; values filed before the change are thousands; identifiers have nine characters."""
+    value = F.col("value") * F.when(F.col("filed") < F.lit(change).cast("date"), 1000).otherwise(1)
+    kept = rows.where(F.length("cusip") == 9)
+    return kept.groupBy("accession", "cusip", "put_call").agg(F.sum("shares").alias("shares"), F.sum(value).alias("value"), F.min_by("name", "line").alias("name"))
+
+
+def filers_of_size(reports: DataFrame, watched: DataFrame, least: float) -> DataFrame:
+    """SRC-11: rows of the filers and periods whose replacing report reaches ``least`` in all, or that are watched; amendments follow their original."""
+    totals = reports.where("replaces").groupBy("filer_cik", "period").agg(F.sum("value").alias("_t")).where(F.col("_t") >= least).select("filer_cik", "period")
+    seen = reports.select("filer_cik", "period").distinct().join(watched, "filer_cik", "left_semi")
+    return reports.join(totals.unionByName(seen).distinct(), ["filer_cik", "period"], "left_semi")
+
+
+def latest_lots(lots: DataFrame) -> DataFrame:
+    """SRC-12: per fund and period the lots of the latest filing, summed per identifier."""
+    newest = F.max("filed").over(W.partitionBy("fund", "period"))
+    return lots.withColumn("_f", newest).where("filed = _f").groupBy("fund", "period", "filed", "identifier").agg(F.sum("shares").alias("shares"), F.sum("value").alias("value"))
+
+
+def first_of(*names: str) -> Column:
+    """The first of several candidate columns that is not empty."""
+    return F.coalesce(*(F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names))
+
+
+def groups_long(rows: DataFrame, keys: list[str], groups: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """SRC-14: one row per group from wide rows; each field is the first filled one of its candidate columns."""
+    cells = [F.struct(F.lit(g).alias("group"), *(first_of(*names).alias(f) for f, names in fields.items())) for g, fields in groups.items()]
+    return rows.select(*keys, F.explode(F.array(*cells)).alias("x")).select(*keys, "x.*")
+
+
+def use_cells(matrix: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """SRC-16: a use matrix as (commodity, buyer, value) without zero and blank cells, with the kind of both codes."""
+    kind = lambda c: F.when(c.rlike("^F"), "final").when(c.rlike("^V"), "value_added").when(c.rlike("^T"), "total").otherwise("commodity")
+    long = matrix.unpivot([row], columns, "buyer", "value").where("value IS NOT NULL AND value <> 0")
+    return long.select(F.col(row).alias("commodity"), "buyer", "value", kind(F.col(row)).alias("row_kind"), kind(F.col("buyer")).alias("buyer_kind"))
+
+
+def retention(log: DataFrame, today: Column, keep: int = 3, days: int = 31) -> DataFrame:
+    """SRC-19: rows that may go: old errors, and old snapshots beyond the newest ``keep`` of their item; and whether their body is still referenced."""
+    order = W.partitionBy("provider", "item", "error").orderBy(F.desc("day"), F.desc("id"))
+    ranked = log.withColumn("_n", F.row_number().over(order)).withColumn("_old", F.datediff(today, "day") > days)
+    goes = F.col("_old") & (F.col("error") | (F.col("_n") > keep))
+    marked = ranked.withColumn("goes", goes)
+    kept = marked.where("NOT goes").select("body").distinct().withColumn("_kept", F.lit(True))
+    return marked.where("goes").join(kept, "body", "left").select("id", "provider", "item", "day", "error", (F.col("_kept").isNull()).alias("body_goes"))
+
+
+def freshness(log: DataFrame, expected: DataFrame, today: Column, stragglers: int = 1, share: float = 0.1) -> DataFrame:
+    """SRC-20: per provider items, failing items, last success, age and status. expected: provider, days."""
+    items = log.groupBy("provider", "item").agg(F.max(F.when(~F.col("error"), F.col("day"))).alias("ok"), F.max(F.when(F.col("error"), F.col("day"))).alias("bad"))
+    failing = F.col("bad").isNotNull() & (F.col("ok").isNull() | (F.col("bad") > F.col("ok")))
+    out = items.groupBy("provider").agg(F.count(F.lit(1)).alias("items"), F.sum(failing.cast("long")).alias("failing"), F.max("ok").alias("last_success"))
+    out = out.join(expected, "provider", "full_outer").withColumns({"items": F.coalesce("items", F.lit(0)), "failing": F.coalesce("failing", F.lit(0)), "age": F.datediff(today, "last_success")})
+    status = F.when(F.col("failing") > F.greatest(F.lit(float(stragglers)), share * F.col("items")), "failing").when(F.col("days").isNull(), "unmonitored").when(F.col("age").isNull() | (F.col("age") >= F.col("days")), "stale").otherwise("ok")
+    return out.select("provider", "items", "failing", "last_success", "age", status.alias("status"))
+
+
+def stale_entities(entities: DataFrame, periods: DataFrame, filings: DataFrame, today: Column) -> DataFrame:
+    """SRC-21: entities whose newest period end is missing or over 200 days old (430 without a quarterly report in the last 730 days)."""
+    newest = periods.groupBy("cik").agg(F.max("period_end").alias("newest"))
+    quarterly = filings.where((F.col("form") == "10-Q") & (F.datediff(today, "filed").between(0, 730))).select("cik", F.lit(True).alias("_q")).distinct()
+    rows = entities.join(newest, "cik", "left").join(quarterly, "cik", "left")
+    limit = F.when(F.col("_q"), 200).otherwise(430)
+    return rows.where(F.col("newest").isNull() | (F.datediff(today, "newest") > limit)).select("cik", "newest")
+
+
+def final_over_candidates(final: DataFrame, candidates: DataFrame, year: Column) -> DataFrame:
+    """SRC-23: the final events, and candidates of later years alone."""
+    last = final.agg(F.max(year).alias("_y"))  # one row
+    later = candidates.crossJoin(last).where(F.col("_y").isNull() | (year > F.col("_y"))).drop("_y")
+    return final.withColumn("kind", F.lit("final")).unionByName(later.withColumn("kind", F.lit("candidate")))
+
+
+def members(filings: DataFrame, since: Column, forms: list[str]) -> DataFrame:
+    """SRC-26: entities with a periodic form since a day, amendments folded; named by their latest filing."""
+    form = F.regexp_replace("form", "/A$", "")
+    return filings.where((F.col("filed") >= since) & form.isin(forms)).groupBy("cik").agg(F.max_by("accession", F.struct("filed", "accession")).alias("latest"), F.count(F.lit(1)).alias("filings"))
+
+
+def ranked_union(files: list[DataFrame], keys: list[str], missing: float = -99.99) -> DataFrame:
+    """SRC-27: each key's value from the first file that has it; the missing mark is no value."""
+    rows = [f.where((F.col("value") != missing) & F.col("value").isNotNull()).select(*keys, "value", F.lit(i).alias("file")) for i, f in enumerate(files)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.groupBy(*keys).agg(F.min(F.struct("file", "value")).alias("_v")).select(*keys, "_v.value", "_v.file")
+
+
+def thin_partitions(filings: DataFrame, facts: DataFrame, read: DataFrame, today: Column, least: int = 50, days: int = 730) -> DataFrame:
+    """SRC-28: recent periodic filings with fewer than ``least`` facts (none counts as 0) that were not read again."""
+    counted = facts.groupBy("accession").agg(F.count(F.lit(1)).alias("n"))
+    recent = filings.where(F.datediff(today, "filed").between(0, days))
+    return recent.join(counted, "accession", "left").withColumn("facts", F.coalesce("n", F.lit(0))).where(F.col("facts") < least).join(read, "accession", "left_anti").select("accession", "facts")
+
+
+def without_orphans(rows: DataFrame, config: DataFrame, key: str, content: str) -> DataFrame:
+    """SRC-29: rows whose key is configured and whose content is still the configured one."""
+    return rows.join(config, [key, content], "left_semi")

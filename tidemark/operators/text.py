@@ -3,41 +3,50 @@
 from __future__ import annotations
 
 import html
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Elements whose content is no text, those that break a line and those that end a cell (from HTML's element kinds).
+UNSEEN = "head script style template ix:header".split()
+BREAKING = "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main nav ol p pre section table tr ul".split()
+CELLS = ["td", "th"]
+
+
 def page_text(pages: DataFrame, column: str = "html") -> DataFrame:
-    """TXT-01: text of HTML: head, script and style go, cells become tabs and blocks lines, entities are decoded, at most one blank line.
+    """TXT-01: text of HTML: unseen elements go, cells become tabs and blocks lines, entities are decoded, at most one blank line.
 
-    Tags are handled by expressions; only entities pass through a vectorised function.
+    The source is split at its tags and each piece brings the mark of its tag;
+    only entities pass through a vectorised function.
     """
 
     @F.pandas_udf("string")
     def decoded(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
-    t = F.coalesce(F.col(column), F.lit(""))
-    for pattern, to in [
-        (r"(?is)<!--.*?-->|<(head|script|style|header)\b.*?</\1\s*>", " "),
-        (r"\s+", " "),
-        (r"(?i)</t[dh]\s*>", "\t"),
-        (r"(?i)</?(p|div|br|tr|table|h[1-6]|li|ul|ol|section|article|blockquote|footer|nav)\b[^>]*>", "\n"),
-        (r"<[^>]*>?", ""),
-    ]:
-        t = F.regexp_replace(t, pattern, to)
-    out = pages.withColumn("text", decoded(t))
-    for pattern, to in [(r"[ \x{A0}]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]:
-        out = out.withColumn("text", F.regexp_replace("text", pattern, to))
-    return out
+    source = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "(?s)<!--.*?(-->|$)", "")
+    for name in UNSEEN:
+        source = F.regexp_replace(source, rf"(?is)<{name}\b[^>]*>.*?(</{name}\s*>|$)", "")
+    pieces = F.split(F.regexp_replace(source, "<(?![a-zA-Z/!?])", "&lt;"), "<")
+
+    def shown(piece: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, "^/?([a-zA-Z][a-zA-Z0-9:]*)", 1))
+        words = F.regexp_replace(F.when(i == 0, piece).otherwise(F.regexp_extract(piece, "(?s)>(.*)$", 1)), r"\s+", " ")
+        mark = F.when(name.isin(CELLS) & piece.startswith("/"), "\t").when(name.isin(BREAKING), "\n").otherwise("")
+        return F.when(i == 0, words).otherwise(F.concat(mark, words))
+
+    out = pages.withColumn("text", decoded(F.array_join(F.transform(pieces, shown), "")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.btrim(F.regexp_replace(x, r"[ \x{A0}]+", " "), F.lit(" ")))
+    kept = F.filter(lines, lambda x, i: (F.btrim(x, F.lit(" \t")) != "") | ((i > 0) & (F.btrim(F.get(lines, i - 1), F.lit(" \t")) != "")))
+    return out.withColumn("text", F.btrim(F.array_join(kept, "\n"), F.lit(" \t\n")))
 
 
 def keyword_filter(text: Column, query: str) -> Column:
     """TXT-04: words AND, "phrases", OR and -exclusions over a text, whole words in any case; null counts as empty."""
-    import re
-
     lowered = F.lower(F.coalesce(text, F.lit("")))
     groups: list[list[Column]] = [[]]
     for token in re.findall(r'-?"[^"]+"|\S+', query):
@@ -64,13 +73,93 @@ def inverted_index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return spread.groupBy("term", key).agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
-def search(index: DataFrame, key: str, terms: list[str], limit: int, k: float = 1.2) -> DataFrame:
-    """TXT-03: the documents that hold all terms, by the sum of saturated term counts times inverse document frequency, best first."""
-    found = index.where(F.col("term").isin(terms))
-    total = index.agg(F.count_distinct(key).alias("n"))
+def stem(term: Column) -> Column:
+    """A word without its common English endings; both texts and queries are stemmed alike."""
+    plain = F.regexp_replace(term, "(ies)$", "y")
+    return F.when(F.length(term) > 4, F.regexp_replace(plain, "(?<=..[a-z])(ings?|edly|ed|es|ly|s)$", "")).otherwise(term)
+
+
+def parsed_query(query: str) -> list[list[tuple[bool, list[str]]]]:
+    """Groups joined by OR of (excluded, words) terms; a phrase has several words."""
+    groups: list[list[tuple[bool, list[str]]]] = [[]]
+    for token in re.findall(r'-?"[^"]+"|\S+', query):
+        if token == "OR":
+            groups.append([])
+        elif words := re.findall(r"\w+", token.lower()):
+            groups[-1].append((token.startswith("-"), words))
+    return [g for g in groups if any(not no for no, _ in g)]
+
+
+def stemmed(index: DataFrame, key: str) -> DataFrame:
+    return index.groupBy(stem(F.col("term")).alias("term"), key).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
+def search(index: DataFrame, docs: DataFrame, key: str, query: str, limit: int | None = None, k: float = 1.2) -> DataFrame:
+    """TXT-03: documents that match words AND, "phrases", OR and -exclusions, stems alike, best first, with a snippet.
+
+    The score is the sum of saturated term counts times inverse document
+    frequency. Only the postings of the query's words are read; a phrase is a run
+    of positions. ``docs`` (key, text) gives the number of documents and the snippets.
+    """
+    groups = parsed_query(query)
+    words = sorted({w for g in groups for _, ws in g for w in ws})
+    spark = index.sparkSession
+    asked = spark.createDataFrame([(w,) for w in words] or [("",)], "word string").withColumn("term", stem(F.col("word")))  # one row a word
+    stems = asked.select(F.col("term").alias("stem")).distinct()
+    found = stemmed(index.join(stems, stem(F.col("term")) == F.col("stem"), "left_semi"), key)
+    spread = found.join(asked, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("_at"), F.sum(F.size("positions")).alias("_n"))
+    none = F.array().cast("array<int>")
+
+    def follows(places: Column, n: int) -> Callable[[Column], Column]:
+        return lambda p: F.array_contains(places, p + n)
+
+    def holds(ws: list[str]) -> Column:
+        runs = F.coalesce(F.col("_at")[ws[0]], none)
+        for i, w in enumerate(ws[1:], 1):
+            runs = F.filter(runs, follows(F.coalesce(F.col("_at")[w], none), i))
+        return F.size(runs) > 0
+
+    match = F.lit(False)
+    for g in groups:
+        both = F.lit(True)
+        for no, ws in g:
+            both = both & (~holds(ws) if no else holds(ws))
+        match = match | both
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
     weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = found.join(weights, "term").crossJoin(F.broadcast(total))  # total: one row
     tf = F.size("positions")
-    score = F.sum(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (k + 1) / (tf + k))
-    out = scored.groupBy(key).agg(F.count(F.lit(1)).alias("_m"), F.round(score, 6).alias("score")).where(F.col("_m") == len(set(terms)))
-    return out.select(key, "score").orderBy(F.desc("score"), key).limit(limit)
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (k + 1) / (tf + k)
+    scores = found.join(weights, "term").crossJoin(F.broadcast(total)).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))  # total: one row
+    wanted = {w for g in groups for no, ws in g if not no for w in ws}
+    best = spread.where(match).select(key).join(scores, key)
+    best = best if limit is None else best.orderBy(F.desc("score"), key).limit(limit)
+    snippet = F.regexp_extract("text", r"(?is).{0,40}\b(" + "|".join(map(re.escape, sorted(wanted))) + r")\b.{0,40}", 0) if wanted else F.lit("")
+    return best.join(docs.select(key, "text"), key).select(key, "score", snippet.alias("snippet"))
+
+
+def section(text: Column, start: list[str], end: str, least: int = 200) -> Column:
+    """TXT-02: the longest span from a start heading to the first end heading more than 20 characters later; null under ``least`` characters.
+
+    The start patterns are tried in order; the first that gives a span counts.
+    """
+    found = []
+    for pattern in start:
+        spans = F.regexp_extract_all(text, F.lit(rf"(?ims)^[ \t]*(?:{pattern}).{{20}}.*?(?=^[ \t]*(?:{end}))"), F.lit(0))
+        longest = F.array_sort(F.transform(spans, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+        best = F.btrim(F.get(longest, F.lit(0))["x"])
+        found.append(F.when(F.length(best) >= least, best))
+    return F.coalesce(*found)
+
+
+def wanted_reports(filings: DataFrame, since: Column, forms: dict[str, list[str]]) -> DataFrame:
+    """TXT-05: filings since a day of the wanted forms; where items are named, with one of them."""
+    wanted = F.lit(False)
+    for form, items in forms.items():
+        hit = F.col("form") == form
+        wanted = wanted | ((hit & F.arrays_overlap(F.split("items", ","), F.array(*map(F.lit, items)))) if items else hit)
+    return filings.where((F.col("filed") >= since) & wanted)
+
+
+def matching_bills(bills: DataFrame, query: str, areas: list[str], subjects: list) -> DataFrame:
+    """TXT-06: bills whose title matches the query, or whose area and subject are both listed."""
+    return bills.where(keyword_filter(F.col("title"), query) | (F.col("area").isin(areas) & F.col("subject").isin(subjects)))

@@ -32,7 +32,7 @@ def source_merge(bars):
 @query("prc_04_jump_cut", "closes", "actions", sql="""WITH scaled AS (SELECT security_id, date, CASE WHEN year(date) < 1998 AND security_id % 3 = 0 THEN close / 100 ELSE close END AS close FROM closes),
 w AS (SELECT *, lag(close) OVER o AS b, quantile_cont(close, 0.5) OVER (PARTITION BY security_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ahead, count(close) OVER (PARTITION BY security_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n,
  quantile_cont(close, 0.5) OVER (PARTITION BY security_id ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS behind FROM scaled WINDOW o AS (PARTITION BY security_id ORDER BY date)),
-j AS (SELECT security_id, max(date) AS f FROM w WHERE close >= 1 AND close >= 4 * b AND n = 5 AND ahead >= 4 * behind AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.action = 'split' AND a.security_id = w.security_id AND abs(datediff('day', a.ex_date, w.date)) <= 7) GROUP BY 1)
+x AS (SELECT DISTINCT security_id, CAST(ex_date + CAST(i AS INT) AS DATE) AS date FROM actions, range(-7, 8) t(i) WHERE action = 'split'), j AS (SELECT security_id, max(date) AS f FROM w ANTI JOIN x USING (security_id, date) WHERE close >= 1 AND close >= 4 * b AND n = 5 AND ahead >= 4 * behind GROUP BY 1)
 SELECT s.security_id, s.date, round(s.close, 6) AS close FROM scaled s LEFT JOIN j USING (security_id) WHERE f IS NULL OR s.date >= f""")
 def jump_cut(closes, actions):
     scaled = closes.withColumn("close", F.when((F.year("date") < 1998) & (F.col("security_id") % 3 == 0), F.col("close") / 100).otherwise(F.col("close")))

@@ -62,12 +62,13 @@ def context(closes):
     return out.select("security_id", *(R(F.col(c)).alias(c) for c in out.columns[1:]))
 
 
-@query("ptf_10_tracking", "closes", sql="""WITH r AS (SELECT security_id, date, close / lag(close) OVER (PARTITION BY security_id ORDER BY date) - 1 AS r FROM closes), p AS (SELECT a.security_id AS held, b.security_id AS fund, a.r AS x, b.r AS y FROM r a JOIN r b USING (date) WHERE b.security_id < 5 AND a.security_id != b.security_id AND a.r IS NOT NULL AND b.r IS NOT NULL)
- SELECT held, fund, count(*) AS n, round(corr(x, y), 6) AS corr, round(covar_samp(x, y) / var_samp(y), 6) AS beta, round(stddev_samp(x - y) * sqrt(252), 5) AS error FROM p GROUP BY 1, 2 HAVING count(*) >= 60""")
-def tracking(closes):
+@query("ptf_10_tracking", "closes", "securities", sql="""WITH l AS (SELECT security_id FROM closes GROUP BY 1 HAVING avg(close * volume) >= 1000 AND count(*) >= 0.02 * (SELECT count(DISTINCT date) FROM closes)), f AS (SELECT security_id FROM securities SEMI JOIN l USING (security_id) WHERE security_type = 'ETF'), r AS (SELECT security_id, date, close / lag(close) OVER (PARTITION BY security_id ORDER BY date) - 1 AS r FROM closes), p AS (SELECT a.security_id AS held, b.security_id AS fund, a.r AS x, b.r AS y FROM r a JOIN r b USING (date) WHERE b.security_id IN (SELECT security_id FROM f) AND a.security_id != b.security_id AND a.r IS NOT NULL AND b.r IS NOT NULL)
+ SELECT held, fund, count(*) AS n, round(corr(x, y), 6) AS corr, round(covar_samp(x, y) / var_samp(y), 6) AS beta, round(stddev_samp(x - y) * sqrt(252), 5) AS error FROM p GROUP BY 1, 2 HAVING count(*) >= 60 AND stddev_samp(x - y) * sqrt(252) < 100000""")
+def tracking(closes, securities):
     by = W.partitionBy("security_id").orderBy("date")
     rets = closes.select("security_id", "date", (F.col("close") / F.lag("close").over(by) - 1).alias("ret"))
-    out = portfolio.tracking(rets, closes.where("security_id < 5").select("security_id").distinct(), 60, float("inf"))
+    funds = portfolio.liquid(securities.where("security_type = 'ETF'").select("security_id"), closes, 1000, 0.02)
+    out = portfolio.tracking(rets, funds, 60, 100_000.0)
     return out.select("held", "fund", "n", R(F.col("corr")).alias("corr"), R(F.col("beta")).alias("beta"), R(F.col("error"), 5).alias("error"))
 
 
@@ -89,11 +90,11 @@ def rates(v):
     return prices.latest_rates(last, DAY("2024-01-20"), ["click", "view"]).withColumn("rate", R(F.col("rate")))
 
 
-@query("scr_01_filter", "securities", "closes", sql=f"""WITH m AS (SELECT security_id, round(avg(close), 6) AS price, round(stddev_samp(close) / avg(close), 6) AS spread FROM closes GROUP BY 1) SELECT security_id, price, spread FROM m JOIN securities USING (security_id) WHERE price > 900 AND spread < 0.9 AND NOT coalesce(sic BETWEEN 6000 AND 6799, false) ORDER BY spread NULLS LAST, security_id LIMIT 40""")
+@query("scr_01_filter", "securities", "closes", sql=f"""WITH m AS (SELECT security_id, round(avg(close), 6) AS price, round(stddev_samp(close) / avg(close), 6) AS spread FROM closes GROUP BY 1) SELECT security_id, price, spread FROM m JOIN securities USING (security_id) WHERE price > 200 AND spread < 5 AND NOT coalesce(sic BETWEEN 6000 AND 6799, false) ORDER BY spread NULLS LAST, security_id LIMIT 40""")
 def filter_screen(s, closes):
     m = closes.groupBy("security_id").agg(R(F.avg("close")).alias("price"), R(F.stddev_samp("close") / F.avg("close")).alias("spread"))
     sector = breadth.sector(F.col("sic"))
-    rows = m.join(s, "security_id").where((F.col("price") > 900) & (F.col("spread") < 0.9) & F.coalesce(sector != "finance", F.lit(True)))
+    rows = m.join(s, "security_id").where((F.col("price") > 200) & (F.col("spread") < 5) & F.coalesce(sector != "finance", F.lit(True)))
     return rows.orderBy(F.asc_nulls_last("spread"), "security_id").limit(40).select("security_id", "price", "spread")
 
 
@@ -120,7 +121,7 @@ def calendar_time(closes):
 @query("sts_02_slope", "closes", sql="WITH b AS (SELECT date, close AS x FROM closes WHERE security_id = 0) SELECT security_id AS key, count(*) AS n, round(regr_slope(close, x), 6) AS slope, round(regr_intercept(close, x), 4) AS intercept FROM closes JOIN b USING (date) WHERE security_id != 0 GROUP BY 1 HAVING count(*) >= 10")
 def slope(closes):
     b = closes.where("security_id = 0").select("date", F.col("close").alias("x"))
-    out = statistics.hac_slope(closes.where("security_id != 0").join(b, "date").select(F.col("security_id").alias("key"), "x", F.col("close").alias("y")))
+    out = statistics.hac_slope(closes.where("security_id != 0").join(b, "date").select(F.col("security_id").alias("key"), "date", "x", F.col("close").alias("y")))
     return out.select("key", "n", R(F.col("slope")).alias("slope"), R(F.col("intercept"), 4).alias("intercept"))
 
 
@@ -140,12 +141,12 @@ def group_fallback(p):
     return identity.group_fallback(c, v).withColumn("value", R(F.col("value")))
 
 
-@query("idn_12_interval_members", "insider_transactions", sql="""WITH r AS (SELECT CAST(id AS VARCHAR) AS doc_id, issuer_cik % 20 AS district, filing_date AS filed FROM insider_transactions), t AS (SELECT DISTINCT owner_cik AS member, issuer_cik % 20 AS district, date_trunc('year', trans_date)::DATE AS start, (date_trunc('year', trans_date) + INTERVAL 2 MONTH)::DATE AS e FROM insider_transactions WHERE owner_cik % 9 = 0)
+@query("idn_12_interval_members", "insider_transactions", sql="""WITH r AS (SELECT CAST(id AS VARCHAR) AS doc_id, issuer_cik % 20 AS district, filing_date AS filed FROM insider_transactions), t AS (SELECT DISTINCT owner_cik AS member, owner_cik % 20 AS district, date_trunc('year', trans_date)::DATE AS start, (date_trunc('year', trans_date) + INTERVAL 2 MONTH)::DATE AS e FROM insider_transactions WHERE owner_cik < 20 OR year(trans_date) % 2 = 0)
  SELECT doc_id, min(member) AS member FROM r JOIN t USING (district) WHERE filed >= start AND filed <= e + 120 GROUP BY 1 HAVING count(DISTINCT member) = 1""")
 def interval_members(t):
     reports = t.select(F.col("id").cast("string").alias("doc_id"), (F.col("issuer_cik") % 20).alias("district"), F.col("filing_date").alias("filed"))
     year = F.trunc("trans_date", "year")
-    terms = t.where("owner_cik % 9 = 0").select(F.col("owner_cik").alias("member"), (F.col("issuer_cik") % 20).alias("district"), year.alias("start"), F.add_months(year, 2).alias("end")).distinct()
+    terms = t.where("owner_cik < 20 OR year(trans_date) % 2 = 0").select(F.col("owner_cik").alias("member"), (F.col("owner_cik") % 20).alias("district"), year.alias("start"), F.add_months(year, 2).alias("end")).distinct()
     return identity.interval_members(reports, terms)
 
 

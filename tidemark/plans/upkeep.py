@@ -54,7 +54,7 @@ def quarter_means(s):
 
 
 @query("tsr_21_monthly_returns", "series", sql="""WITH r AS (SELECT key, date, CASE WHEN lag(value) OVER o > 0 THEN value / lag(value) OVER o - 1 END AS r FROM series WINDOW o AS (PARTITION BY key ORDER BY date))
- SELECT key, CAST(date_trunc('month', date) AS DATE) AS month, round(exp(sum(ln(1 + r))) - 1, 6) AS value FROM r WHERE r IS NOT NULL GROUP BY 1, 2""")
+ SELECT key, CAST(date_trunc('month', date) AS DATE) AS month, round(product(1 + r) - 1, 6) AS value FROM r WHERE r IS NOT NULL GROUP BY 1, 2""")
 def monthly_returns(s):
     from tidemark.operators import indicators
 
