@@ -85,13 +85,13 @@ def edited(r, text, rate):
     return " ".join(r.choice(WORDS) if r.random() < rate else w for w in text.split(" "))
 
 
-@pytest.mark.parametrize("long_list", [2, 64])
-def test_lines(spark, documents, long_list):
-    r = random.Random(2)
+@pytest.mark.parametrize("seed", [2, 3])
+def test_lines(spark, documents, seed):
+    r = random.Random(seed)
     base = [prose(r, n) for n in (1, 2, 3, 4, 5, 6, 9, 12, 20, 40)]
     rows = [(k, "\n".join(edited(r, x, r.choice([0, 0, 0.05, 0.1, 0.2])) for x in r.sample(base, 5)) + "\n\n \n" + prose(r, 8)) for k in range(40)] + ODD
     df = documents(rows)
-    gone = line_dedup.duplicate_lines(df, long_list=long_list)
+    gone = line_dedup.duplicate_lines(df)
     found = {(x.doc_id, x.line_no) for x in gone.collect()}
     assert found == brute_lines(rows) and len(found) > 60
     left = line_dedup.remove_lines(df, gone).collect()

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.views import shared_folder
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -27,28 +28,44 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (as in tests) a local one."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-tidemark-")
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes the shuffle files of each query when that query ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: it outlives executors and is computed once."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    # Spark drops the shuffle files of earlier jobs once their plans are collected, on Python's side first
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Empty staged tables that nothing reads any more."""
+    for table in tables:
+        folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+        for folder in folders:
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
