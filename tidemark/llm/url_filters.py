@@ -10,7 +10,8 @@ Distinct urls are judged once, so a url that fills a third of the table costs
 one expansion; the join back on the url can be split by adaptive execution.
 
 A null url, or one without ``://``, has an empty host and path and fits no
-rule. Rows are returned as often as they occur.
+rule. Rows are returned as often as they occur; a column with the name of a
+result is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -65,6 +68,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", ur
     hashed = expanded.select("_url", F.sha2("_e", 256).alias("_d")).withColumn("short", F.substring("_d", 1, 8))
     hits = hashed.join(rules.select("short", "digest", "rule", "rule_verdict"), "short").where(F.col("_d") == F.col("digest"))
     order = F.struct(F.length("rule"), (F.col("rule_verdict") == "block"), F.col("rule"))
-    best = hits.groupBy("_url").agg(F.max_by(F.struct("rule", "rule_verdict"), order).alias("_best"))
-    out = pages.join(best, F.col(url) == F.col("_url"), "left").drop("_url")
-    return out.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.rule_verdict"), F.lit(default))}).drop("_best")
+    key, found = fresh(pages, "_url"), fresh(pages, "_best")
+    best = hits.groupBy(F.col("_url").alias(key)).agg(F.max_by(F.struct("rule", "rule_verdict"), order).alias(found))
+    out = pages.join(best, F.col(url) == F.col(key), "left").drop(key)
+    rule = F.col(found)
+    return out.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "rule": rule["rule"], "verdict": F.coalesce(rule["rule_verdict"], F.lit(default))}).drop(found)
