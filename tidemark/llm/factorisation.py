@@ -123,11 +123,13 @@ def maximise(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, r
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 6_000, **options) -> tuple[float, np.ndarray, np.ndarray]:
     """Fit on at most ``sample`` labelled rows (doc_id, quality), taken in hash order of doc_id.
 
-    Of several labels for one id the largest counts. Without labels every score is one half.
+    Of several labels for one id the largest counts, of several documents the least text. Without labels every score is one half.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", F.col("quality").cast("int").alias("quality"))
+    # of several rows of a labelled id one counts, so no more than ``sample`` rows reach the driver
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars", "quality")).alias("r")).select("doc_id", "r.*")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
