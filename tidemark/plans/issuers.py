@@ -130,10 +130,10 @@ def dollars(items):
     return _dollars(items).select("cik", "line_item", "period_end", "currency", R(F.col("value"), 2).alias("value"))
 
 
-@query("met_04_split_alignment", "facts", "actions", sql="""WITH sp AS (SELECT security_id % 50 AS cik, ex_date, max(value) AS ratio FROM actions WHERE action = 'split' AND security_id <= 60 GROUP BY 1, 2), j AS (SELECT accession, f.value, product(coalesce(ratio, 1)) AS k FROM facts f LEFT JOIN sp ON sp.cik = f.cik AND sp.ex_date > filed AND sp.ex_date <= DATE '1998-06-30' WHERE unit = 'shares' GROUP BY ALL) SELECT accession, round(value * k, 4) AS shares FROM j""")
+@query("met_04_split_alignment", "facts", "actions", sql="""WITH sp AS (SELECT security_id % 50 AS cik, ex_date, max(value) AS ratio FROM actions WHERE action = 'split' AND security_id <= 60 GROUP BY 1, 2), j AS (SELECT accession, f.value, product(coalesce(ratio, 1)) AS k FROM facts f LEFT JOIN sp ON sp.cik = f.cik AND sp.ex_date > filed AND sp.ex_date <= DATE '1998-06-30' WHERE unit = 'shares' GROUP BY ALL) SELECT accession, round(value * k, 8) AS shares FROM j""")
 def split_alignment(f, a):
     splits = a.where("action = 'split' AND security_id <= 60").groupBy((F.col("security_id") % 50).alias("cik"), "ex_date").agg(F.max("value").alias("ratio"))
-    return fundamentals.split_restated(f.where("unit = 'shares'"), splits, DAY("1998-06-30")).select("accession", R(F.col("value"), 4).alias("shares"))
+    return fundamentals.split_restated(f.where("unit = 'shares'"), splits, DAY("1998-06-30")).select("accession", R(F.col("value"), 8).alias("shares"))
 
 
 NOW = "DATE '1999-06-30'"
@@ -153,12 +153,12 @@ def _price(closes, securities):
     return closes.where("date <= '1999-06-30'").join(securities.select("security_id", "cik"), "security_id").groupBy("cik").agg(F.max_by("close", F.struct("date", "security_id")).alias("price"))
 
 
-@query("met_05_metrics", "items", "balances", "closes", "securities", sql=f"""WITH {WIDE} SELECT cik, period_end, round(mc, 2) AS market_cap, round(ev, 2) AS enterprise_value, round(CASE WHEN net_income > 0 THEN mc / net_income END, 6) AS pe, round(CASE WHEN operating_income > 0 THEN ev / operating_income END, 6) AS ev_ebit, round(CASE WHEN equity > 0 THEN mc / equity END, 6) AS p_b, round(CASE WHEN ev > 0 THEN operating_income / ev END, 6) AS earnings_yield, round(fcf / mc, 6) AS fcf_yield,
+@query("met_05_metrics", "items", "balances", "closes", "securities", sql=f"""WITH {WIDE} SELECT cik, period_end, round(mc, 4) AS market_cap, round(ev, 4) AS enterprise_value, round(CASE WHEN net_income > 0 THEN mc / net_income END, 6) AS pe, round(CASE WHEN operating_income > 0 THEN ev / operating_income END, 6) AS ev_ebit, round(CASE WHEN equity > 0 THEN mc / equity END, 6) AS p_b, round(CASE WHEN ev > 0 THEN operating_income / ev END, 6) AS earnings_yield, round(fcf / mc, 6) AS fcf_yield,
  round(operating_income / nullif(revenue, 0), 6) AS operating_margin, round(CASE WHEN equity > 0 THEN net_income / equity END, 6) AS roe, round(CASE WHEN invested > 0 THEN operating_income * (1 - rate) / invested END, 6) AS roic, round(CASE WHEN equity > 0 THEN dbt / equity END, 6) AS debt_to_equity, round(current_assets / nullif(current_liabilities, 0), 6) AS current_ratio, round(operating_income / nullif(abs(interest_expense), 0), 5) AS interest_coverage, round((revenue - revenue_0) / nullif(abs(revenue_0), 0), 6) AS revenue_growth FROM m""")
 def issuer_metrics(items, balances, closes, securities):
     out = metrics.issuer_metrics(_wide(items, balances), _price(closes, securities))
     names = ["pe", "ev_ebit", "p_b", "earnings_yield", "fcf_yield", "operating_margin", "roe", "roic", "debt_to_equity", "current_ratio", "revenue_growth"]
-    return out.select("cik", "period_end", R(F.col("market_cap"), 2).alias("market_cap"), R(F.col("enterprise_value"), 2).alias("enterprise_value"), *(R(F.col(n)).alias(n) for n in names), R(F.col("interest_coverage"), 5).alias("interest_coverage"))
+    return out.select("cik", "period_end", R(F.col("market_cap"), 4).alias("market_cap"), R(F.col("enterprise_value"), 4).alias("enterprise_value"), *(R(F.col(n)).alias(n) for n in names), R(F.col("interest_coverage"), 5).alias("interest_coverage"))
 
 
 @query("met_06_share_count", "securities", "closes", sql="""WITH r AS (SELECT security_id, 1000.0::DOUBLE + security_id * 100 AS a, CASE WHEN security_id % 3 = 0 THEN NULL ELSE 2000.0::DOUBLE + security_id END AS b, 3000.0::DOUBLE AS c, (security_id % 7) * 500.0::DOUBLE AS income, (security_id % 5) / 10.0::DOUBLE AS eps, 1.0 + security_id % 4 AS price FROM securities), t AS (SELECT *, income > 0 AND eps >= 0.05 AS told FROM r)

@@ -264,11 +264,11 @@ def neighbours(f):
 
 
 SPLITS = "sp AS (SELECT CAST(security_id AS VARCHAR) AS symbol, ex_date, max(value) AS ratio FROM actions WHERE action = 'split' GROUP BY 1, 2)"
-LEDGER = f"""{SPLITS}, fx AS (SELECT t.id, any_value(account_id) AS account_id, any_value(t.symbol) AS symbol, any_value(trade_date) AS trade_date, any_value(action) AS action, any_value(amount) AS amount, CAST(round(any_value(quantity) * product(coalesce(ratio, 1)), 6) AS DECIMAL(28, 6)) AS q FROM transactions t LEFT JOIN sp ON sp.symbol = t.symbol AND sp.ex_date > trade_date GROUP BY t.id),
+LEDGER = f"""{SPLITS}, fx AS MATERIALIZED (SELECT t.id, any_value(account_id) AS account_id, any_value(t.symbol) AS symbol, any_value(trade_date) AS trade_date, any_value(action) AS action, any_value(amount) AS amount, CAST(round(any_value(quantity) * product(coalesce(ratio, 1)), 6) AS DECIMAL(28, 6)) AS q FROM transactions t LEFT JOIN sp ON sp.symbol = t.symbol AND sp.ex_date > trade_date GROUP BY t.id),
  cm AS (SELECT *, sum(CASE WHEN action = 'buy' THEN q ELSE 0 END) OVER w AS b, sum(CASE WHEN action = 'sell' THEN q ELSE 0 END) OVER w AS s FROM fx WINDOW w AS (PARTITION BY account_id, symbol ORDER BY trade_date, id)), lo AS (SELECT *, greatest(max(s - b) OVER (PARTITION BY account_id, symbol ORDER BY trade_date, id), 0) AS l FROM cm),
- iv AS (SELECT *, CASE WHEN action = 'buy' THEN b - q ELSE lag(s - l, 1, 0) OVER (PARTITION BY account_id, symbol ORDER BY trade_date, id) END AS f, CASE WHEN action = 'buy' THEN b ELSE s - l END AS t, l - lag(l, 1, 0) OVER (PARTITION BY account_id, symbol ORDER BY trade_date, id) AS lost FROM lo),
+ iv AS MATERIALIZED (SELECT *, CASE WHEN action = 'buy' THEN b - q ELSE lag(s - l, 1, 0) OVER (PARTITION BY account_id, symbol ORDER BY trade_date, id) END AS f, CASE WHEN action = 'buy' THEN b ELSE s - l END AS t, l - lag(l, 1, 0) OVER (PARTITION BY account_id, symbol ORDER BY trade_date, id) AS lost FROM lo),
  sold AS (SELECT account_id, symbol, max(t) FILTER (action = 'sell') AS total FROM iv GROUP BY 1, 2),
- pa AS (SELECT x.account_id, x.symbol, x.id AS buy_id, y.id AS sell_id, least(x.t, y.t) - greatest(x.f, y.f) AS q FROM iv x JOIN iv y ON y.account_id = x.account_id AND y.symbol = x.symbol AND y.action = 'sell' AND y.f < x.t AND y.t > x.f AND y.t > y.f WHERE x.action = 'buy'
+ pa AS MATERIALIZED (SELECT x.account_id, x.symbol, x.id AS buy_id, y.id AS sell_id, least(x.t, y.t) - greatest(x.f, y.f) AS q FROM iv x JOIN iv y ON y.account_id = x.account_id AND y.symbol = x.symbol AND y.action = 'sell' AND y.f < x.t AND y.t > x.f AND y.t > y.f WHERE x.action = 'buy'
   UNION ALL SELECT account_id, symbol, id, NULL, t - greatest(f, coalesce(total, 0)) FROM iv JOIN sold USING (account_id, symbol) WHERE action = 'buy' AND t > coalesce(total, 0)
   UNION ALL SELECT account_id, symbol, NULL, id, lost FROM iv WHERE action = 'sell' AND lost > 0)"""
 
@@ -290,13 +290,13 @@ def _views(t, a, closes):
     return portfolio.lot_views(_lots(t, a), quotes, snapshots, DAY("2000-12-31"))
 
 
-VIEWED = f"""{LEDGER}, op AS (SELECT p.account_id, p.symbol, x.trade_date AS acquired, CAST(p.q AS DOUBLE) AS quantity, x.amount * CAST(p.q AS DOUBLE) / CAST(x.q AS DOUBLE) AS cost_basis FROM pa p JOIN fx x ON x.id = buy_id WHERE sell_id IS NULL AND p.q > 0), qu AS (SELECT CAST(security_id AS VARCHAR) AS symbol, max_by(close, date) AS price FROM closes GROUP BY 1),
+VIEWED = f"""{LEDGER}, op AS (SELECT p.account_id, p.symbol, x.trade_date AS acquired, CAST(p.q AS DOUBLE) AS quantity, x.amount * CAST(p.q AS DOUBLE) / CAST(x.q AS DOUBLE) AS cost_basis FROM pa p JOIN fx x ON x.id = buy_id WHERE sell_id IS NULL AND p.q > 0), qu AS MATERIALIZED (SELECT CAST(security_id AS VARCHAR) AS symbol, max_by(close, date) AS price FROM closes GROUP BY 1),
  vi AS (SELECT account_id, symbol, acquired, quantity, cost_basis, price, price * quantity - cost_basis AS unrealized, CASE WHEN acquired < DATE '2000-12-31' - INTERVAL 12 MONTH THEN 'long' ELSE 'short' END AS term FROM op LEFT JOIN qu USING (symbol) UNION ALL SELECT 999, '1', NULL, 10.0, 100.0, coalesce((SELECT price FROM qu WHERE symbol = '1'), 9.0), coalesce((SELECT price FROM qu WHERE symbol = '1'), 9.0) * 10 - 100, 'unknown')"""
 
 
-@query("ptf_05_lot_views", "transactions", "actions", "closes", sql=f"WITH {VIEWED} SELECT account_id, symbol, acquired, round(quantity, 4) AS quantity, round(unrealized, 1) AS unrealized, term FROM vi")
+@query("ptf_05_lot_views", "transactions", "actions", "closes", sql=f"WITH {VIEWED} SELECT account_id, symbol, acquired, round(quantity, 4) AS quantity, round(unrealized, 4) AS unrealized, term FROM vi")
 def lot_views(t, a, closes):
-    return _views(t, a, closes).select("account_id", "symbol", "acquired", R(F.col("quantity"), 4).alias("quantity"), R(F.col("unrealized"), 1).alias("unrealized"), "term")
+    return _views(t, a, closes).select("account_id", "symbol", "acquired", R(F.col("quantity"), 4).alias("quantity"), R(F.col("unrealized"), 4).alias("unrealized"), "term")
 
 
 @query("ptf_06_reconciled", "transactions", sql="""WITH c AS (SELECT account_id, symbol, sum(CASE WHEN action = 'buy' THEN quantity ELSE -quantity END) AS quantity, CASE WHEN count(CASE WHEN id % 97 != 0 THEN amount END) = count(*) THEN CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) END AS value FROM transactions GROUP BY 1, 2), b AS (SELECT account_id, symbol, quantity + CASE WHEN account_id % 3 = 0 THEN 1 ELSE 0 END AS broker FROM c WHERE account_id % 5 != 0)
@@ -309,10 +309,10 @@ def reconciled(t):
 
 
 @query("ptf_08_harvest", "transactions", "actions", "closes", sql=f"""WITH {VIEWED}, rc AS (SELECT symbol, trade_date, count(*) AS n FROM transactions WHERE action = 'buy' AND datediff('day', trade_date, DATE '2000-06-30') BETWEEN 0 AND 30 GROUP BY 1, 2), l AS (SELECT *, -unrealized AS loss, -unrealized / cost_basis AS pct FROM vi WHERE unrealized < 0 AND cost_basis != 0)
- SELECT account_id, symbol, acquired, round(quantity, 4) AS quantity, round(loss, 1) AS loss, round(pct, 5) AS pct, CAST(coalesce((SELECT sum(n) FROM rc WHERE rc.symbol = l.symbol AND rc.trade_date IS DISTINCT FROM l.acquired), 0) AS BIGINT) AS blockers, DATE '2000-06-30' + 31 AS rebuy FROM l WHERE loss >= 100 AND pct >= 0.05""")
+ SELECT account_id, symbol, acquired, round(quantity, 4) AS quantity, round(loss, 4) AS loss, round(pct, 5) AS pct, CAST(coalesce((SELECT sum(n) FROM rc WHERE rc.symbol = l.symbol AND rc.trade_date IS DISTINCT FROM l.acquired), 0) AS BIGINT) AS blockers, DATE '2000-06-30' + 31 AS rebuy FROM l WHERE loss >= 100 AND pct >= 0.05""")
 def harvest(t, a, closes):
     out = portfolio.harvest_candidates(_views(t, a, closes), t, DAY("2000-06-30"), 100.0, 0.05)
-    return out.select("account_id", "symbol", "acquired", R(F.col("quantity"), 4).alias("quantity"), R(F.col("loss"), 1).alias("loss"), R(F.col("pct"), 5).alias("pct"), "blockers", "rebuy")
+    return out.select("account_id", "symbol", "acquired", R(F.col("quantity"), 4).alias("quantity"), R(F.col("loss"), 4).alias("loss"), R(F.col("pct"), 5).alias("pct"), "blockers", "rebuy")
 
 
 @query("ptf_11_import", "transactions", sql="""WITH c AS (SELECT id, account_id, action, account_id || '|' || symbol || '|' || action || '|' || trade_date AS content FROM transactions), ok AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY id) AS n FROM c WHERE account_id % 7 != 0), st AS (SELECT content, row_number() OVER (PARTITION BY content ORDER BY id) AS n FROM c WHERE id % 3 = 0)
