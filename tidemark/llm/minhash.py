@@ -8,7 +8,7 @@ candidates are neighbours in that order: two classes meet when they share a
 prefix of at least ``least_depth`` values and either stand within ``window``
 places, or the region of the order that shares their longest common prefix has
 at most ``region`` classes. Classes of larger regions (texts on one template)
-are also joined exactly with each other: two sets of the wanted similarity share
+that the links found there leave in several groups are also joined exactly with each other: two sets of the wanted similarity share
 one of their rarest shingles (prefix filter), and lengths and places of the
 shared shingle bound their overlap.
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import emptied, staged
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -138,19 +138,24 @@ def neighbours(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, least: int,
     return np.minimum(a, b)[differ], np.maximum(a, b)[differ], c[differ].astype(np.int32)
 
 
-def crowded(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, least: int, region: int) -> np.ndarray:
-    """Ids of the rows whose first ``least`` values more than ``region`` rows share."""
+def crowded(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, least: int, region: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, region code) of the rows whose first ``least`` values more than ``region`` rows share."""
     if not len(ids):
-        return ids
+        return ids, ids
     begins = (keys[1:, :least] != keys[:-1, :least]).any(axis=1) | (tree[1:] != tree[:-1])
     run = np.concatenate([[0], np.cumsum(begins)])
-    return np.unique(ids[np.bincount(run)[run] > region])
+    many = np.bincount(run)[run] > region
+    factors = _constants(least + 1, 19)
+    codes = tree[many].astype(np.uint64) * factors[least]
+    for j in range(least):
+        codes += keys[many, j].astype(np.uint64) * factors[j]
+    return ids[many], codes.view(np.int64)
 
 
 def candidates(classes: DataFrame, *, depth: int = DEPTH, least_depth: int = LEAST_DEPTH, window: int = WINDOW, region: int = REGION) -> DataFrame:
     """(a, b, weight) of class pairs that meet in the forest, a < b; weight sums the common prefixes over the trees.
 
-    Rows with a = b are the classes of regions that are too large to be paired here.
+    Rows of weight 0 are the classes (a) of regions that are too large to be paired here, with a code of the region (b).
     """
     cuts = F.expr(f"transform(sequence(0, cast(size(signature) / {depth} as int) - 1), t -> slice(signature, t * {depth} + 1, {depth}))")
     rows = classes.select("class_id", F.posexplode_outer(cuts).alias("tree", "key")).where("key is not null")
@@ -168,8 +173,8 @@ def candidates(classes: DataFrame, *, depth: int = DEPTH, least_depth: int = LEA
 
         def pairs(x: list[np.ndarray]):
             a, b, c = neighbours(*x, least_depth, window, region)
-            many = crowded(*x, least_depth, region)
-            a, b, c = np.concatenate([a, many]), np.concatenate([b, many]), np.concatenate([c, np.zeros(len(many), np.int32)])
+            many, codes = crowded(*x, least_depth, region)
+            a, b, c = np.concatenate([a, many]), np.concatenate([b, codes]), np.concatenate([c, np.zeros(len(many), np.int32)])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["a", "b", "common"])
 
         for batch in batches:
@@ -218,7 +223,7 @@ def prefix_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     in the prefix of both sets, where enough shingles follow for the overlap.
     """
     n, p = F.size("hashes"), F.lit(percent).cast("long")
-    rows = sets.select("class_id", n.alias("n"), F.explode("hashes").alias("hash"))
+    rows = staged(sets.select("class_id", n.alias("n"), F.explode("hashes").alias("hash")), "crowd-shingles")  # read for the counts and for the order
     rarity = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # shingles of one class meet nothing but come first in its order
     alone = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("class_id"))
@@ -227,6 +232,7 @@ def prefix_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     indexed = F.col("place") <= F.col("n") - F.ceil(2 * p * F.col("n") / (100 + p) - 1e-9) + 1
     known = groups.select(F.col("node").alias("class_id"), "component")
     posted = staged(probed.withColumn("indexed", indexed).join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("hash", "class_id", "component", "n", "place", "indexed"), "postings")
+    emptied(rows)
     tops = posted.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("hash").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     # pairs inside the largest group of a list are never formed: one side is always of another group
     tagged = posted.join(tops.hint("merge"), "hash").select("hash", "class_id", "component", "n", "place", "indexed", (F.col("component") == F.col("top")).alias("main"))
@@ -254,8 +260,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     some = signed.where("set_key is not null and doc_id is not null")
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.any_value("signature").alias("signature"))
     found = staged(candidates(classes, depth=depth, least_depth=least_depth, window=window, region=region), "candidates")
-    met, crowd = found.where("a < b"), found.where("a = b").select(F.col("a").alias("class_id"))
-    wanted = found.select(F.col("a").alias("class_id")).unionByName(found.select(F.col("b").alias("class_id"))).distinct()
+    met, crowd = found.where("weight > 0"), found.where("weight = 0").select(F.col("a").alias("class_id"), F.col("b").alias("region"))
+    wanted = found.select(F.col("a").alias("class_id")).unionByName(met.select(F.col("b").alias("class_id"))).distinct()
     sets = staged(shingle_sets(docs, wanted, shingle=shingle), "sets")
     first = met.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a"))
     groups = components(confirm(first, sets, percent))
@@ -264,9 +270,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     apart = met.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti").join(group_a, "a", "left").join(group_b, "b", "left")
     apart = apart.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
     groups = regrouped(groups, confirm(apart, sets, percent))
-    if not crowd.isEmpty():
-        groups = staged(groups, "groups")
-        dense = sets.join(crowd.hint("merge"), "class_id", "left_semi")
+    groups = staged(groups, "groups")
+    # a region whose classes are linked already has nothing more to join
+    placed = crowd.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    mixed = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+    dense = staged(placed.join(mixed, "region", "left_semi").select("class_id").distinct(), "dense")
+    if not dense.isEmpty():
+        dense = sets.join(dense.hint("merge"), "class_id", "left_semi")
         groups = regrouped(groups, confirm(prefix_pairs(dense, groups, percent), sets, percent))
     members = some.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     known = members.join(groups.select(F.col("node").alias("class_id"), F.col("component").alias("found")), "class_id", "left").select("set_key", F.coalesce("found", "class_id").alias("component_id"))
