@@ -6,9 +6,11 @@ on content alone, so copies of a passage keep the same suffixes, and any common
 stretch of ``gram + window - 1`` words keeps at least one. Suffixes whose k-gram
 occurs once are dropped; the others get their context, the hashed words that
 follow and precede, are sorted by it with a range-partitioned sort, and each is
-compared with its next neighbours: the common words to the right and to the
-left of the minimiser make the match, and matches of ``least`` words or more are
-reported. Overlapping matches of a document are merged, which extends them over
+compared with its next neighbours of other documents: the common words to the
+right and to the left of the minimiser make the match, and matches of ``least``
+words or more are reported. A second order goes by the words that precede, so
+that a passage whose end is boilerplate but whose beginning is rare has its
+partner near as well. Overlapping matches of a document are merged, which extends them over
 passages of any length.
 
 Copies meet only their neighbours in the sorted order, so a passage that fills
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import emptied, staged
+
 GRAM, WINDOW, LEAST, AHEAD, BEHIND, PLACES = 8, 24, 50, 56, 24, 4
 _FACTORS = np.random.default_rng(17).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -131,29 +135,34 @@ def common_words(x: bytes, y: bytes) -> int:
     return (n * 8 - differ.bit_length()) // 16
 
 
-def matches(suffixes: DataFrame, *, least: int = LEAST, places: int = PLACES) -> DataFrame:
-    """(doc_id, first, last, other_doc_id): word spans [first, last) that neighbours in the sorted order share."""
-    order = ["hash", "after", "before", "doc_id", "place"]
+def matches(suffixes: DataFrame, *, least: int = LEAST, places: int = PLACES, leftwards: bool = False) -> DataFrame:
+    """(doc_id, first, last, other_doc_id): word spans [first, last) that neighbours in the sorted order share.
+
+    Each suffix meets the nearest suffixes of ``places`` other documents before
+    it. The order goes by what follows the minimiser, or leftwards by what precedes it.
+    """
+    order = ["hash", "before", "after", "doc_id", "place"] if leftwards else ["hash", "after", "before", "doc_id", "place"]
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        recent: list[tuple] = []
+        recent: dict[int, tuple] = {}  # the last suffix of each of the last documents
+        last = None
         for batch in batches:
             found: dict[tuple, None] = {}
-            for row in zip(*(batch.column(c).to_pylist() for c in order), strict=True):
-                key, after, before, doc, place = row
-                if recent and recent[-1][0] != key:
-                    recent = []
-                for _, a, b, d, p in reversed(recent):
-                    right = common_words(after, a)
-                    if d != doc:
-                        left = common_words(before, b)
-                        if left + right >= least:
-                            found[doc, place - left, place + right, d] = None
-                            found[d, p - left, p + right, doc] = None
-                recent = [*recent[1 - places :], row] if places > 1 else [row]
+            for key, after, before, doc, place in zip(*(batch.column(c).to_pylist() for c in ("hash", "after", "before", "doc_id", "place")), strict=True):
+                if key != last:
+                    recent, last = {}, key
+                recent.pop(doc, None)
+                for d, (a, b, p) in recent.items():
+                    right, left = common_words(after, a), common_words(before, b)
+                    if left + right >= least:
+                        found[doc, place - left, place + right, d] = None
+                        found[d, p - left, p + right, doc] = None
+                recent[doc] = (after, before, place)
+                if len(recent) > places:
+                    del recent[next(iter(recent))]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["doc_id", "first", "last", "other_doc_id"])
 
     return ordered.mapInArrow(run, "doc_id long, first long, last long, other_doc_id long")
@@ -166,10 +175,13 @@ def repeated_passages(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM,
     """
     if gram + window - 1 > least:
         raise ValueError("a passage of the least length must hold a whole window")
-    entries = anchors(docs, gram=gram, window=window, least=least).repartition("hash")
+    entries = staged(anchors(docs, gram=gram, window=window, least=least), "anchors")
     several = entries.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = entries.join(several.select("hash"), "hash", "left_semi").select("doc_id", "place")
-    spans = matches(contexts(docs, wanted, gram=gram), least=least)
+    wanted = entries.join(several.select("hash").hint("merge"), "hash", "left_semi").select("doc_id", "place")
+    kept = staged(contexts(docs, wanted, gram=gram), "suffixes")
+    spans = [staged(matches(kept, least=least, leftwards=x), "spans") for x in (False, True)]
+    emptied(entries, kept)
+    spans = spans[0].unionByName(spans[1]).distinct()
     spans = spans.groupBy("doc_id", "first", "last").agg(F.min("other_doc_id").alias("other"), F.count(F.lit(1)).alias("n"))
     by_start = W.partitionBy("doc_id").orderBy("first", "last")
     reach = F.max("last").over(by_start.rowsBetween(W.unboundedPreceding, -1))
