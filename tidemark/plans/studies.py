@@ -118,10 +118,6 @@ def panel(f, s):
 SCORES = "sc AS (SELECT period_end AS day, cik, value AS score, quantile_cont(value, 0.9) OVER (PARTITION BY period_end) AS cutoff FROM statement_items)"
 
 
-def _scores(s):
-    return statistics.top_share(s.select(F.col("period_end").alias("day"), "cik", F.col("value").alias("score")), "day", "score", 0.1)
-
-
 @query("sts_18_alerts", "statement_items", sql=f"WITH {SCORES}, f AS (SELECT day, cik, score FROM sc WHERE score >= cutoff), d AS (SELECT day, lag(day) OVER (ORDER BY day) AS b FROM (SELECT DISTINCT day FROM sc)) SELECT f.day, f.cik, round(f.score, 2) AS score, p.cik IS NULL AS new FROM f JOIN d USING (day) LEFT JOIN f p ON p.day = d.b AND p.cik = f.cik")
 def alerts(s):
     rows = s.select(F.col("period_end").alias("day"), "cik", F.col("value").alias("score"))

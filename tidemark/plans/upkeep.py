@@ -113,8 +113,8 @@ def latest_per_key(i):
     return tables.latest_per_key(i, ["issuer_cik", "owner_cik"], [F.desc("filing_date"), F.desc("id")]).select("issuer_cik", "owner_cik", "id", "filing_date")
 
 
-@query("src_25_changed", "statement_items", sql="SELECT s.cik, s.hash FROM (SELECT cik, sha256(period_end || '|' || CAST(floor(value) AS BIGINT)) AS hash FROM statement_items) s WHERE cik % 3 = 0 OR cik % 3 = 1 AND s.hash NOT IN (SELECT sha256(period_end || '|' || CAST(floor(value) AS BIGINT)) FROM statement_items WHERE year(period_end) < 1999)")
+@query("src_25_changed", "statement_items", sql="SELECT s.cik, s.hash FROM (SELECT cik, sha256(period_end || '|' || CAST(floor(value) AS BIGINT)) AS hash FROM statement_items) s WHERE (s.cik, s.hash) NOT IN (SELECT (cik, sha256(period_end || '|' || CAST(floor(value) AS BIGINT))) FROM statement_items WHERE cik % 3 = 1 AND year(period_end) < 1999)")
 def changed_rows(s):
-    rows = s.where("cik % 3 < 2").select("cik", F.col("period_end").cast("string").alias("p"), F.floor("value").cast("long").alias("v"))
+    rows = s.select("cik", F.col("period_end").cast("string").alias("p"), F.floor("value").cast("long").alias("v"))
     loaded = s.where("cik % 3 = 1 AND year(period_end) < 1999").select("cik", F.sha2(F.concat_ws("|", F.col("period_end").cast("string"), F.floor("value").cast("long").cast("string")), 256).alias("hash"))
     return tables.changed(rows, loaded, "cik", ["p", "v"])
