@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, factorisation, html_content, line_dedup, minhash, quality_rules, suffixes, token_counts, url_filters
+from tidemark.llm import bisector, bpe, decontaminate, factorisation, html_content, line_dedup, merkle, minhash, oracles, quality_rules, suffixes, token_counts, url_filters, vantage
 from tidemark.llm.common import table
 
 #: Rules of the url query (verdict, host, path), as its contract fixes them.
@@ -83,25 +83,26 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, url_filters.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_token_counts, op3_line_dedup, op4_minhash_forest, op5_decontaminate, op6_factorisation, op7_html_content, op8_suffix_dedup, op9_quality_rules, op10_url_filters]
-    return {f.__name__: f for f in found}
+def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
-OP10_SQL = r"""
-WITH rules(rule_verdict, rule_host, rule_path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-p AS (
-  SELECT row_number() OVER () AS k, page_id,
-    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
-  FROM pages),
-hit AS (
-  SELECT k, rule_host || rule_path AS rule, rule_verdict FROM p JOIN rules
-    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rule_host || rule_path) DESC, rule_verdict DESC, rule_host || rule_path DESC) = 1)
-SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM p LEFT JOIN hit USING (k)
-"""
+def op13_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = [
+        op1_byte_bpe, op2_token_counts, op3_line_dedup, op4_minhash_forest, op5_decontaminate, op6_factorisation, op7_html_content, op8_suffix_dedup, op9_quality_rules,
+        op10_url_filters, op11_bisector_clusters, op12_merkle_manifest, op13_vantage_neighbours,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": OP10_SQL}
+    return {"op10_url_filters": oracles.URL_FILTERS, "op11_bisector_clusters": oracles.clusters(), "op12_merkle_manifest": oracles.manifest(), "op13_vantage_neighbours": oracles.NEIGHBOURS}
