@@ -44,8 +44,8 @@ MOST, LEAST = 65_536, 2_048
 SAMPLE = 1_024
 #: Vectors of a leaf, queries that meet a node at a time, further neighbours kept against rounding.
 LEAF, BLOCK, SPARE = 64, 2_048, 4
-#: Rounding of a distance near zero.
-SLACK = 1e-6
+#: Rounding of a distance near zero, and of a cosine.
+SLACK, TIE = 1e-6, 1e-12
 
 
 def takes_part(vec_id: Column, x: Column) -> Column:
@@ -160,6 +160,19 @@ class VantageTree:
                     todo.append((child, who[go]))
         return best.score, best.of
 
+    def settled(self, q: np.ndarray, rank: int, bound: np.ndarray, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) of the ``rank`` best and of all that tie with the last of them; queries with many ties are asked again for more."""
+        todo = [(np.arange(len(q)), rank + SPARE)]
+        while todo:
+            who, keep = todo.pop()
+            score, of = self.search(q[who], keep, rank, bound[who], factor)
+            more = (of[:, -1] >= 0) & (score[:, -1] >= score[:, rank - 1] - TIE) & (keep < len(self.x))
+            at, place = np.nonzero((of >= 0) & ~more[:, None])
+            if len(at):
+                yield who[at], of[at, place]
+            again, step = who[more], max(1, BLOCK * rank // (4 * keep))
+            todo += [(again[i : i + step], 4 * keep) for i in range(0, len(again), step)]
+
 
 def dense(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -179,14 +192,15 @@ def searching(samples: dict[int, np.ndarray], k: int, factor: float) -> Callable
             part = segment.slice(begin, BLOCK)
             raw = dense(part.column("x"))
             q = units(raw)
-            _, of = tree.search(q, k + SPARE, k, starting_bounds(q, samples.get(raw.shape[1]), k), factor)
-            who, place = np.nonzero(of >= 0)
-            of = of[who, place]
-            score = cosines(raw[who], x[of])
-            times = np.fromiter((len(ids[j]) for j in of), dtype=np.int64, count=len(of))
-            found = [i for j in of for i in ids[j]]
-            rows = np.repeat(who, times)
-            yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(rows)), part.column("b").take(pa.array(rows)), pa.array(found, pa.int64()), pa.array(np.repeat(score, times))], names=["a", "b", "vec_id", "score"])
+            for who, of in tree.settled(q, k, starting_bounds(q, samples.get(raw.shape[1]), k), factor):
+                score = cosines(raw[who], x[of])
+                times = np.fromiter((len(ids[j]) for j in of), dtype=np.int64, count=len(of))
+                who, score, names = np.repeat(who, times), np.repeat(score, times), np.array([i for j in of for i in ids[j]], dtype=np.int64)
+                order = np.lexsort((names, -score, who))
+                who, score, names = who[order], score[order], names[order]
+                first = np.arange(len(who)) - np.searchsorted(who, who) < k
+                rows = pa.array(who[first])
+                yield pa.RecordBatch.from_arrays([part.column("a").take(rows), part.column("b").take(rows), pa.array(names[first]), pa.array(score[first])], names=["a", "b", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, ids, tree, x = None, [], [], None, None
