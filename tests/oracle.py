@@ -41,5 +41,6 @@ def difference(spark, sf_dir, query, sql, c=None):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     if got == want:
         return None
-    a, b = [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
+    left, right = set(got), set(want)
+    a, b = [x for x in got if x not in right][:3], [x for x in want if x not in left][:3]
     return f"{len(got)} rows, oracle {len(want)}; columns {sorted(names)}; only here {a}; only there {b}"

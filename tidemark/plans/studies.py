@@ -280,6 +280,45 @@ def lots(t, a):
     return parts.withColumn("quantity", R(F.col("quantity"), 4))
 
 
+FULL_LEDGER = f"""{SPLITS}, nu AS MATERIALIZED (SELECT *, CAST(abs(quantity) AS DECIMAL(38, 10)) AS raw, row_number() OVER (PARTITION BY account_id, symbol ORDER BY trade_date, id) AS n FROM ledger),
+ st(account_id, symbol, n, id, x, ratio, gone) AS (SELECT DISTINCT account_id, symbol, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) FROM nu
+  UNION ALL SELECT nu.account_id, nu.symbol, nu.n, nu.id, CASE WHEN action IN ('buy', 'reinvest', 'transfer_in') THEN x + abs(quantity) WHEN action IN ('sell', 'transfer_out') THEN greatest(x - abs(quantity), 0) WHEN x > 0 THEN greatest(x + quantity, 0) ELSE x END,
+   CASE WHEN action = 'split' AND x > 0 AND x + quantity > 0 THEN (x + quantity) / x ELSE 1 END, CASE WHEN action = 'split' AND x > 0 AND x + quantity <= 0 THEN x ELSE 0 END FROM st JOIN nu ON nu.account_id = st.account_id AND nu.symbol = st.symbol AND nu.n = st.n + 1),
+ own AS (SELECT DISTINCT symbol FROM ledger WHERE action = 'split'), mk AS (SELECT l.id, product(ratio) AS f FROM ledger l JOIN sp ON sp.symbol = l.symbol AND sp.ex_date > l.trade_date WHERE l.symbol NOT IN (SELECT symbol FROM own) GROUP BY 1),
+ bf AS (SELECT id, gone, exp(coalesce(sum(ln(ratio)) OVER (PARTITION BY account_id, symbol ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS f FROM st WHERE id IS NOT NULL),
+ fx AS MATERIALIZED (SELECT nu.*, coalesce(mk.f, 1) * bf.f AS f, CASE WHEN gone > 0 THEN gone WHEN action = 'split' THEN 0 ELSE abs(quantity) END AS cnt, action IN ('buy', 'reinvest', 'transfer_in') AS comes FROM nu JOIN bf USING (id) LEFT JOIN mk USING (id)),
+ qx AS (SELECT *, CAST(round(cnt * f, 10) AS DECIMAL(38, 10)) AS q, CASE WHEN comes THEN coalesce(abs(amount), cnt * price + fees) END AS cost, CASE WHEN action = 'sell' THEN coalesce(abs(amount), coalesce(cnt * price, 0) - fees) END AS gross FROM fx WHERE round(cnt * f, 10) > 0),
+ cm AS (SELECT *, sum(CASE WHEN comes THEN q ELSE 0 END) OVER w AS b, sum(CASE WHEN comes THEN 0 ELSE q END) OVER w AS s FROM qx WINDOW w AS (PARTITION BY account_id, symbol ORDER BY n)), lo AS (SELECT *, greatest(max(s - b) OVER (PARTITION BY account_id, symbol ORDER BY n), 0) AS l FROM cm),
+ iv AS MATERIALIZED (SELECT *, CASE WHEN comes THEN b - q ELSE lag(s - l, 1, 0) OVER (PARTITION BY account_id, symbol ORDER BY n) END AS lower, CASE WHEN comes THEN b ELSE s - l END AS upper, l - lag(l, 1, 0) OVER (PARTITION BY account_id, symbol ORDER BY n) AS lost FROM lo),
+ sold AS (SELECT account_id, symbol, max(upper) FILTER (NOT comes) AS total FROM iv GROUP BY 1, 2),
+ pa AS MATERIALIZED (SELECT x.account_id, x.symbol, x.id AS buy_id, y.id AS sell_id, y.action AS taken, CAST(least(x.upper, y.upper) - greatest(x.lower, y.lower) AS DOUBLE) AS q, y.f AS f, x.cost / CAST(x.q AS DOUBLE) AS each, y.gross / CAST(y.q AS DOUBLE) AS gain FROM iv x JOIN iv y ON y.account_id = x.account_id AND y.symbol = x.symbol AND NOT y.comes AND y.lower < x.upper AND y.upper > x.lower AND y.upper > y.lower WHERE x.comes
+  UNION ALL SELECT account_id, symbol, id, NULL, NULL, CAST(upper - greatest(lower, coalesce(total, 0)) AS DOUBLE), 1, cost / CAST(q AS DOUBLE), NULL FROM iv JOIN sold USING (account_id, symbol) WHERE comes AND upper > coalesce(total, 0)
+  UNION ALL SELECT account_id, symbol, NULL, id, action, CAST(lost AS DOUBLE), f, NULL, gross / CAST(q AS DOUBLE) FROM iv WHERE action IN ('sell', 'transfer_out') AND lost > 0)"""
+
+
+def _full(l, a):
+    splits = a.where("action = 'split'").groupBy(F.col("security_id").cast("string").alias("symbol"), "ex_date").agg(F.max("value").alias("ratio"))
+    return portfolio.lots(l, splits)
+
+
+@query("ptf_01_ledger", "ledger", "actions", sql=f"WITH RECURSIVE {FULL_LEDGER} SELECT account_id, symbol, buy_id, sell_id, taken, round(q / f, 6) AS shares, round(q * each + 1e-7, 4) AS cost, round(q * gain + 1e-7, 4) AS proceeds FROM pa WHERE q > 1e-6")
+def full_ledger(l, a):
+    return _full(l, a).select("account_id", "symbol", F.col("buy.id").alias("buy_id"), F.col("sell.id").alias("sell_id"), F.col("sell.action").alias("taken"), R(F.col("shares")).alias("shares"), R(F.col("cost") + 1e-7, 4).alias("cost"), R(F.col("proceeds") + 1e-7, 4).alias("proceeds"))
+
+
+@query("ptf_03_ledger_gains", "ledger", "actions", sql=f"""WITH RECURSIVE {FULL_LEDGER}, r AS (SELECT pa.*, b.trade_date AS bought, s.trade_date AS sold FROM pa JOIN nu s ON s.id = sell_id LEFT JOIN nu b ON b.id = buy_id WHERE taken = 'sell' AND q > 1e-6),
+ t AS (SELECT *, CASE WHEN bought IS NULL THEN NULL WHEN sold > CASE WHEN month(bought) = 2 AND day(bought) = 29 THEN make_date(year(bought) + 1, 3, 1) ELSE bought + INTERVAL 1 YEAR END THEN 'long' ELSE 'short' END AS term FROM r)
+ SELECT account_id, CAST(year(sold) AS INT) AS year, term, count(*) AS parts, round(sum(q / f), 6) AS quantity, round(sum(q * gain - q * each), 2) AS gain FROM t GROUP BY 1, 2, 3""")
+def ledger_gains(l, a):
+    gains = portfolio.lot_gains(_full(l, a))
+    return gains.groupBy("account_id", F.year("sold").alias("year"), "term").agg(F.count(F.lit(1)).alias("parts"), R(F.sum("quantity")).alias("quantity"), R(F.sum("gain"), 2).alias("gain"))
+
+
+@query("ptf_01_warnings", "ledger", "actions", sql=f"WITH RECURSIVE {FULL_LEDGER} SELECT id, 'no cost basis' AS warning, abs(quantity) AS shares FROM ledger WHERE action = 'transfer_in' AND amount IS NULL UNION ALL SELECT sell_id, 'exceeds history', round(q / f, 6) FROM pa WHERE buy_id IS NULL AND q > 1e-6")
+def ledger_warnings(l, a):
+    return portfolio.ledger_warnings(l, _full(l, a)).withColumn("shares", R(F.col("shares")))
+
+
 def _views(t, a, closes):
     quotes = closes.groupBy(F.col("security_id").cast("string").alias("symbol")).agg(F.max_by("close", "date").alias("price"))
     snapshots = t.sparkSession.createDataFrame([(999, "1", 10.0, 100.0, 9.0)], "account_id long, symbol string, quantity double, cost_basis double, price double")
@@ -290,9 +329,9 @@ VIEWED = f"""{LEDGER}, op AS (SELECT p.account_id, p.symbol, x.trade_date AS acq
  vi AS (SELECT account_id, symbol, acquired, quantity, cost_basis, price, price * quantity - cost_basis AS unrealized, CASE WHEN acquired < DATE '2000-12-31' - INTERVAL 12 MONTH THEN 'long' ELSE 'short' END AS term FROM op LEFT JOIN qu USING (symbol) UNION ALL SELECT 999, '1', NULL, 10.0, 100.0, coalesce((SELECT price FROM qu WHERE symbol = '1'), 9.0), coalesce((SELECT price FROM qu WHERE symbol = '1'), 9.0) * 10 - 100, 'unknown')"""
 
 
-@query("ptf_05_lot_views", "transactions", "actions", "closes", sql=f"WITH {VIEWED} SELECT account_id, symbol, acquired, round(quantity, 4) AS quantity, round(unrealized, 4) AS unrealized, term FROM vi")
+@query("ptf_05_lot_views", "transactions", "actions", "closes", sql=f"WITH {VIEWED} SELECT account_id, symbol, acquired, round(quantity, 6) AS quantity, round(unrealized, 6) AS unrealized, term FROM vi")
 def lot_views(t, a, closes):
-    return _views(t, a, closes).select("account_id", "symbol", "acquired", R(F.col("quantity"), 4).alias("quantity"), R(F.col("unrealized"), 4).alias("unrealized"), "term")
+    return _views(t, a, closes).select("account_id", "symbol", "acquired", R(F.col("quantity")).alias("quantity"), R(F.col("unrealized")).alias("unrealized"), "term")
 
 
 @query("ptf_06_reconciled", "transactions", sql="""WITH c AS (SELECT account_id, symbol, sum(CASE WHEN action = 'buy' THEN quantity ELSE -quantity END) AS quantity, CASE WHEN count(CASE WHEN id % 97 != 0 THEN amount END) = count(*) THEN CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) END AS value FROM transactions GROUP BY 1, 2), b AS (SELECT account_id, symbol, quantity + CASE WHEN account_id % 3 = 0 THEN 1 ELSE 0 END AS broker FROM c WHERE account_id % 5 != 0)
@@ -305,10 +344,10 @@ def reconciled(t):
 
 
 @query("ptf_08_harvest", "transactions", "actions", "closes", sql=f"""WITH {VIEWED}, rc AS (SELECT symbol, trade_date, count(*) AS n FROM transactions WHERE action = 'buy' AND datediff('day', trade_date, DATE '2000-06-30') BETWEEN 0 AND 30 GROUP BY 1, 2), l AS (SELECT *, -unrealized AS loss, -unrealized / cost_basis AS pct FROM vi WHERE unrealized < 0 AND cost_basis != 0)
- SELECT account_id, symbol, acquired, round(quantity, 4) AS quantity, round(loss, 4) AS loss, round(pct, 5) AS pct, CAST(coalesce((SELECT sum(n) FROM rc WHERE rc.symbol = l.symbol AND rc.trade_date IS DISTINCT FROM l.acquired), 0) AS BIGINT) AS blockers, DATE '2000-06-30' + 31 AS rebuy FROM l WHERE loss >= 100 AND pct >= 0.05""")
+ SELECT account_id, symbol, acquired, round(quantity, 6) AS quantity, round(loss, 6) AS loss, round(pct, 6) AS pct, CAST(coalesce((SELECT sum(n) FROM rc WHERE rc.symbol = l.symbol AND rc.trade_date IS DISTINCT FROM l.acquired), 0) AS BIGINT) AS blockers, DATE '2000-06-30' + 31 AS rebuy FROM l WHERE loss >= 100 AND pct >= 0.05""")
 def harvest(t, a, closes):
     out = portfolio.harvest_candidates(_views(t, a, closes), t, DAY("2000-06-30"), 100.0, 0.05)
-    return out.select("account_id", "symbol", "acquired", R(F.col("quantity"), 4).alias("quantity"), R(F.col("loss"), 4).alias("loss"), R(F.col("pct"), 5).alias("pct"), "blockers", "rebuy")
+    return out.select("account_id", "symbol", "acquired", R(F.col("quantity")).alias("quantity"), R(F.col("loss")).alias("loss"), R(F.col("pct")).alias("pct"), "blockers", "rebuy")
 
 
 @query("ptf_11_import", "transactions", sql="""WITH c AS (SELECT id, account_id, action, account_id || '|' || symbol || '|' || action || '|' || trade_date AS content FROM transactions), ok AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY id) AS n FROM c WHERE account_id % 7 != 0), st AS (SELECT content, row_number() OVER (PARTITION BY content ORDER BY id) AS n FROM c WHERE id % 3 = 0)
