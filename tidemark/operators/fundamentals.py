@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import numbered
 from tidemark.functions.windows import running_product
 
 
@@ -55,9 +56,14 @@ def growth(now: Column, before: Column) -> Column:
 
 
 def magic_rank(rows: DataFrame) -> DataFrame:
-    """SCR-02: sum of zero-based ranks by earnings yield and ROIC, both descending; ties go by security_id."""
-    rank = lambda c: F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(c), "security_id")) - 1
-    return rows.withColumn("rank", (rank("earnings_yield") + rank("roic")).cast("long"))
+    """SCR-02: sum of zero-based ranks by earnings yield and ROIC, both descending; ties go by security_id, nulls come last.
+
+    Both ranks are row numbers of range-partitioned sorts, so no task ranks everything.
+    """
+    out = rows.withColumn("_all", F.lit(0))
+    for c in ("earnings_yield", "roic"):
+        out = numbered(out, ["_all"], [F.desc_nulls_last(c), "security_id"], "ranks").withColumnRenamed("place", f"_{c}").drop("size")
+    return out.withColumn("rank", F.col("_earnings_yield") + F.col("_roic")).drop("_all", "_earnings_yield", "_roic")
 
 
 def forward_returns(closes: DataFrame, horizons: list[int]) -> DataFrame:

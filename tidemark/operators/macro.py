@@ -152,7 +152,7 @@ def drawdown_outcome(index: DataFrame, ahead: int, threshold: float = 0.3, least
 
 def country_panel(rows: DataFrame, ahead: int, threshold: float, least: int) -> DataFrame:
     """MAC-07: per country and date the debt's rank so far, the credit impulse and whether the level falls within the next rows. rows: key, date, level, ratio."""
-    ranked = rows.withColumn("rank", indicators.expanding_rank(least, F.col("ratio")))
+    ranked = indicators.expanding_rank(rows, least, "ratio")
     impulse = credit_impulse(rows)
     fell = drawdown_outcome(rows.select("key", "date", F.col("level").alias("value")), ahead, threshold, least=1)
     return ranked.join(impulse, ["key", "date"], "left").join(fell, ["key", "date"], "left")

@@ -134,10 +134,14 @@ def basket(s):
  SELECT key, date, CASE WHEN value IS NOT NULL AND len(l) >= 20 THEN round(len(list_filter(l, lambda x: x <= value)) / len(l)::DOUBLE, 6) END AS rank FROM l""")
 def expanding_rank(v):
     rows = series.latest_revision(v).select(F.col("series_id").alias("key"), "date", "value")
-    return rows.select("key", "date", R(indicators.expanding_rank()).alias("rank"))
+    return indicators.expanding_rank(rows).select("key", "date", R(F.col("rank")).alias("rank"))
 
 
-@query("sta_05_filter_gap", "statement_items")
+@query("sta_05_filter_gap", "statement_items", sql="""WITH RECURSIVE x AS (SELECT cik AS key, period_end AS date, ln(value) AS v, row_number() OVER (PARTITION BY cik ORDER BY period_end) - 1 AS i FROM statement_items WHERE value IS NOT NULL),
+ g(i, p, q, a, b, c) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL SELECT i + 1, p2, q2, p2 / (p2 + 1), q2 / (p2 + 1), a - q2 * q2 / (p2 + 1) FROM (SELECT i, a, 4 * a - 4 * b + c + 1 / 1600.0::DOUBLE AS p2, 2 * a - b AS q2 FROM g WHERE i < (SELECT max(i) FROM x))),
+ f AS (SELECT key, i, v AS level, v AS before FROM x WHERE i = 0 UNION ALL SELECT x.key, x.i, CASE WHEN x.i = 1 THEN x.v ELSE 2 * level - before + g.a * (x.v - 2 * level + before) END, CASE WHEN x.i = 1 THEN f.level ELSE level + g.b * (x.v - 2 * level + before) END FROM f JOIN x ON x.key = f.key AND x.i = f.i + 1 JOIN g ON g.i = x.i)
+ SELECT key, date, CASE WHEN i >= 14 THEN round(v - level, 8) END AS gap FROM f JOIN x USING (key, i)""")
 def filter_gap(s):
     rows = s.select(F.col("cik").alias("key"), F.col("period_end").alias("date"), F.log("value").alias("value"))
     return indicators.one_sided_gap(rows, 1600.0).withColumn("gap", R(F.col("gap"), 8))
