@@ -1,13 +1,14 @@
 """Hand-made cases with known answers."""
 
 import datetime as dt
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtests, disclosures, identity, indicators, portfolio, prices, series, tables, text
+from tidemark.operators import backtests, disclosures, fundamentals, identity, indicators, metrics, portfolio, prices, rules, series, statistics, tables, text
 from tidemark.streaming import streams
 
 D = lambda s: dt.date.fromisoformat(s)
@@ -68,12 +69,96 @@ def test_filter_gap_is_the_last_point_of_the_whole_fit(spark):
     assert out[:4] == [None] * 4
 
 
+SOURCES = series.STANDARD.with_source("px", lambda t: t).with_source("fred", lambda t: t)
+
+
 def test_specs():
-    series.register_source("px", lambda t: t)
-    assert series.spec_parts("px:A/px:B-C|sma:5|z") == ([("px", "A"), ("px", "B-C")], "/", [("sma", 5), ("z", 20)])
-    for bad in ("zz:A", "px:A|nope", "px:A|ret:x", "px:A/px:B/px:C"):
+    found = series.parsed("px:A / px:B-C | sma:5|z", SOURCES)
+    assert (found.terms, found.operator, found.transforms) == ((("px", "A"), ("px", "B-C")), "/", (("sma", 5), ("z", 252)))
+    assert series.parsed("fred:X-Y|macd", SOURCES).transforms == (("macd", 0),)
+    for bad in ("zz:A", "px:", "px:A|nope", "px:A|ret:x", "px:A|sma", "px:A|macd:3", "px:A/px:B/px:C"):
+        with pytest.raises(ValueError):
+            series.parsed(bad, SOURCES)
+    with pytest.raises(ValueError):
+        series.parsed("px:A", series.STANDARD)  # registering made another registry
+    with pytest.raises(TypeError):
+        SOURCES.sources["px"] = None
+
+
+def test_rule_trees(spark):
+    rule = rules.parsed("px:A > px:A|sma:2 and fred:X>=0 or px:A / px:B < -1.5", SOURCES)
+    assert [[(c.left.text, c.sign, c.right if isinstance(c.right, float) else c.right.text) for c in g] for g in rule.groups] == [[("px:A", ">", "px:A|sma:2"), ("fred:X", ">=", 0.0)], [("px:A / px:B", "<", -1.5)]]
+    assert [s.text for s in rule.specs()] == ["px:A", "px:A|sma:2", "fred:X", "px:A / px:B"]
+    for bad in ("px:A|sma:5", "px:A > 1 > 2", "px:A >", "zz:A > 1"):
         with pytest.raises(ValueError):
-            series.spec_parts(bad)
+            rules.parsed(bad, SOURCES)
+
+
+def test_rules_over_specs_run_from_text(spark):
+    days = [D("2026-03-02") + dt.timedelta(days=i) for i in range(6)]
+    px = [("A", d, v) for d, v in zip(days, [50.0, 60.0, 54.0, 72.0, 72.0, 90.0])] + [("B", d, 30.0) for d in days]
+    tables = {"px": spark.createDataFrame(px, "ident string, known_on date, value double"), "fred": spark.createDataFrame([("X", days[2], 1.0)], "ident string, known_on date, value double")}
+    grid = spark.createDataFrame([(d,) for d in days], "date date")
+    book = {"up": ("A", "px:A > 55"), "late": ("A", "px:A > 55 and fred:X > 0"), "ratio": ("A", "px:A / px:B > 2 or px:A|ret:1 > 0.3")}
+    out = rules.run(book, tables, grid, SOURCES, cost_bps=0)
+    runs = {name: out.where(F.col("security_id") == name).orderBy("date").collect() for name in book}
+    # the signal of a day is held over the next: up has F T F T T, so it earns -10%, 0% and +25%
+    assert [round(r.ret, 9) for r in runs["up"]] == [0.0, -0.1, 0.0, 0.0, 0.25] and round(runs["up"][-1].equity, 9) == 1.125
+    assert {r.start for r in runs["up"]} == {days[0]} and {r.start for r in runs["late"]} == {days[2]}
+    assert [r.position for r in runs["ratio"]] == [0.0, 0.0, 1.0, 1.0] and {r.start for r in runs["ratio"]} == {days[1]}
+    flips = rules.run({"up": book["up"]}, tables, grid, SOURCES, cost_bps=100, short=True, start="2026-03-03").orderBy("date").collect()
+    assert [round(r.ret, 9) for r in flips] == [-0.11, round(-1 / 3 - 0.02, 9), -0.02, 0.25]
+
+
+def test_the_dead_stay_in_outcomes(spark):
+    days = [D("2024-01-01") + dt.timedelta(days=i) for i in range(12)]
+    grid = spark.createDataFrame([(d,) for d in days], "date date")
+    rows = [(1, days[0], 9.0), (1, days[1], 10.0), (1, days[2], 12.0), (1, days[3], 6.0)] + [(2, d, 5.0 + i) for i, d in enumerate(days)] + [(3, days[0], 4.0), (3, days[2], 4.0)]
+    out = {(r.security_id, r.date): r for r in fundamentals.forward_returns(spark.createDataFrame(rows, "security_id long, date date, close double"), grid, [1, 5]).collect()}
+    assert (out[1, days[0]].ret_5, out[1, days[0]].max_drawdown) == (6 / 10 - 1, 6 / 12 - 1)
+    assert out[1, days[3]].ret_5 is None and out[3, days[0]].ret_5 is None  # no close on the day of the purchase
+    assert out[2, days[5]].ret_5 == 16 / 11 - 1 and out[2, days[6]].ret_5 is None and out[2, days[6]].ret_1 == 13 / 12 - 1
+
+
+def test_sliding_falls_equal_a_plain_loop(spark):
+    draw = np.random.default_rng(4)
+    days = [D("2024-01-01") + dt.timedelta(days=i) for i in range(60)]
+    x = [float(v) if draw.random() < 0.8 else None for v in draw.integers(50, 90, 60)]
+    rows = [(1, d, v) for d, v in zip(days, x) if v is not None]
+    got = {r.date: r.max_drawdown for r in fundamentals.forward_returns(spark.createDataFrame(rows, "security_id long, date date, close double"), spark.createDataFrame([(d,) for d in days], "date date"), [7]).collect()}
+    for i, d in enumerate(days[:-1]):
+        if x[i] is not None:
+            want = None
+            if x[i + 1] is not None and i + 8 < 60:
+                seen = [v for v in x[i + 1 : i + 9] if v is not None]
+                want = min(v / max(seen[: j + 1]) - 1 for j, v in enumerate(seen))
+            assert (got[d] is None) == (want is None) and (want is None or abs(got[d] - want) < 1e-12)
+
+
+def test_a_screen_buys_only_what_trades_on_the_day(spark):
+    days = [D("2024-01-01") + dt.timedelta(days=i) for i in range(6)]
+    rows = [(0, d, 10.0) for d in days] + [(1, d, 30.0 + i) for i, d in enumerate(days[:3])] + [(2, days[0], 7.0)]
+    closes = spark.createDataFrame(rows, "security_id long, date date, close double")
+    picks = spark.createDataFrame([(days[0], 1, True), (days[0], 2, True), (days[0], 0, False)], "as_of date, security_id long, picked boolean")
+    (r,) = metrics.screen_backtest(picks, closes, spark.createDataFrame([(d,) for d in days], "date date"), [4]).collect()
+    assert (r.picks, r["mean"], r.bench) == (1, 32 / 31 - 1, 0.0)
+
+
+def test_quantiles_of_any_number_of_trials(spark):
+    trials = [1, 2, 3, 10, 1000, 1001, 10**6, 10**12]
+    df = spark.createDataFrame([(n,) for n in [0, *trials]], "n long")
+    got = {r.n: r.t for r in df.select("n", statistics.bonferroni_t(F.col("n")).alias("t")).collect()}
+    assert got[0] is None and all(abs(got[n] / -NormalDist().inv_cdf(0.025 / n) - 1) < 1e-8 for n in trials)
+
+
+def test_lags_follow_the_longest_series(spark):
+    draw = np.random.default_rng(6)
+    x = np.cumsum(draw.normal(size=30_000)) * 0.01
+    n, e = len(x), x - x.mean()
+    lags = int(4 * (n / 100) ** (2 / 9))
+    want = (e @ e + sum(2 * (1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1))) ** 0.5 / n
+    rows = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "key long, date long, value double")
+    assert lags > 12 and abs(statistics.newey_west(rows).first().error / want - 1) < 1e-9
 
 
 def test_rules(spark):

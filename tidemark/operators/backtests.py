@@ -23,13 +23,16 @@ def sofar() -> WindowSpec:
 
 
 def rule_clauses(rule: str) -> list[list[tuple[str, str, str]]]:
-    """BKT-01: comparisons of series or numbers; ``and`` binds tighter than ``or``: [[a, b], [c]] is (a and b) or c."""
+    """BKT-01: the alternatives between ``or``, each a list of (left, sign, right) between ``and``."""
     out = []
     for group in re.split(r"\s+or\s+", rule.strip()):
-        found = [re.fullmatch(r"\s*(\S+?)\s*(<=|>=|<|>)\s*(\S+)\s*", clause) for clause in re.split(r"\s+and\s+", group)]
-        if not all(found):
-            raise ValueError(f"{group!r}: a comparison is '<series> <op> <series or number>'")
-        out.append([m.groups() for m in found])
+        clauses = []
+        for clause in re.split(r"\s+and\s+", group):
+            left, *rest = (x.strip() for x in re.split(r"(<=|>=|<|>)", clause))
+            if len(rest) != 2 or not left or not rest[1]:
+                raise ValueError(f"no single comparison of two sides in {clause!r}")
+            clauses.append((left, *rest))
+        out.append(clauses)
     return out
 
 

@@ -66,21 +66,44 @@ def magic_rank(rows: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.col("_earnings_yield") + F.col("_roic")).drop("_all", "_earnings_yield", "_roic")
 
 
-def forward_returns(closes: DataFrame, horizons: list[int]) -> DataFrame:
-    """OUT-01: return over h rows from the next close and the largest fall within the longest horizon; null until it has passed."""
-    by = W.partitionBy("security_id").orderBy("date")
-    entry = F.lead("close", 1).over(by)
-    out = closes.withColumns({f"ret_{h}": F.lead("close", 1 + h).over(by) / entry - 1 for h in horizons})
-    h = max(horizons)
-    window = F.collect_list("close").over(by.rowsBetween(1, 1 + h))
-    start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("fall"))
-
-    def step(s: Column, x: Column) -> Column:
-        peak = F.greatest(s["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(s["fall"], x / peak - 1).alias("fall"))
-
-    full = F.lead("close", 1 + h).over(by).isNotNull()
-    return out.withColumn("max_drawdown", F.when(full, F.aggregate(window, start, step)["fall"]))
+def forward_returns(closes: DataFrame, calendar: DataFrame, horizons: list[int]) -> DataFrame:
+    """OUT-01: of each day's row the return from the next calendar day over h calendar days, and the largest fall over the longest horizon.
+
+    Bought at the next calendar day's close, if there is one. A series that
+    stops keeps its last price, so the dead stay in; null only where the
+    calendar ends before the horizon. Closes that are null or not positive do
+    not count, nor do those off the calendar.
+
+    The fall looks over a sliding window. With blocks as long as the window, a
+    window is the rest of one block and the beginning of the next: running
+    extremes from both ends of the blocks give it, and no list of prices is kept.
+    """
+    days = calendar.select("date").distinct().withColumn("_i", F.row_number().over(W.orderBy("date")))  # a calendar: one row a day
+    total, most = calendar.select("date").distinct().count(), max(horizons)
+    rows = closes.where("close > 0").join(days, "date").withColumn("_b", F.floor(F.col("_i") / (most + 1)))
+    by, block = W.partitionBy("security_id").orderBy("_i"), W.partitionBy("security_id", "_b")
+    upto = block.orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    onward = block.orderBy("_i").rowsBetween(0, W.unboundedFollowing)
+    rows = rows.withColumns({"_peak": F.max("close").over(upto), "_low": F.min("close").over(upto), "_high": F.max("close").over(onward), "_trough": F.min("close").over(onward)})
+    rows = rows.withColumns({"_fall": F.min(F.col("close") / F.col("_peak") - 1).over(upto), "_rest": F.min(F.col("_trough") / F.col("close") - 1).over(onward)})
+    last = F.last(F.struct("_b", "_low", "_fall")).over(by.rangeBetween(0, most))
+    across = F.least(F.col("_rest"), last["_fall"], last["_low"] / F.col("_high") - 1)
+    found = {f"ret_{h}": F.when(F.col("_i") + h <= total, F.last("close").over(by.rangeBetween(0, h)) / F.col("close") - 1) for h in horizons}
+    found["max_drawdown"] = F.when(F.col("_i") + most <= total, F.when(last["_b"] == F.col("_b"), F.col("_rest")).otherwise(across))
+    rows = rows.withColumns(found)
+    bought = F.lead("_i").over(by) == F.col("_i") + 1
+    out = rows.withColumns({c: F.when(bought, F.lead(c).over(by)) for c in found})
+    return out.drop("_i", "_b", "_peak", "_low", "_high", "_trough", "_fall", "_rest")
+
+
+def over_peers(outcomes: DataFrame, value: str, group: str, least: int = 2) -> DataFrame:
+    """OUT-02: ``value`` less the median of its date, and less that of its group on the date where the group has ``least`` values."""
+    rows = outcomes.where(F.col(value).isNotNull())
+    middle = F.percentile(value, F.lit(0.5))
+    whole = rows.groupBy("date").agg(middle.alias("_u"))
+    groups = rows.groupBy("date", group).agg(middle.alias("_g"), F.count(F.lit(1)).alias("_n"))
+    out = rows.join(whole, "date").join(groups, ["date", group])
+    return out.withColumns({"over_universe": F.col(value) - F.col("_u"), f"over_{group}": F.when(F.col("_n") >= least, F.col(value) - F.col("_g"))}).drop("_u", "_g", "_n")
 
 
 def fiscal_ends(facts: DataFrame) -> DataFrame:

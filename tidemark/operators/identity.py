@@ -41,12 +41,14 @@ def prefix_bridge(mapped: DataFrame, unmapped: DataFrame, n: int = 6) -> DataFra
     return unmapped.withColumn("_p", F.substring("cusip", 1, n)).join(known, "_p").select("cusip", "issuer")
 
 
-#: Legal words and listing markers that do not tell companies apart (fixed values).
-NAME_WORDS = "adr ads the inc incorporated corp corporation co company ltd limited plc sa ag nv se spa holdings holding group class common stock ordinary shares".split()
+#: Legal words that do not tell companies apart, and what marks a receipt's name (fixed values).
+NAME_WORDS = "co corp corporation company ltd limited inc plc ag sa se nv spa ab asa oyj kk the".split()
+RECEIPT = r"(?i)[-\s/]+(UNSP|UNSPON|SPON|SPONS|SP)?\s*/?\s*(ADR|ADS|GDR)\b.*$"
 
 
 def name_tokens(name: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " "), lambda t: (t != "") & ~t.isin(NAME_WORDS))
+    plain = F.regexp_replace(F.lower(F.regexp_replace(name, RECEIPT, "")), "[^a-z0-9]+", " ")
+    return F.filter(F.split(plain, " "), lambda t: (t != "") & ~t.isin(NAME_WORDS))
 
 
 def names_match(a: Column, b: Column) -> Column:
@@ -158,7 +160,8 @@ def unmapped(held: list[DataFrame], mapped: DataFrame, looked_up: DataFrame) ->
     return every.distinct().join(mapped.select("cusip"), "cusip", "left_anti").join(looked_up.select("cusip"), "cusip", "left_anti")
 
 
-NICE_RATIOS = [1 / 100, 1 / 50, 1 / 20, 1 / 10, 1 / 5, 1 / 4, 1 / 3, 1 / 2, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 16, 20, 25, 30, 40, 50, 100]
+#: Shares of an ordinary that a receipt may stand for (fixed values).
+NICE_RATIOS = [0.1, 0.125, 0.2, 0.25, 1 / 3, 0.5, 1, 2, 3, 4, 5, 6, 8, 10, 15, 20, 25, 40, 50, 100]
 
 
 def inferred_ratios(pairs: DataFrame, closes: DataFrame, as_of: Column, days: int = 180, least: int = 3, within: float = 0.08) -> DataFrame:
@@ -168,7 +171,7 @@ def inferred_ratios(pairs: DataFrame, closes: DataFrame, as_of: Column, days: in
     b = recent.select(F.col("security_id").alias("ordinary"), F.explode(F.array(F.struct("date", F.lit(0).alias("late")), F.struct(F.date_add("date", 1).alias("date"), F.lit(1).alias("late")))).alias("d"), F.col("close").alias("y")).select("ordinary", "d.date", "d.late", "y")
     both = a.join(b, ["ordinary", "date"]).groupBy("receipt", "ordinary", "date").agg(F.min_by(F.struct("x", "y"), "late").alias("p"))
     middle = both.groupBy("receipt", "ordinary").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col("p.x") / F.col("p.y"), F.lit(0.5)).alias("ratio")).where(F.col("n") >= least)
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.log(F.col("ratio") / r)).alias("d"), F.lit(float(r)).alias("r")) for r in NICE_RATIOS)))["r"]
+    nearest = F.array_min(F.array(*(F.struct((F.abs(F.col("ratio") - r) / r).alias("d"), F.lit(float(r)).alias("r")) for r in NICE_RATIOS)))["r"]
     return middle.withColumn("nice", nearest).select("receipt", "ordinary", "n", "ratio", F.when(F.abs(F.col("ratio") / F.col("nice") - 1) <= within, F.col("nice")).alias("nice"))
 
 

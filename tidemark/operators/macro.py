@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -199,14 +199,9 @@ def now_and_ago(rows: DataFrame, key: str, as_of: Column, days: int) -> DataFram
     return known.groupBy(key).agg(F.max_by("value", "date").alias("now"), F.max_by(F.when(early, F.col("value")), F.when(early, F.col("date"))).alias("ago"))
 
 
-#: EXT-02: event sources by kind; each makes the timeline's columns from a dict of tables. The last registration counts.
-EVENT_SOURCES: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {}
+EventSource = Callable[[dict[str, DataFrame]], DataFrame]
 
 
-def register_events(kind: str, make: Callable[[dict[str, DataFrame]], DataFrame]) -> None:
-    EVENT_SOURCES[kind] = make
-
-
-def registered_events(tables: dict[str, DataFrame], kinds: list[str], start: Column, end: Column) -> DataFrame:
-    """Events of the named kinds in a window."""
-    return reduce(DataFrame.unionByName, [EVENT_SOURCES[k](tables).select(*TIMELINE) for k in kinds]).where(F.col("date").between(start, end))
+def registered_events(sources: Mapping[str, EventSource], tables: dict[str, DataFrame], kinds: list[str], start: Column, end: Column) -> DataFrame:
+    """EXT-02: events of the named kinds in a window. A source makes the timeline's columns from a dict of tables; the caller holds the mapping of sources."""
+    return reduce(DataFrame.unionByName, [sources[k](tables).select(*TIMELINE) for k in kinds]).where(F.col("date").between(start, end))

@@ -174,8 +174,9 @@ def screen(metrics: DataFrame, filters: list[str] = (), sort: str | None = None,
 def screen_backtest(picks: DataFrame, closes: DataFrame, calendar: DataFrame, horizons: list[int]) -> DataFrame:
     """SCR-04: per snapshot and horizon the mean and median return of picks and of the whole universe, and the benchmark's.
 
-    Bought at the first close after the snapshot, held h rows of the calendar; a
-    series that stops keeps its last price. picks: as_of, security_id, picked.
+    Bought on the first calendar day after the snapshot, if the security has a
+    close on that very day, and held h days of the calendar; a series that stops
+    then keeps its last price. picks: as_of, security_id, picked.
     """
     days = calendar.select("date", F.row_number().over(W.orderBy("date")).alias("i"))  # a calendar: one row a day
     snapshots = picks.select("as_of").distinct()
@@ -184,9 +185,9 @@ def screen_backtest(picks: DataFrame, closes: DataFrame, calendar: DataFrame, ho
     asked = picks.select("as_of", "security_id", "picked").join(marks, "as_of")
     told = closes.where("close > 0").select("security_id", "date", "close")
     both = asked.select("security_id", "date", "as_of", "h", "picked", F.lit(None).cast("double").alias("close"), F.lit(1).alias("k")).unionByName(told.withColumn("k", F.lit(0)), allowMissingColumns=True)
-    last = F.last("close", ignorenulls=True).over(W.partitionBy("security_id").orderBy("date", "k").rowsBetween(W.unboundedPreceding, 0))
-    priced = both.withColumn("price", last).where("k = 1")
-    start = priced.where("h = 0").select("as_of", "security_id", F.col("price").alias("p0"))
+    last = F.last(F.when(F.col("k") == 0, F.struct("date", "close")), ignorenulls=True).over(W.partitionBy("security_id").orderBy("date", "k").rowsBetween(W.unboundedPreceding, 0))
+    priced = both.withColumn("_last", last).where("k = 1").withColumn("price", F.col("_last.close"))
+    start = priced.where("h = 0").select("as_of", "security_id", F.when(F.col("_last.date") == F.col("date"), F.col("price")).alias("p0"))
     held = priced.where("h > 0").join(start, ["as_of", "security_id"]).where("p0 IS NOT NULL").withColumn("ret", F.col("price") / F.col("p0") - 1)
     bench = held.where("security_id = 0").select("as_of", "h", F.col("ret").alias("bench"))
     pick = F.when(F.col("picked"), F.col("ret"))

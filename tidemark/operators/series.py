@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field
 from functools import reduce
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,76 +101,132 @@ def lagged(rows: DataFrame, key: Column, date: Column, value: Column, known_on:
     return rows.select(key.cast("string").alias("key"), date.alias("date"), known_on.alias("known_on"), value.cast("double").alias("value"))
 
 
-#: EXT-01: series sources by name; each makes (ident, known_on, value) from its tables. The last registration counts.
-SOURCES: dict[str, Callable[..., DataFrame]] = {}
-#: EXT-03: transforms by name, with the default window (None: no window).
-TRANSFORMS: dict[str, tuple[Callable[..., Column], int | None]] = {}
+Loader = Callable[[DataFrame], DataFrame]
+Transform = Callable[..., Column | Callable[[DataFrame], DataFrame]]
 
 
-def register_source(name: str, loader: Callable[..., DataFrame]) -> None:
-    SOURCES[name] = loader
+@dataclass(frozen=True)
+class Registry:
+    """EXT-01, EXT-03: what specs may name. It never changes: registering makes another one, so no user alters a query of somebody else.
+
+    A source makes (ident, known_on, value) from its table. A transform makes a
+    column from the window, or a function of (key, date, value) rows; beside it
+    stands the default window, None for one that must be given, NO_WINDOW for a
+    transform without.
+    """
+
+    sources: Mapping[str, Loader] = field(default_factory=lambda: MappingProxyType({}))
+    transforms: Mapping[str, tuple[Transform, int | None]] = field(default_factory=lambda: MappingProxyType({}))
+
+    def with_source(self, name: str, loader: Loader) -> Registry:
+        return Registry(MappingProxyType({**self.sources, name: loader}), self.transforms)
+
+    def with_transform(self, name: str, make: Transform, window: int | None = None) -> Registry:
+        return Registry(self.sources, MappingProxyType({**self.transforms, name: (make, window)}))
+
+
+NO_WINDOW = 0
 
 
-def register_transform(name: str, make: Callable[..., Column], window: int | None = None) -> None:
-    TRANSFORMS[name] = (make, window)
+def _recursive(column: str, **fixed: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: indicators.recursive(rows, **fixed).select("key", "date", F.col(column).alias("value"))
 
 
-for _name, _make, _window in [("sma", indicators.sma, 20), ("ret", indicators.ret, 1), ("diff", indicators.diff, 1), ("stdev", indicators.stdev, 20), ("z", indicators.zscore, 20), ("high", indicators.high, 252), ("low", indicators.low, 252), ("dd", indicators.drawdown, 252)]:
-    register_transform(_name, _make, _window)
+def _framed(make: Callable[..., DataFrame], column: str, *window: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: make(rows, *window).select("key", "date", F.col(column).alias("value"))
 
 
-def spec_parts(spec: str) -> tuple[list[tuple[str, str]], str | None, list[tuple[str, int | None]]]:
-    """TSR-01: ``source:id``, or two of them around one / or -, then ``|name[:N]`` transforms.
+#: The transforms that every registry begins with.
+STANDARD = (
+    Registry()
+    .with_transform("sma", indicators.sma)
+    .with_transform("ema", lambda n: _recursive("ema", ema_n=n))
+    .with_transform("rsi", lambda n: _recursive("rsi", rsi_n=n), 14)
+    .with_transform("macd", lambda: _recursive("macd"), NO_WINDOW)
+    .with_transform("ret", indicators.ret, 1)
+    .with_transform("diff", indicators.diff, 1)
+    .with_transform("stdev", indicators.stdev, 20)
+    .with_transform("vol", lambda n: _framed(indicators.vol, "vol", n), 21)
+    .with_transform("z", indicators.zscore, 252)
+    .with_transform("high", indicators.high)
+    .with_transform("low", indicators.low)
+    .with_transform("dd", indicators.drawdown, 252)
+    .with_transform("yoy", lambda: _framed(indicators.yoy, "yoy"), NO_WINDOW)
+)
 
-    An operator counts only where a known source follows it, so ids may hold both signs.
+
+@dataclass(frozen=True)
+class Spec:
+    """TSR-01: one or two terms (source, id), the sign between them, and the transforms with their windows."""
+
+    text: str
+    terms: tuple[tuple[str, str], ...]
+    operator: str | None = None
+    transforms: tuple[tuple[str, int], ...] = ()
+
+
+def parsed(text: str, registry: Registry) -> Spec:
+    """TSR-01: ``source:id``, or two of them around one / or -, then ``|name[:N]`` transforms; spaces around the parts do not count.
+
+    A sign counts only where a known source follows it, so ids may hold both.
     """
-    head, *chain = (x.strip() for x in spec.split("|"))
-    known = "|".join(map(re.escape, sorted(SOURCES, key=len, reverse=True)))
-    m = re.fullmatch(rf"(?P<a>({known}):.+?)(?:\s*(?P<op>[/-])\s*(?P<b>({known}):.+))?", head)
-    if not m:
-        raise ValueError(f"{spec!r}: expected one of {sorted(SOURCES)} and an id")
-    terms = [tuple(x.strip() for x in t.split(":", 1)) for t in (m["a"], m["b"]) if t]
-    if any(re.search(rf"[/-]\s*({known}):", ident) for _, ident in terms):
-        raise ValueError(f"{spec!r}: at most one / or - between two series")
+    head, *chain = (x.strip() for x in text.split("|"))
+    known = "|".join(map(re.escape, sorted(registry.sources, key=len, reverse=True)))
+    parts = re.split(rf"\s*([/-])\s*(?=(?:{known}):)", head) if known else [head]
+    if len(parts) > 3:
+        raise ValueError(f"{text!r}: at most one / or - between two series")
+    terms = []
+    for part in parts[::2]:
+        name, _, ident = (x.strip() for x in part.partition(":"))
+        if name not in registry.sources or not ident:
+            raise ValueError(f"{text!r}: a series is one of {sorted(registry.sources)}, a colon and an id")
+        terms.append((name, ident))
     steps = []
-    for text in chain:
-        name, _, n = (x.strip() for x in text.partition(":"))
-        if name not in TRANSFORMS:
-            raise ValueError(f"{spec!r}: no transform {name!r}")
-        window = TRANSFORMS[name][1]
-        if n and (window is None or not n.isdigit() or int(n) < 1):
-            raise ValueError(f"{spec!r}: bad window {n!r}")
+    for step_ in chain:
+        name, _, n = (x.strip() for x in step_.partition(":"))
+        if name not in registry.transforms:
+            raise ValueError(f"{text!r}: no transform {name!r}")
+        window = registry.transforms[name][1]
+        if n and (window == NO_WINDOW or not n.isdigit() or int(n) < 1):
+            raise ValueError(f"{text!r}: bad window {n!r}")
+        if not n and window is None:
+            raise ValueError(f"{text!r}: {name} needs a window")
         steps.append((name, int(n) if n else window))
-    return terms, m["op"], steps
+    return Spec(text, tuple(terms), parts[1] if len(parts) == 3 else None, tuple(steps))
+
+
+def transformed(rows: DataFrame, steps: Iterable[tuple[str, int]], registry: Registry) -> DataFrame:
+    """(key, date, value) after each transform."""
+    for name, window in steps:
+        make = registry.transforms[name][0]
+        made = make() if window == NO_WINDOW else make(window)
+        rows = rows.withColumn("value", made) if isinstance(made, Column) else made(rows)
+    return rows
 
 
-def build(specs: list[str], tables: dict[str, DataFrame], days: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """TSR-02: key (the spec), date, value of every spec over the calendar, in one job.
+def build(specs: Iterable[str | Spec], tables: dict[str, DataFrame], days: DataFrame, registry: Registry, start: str | None = None, end: str | None = None) -> DataFrame:
+    """TSR-02: key (the spec's text), date, value of every spec over the calendar, in one job.
 
-    Each term is loaded once and carried forward; transforms see the whole
-    history before the cut to [start, end]. ``tables`` has the input of each source.
+    Each term is loaded once and carried forward; specs with the same transforms
+    run them together, over the whole history, before the cut to [start, end].
+    ``tables`` has the input of each source.
     """
-    parts = {s: spec_parts(s) for s in specs}
-    terms = sorted({t for terms, _, _ in parts.values() for t in terms})
+    found = {s.text: s for s in (s if isinstance(s, Spec) else parsed(s, registry) for s in specs)}
+    terms = sorted({t for s in found.values() for t in s.terms})
     loaded = []
     for source in sorted({s for s, _ in terms}):
         wanted = [i for s, i in terms if s == source]
-        rows = SOURCES[source](tables[source]).where(F.col("ident").isin(wanted))
+        rows = registry.sources[source](tables[source]).where(F.col("ident").isin(wanted))
         loaded.append(rows.select(F.concat(F.lit(f"{source}:"), "ident").alias("key"), "known_on", "value"))
     grid = step(reduce(DataFrame.unionByName, loaded), days)
-    plan = [(s, f"{a[0]}:{a[1]}", f"{b[0]}:{b[1]}" if b else None, op, "|".join(f"{n}:{w}" for n, w in steps)) for s, ((a, b), op, steps) in ((s, ((*t, None)[:2], o, c)) for s, (t, o, c) in parts.items())]
-    table = days.sparkSession.createDataFrame(plan, "spec string, a string, b string, op string, chain string")  # one row a spec
+    chains = sorted({s.transforms for s in found.values()})
+    name = lambda t: ":".join(t)
+    plan = [(s.text, name(s.terms[0]), name(s.terms[1]) if s.operator else None, s.operator, chains.index(s.transforms)) for s in found.values()]
+    table = days.sparkSession.createDataFrame(plan, "spec string, a string, b string, op string, chain int")  # one row a spec
     rows = grid.select(F.col("key").alias("a"), "date", F.col("value").alias("x")).join(table, "a").join(grid.select(F.col("key").alias("b"), "date", F.col("value").alias("y")), ["b", "date"], "left")
     value = F.when(F.col("op") == "/", F.when(F.col("y") != 0, F.col("x") / F.col("y"))).when(F.col("op") == "-", F.col("x") - F.col("y")).otherwise(F.col("x"))
     out = rows.select(F.col("spec").alias("key"), "date", value.alias("value"), "chain")
-    done = []
-    for chain in sorted({p[4] for p in plan}):
-        group = out.where(F.col("chain") == chain)
-        for text in chain.split("|") if chain else []:
-            name, _, n = text.partition(":")
-            make = TRANSFORMS[name][0]
-            group = group.withColumn("value", make() if n == "None" else make(int(n)))
-        done.append(group.select("key", "date", "value"))
+    done = [transformed(out.where(F.col("chain") == i).drop("chain"), chain, registry).select("key", "date", "value") for i, chain in enumerate(chains)]
     out = reduce(DataFrame.unionByName, done)
     if start:
         out = out.where(F.col("date") >= F.lit(start).cast("date"))

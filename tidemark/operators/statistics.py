@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -12,11 +13,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def lag_products(rows: DataFrame, keys: list[str], order: list[str], value: str, lags: Column | int | None, most: int) -> DataFrame:
+def usual_lags(n: int) -> int:
+    return int(4 * (n / 100) ** (2 / 9))
+
+
+def lag_products(rows: DataFrame, keys: list[str], order: list[str], value: str, lags: Column | int | None, most: int | None = None) -> DataFrame:
     """Per key n, and the long-run sum of squares of ``value`` with Bartlett weights: lags None is floor(4 (n / 100)^(2/9)).
 
-    ``most`` bounds the lags that are formed; 20 do for four hundred thousand values.
+    ``most`` is the greatest number of lags of any key; without it, it follows from the longest key.
     """
+    if most is None:
+        most = lags if isinstance(lags, int) else usual_lags(rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) + 1
     by = W.partitionBy(*keys).orderBy(*order)
     shifted = rows.withColumns({f"_g{k}": F.col(value) * F.lag(value, k).over(by) for k in range(1, most + 1)})
     out = shifted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * F.col(value)).alias("_g0"), *(F.coalesce(F.sum(f"_g{k}"), F.lit(0.0)).alias(f"_g{k}") for k in range(1, most + 1)))
@@ -28,11 +35,11 @@ def lag_products(rows: DataFrame, keys: list[str], order: list[str], value: str,
     return out.select(*keys, "n", F.greatest(total, F.lit(0.0)).alias("long_run"))
 
 
-def newey_west(series: DataFrame, lags: int | None = None, most: int = 20) -> DataFrame:
+def newey_west(series: DataFrame, lags: int | None = None) -> DataFrame:
     """STS-01: mean, error with autocovariances (Bartlett weights) and 95% interval per key; null under 3 values. Lags follow n unless given."""
     rows = series.where("value IS NOT NULL")
     centred = rows.withColumn("e", F.col("value") - F.avg("value").over(W.partitionBy("key")))
-    sums = lag_products(centred, ["key"], ["date"], "e", lags, most if lags is None else lags)
+    sums = lag_products(centred, ["key"], ["date"], "e", lags)
     out = rows.groupBy("key").agg(F.avg("value").alias("mean")).join(sums, "key")
     error = F.when(F.col("n") >= 3, F.sqrt("long_run") / F.col("n"))
     return out.select("key", "n", "mean", error.alias("error"), (F.col("mean") - 1.96 * error).alias("low"), (F.col("mean") + 1.96 * error).alias("high"))
@@ -160,10 +167,24 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def bonferroni_t(trials: Column, alpha: float = 0.05, most: int = 1000) -> Column:
-    """STS-09: the t that a number of trials asks for, from a table up to ``most``."""
-    table = F.array(*(F.lit(normal_quantile(1 - alpha / n / 2)) for n in range(1, most + 1)))
-    return F.get(table, trials.cast("int") - 1)
+#: Coefficients of the rational approximation of the normal quantile (fixed values).
+CENTRE_TOP = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+CENTRE_LOW = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+TAIL_TOP = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+TAIL_LOW = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+
+
+def upper_quantile(p: Column) -> Column:
+    """STS-09: the normal score that is exceeded with probability p (above 0 and up to one half); relative error below 1.2e-9, at any p."""
+    fold = lambda c, x: reduce(lambda a, b: a * x + b, c[1:], F.lit(c[0]))
+    q = 0.5 - p
+    tail = F.sqrt(-2 * F.log(p))
+    return F.when(p < 0.02425, -fold(TAIL_TOP, tail) / fold(TAIL_LOW, tail)).otherwise(q * fold(CENTRE_TOP, q * q) / fold(CENTRE_LOW, q * q))
+
+
+def bonferroni_t(trials: Column, alpha: float = 0.05) -> Column:
+    """STS-09: the two-sided t that a number of trials asks for; null without a trial."""
+    return F.when(trials >= 1, upper_quantile(F.lit(alpha) / trials / 2))
 
 
 def trial_guard(log: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import breadth, fundamentals, identity
+from tidemark.operators import breadth, fundamentals, identity, prices
 from tidemark.plans.registry import query
 
 R = lambda c, d=6: F.round(c, d)
@@ -122,8 +122,12 @@ def magic_rank(s, closes):
     return fundamentals.magic_rank(m).select("security_id", "rank")
 
 
-@query("out_01_forward_returns", "closes", sql="""WITH r AS (SELECT *, lead(close, 1) OVER o AS e, lead(close, 22) OVER o AS e21, lead(close, 64) OVER o AS e63, list(close) OVER (PARTITION BY security_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 64 FOLLOWING) AS w FROM closes WINDOW o AS (PARTITION BY security_id ORDER BY date))
- SELECT security_id, date, round(e21 / e - 1, 6) AS ret_21, round(e63 / e - 1, 6) AS ret_63, CASE WHEN e63 IS NOT NULL THEN round(list_min(list_transform(range(1, len(w) + 1), lambda i: w[i] / list_max(w[1:i]) - 1)), 6) END AS max_drawdown FROM r""")
+FORWARD = """cal AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM closes WHERE security_id = 0)), ps AS (SELECT security_id, date, close, i, n FROM closes JOIN cal USING (date) WHERE close > 0),
+ aw AS (SELECT *, last_value(close) OVER (w RANGE BETWEEN CURRENT ROW AND 21 FOLLOWING) AS l21, last_value(close) OVER (w RANGE BETWEEN CURRENT ROW AND 63 FOLLOWING) AS l63, list(close) OVER (w RANGE BETWEEN CURRENT ROW AND 63 FOLLOWING) AS l FROM ps WINDOW w AS (PARTITION BY security_id ORDER BY i)),
+ fw AS MATERIALIZED (SELECT s.security_id, s.date, CASE WHEN e.i + 21 <= e.n THEN e.l21 / e.close - 1 END AS ret_21, CASE WHEN e.i + 63 <= e.n THEN e.l63 / e.close - 1 END AS ret_63, CASE WHEN e.i + 63 <= e.n THEN list_min(list_transform(range(1, len(e.l) + 1), lambda k: e.l[k] / list_max(e.l[1:k]) - 1)) END AS max_drawdown FROM ps s LEFT JOIN aw e ON e.security_id = s.security_id AND e.i = s.i + 1)"""
+
+
+@query("out_01_forward_returns", "closes", sql=f"WITH {FORWARD} SELECT security_id, date, round(ret_21, 6) AS ret_21, round(ret_63, 6) AS ret_63, round(max_drawdown, 6) AS max_drawdown FROM fw")
 def forward_returns(closes):
-    out = fundamentals.forward_returns(closes, [21, 63])
+    out = fundamentals.forward_returns(closes, prices.calendar(closes), [21, 63])
     return out.select("security_id", "date", *(R(F.col(c)).alias(c) for c in ("ret_21", "ret_63", "max_drawdown")))

@@ -149,12 +149,12 @@ def names(s):
 def cross_listings(s):
     word = F.translate(F.col("security_id").cast("string"), "0123456789", "abcdefghij")
     left = s.select(F.col("security_id").alias("id"), F.concat(word, F.lit(" Motor Corp")).alias("name"))
-    right = s.where("security_id % 4 <> 0").select((F.col("security_id") + 1_000_000).alias("id"), F.concat(word, F.lit(" MOTORS PLC ADR")).alias("name"))
+    right = s.where("security_id % 4 <> 0").select((F.col("security_id") + 1_000_000).alias("id"), F.concat(word, F.lit(" MOTORS PLC-SPON ADR B")).alias("name"))
     return identity.match_names(left, right)
 
 
 @query("idn_11_ratios", "closes", sql="""WITH r AS (SELECT * FROM closes WHERE date <= DATE '1998-06-30' AND date > DATE '1998-06-30' - 180 AND close > 0), p AS (SELECT a.security_id AS receipt, b.security_id AS ordinary, a.date, min_by(a.close / b.close, a.date - b.date) AS q FROM r a JOIN r b ON b.security_id = a.security_id + 1 AND a.date - b.date BETWEEN 0 AND 1 WHERE a.security_id % 2 = 1 GROUP BY 1, 2, 3),
- m AS (SELECT receipt, ordinary, count(*) AS n, median(q) AS ratio FROM p GROUP BY 1, 2 HAVING count(*) >= 3), k(v) AS (SELECT unnest([0.01, 0.02, 0.05, 0.1, 0.2, 0.25, 1/3, 0.5, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 16, 20, 25, 30, 40, 50, 100]::DOUBLE[])), z AS (SELECT receipt, ordinary, n, ratio, (SELECT arg_min(v, abs(ln(ratio / v))) FROM k) AS nice FROM m)
+ m AS (SELECT receipt, ordinary, count(*) AS n, median(q) AS ratio FROM p GROUP BY 1, 2 HAVING count(*) >= 3), k(v) AS (SELECT unnest([0.1, 0.125, 0.2, 0.25, 1/3, 0.5, 1, 2, 3, 4, 5, 6, 8, 10, 15, 20, 25, 40, 50, 100]::DOUBLE[])), z AS (SELECT receipt, ordinary, n, ratio, (SELECT arg_min(v, abs(ratio - v) / v) FROM k) AS nice FROM m)
  SELECT receipt, ordinary, n, round(ratio, 6) AS ratio, CASE WHEN abs(ratio / nice - 1) <= 0.08 THEN round(nice, 6) END AS nice FROM z""")
 def ratios(closes):
     pairs = closes.where("security_id % 2 = 1").select(F.col("security_id").alias("receipt"), (F.col("security_id") + 1).alias("ordinary")).distinct()

@@ -213,7 +213,7 @@ def presets(closes, s):
 
 
 @query("scr_04_backtest", "closes", sql="""WITH cal AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM closes WHERE security_id = 0)), s(as_of) AS (VALUES (DATE '1996-01-15'), (DATE '1997-01-15'), (DATE '1998-01-15')), e AS (SELECT as_of, min(i) AS i FROM s JOIN cal ON date > as_of GROUP BY 1), k AS (SELECT DISTINCT security_id FROM closes),
- mk AS (SELECT as_of, h, date FROM e CROSS JOIN (VALUES (0), (63), (126)) t(h) JOIN cal c ON c.i = e.i + h), a AS (SELECT as_of, h, date, security_id FROM mk CROSS JOIN k), p AS (SELECT a.as_of, a.h, a.security_id, c.close AS price FROM a ASOF LEFT JOIN (SELECT * FROM closes WHERE close > 0) c ON c.security_id = a.security_id AND c.date <= a.date),
+ mk AS (SELECT as_of, h, date FROM e CROSS JOIN (VALUES (0), (63), (126)) t(h) JOIN cal c ON c.i = e.i + h), a AS (SELECT as_of, h, date, security_id FROM mk CROSS JOIN k), p AS (SELECT a.as_of, a.h, a.security_id, CASE WHEN a.h > 0 OR c.date = a.date THEN c.close END AS price FROM a ASOF LEFT JOIN (SELECT * FROM closes WHERE close > 0) c ON c.security_id = a.security_id AND c.date <= a.date),
  r AS (SELECT p.as_of, p.h, p.security_id, p.price / q.price - 1 AS ret, p.security_id % 5 = 1 AS picked FROM p JOIN p q ON q.as_of = p.as_of AND q.h = 0 AND q.security_id = p.security_id WHERE p.h > 0 AND q.price IS NOT NULL)
  SELECT as_of, CAST(h AS INT) AS h, count(ret) FILTER (picked) AS picks, round(avg(ret) FILTER (picked), 6) AS mean, round(median(ret) FILTER (picked), 6) AS median, round(avg(ret), 6) AS universe_mean, round(median(ret), 6) AS universe_median, round(max(b), 6) AS bench FROM r LEFT JOIN (SELECT as_of, h, ret AS b FROM r WHERE security_id = 0) z USING (as_of, h) WHERE security_id != 0 GROUP BY 1, 2""")
 def screen_backtest(closes):

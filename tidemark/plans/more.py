@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import breadth, identity, macro, portfolio, prices, statistics
+from tidemark.operators import breadth, fundamentals, identity, macro, portfolio, prices, statistics
+from tidemark.plans.companies import FORWARD
 from tidemark.plans.registry import query
 
 R = lambda c, d=6: F.round(c, d)
@@ -98,15 +99,12 @@ def filter_screen(s, closes):
     return rows.orderBy(F.asc_nulls_last("spread"), "security_id").limit(40).select("security_id", "price", "spread")
 
 
-@query("out_02_excess", "closes", "securities", sql="""WITH r AS (SELECT c.security_id, date, lead(close, 21) OVER (PARTITION BY c.security_id ORDER BY date) / close - 1 AS r, cik % 3 AS g FROM closes c JOIN securities USING (security_id)), m AS (SELECT *, median(r) OVER (PARTITION BY date) AS u, median(r) OVER (PARTITION BY date, g) AS s, count(r) OVER (PARTITION BY date, g) AS n FROM r WHERE r IS NOT NULL)
- SELECT security_id, date, round(r - u, 6) AS over_universe, CASE WHEN n >= 2 THEN round(r - s, 6) END AS over_sector FROM m""")
+@query("out_02_excess", "closes", "securities", sql=f"""WITH {FORWARD}, m AS (SELECT security_id, date, ret_21, median(ret_21) OVER (PARTITION BY date) AS u, median(ret_21) OVER (PARTITION BY date, cik % 3) AS s, count(ret_21) OVER (PARTITION BY date, cik % 3) AS n FROM fw JOIN securities USING (security_id) WHERE ret_21 IS NOT NULL)
+ SELECT security_id, date, round(ret_21 - u, 6) AS over_universe, CASE WHEN n >= 2 THEN round(ret_21 - s, 6) END AS over_sector FROM m""")
 def excess(closes, s):
-    by = W.partitionBy("security_id").orderBy("date")
-    r = closes.join(s.select("security_id", (F.col("cik") % 3).alias("g")), "security_id").withColumn("r", F.lead("close", 21).over(by) / F.col("close") - 1).where("r IS NOT NULL")
-    middle = r.groupBy("date").agg(F.percentile("r", F.lit(0.5)).alias("u"))
-    groups = r.groupBy("date", "g").agg(F.percentile("r", F.lit(0.5)).alias("s"), F.count("r").alias("n"))
-    out = r.join(middle, "date").join(groups, ["date", "g"])
-    return out.select("security_id", "date", R(F.col("r") - F.col("u")).alias("over_universe"), F.when(F.col("n") >= 2, R(F.col("r") - F.col("s"))).alias("over_sector"))
+    outcomes = fundamentals.forward_returns(closes, prices.calendar(closes), [21]).join(s.select("security_id", (F.col("cik") % 3).alias("sector")), "security_id")
+    out = fundamentals.over_peers(outcomes, "ret_21", "sector")
+    return out.select("security_id", "date", R(F.col("over_universe")).alias("over_universe"), R(F.col("over_sector")).alias("over_sector"))
 
 
 @query("sts_21_calendar_time", "closes", sql="""WITH r AS (SELECT security_id % 3 AS g, date_trunc('month', date)::DATE AS period, close / lag(close) OVER (PARTITION BY security_id ORDER BY date) - 1 AS x FROM closes), m AS (SELECT g, period, avg(x) AS m FROM r WHERE x IS NOT NULL GROUP BY 1, 2)

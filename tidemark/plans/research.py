@@ -213,11 +213,11 @@ def expanding(closes):
 RETS = "r AS (SELECT key, date, CASE WHEN lag(value) OVER o != 0 THEN value / lag(value) OVER o - 1 END AS value FROM series WINDOW o AS (PARTITION BY key ORDER BY date))"
 
 
-@query("sts_01_newey_west", "series", sql=f"""WITH {RETS}, v AS (SELECT key, date, value, value - avg(value) OVER (PARTITION BY key) AS e FROM r WHERE value IS NOT NULL), g AS (SELECT *, {', '.join(f'e * lag(e, {k}) OVER (PARTITION BY key ORDER BY date) AS g{k}' for k in range(1, 13))} FROM v),
- z AS (SELECT key, count(*) AS n, avg(value) AS mean, sum(e * e) AS g0, {', '.join(f'coalesce(sum(g{k}), 0) AS g{k}' for k in range(1, 13))}, floor(4 * pow(count(*) / 100.0, 2.0 / 9)) AS L FROM g GROUP BY 1),
- a AS (SELECT key, n, mean, sqrt(greatest(g0 + {' + '.join(f'CASE WHEN L >= {k} THEN 2 * (1 - {k} / (L + 1)) * g{k} ELSE 0 END' for k in range(1, 13))}, 0)) / n AS error FROM z) SELECT key, n, round(mean, 6) AS mean, round(error, 6) AS error, round(mean - 1.96 * error, 5) AS low, round(mean + 1.96 * error, 5) AS high FROM a WHERE n >= 3""")
+@query("sts_01_newey_west", "series", sql=f"""WITH {RETS}, v AS (SELECT key, date, value, value - avg(value) OVER (PARTITION BY key) AS e FROM r WHERE value IS NOT NULL), g AS (SELECT *, {', '.join(f'e * lag(e, {k}) OVER (PARTITION BY key ORDER BY date) AS g{k}' for k in range(1, 41))} FROM v),
+ z AS (SELECT key, count(*) AS n, avg(value) AS mean, sum(e * e) AS g0, {', '.join(f'coalesce(sum(g{k}), 0) AS g{k}' for k in range(1, 41))}, floor(4 * pow(count(*) / 100.0, 2.0 / 9)) AS L FROM g GROUP BY 1),
+ a AS (SELECT key, n, mean, sqrt(greatest(g0 + {' + '.join(f'CASE WHEN L >= {k} THEN 2 * (1 - {k} / (L + 1)) * g{k} ELSE 0 END' for k in range(1, 41))}, 0)) / n AS error FROM z) SELECT key, n, round(mean, 6) AS mean, round(error, 6) AS error, round(mean - 1.96 * error, 5) AS low, round(mean + 1.96 * error, 5) AS high FROM a WHERE n >= 3""")
 def newey_west(s):
-    out = statistics.newey_west(s.select("key", "date", indicators.ret().alias("value")), most=12).where("n >= 3")
+    out = statistics.newey_west(s.select("key", "date", indicators.ret().alias("value"))).where("n >= 3")
     return out.select("key", "n", *(R(F.col(c)).alias(c) for c in ("mean", "error")), *(R(F.col(c), 5).alias(c) for c in ("low", "high")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, macro, prices, series
+from tidemark.operators import indicators, macro, prices, rules, series
 from tidemark.plans.registry import query
 
 R = lambda c, d=6: F.round(c, d)
@@ -23,8 +23,8 @@ def _vintages(v):
     return series.latest_revision(v).select(F.col("series_id").alias("ident"), F.col("date").alias("known_on"), "value")
 
 
-series.register_source("px", _prices)
-series.register_source("fred", _vintages)
+#: The sources that the queries of specs and rules know.
+SOURCES = series.STANDARD.with_source("px", _prices).with_source("fred", _vintages)
 SPECS = ["px:1", "px:2/px:0", "px:3 - px:0|sma:5", "px:0|ret:3|z:10", "fred:click|high:4"]
 
 
@@ -33,8 +33,9 @@ SPECS = ["px:1", "px:2/px:0", "px:3 - px:0|sma:5", "px:0|ret:3|z:10", "fred:clic
 def spec(closes):
     rows = []
     for s in SPECS:
-        (first, *rest), op, chain = series.spec_parts(s)
-        rows.append((s, *first, op, ":".join(rest[0]) if rest else None, "|".join(f"{n}:{w}" for n, w in chain)))
+        found = series.parsed(s, SOURCES)
+        first, *rest = found.terms
+        rows.append((s, *first, found.operator, ":".join(rest[0]) if rest else None, "|".join(f"{n}:{w}" for n, w in found.transforms)))
     table = closes.sparkSession.createDataFrame(rows, "spec string, source string, ident string, op string, other string, chain string")
     days = closes.groupBy(F.lit("px").alias("source"), F.col("security_id").cast("string").alias("ident")).agg(F.count(F.lit(1)).alias("days"))
     return table.join(days, ["source", "ident"], "left").select("spec", "source", "ident", "op", "other", "chain", F.coalesce("days", F.lit(0)).alias("days"))
@@ -50,7 +51,7 @@ def spec(closes):
  l AS (SELECT 'px:1' AS key, date, p1 AS value FROM z UNION ALL SELECT 'px:2/px:0', date, p2 / nullif(p0, 0) FROM z UNION ALL SELECT 'px:3 - px:0|sma:5', date, s FROM z UNION ALL SELECT 'px:0|ret:3|z:10', date, q FROM z UNION ALL SELECT 'fred:click|high:4', date, h FROM f)
  SELECT key, date, round(value, 6) AS value FROM l WHERE date >= DATE '1996-01-01'""")
 def build(closes, v):
-    out = series.build(SPECS, {"px": closes, "fred": v}, prices.calendar(closes), start="1996-01-01")
+    out = series.build(SPECS, {"px": closes, "fred": v}, prices.calendar(closes), SOURCES, start="1996-01-01")
     return out.withColumn("value", R(F.col("value")))
 
 
@@ -145,3 +146,21 @@ def expanding_rank(v):
 def filter_gap(s):
     rows = s.select(F.col("cik").alias("key"), F.col("period_end").alias("date"), F.log("value").alias("value"))
     return indicators.one_sided_gap(rows, 1600.0).withColumn("gap", R(F.col("gap"), 8))
+
+
+RULES = {"trend": ("1", "px:1 > px:1|sma:20 and px:2 / px:0 > 0.9"), "mixed": ("2", "px:2|ret:5 < 0 or fred:click|z:10 >= 1 and px:0 - px:3 < 100.5")}
+
+
+@query("bkt_01_spec_rules", "closes", "vintages", sql="""WITH days AS MATERIALIZED (SELECT DISTINCT date FROM closes WHERE security_id = 0),
+ px AS MATERIALIZED (SELECT d.date, k.ident, p.close AS value FROM days d CROSS JOIN (VALUES (0), (1), (2), (3)) k(ident) ASOF LEFT JOIN closes p ON p.security_id = k.ident AND p.date <= d.date),
+ fr AS (SELECT d.date, v.value AS f FROM days d ASOF LEFT JOIN (SELECT date, max_by(value, realtime_start) AS value FROM vintages WHERE series_id = 'click' GROUP BY 1 HAVING arg_max_null(value, realtime_start) IS NOT NULL) v ON v.date <= d.date),
+ w AS (SELECT a.date, max(value) FILTER (ident = 0) AS p0, max(value) FILTER (ident = 1) AS p1, max(value) FILTER (ident = 2) AS p2, max(value) FILTER (ident = 3) AS p3, max(f) AS f FROM px a JOIN fr USING (date) GROUP BY 1),
+ i AS MATERIALIZED (SELECT *, CASE WHEN count(p1) OVER v20 = 20 THEN avg(p1) OVER v20 END AS sma, p2 / nullif(lag(p2, 5) OVER o, 0) - 1 AS r5, CASE WHEN count(f) OVER v10 = 10 AND stddev_samp(f) OVER v10 != 0 THEN (f - avg(f) OVER v10) / stddev_samp(f) OVER v10 END AS z FROM w WINDOW o AS (ORDER BY date), v20 AS (ORDER BY date ROWS 19 PRECEDING), v10 AS (ORDER BY date ROWS 9 PRECEDING)),
+ s AS (SELECT 'trend' AS rule, date, p1 AS px, p1 > sma AND p2 / nullif(p0, 0) > 0.9 AS signal, p1 + sma + p2 / nullif(p0, 0) IS NOT NULL AS known FROM i UNION ALL SELECT 'mixed', date, p2, r5 < 0 OR (z >= 1 AND p0 - p3 < 100.5), r5 + z + p0 + p3 IS NOT NULL FROM i),
+ b AS (SELECT *, min(date) FILTER (known AND px IS NOT NULL AND signal IS NOT NULL) OVER (PARTITION BY rule) AS start FROM s),
+ t AS (SELECT *, coalesce(px / nullif(lag(px) OVER w, 0) - 1, 0) AS bench, coalesce(lag(CASE WHEN signal THEN 1.0::DOUBLE ELSE 0 END) OVER w, 0) AS position FROM b WHERE date >= start WINDOW w AS (PARTITION BY rule ORDER BY date)),
+ r AS (SELECT *, position * bench - abs(position - coalesce(lag(position) OVER (PARTITION BY rule ORDER BY date), 0)) * 5 / 10000 AS ret FROM t)
+ SELECT rule, date, signal, position, round(ret, 6) AS ret FROM r WHERE date > start""")
+def spec_rules(closes, v):
+    out = rules.run(RULES, {"px": closes, "fred": v}, prices.calendar(closes), SOURCES)
+    return out.select(F.col("security_id").alias("rule"), "date", "signal", "position", R(F.col("ret")).alias("ret"))

@@ -55,7 +55,8 @@ def clark_west(s):
 @query("sts_09_bonferroni", "vintages")
 def bonferroni(v):
     trials = v.groupBy("series_id").agg(F.count_distinct("date").alias("trials"))
-    return trials.select("series_id", "trials", R(statistics.bonferroni_t(F.col("trials"))).alias("t"))
+    t = statistics.bonferroni_t(F.col("trials"))
+    return trials.select("series_id", "trials", R(t).alias("t"), R(statistics.normal_tail(t), 9).alias("p"))
 
 
 @query("sts_10_guard", "feed_log", sql="""WITH l AS (SELECT provider AS hypothesis, item AS variant, CASE WHEN id % 50 = 0 AND provider != 'view' THEN 'freeze' WHEN id % 51 = 0 AND provider IN ('click', 'error') THEN 'holdout' ELSE 'run' END AS kind, id AS seq FROM feed_log)
@@ -402,9 +403,11 @@ def theme_dossier(f, s, secs):
 
 @query("ext_02_event_source", "insider_transactions", "bills", sql="SELECT date, kind, title, entity, amount, ref FROM (SELECT introduced AS date, 'law' AS kind, area AS title, subject AS entity, NULL::DOUBLE AS amount, CAST(id AS VARCHAR) AS ref FROM bills UNION ALL SELECT filing_date, 'trade', trans_code, issuer_cik, shares, CAST(id AS VARCHAR) FROM insider_transactions) WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'")
 def event_source(t, b):
-    macro.register_events("law", lambda tables: tables["bills"].select(F.col("introduced").alias("date"), F.lit("law").alias("kind"), F.col("area").alias("title"), F.col("subject").alias("entity"), F.lit(None).cast("double").alias("amount"), F.col("id").cast("string").alias("ref")))
-    macro.register_events("trade", lambda tables: tables["trades"].select(F.col("filing_date").alias("date"), F.lit("trade").alias("kind"), F.col("trans_code").alias("title"), F.col("issuer_cik").alias("entity"), F.col("shares").alias("amount"), F.col("id").cast("string").alias("ref")))
-    return macro.registered_events({"bills": b, "trades": t}, ["law", "trade"], DAY("1997-01-01"), DAY("1997-03-31"))
+    none = F.lit(None).cast("double")
+    law = lambda b: b.select(F.col("introduced").alias("date"), F.lit("law").alias("kind"), F.col("area").alias("title"), F.col("subject").alias("entity"), none.alias("amount"), F.col("id").cast("string").alias("ref"))
+    trade = lambda t: t.select(F.col("filing_date").alias("date"), F.lit("trade").alias("kind"), F.col("trans_code").alias("title"), F.col("issuer_cik").alias("entity"), F.col("shares").alias("amount"), F.col("id").cast("string").alias("ref"))
+    sources = {"law": lambda tables: law(tables["bills"]), "trade": lambda tables: trade(tables["trades"])}
+    return macro.registered_events(sources, {"bills": b, "trades": t}, ["law", "trade"], DAY("1997-01-01"), DAY("1997-03-31"))
 
 
 @query("ext_04_statistic", "statement_items")

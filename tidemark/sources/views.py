@@ -78,8 +78,9 @@ VIEWS = {
 #: A ledger with every kind of record: transfers, reinvestments and, for every third symbol, splits as a broker books them.
 VIEWS["ledger"] = f"""SELECT id, account_id, trade_date, symbol, CASE WHEN id % 29 = 0 AND CAST(symbol AS BIGINT) % 3 = 0 THEN 'split' WHEN id % 7 = 0 THEN CASE WHEN action = 'buy' THEN 'transfer_in' ELSE 'transfer_out' END WHEN id % 7 = 1 AND action = 'buy' THEN 'reinvest' ELSE action END AS action,
         CASE WHEN id % 58 = 0 AND CAST(symbol AS BIGINT) % 3 = 0 THEN -quantity ELSE quantity END AS quantity, CASE WHEN id % 35 = 0 THEN NULL ELSE price END AS price, CASE WHEN id % 5 = 0 THEN NULL ELSE amount END AS amount, CAST(1.25 AS DOUBLE) AS fees FROM ({VIEWS['transactions']}) t"""
-#: Views over other views: one close per security and day, and a series with holes.
-VIEWS["closes"] = f"SELECT security_id, date, close, volume FROM ({VIEWS['bars']}) b WHERE source = 'wide'"
+#: One close per security and day from all sources together (0: the market), and a series with holes.
+VIEWS["closes"] = f"""SELECT l_suppkey + 1 AS security_id, CAST(l_shipdate AS DATE) AS date, {_sum('l_extendedprice')} / {_sum('l_quantity')} AS close, {_sum('l_quantity', 'BIGINT')} AS volume FROM lineitem GROUP BY 1, 2
+        UNION ALL SELECT CAST(0 AS BIGINT), CAST(l_shipdate AS DATE), {_sum('l_extendedprice')} / {_sum('l_quantity')}, {_sum('l_quantity', 'BIGINT')} FROM lineitem GROUP BY 2"""
 VIEWS["series"] = f"SELECT security_id AS key, date, CASE WHEN volume % 17 = 0 THEN NULL ELSE close END AS value FROM ({VIEWS['closes']}) c"
 
 
