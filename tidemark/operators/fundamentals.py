@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import numbered
+from tidemark.functions.ranks import numbered, staged
 from tidemark.functions.windows import running_product
 
 
@@ -106,40 +108,67 @@ def over_peers(outcomes: DataFrame, value: str, group: str, least: int = 2) -> D
     return out.withColumns({"over_universe": F.col(value) - F.col("_u"), f"over_{group}": F.when(F.col("_n") >= least, F.col(value) - F.col("_g"))}).drop("_u", "_g", "_n")
 
 
+#: Forms of annual reports, and of reports on the stub when a year end moves (fixed values); amendments end in /A.
+ANNUAL, TRANSITION = ["10-K", "20-F", "40-F", "annual"], ["10-KT"]
+
+
 def fiscal_ends(facts: DataFrame) -> DataFrame:
     """FND-02: year ends of an issuer: of each annual filing the latest annual period end not after it (dei left out), with the commonest year label.
 
-    facts: accession, cik, taxonomy, form, period_start, period_end, filed, fiscal_year.
+    A transition report counts with its latest period of any length: that end is
+    the new year end. Instants do not count, nor filings without a year label;
+    where ``filing_period`` is given, an annual filing's must be FY. facts:
+    accession, cik, taxonomy, form, period_start, period_end, filed, fiscal_year.
     """
-    annual = facts.where((F.col("taxonomy") != "dei") & F.regexp_replace("form", "/A$", "").isin("10-K", "20-F", "40-F") & (F.col("period_end") <= F.col("filed")) & (period_type(F.col("period_start"), F.col("period_end")) == "annual"))
-    ends = annual.groupBy("cik", "accession").agg(F.max(F.struct("period_end", "fiscal_year")).alias("x")).select("cik", "x.*")
+    form = F.regexp_replace("form", "/A$", "")
+    full = form.isin(ANNUAL) & (period_type(F.col("period_start"), F.col("period_end")) == "annual")
+    if "filing_period" in facts.columns:
+        full = full & (F.col("filing_period") == "FY")
+    sound = (F.col("taxonomy") != "dei") & F.col("period_start").isNotNull() & F.col("fiscal_year").isNotNull() & (F.col("filed").isNull() | (F.col("period_end") <= F.col("filed")))
+    used = facts.where(sound & (full | form.isin(TRANSITION)))
+    ends = used.groupBy("cik", "accession").agg(F.max(F.struct("period_end", "fiscal_year")).alias("x")).select("cik", "x.*")
     labels = ends.groupBy("cik", "period_end", "fiscal_year").agg(F.count(F.lit(1)).alias("n"))
     return labels.groupBy("cik", "period_end").agg(F.max_by("fiscal_year", F.struct("n", "fiscal_year")).alias("fiscal_year"))
 
 
 def year_distance(a: Column, b: Column) -> Column:
-    """Days between two dates within the year, over New Year where that is shorter."""
-    d = F.abs(F.dayofyear(a) - F.dayofyear(b))
-    return F.least(d, 365 - d)
+    """Days between two dates' places in a leap year, over New Year where that is shorter."""
+    place = lambda d: F.dayofyear(F.make_date(F.lit(2000), F.month(d), F.dayofmonth(d)))
+    d = F.abs(place(a) - place(b))
+    return F.least(d, 366 - d)
 
 
-def year_end_regimes(ends: DataFrame, near: int = 10, rounds: int = 3) -> DataFrame:
-    """FND-03: runs of year ends at about the same day of the year; a lone end that is not the last goes and the rest is grouped again.
+def year_end_regimes(ends: DataFrame, near: int = 10) -> DataFrame:
+    """FND-03: runs of year ends at about the same day of the year; lone ends before the last run go and the rest is grouped again, until none is left.
 
-    Every round is two windows over an issuer's few ends; ``rounds`` bounds how
-    many lone ends in a row are taken out.
+    A round is two windows over the issuers that still change; those that are
+    settled are put aside. Every round takes an end of each such issuer away, so
+    it ends; its tables are written, so the plan does not grow.
     """
     by = W.partitionBy("cik").orderBy("period_end")
-    rows = ends
-    for k in range(rounds + 1):
-        begins = F.coalesce(year_distance(F.col("period_end"), F.lag("period_end").over(by)) > near, F.lit(True)).cast("int")
-        rows = rows.withColumn("_b", begins).withColumn("segment", F.sum("_b").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_b")
-        if k < rounds:
-            lone = (F.count(F.lit(1)).over(W.partitionBy("cik", "segment")) == 1) & (F.col("segment") < F.max("segment").over(W.partitionBy("cik")))
-            rows = rows.withColumn("_l", lone).where("NOT _l").drop("_l", "segment")
-    offset = F.col("fiscal_year") - F.year("period_end")
-    labels = rows.groupBy("cik", "segment", offset.alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.max("period_end").alias("last"))
-    return labels.groupBy("cik", "segment").agg(F.max("last").alias("last_end"), F.max_by("offset", F.struct("n", "offset")).alias("offset")).select("cik", "segment", F.month("last_end").alias("month"), F.dayofmonth("last_end").alias("day"), "offset", "last_end")
+    begins = F.coalesce(year_distance(F.col("period_end"), F.lag("period_end").over(by)) > near, F.lit(True)).cast("int")
+    lone = (F.count(F.lit(1)).over(W.partitionBy("cik", "segment")) == 1) & (F.col("segment") < F.max("segment").over(W.partitionBy("cik")))
+    open_, settled = ends.select("cik", "period_end", "fiscal_year"), []
+    while True:
+        runs = open_.withColumn("_b", begins).withColumn("segment", F.sum("_b").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_b")
+        runs = staged(runs.withColumn("_lone", lone).withColumn("_open", F.max("_lone").over(W.partitionBy("cik"))), "regimes")
+        settled.append(runs.where("NOT _open").drop("_lone", "_open"))
+        open_ = runs.where("_open AND NOT _lone").select("cik", "period_end", "fiscal_year")
+        if not runs.where("_open").limit(1).count():
+            break
+    rows = reduce(DataFrame.unionByName, settled)
+    last = rows.withColumn("_last", F.max("period_end").over(W.partitionBy("cik", "segment")))
+    # the label's distance from the year of the nominal end at or after the end less the tolerance
+    offset = F.col("fiscal_year") - F.year(nominal_end(F.col("period_end"), F.month("_last"), F.dayofmonth("_last"), near))
+    labels = last.groupBy("cik", "segment", offset.alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.max("period_end").alias("last"), F.min("period_end").alias("_f"))
+    return labels.groupBy("cik", "segment").agg(F.max("last").alias("last_end"), F.max_by("offset", F.struct("n", -F.unix_date("_f"))).alias("offset")).select("cik", "segment", F.month("last_end").alias("month"), F.dayofmonth("last_end").alias("day"), "offset", "last_end")
+
+
+def nominal_end(date: Column, month: Column, day: Column, near: int = 10) -> Column:
+    """The first nominal year end (29 February clamped) on or after the date less ``near`` days."""
+    late = F.date_sub(date, near)
+    on = lambda y: F.date_add(F.make_date(y, month, F.lit(1)), F.least(day, F.dayofmonth(F.last_day(F.make_date(y, month, F.lit(1))))) - 1)
+    return F.when(on(F.year(late)) >= late, on(F.year(late))).otherwise(on(F.year(late) + 1))
 
 
 def located(rows: DataFrame, regimes: DataFrame) -> DataFrame:
@@ -152,10 +181,7 @@ def located(rows: DataFrame, regimes: DataFrame) -> DataFrame:
     late = F.date_sub("date", 10)
     rank = F.struct((F.col("last_end") < late).cast("int"), F.when(F.col("last_end") < late, -F.datediff("last_end", F.lit("1970-01-01").cast("date"))).otherwise(F.datediff("last_end", F.lit("1970-01-01").cast("date"))))
     best = pairs.groupBy("cik", "date").agg(F.min_by(F.struct("month", "day", "offset"), rank).alias("r"))
-    nominal = lambda y: F.date_add(F.make_date(y, F.col("r.month"), F.lit(1)), F.least(F.col("r.day"), F.dayofmonth(F.last_day(F.make_date(y, F.col("r.month"), F.lit(1))))) - 1)
-    year = F.year(late)
-    end = F.when(nominal(year) >= late, nominal(year)).otherwise(nominal(year + 1))
-    out = best.withColumn("year_end", end)
+    out = best.withColumn("year_end", nominal_end(F.col("date"), F.col("r.month"), F.col("r.day")))
     quarter = F.greatest(F.lit(1), F.least(F.lit(4), (4 - F.bround(F.datediff("year_end", "date") / 91.31)).cast("int")))
     return out.select("cik", "date", "year_end", (F.year("year_end") + F.col("r.offset")).alias("fiscal_year"), quarter.alias("quarter"))
 

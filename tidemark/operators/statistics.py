@@ -152,6 +152,28 @@ def bootstrap(rows: DataFrame, draws: DataFrame, statistic: Callable[..., Column
     return values.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def block_draws(rows: DataFrame, keys: list[str], replicates: int = 2000, block: int = 10, seed: int = 7) -> DataFrame:
+    """STS-03: keys, rep, i: the rows of moving-block samples as long as the data, for ``bootstrap`` with any statistic. rows: keys, i from 0.
+
+    Keys with fewer rows than a block have no samples. Block starts are seeded hashes.
+    """
+    sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= block)
+    reps = sized.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_b", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int"))))
+    starts = reps.withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), *keys, "rep", "_b"), F.col("_n") - block + 1))
+    inside = starts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("_b") * block + F.col("_o") < F.col("_n"))
+    return inside.select(*keys, "rep", (F.col("_s") + F.col("_o")).alias("i"))
+
+
+def cluster_draws(rows: DataFrame, keys: list[str], cluster: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """STS-04: keys, rep, i: the rows of samples of whole clusters, as many as there are, for ``bootstrap`` with any statistic. rows: keys, cluster, i."""
+    order = W.partitionBy(*keys)
+    clusters = rows.select(*keys, F.col(cluster).alias("_c")).distinct().withColumns({"_j": F.row_number().over(order.orderBy("_c")) - 1, "_g": F.count(F.lit(1)).over(order)})
+    reps = clusters.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = reps.select(*keys, "rep", F.pmod(F.xxhash64(F.lit(seed), *keys, "rep", "_j"), F.col("_g")).cast("int").alias("_j"))
+    members = rows.select(*keys, F.col(cluster).alias("_c"), "i").join(clusters.select(*keys, "_c", "_j"), [*keys, "_c"])
+    return drawn.join(members, [*keys, "_j"]).select(*keys, "rep", "i")
+
+
 def clark_west(rows: DataFrame, lags: int = 0) -> DataFrame:
     """STS-07: t and one-sided p that the model beats the nested base, and 1 - MSE(model) / MSE(base). rows: key, date, actual, base, model."""
     y, f1, f2 = F.col("actual"), F.col("base"), F.col("model")
@@ -227,17 +249,99 @@ def logit_fit(rows: DataFrame, names: list[str], outcome: str, events: int = 10,
     return [float(beta[0]) - sum(w * stats[f"m_{n}"] for w, n in zip(slopes, names, strict=True)), *slopes]
 
 
-def leave_one_out(rows: DataFrame, group: str, groups: list, names: list[str], outcome: str) -> DataFrame:
-    """STS-12: for each group the AUC on it of a logit fitted without it. The groups are a short list."""
-    scored = None
-    for g in groups:
-        fit = logit_fit(rows.where(F.col(group) != g), names, outcome)
-        if fit is None:
-            continue
-        eta = sum((w * F.col(n) for w, n in zip(fit[1:], names, strict=True)), F.lit(fit[0]))
-        part = rows.where(F.col(group) == g).select(F.col(group), F.round(eta, 9).alias("score"), F.col(outcome).cast("int").alias("label"))
-        scored = part if scored is None else scored.unionByName(part)
-    return auc(scored, group, "score", "label")
+def _standard(rows: DataFrame, names: list[str], outcome: str, kept: list[str]) -> tuple[DataFrame, dict]:
+    """``kept``, o and z0 (one), z1, ... (features in standard units) of rows with every input, and the count of rows and events."""
+    usable = rows.dropna(subset=[outcome, *names])
+    stats = usable.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(outcome).cast("double")), F.lit(0.0)).alias("events"), *(F.avg(n).alias(f"m_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names)).first().asDict()
+    z = [((F.col(n) - F.lit(stats[f"m_{n}"])) / F.lit(stats[f"s_{n}"] or 1.0)).alias(f"z{i + 1}") for i, n in enumerate(names)]
+    return usable.select(*kept, F.col(outcome).cast("double").alias("o"), F.lit(1.0).alias("z0"), *z), stats
+
+
+def _newton(z: DataFrame, folds: list, k: int, group: str | None, rounds: int = 50) -> dict:
+    """The weights of a logit for each fold, which leaves its own group out (None: nothing); all folds take a step in one job.
+
+    A step sums scores and curvature by fold: (k + k (k + 1) / 2) numbers a fold reach the driver.
+    """
+    spark, betas, open_ = z.sparkSession, {f: np.zeros(k) for f in folds}, set(folds)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    for _ in range(rounds):
+        kind = z.schema[group].dataType.simpleString() if group else "int"
+        table = spark.createDataFrame([(f, betas[f].tolist()) for f in open_], f"_fold {kind}, _beta array<double>")
+        both = z.crossJoin(F.broadcast(table))  # a row a fold, and every other group's rows belong to it
+        if group:
+            both = both.where(~F.col(group).eqNullSafe(F.col("_fold")))
+        eta = sum((F.col(f"z{i}") * F.col("_beta")[i] for i in range(k)), F.lit(0.0))
+        both = both.withColumn("_p", 1 / (1 + F.exp(-eta)))
+        sums = both.groupBy("_fold").agg(*(F.sum(F.col(f"z{i}") * (F.col("o") - F.col("_p"))).alias(f"g{i}") for i in range(k)), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}") * F.col("_p") * (1 - F.col("_p"))).alias(f"h{i}_{j}") for i, j in pairs)).collect()
+        for r in sums:
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + 1e-9 * np.eye(k)
+            step = np.linalg.solve(h, np.array([r[f"g{i}"] for i in range(k)]))
+            betas[r["_fold"]] = betas[r["_fold"]] + step
+            if np.abs(step).max() < 1e-10:
+                open_.discard(r["_fold"])
+        if not open_ or not sums:
+            break
+    return betas
+
+
+def logit(rows: DataFrame, names: list[str], outcome: str, cluster: str, events: int = 5, least: int = 50) -> DataFrame:
+    """STS-13: term, coef, error, z, n, events, clusters of a pooled logit on standardised features; errors are clustered. Empty with too few rows or events.
+
+    The sandwich's middle sums the squares of the clusters' scores, with the
+    small-sample factor G / (G - 1) (n - 1) / (n - k).
+    """
+    z, stats = _standard(rows, names, outcome, [cluster])
+    kind = "term string, coef double, error double, z double, n long, events long, clusters long"
+    if stats["n"] < least or stats["events"] < events:
+        return rows.sparkSession.createDataFrame([], kind)
+    k = len(names) + 1
+    beta = _newton(z, [0], k, None)[0]
+    p = 1 / (1 + F.exp(-sum((F.col(f"z{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))))
+    scored = z.withColumn("_p", p)
+    by = scored.groupBy(cluster).agg(*(F.sum(F.col(f"z{i}") * (F.col("o") - F.col("_p"))).alias(f"u{i}") for i in range(k)))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    u = by.agg(F.count(F.lit(1)).alias("g"), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in pairs)).first()
+    h = scored.agg(*(F.sum(F.col(f"z{i}") * F.col(f"z{j}") * F.col("_p") * (1 - F.col("_p"))).alias(f"m{i}_{j}") for i, j in pairs)).first()
+    square = lambda r: np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    inverse, g, n = np.linalg.inv(square(h)), u["g"], stats["n"]
+    factor = g / (g - 1) * (n - 1) / (n - k) if g > 1 else float("nan")
+    error = np.sqrt(np.diag(inverse @ square(u) @ inverse) * factor)
+    out = [(t, float(b), float(e), float(b / e), n, int(stats["events"]), g) for t, b, e in zip(["constant", *names], beta, error, strict=True)]
+    return rows.sparkSession.createDataFrame(out, kind)
+
+
+def out_of_group(rows: DataFrame, group: str, names: list[str], outcome: str, events: int = 5) -> DataFrame:
+    """STS-12: group, score, label: each row scored by a logit fitted without its group; a group is left out if the others have too few events.
+
+    All fits take their steps together; a fold is a row of weights. The groups are few (countries, sectors).
+    """
+    z, stats = _standard(rows, names, outcome, [group])
+    each = {r[group]: r["e"] for r in z.groupBy(group).agg(F.sum("o").alias("e")).collect()}
+    folds = [g for g, e in each.items() if stats["events"] - e >= events]
+    kind = z.schema[group].dataType.simpleString()
+    betas = _newton(z, folds, len(names) + 1, group) if folds else {}
+    table = rows.sparkSession.createDataFrame([(g, b.tolist()) for g, b in betas.items()], f"_fold {kind}, _beta array<double>")
+    fit = z.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("_fold")))
+    eta = sum((F.col(f"z{i}") * F.col("_beta")[i] for i in range(len(names) + 1)), F.lit(0.0))
+    return fit.select(group, F.round(eta, 9).alias("score"), F.col("o").cast("int").alias("label"))
+
+
+def leave_one_out(rows: DataFrame, group: str, names: list[str], outcome: str) -> DataFrame:
+    """STS-12: for each group the AUC on it of a logit fitted without it."""
+    return auc(out_of_group(rows, group, names, outcome), group, "score", "label")
+
+
+def out_of_group_report(rows: DataFrame, group: str, models: dict[str, list[str]], outcome: str, share: float = 0.1) -> DataFrame:
+    """STS-12: model, n, events, auc, precision and base_rate of all groups' left-out scores together; precision is that of the top ``share`` (linear quantile).
+
+    Every model is judged on the rows that have all models' features.
+    """
+    usable = rows.dropna(subset=[outcome, *{n for names in models.values() for n in names}])
+    parts = [out_of_group(usable, group, names, outcome).select(F.lit(m).alias("model"), "score", "label") for m, names in models.items()]
+    scored = reduce(DataFrame.unionByName, parts)
+    flagged = top_share(scored, "model", "score", share)
+    hits = flagged.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("events"), F.avg(F.when(F.col("flagged"), F.col("label"))).alias("precision"), F.avg("label").alias("base_rate"))
+    return hits.join(auc(scored, "model", "score", "label").select("model", "auc"), "model").select("model", "n", "events", "auc", "precision", "base_rate")
 
 
 def warning_days(flags: DataFrame, failures: DataFrame) -> DataFrame:

