@@ -55,12 +55,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def emptied(*tables: DataFrame) -> None:
-    """Empty staged tables that nothing reads any more."""
+def deleted(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; a plan that still did would fail, not miss rows."""
     for table in tables:
-        folders = {f.rpartition("/")[0] for f in table.inputFiles()}
-        for folder in folders:
-            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import emptied, staged
+from tidemark.llm.common import deleted, staged
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -232,7 +232,7 @@ def prefix_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     indexed = F.col("place") <= F.col("n") - F.ceil(2 * p * F.col("n") / (100 + p) - 1e-9) + 1
     known = groups.select(F.col("node").alias("class_id"), "component")
     posted = staged(probed.withColumn("indexed", indexed).join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("hash", "class_id", "component", "n", "place", "indexed"), "postings")
-    emptied(rows)
+    deleted(rows)
     tops = posted.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("hash").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     # pairs inside the largest group of a list are never formed: one side is always of another group
     tagged = posted.join(tops.hint("merge"), "hash").select("hash", "class_id", "component", "n", "place", "indexed", (F.col("component") == F.col("top")).alias("main"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import emptied, staged
+from tidemark.llm.common import deleted, staged
 
 GRAM, WINDOW, LEAST, AHEAD, BEHIND, PLACES = 8, 24, 50, 56, 24, 4
 _FACTORS = np.random.default_rng(17).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,7 +180,7 @@ def repeated_passages(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM,
     wanted = entries.join(several.select("hash").hint("merge"), "hash", "left_semi").select("doc_id", "place")
     kept = staged(contexts(docs, wanted, gram=gram), "suffixes")
     spans = [staged(matches(kept, least=least, leftwards=x), "spans") for x in (False, True)]
-    emptied(entries, kept)
+    deleted(entries, kept)
     spans = spans[0].unionByName(spans[1]).distinct()
     spans = spans.groupBy("doc_id", "first", "last").agg(F.min("other_doc_id").alias("other"), F.count(F.lit(1)).alias("n"))
     by_start = W.partitionBy("doc_id").orderBy("first", "last")
