@@ -150,6 +150,7 @@ def manifest(docs: DataFrame, *, fields: Sequence[str] = ("doc_id", "source", "l
     changed = [lowered(F.col(c)) if c == text else F.col(c) for c in fields]
     hit = F.crc32(F.col(key).cast("string").cast("binary")) % tamper_every == 0
     leaves = docs.select(F.col(group).cast("string").alias("group"), F.col(key).alias("id"), leaf_digest(plain).alias("node"), F.when(hit, leaf_digest(changed)).alias("altered"))
+    leaves = staged(leaves, "merkle-digests")  # the sort samples its input, which would digest every text twice
     nodes = ranked(leaves, "merkle-leaves", "id", "node")
     tree = Tree(nodes, "merkle-blocks", F.struct("id", "altered"))
     subroots = staged(tree.roots(), "merkle-subroots")
