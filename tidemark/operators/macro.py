@@ -53,11 +53,16 @@ def pivot_panel(rows: DataFrame, variables: list[str]) -> DataFrame:
 TIMELINE = ["date", "kind", "title", "entity", "amount", "ref"]
 
 
-def timeline(sources: list[DataFrame], start, end, per_source: int) -> DataFrame:
-    """TML-01: events of all sources in a window, the newest ``per_source`` of each, newest first, ties by kind downwards."""
+def timeline(sources: list[DataFrame], start, end, per_source: int, parts: int = 64) -> DataFrame:
+    """TML-01: events of all sources in a window, the newest ``per_source`` of each, newest first, ties by kind downwards.
+
+    The newest of each of ``parts`` parts of a kind come first, so the task that
+    orders a kind gets parts times per_source rows, however many there are.
+    """
     every = reduce(DataFrame.unionByName, [s.select(*TIMELINE) for s in sources]).where((F.col("date") >= start) & (F.col("date") <= end))
-    n = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("date"), "ref"))
-    return every.withColumn("_n", n).where(F.col("_n") <= per_source).drop("_n").orderBy(F.desc("date"), F.desc("kind"), "ref")
+    n = lambda *keys: F.row_number().over(W.partitionBy("kind", *keys).orderBy(F.desc("date"), "ref"))
+    some = every.withColumn("_p", F.pmod(F.xxhash64("ref", "date"), F.lit(parts))).withColumn("_n", n("_p")).where(F.col("_n") <= per_source).drop("_p")
+    return some.withColumn("_n", n()).where(F.col("_n") <= per_source).drop("_n").orderBy(F.desc("date"), F.desc("kind"), "ref")
 
 
 def _fields(rows: DataFrame, key: list[str], fields: dict[str, Column]) -> DataFrame:

@@ -214,9 +214,9 @@ def wide_items(items, balances):
     return _wide(items, balances).select("cik", "period_end", "revenue", "revenue_0", "cash", "cash_0")
 
 
-@query("met_12_history", "closes", sql="SELECT security_id, as_of, round(close, 4) AS close, CAST(row_number() OVER (PARTITION BY security_id ORDER BY as_of DESC) AS INT) AS rank FROM (SELECT security_id, date AS as_of, close FROM closes) QUALIFY rank <= 4")
+@query("met_12_history", "closes", sql="SELECT security_id, as_of, round(close, 9) AS close, CAST(row_number() OVER (PARTITION BY security_id ORDER BY as_of DESC) AS INT) AS rank FROM (SELECT security_id, date AS as_of, close FROM closes) QUALIFY rank <= 4")
 def history(closes):
-    return metrics.history(closes.select("security_id", F.col("date").alias("as_of"), R(F.col("close"), 4).alias("close")), "security_id", 3)
+    return metrics.history(closes.select("security_id", F.col("date").alias("as_of"), R(F.col("close"), 9).alias("close")), "security_id", 3)
 
 
 @query("met_13_runway", "items", "balances", sql=f"WITH {ITEMS} SELECT cik, CASE WHEN operating_cash_flow IS NOT NULL AND capex IS NOT NULL AND cash IS NOT NULL THEN -(operating_cash_flow - abs(capex)) > 0 AND cash / CASE WHEN -(operating_cash_flow - abs(capex)) > 0 THEN -(operating_cash_flow - abs(capex)) ELSE 1 END < 1 END AS short FROM w")

@@ -487,11 +487,11 @@ def declared(log):
 
 
 @query("prc_08_price_fallback", "closes", "positions", sql="""WITH a AS (SELECT CAST(security_id AS VARCHAR) AS symbol, max_by(close, date) AS price FROM closes WHERE security_id % 2 = 1 GROUP BY 1), b AS (SELECT CAST(CAST(cusip AS BIGINT) AS VARCHAR) AS symbol, max_by(value / shares, (period, filer_cik)) AS price FROM positions WHERE put_call = '' AND shares > 0 GROUP BY 1)
- SELECT coalesce(a.symbol, b.symbol) AS symbol, round(coalesce(a.price, b.price), 4) AS price, CASE WHEN a.price IS NOT NULL THEN 'market' ELSE 'broker' END AS source FROM a FULL OUTER JOIN b ON b.symbol = a.symbol""")
+ SELECT coalesce(a.symbol, b.symbol) AS symbol, round(coalesce(a.price, b.price), 9) AS price, CASE WHEN a.price IS NOT NULL THEN 'market' ELSE 'broker' END AS source FROM a FULL OUTER JOIN b ON b.symbol = a.symbol""")
 def price_fallback(closes, p):
     market = closes.where("security_id % 2 = 1").groupBy(F.col("security_id").cast("string").alias("symbol")).agg(F.max_by("close", "date").alias("price"))
     held = p.where("put_call = '' AND shares > 0").groupBy(F.col("cusip").cast("long").cast("string").alias("symbol")).agg(F.max_by(F.col("value") / F.col("shares"), F.struct("period", "filer_cik")).alias("price"))
-    return prices.with_fallback(market, held).withColumn("price", R(F.col("price"), 4))
+    return prices.with_fallback(market, held).withColumn("price", R(F.col("price"), 9))
 
 
 @query("prc_11_best_part", "positions", sql="SELECT cusip, period, filer_cik % 3 AS part, count(*) AS n FROM positions GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY cusip, period ORDER BY count(*) DESC, filer_cik % 3) = 1")
