@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import fundamentals, premiums, statistics
+from tidemark.operators import fundamentals, identity, premiums, statistics
 
 D = dt.date.fromisoformat
 
@@ -120,3 +120,15 @@ def test_premium_months_and_rule(spark):
     always = np.array([r.ret - r.rf for r in on])
     ratio = lambda e: e.mean() / e.std(ddof=1) * 12**0.5
     assert test.months == len(on) and abs(test.difference - (ratio(rule) - ratio(always))) < 1e-9 and test.low <= test.high
+
+
+def test_members_link_by_seat_or_name(spark):
+    terms = [("a", "house", "TX", 3, "Ortega Ruiz", "Lena", None, "2021-01-03", "2023-01-03"), ("b", "house", "TX", 3, "Mills", "Gus", None, "2023-01-03", "2025-01-03"), ("c", "house", "WY", 0, "Ortega", "Tom", "Tommy", "2021-01-03", "2025-01-03"), ("d", "senate", "OH", None, "Mills", "Anna", None, "2019-01-03", "2025-01-03"), ("e", "senate", "IA", None, "Mills", "Bert", "Buddy", "2019-01-03", "2025-01-03"), ("d", "senate", "OH", None, "Mills", "Anna", None, "2025-01-03", "2031-01-03")]
+    reports = [
+        ("1", "house", "TX03", "Somebody Else", "2022-05-01", None), ("2", "house", "tx3 ", "Hon. Gus Mills", "2023-02-01", None), ("3", "house", "WYAL", None, "2022-05-01", None), ("4", "house", None, "Órtega  Ruiz, L. Jr", "2022-05-01", None),
+        ("5", "house", "TX03", "Nobody", "2023-02-01", None), ("6", "senate", "OH", "MILLS, ANNA B.", "2025-02-01", None), ("7", "senate", None, "Mills", "2022-05-01", None), ("8", "senate", None, "Buddy Mills III", None, 2022), ("9", "senate", None, "Mills", None, None), ("10", "senate", "", "Mills", "2027-05-01", None), ("11", "house", None, "Tommy Ortega", "2022-05-01", None),
+    ]
+    t = spark.createDataFrame([(*r[:7], D(r[7]), D(r[8])) for r in terms], "member string, chamber string, state string, district int, last string, first string, nickname string, start date, end date")
+    r = spark.createDataFrame([(*x[:4], x[4] and D(x[4]), x[5]) for x in reports], "doc_id string, chamber string, state string, name string, filed date, year int")
+    got = {x.doc_id: (x.member, x.method) for x in identity.member_links(r, t).collect()}
+    assert got == {"1": ("a", "district"), "2": ("b", "district"), "3": ("c", "district"), "6": ("d", "name"), "8": ("e", "name"), "10": ("d", "name"), "11": ("c", "name")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,6 +80,66 @@ def interval_members(reports: DataFrame, terms: DataFrame, grace: int = 120) ->
     return hit.groupBy("doc_id").agg(F.count_distinct("member").alias("_n"), F.min("member").alias("member")).where("_n = 1").drop("_n")
 
 
+#: Parts of a name that do not tell people apart (fixed values).
+NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "md", "phd", "hon"]
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks and the letters without, from their Unicode decompositions."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0xC0, 0x250)]
+    kept = [(a, b) for a, b in pairs if len(b) == 1]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+MARKED, PLAIN = _plain_letters()
+
+
+def person_words(name: Column) -> Column:
+    """The distinct words of a person's name, in plain lower case, without suffixes and single letters."""
+    letters = F.regexp_replace(F.lower(F.translate(F.coalesce(name, F.lit("")), MARKED, PLAIN)), "[^a-z]+", " ")
+    return F.array_distinct(F.filter(F.split(letters, " "), lambda w: (F.length(w) > 1) & ~w.isin(NAME_SUFFIXES)))
+
+
+def member_links(reports: DataFrame, terms: DataFrame, grace: int = 120) -> DataFrame:
+    """IDN-12: doc_id, member and method (district or name) of each report that one serving member can have filed.
+
+    A house report's seat (two letters and a number, AL is 0) names the member;
+    where two held it around the day, the one whose last name the filer's holds.
+    Else, of the chamber's members whose last name the filer's holds, the only
+    one, or the only one whose first name or nickname is among its other words.
+    Without a filing day, 1 July of the year stands in. reports: doc_id, chamber,
+    state, name, filed, year; terms: member, chamber, state, district, last,
+    first, nickname, start, end.
+
+    Names meet on the rarest word of the last name, so a word that many filers
+    share makes no candidates where a rarer one tells.
+    """
+    day = F.coalesce("filed", F.make_date(F.col("year"), F.lit(7), F.lit(1)))
+    seat = F.upper(F.trim(F.coalesce("state", F.lit(""))))
+    pattern = r"^([A-Z]{2})(\d{1,2}|AL)$"
+    number = F.regexp_extract(seat, pattern, 2)
+    asked = reports.select("doc_id", "chamber", day.alias("day"), person_words(F.col("name")).alias("words"), F.when((F.col("chamber") == "house") & seat.rlike(pattern), F.regexp_extract(seat, pattern, 1)).alias("seat"), F.when(number == "AL", 0).when(number != "", number.try_cast("int")).alias("district")).where("day IS NOT NULL")
+    held = terms.select("member", "chamber", "state", F.col("district").alias("_d"), person_words(F.col("last")).alias("last"), F.array_union(person_words(F.col("first")), person_words(F.col("nickname"))).alias("given"), "start", "end")
+    serving = (F.col("day") >= F.col("start")) & (F.col("day") <= F.date_add("end", grace))
+    inside = (F.size("last") > 0) & (F.size(F.array_except("last", "words")) == 0)
+    one = lambda flag: F.when(F.count_distinct(F.when(flag, F.col("member"))) == 1, F.min(F.when(flag, F.col("member"))))
+
+    house = held.where("chamber = 'house' AND _d IS NOT NULL").drop("chamber")
+    seats = asked.where("seat IS NOT NULL").join(house, (F.col("seat") == F.col("state")) & (F.col("district") == F.col("_d"))).where(serving)
+    by_seat = seats.groupBy("doc_id").agg(F.coalesce(one(F.lit(True)), one(inside)).alias("seated"))
+
+    told = asked.select("doc_id", "chamber", "day", "words", F.explode("words").alias("word"))
+    counts = told.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    spread = held.where(F.size("last") > 0).select("*", F.explode("last").alias("word")).join(counts, "word", "left")
+    rare = spread.groupBy("member", "chamber", "start", "end", "last", "given").agg(F.min_by("word", F.struct(F.coalesce("_n", F.lit(0)), "word")).alias("word"))
+    near = told.join(rare, ["chamber", "word"]).where(serving & inside)
+    given = F.size(F.array_intersect(F.array_except("words", "last"), "given")) > 0
+    people = near.groupBy("doc_id", "member").agg(F.max(given).alias("given"))
+    by_name = people.groupBy("doc_id").agg(F.coalesce(one(F.lit(True)), one(F.col("given"))).alias("named"))
+    out = asked.select("doc_id").join(by_seat, "doc_id", "left").join(by_name, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("seated", "named").alias("member"), F.when(F.col("seated").isNotNull(), "district").otherwise("name").alias("method")).where("member IS NOT NULL")
+
+
 def primary_security(securities: DataFrame, bars: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """IDN-13: per issuer the stock with the highest mean dollar volume of the last days before a date."""
     window = bars.where((F.col("date") <= as_of) & (F.col("date") > F.date_sub(as_of, days)))

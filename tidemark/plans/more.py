@@ -148,6 +148,27 @@ def interval_members(t):
     return identity.interval_members(reports, terms)
 
 
+LAST = "CASE owner_cik % 5 WHEN 0 THEN 'Van Dam' WHEN 1 THEN 'Núñez' ELSE 'Name' || chr(CAST(97 + owner_cik % 7 AS INT)) END"
+MEMBERS = f"""rp AS (SELECT CAST(id AS VARCHAR) AS doc_id, CASE WHEN id % 3 = 0 THEN 'senate' ELSE 'house' END AS chamber, CASE WHEN id % 4 != 1 THEN 'CA' || CASE WHEN issuer_cik % 20 = 0 THEN 'AL' ELSE CAST(issuer_cik % 20 AS VARCHAR) END END AS state, 'Hon. ' || CASE WHEN id % 7 < 5 THEN chr(CAST(97 + owner_cik % 3 AS INT)) || 'ob ' ELSE '' END || {LAST} || ' Jr' AS name, filing_date AS day FROM insider_transactions),
+ tm AS (SELECT DISTINCT owner_cik AS member, CASE WHEN owner_cik % 4 = 3 THEN 'senate' ELSE 'house' END AS chamber, owner_cik % 20 AS district, {LAST} AS last, chr(CAST(97 + owner_cik % 3 AS INT)) || 'ob' AS first, date_trunc('year', trans_date)::DATE AS start, (date_trunc('year', trans_date) + INTERVAL 2 MONTH)::DATE AS e FROM insider_transactions WHERE owner_cik < 20 OR year(trans_date) % 2 = 0),
+ wd AS (SELECT rp.doc_id, rp.state, rp.chamber, tm.member, tm.district, CASE WHEN state LIKE 'CA%' AND rp.chamber = 'house' THEN CASE WHEN state = 'CAAL' THEN 0 ELSE CAST(substr(state, 3) AS INT) END END AS seat, contains(strip_accents(lower(name)) || ' ', ' ' || strip_accents(lower(last)) || ' ') AS named, contains(lower(name), lower(first) || ' ') AS given FROM rp JOIN tm ON tm.chamber = rp.chamber AND day BETWEEN start AND e + 120),
+ se AS (SELECT doc_id, CASE WHEN count(DISTINCT member) = 1 THEN min(member) WHEN count(DISTINCT member) FILTER (named) = 1 THEN min(member) FILTER (named) END AS m FROM wd WHERE seat = district GROUP BY 1), na AS (SELECT doc_id, CASE WHEN count(DISTINCT member) = 1 THEN min(member) WHEN count(DISTINCT member) FILTER (given) = 1 THEN min(member) FILTER (given) END AS m FROM wd WHERE named GROUP BY 1)"""
+
+
+@query("idn_12_links", "insider_transactions", sql=f"WITH {MEMBERS} SELECT rp.doc_id, coalesce(se.m, na.m) AS member, CASE WHEN se.m IS NOT NULL THEN 'district' ELSE 'name' END AS method FROM rp LEFT JOIN se USING (doc_id) LEFT JOIN na USING (doc_id) WHERE coalesce(se.m, na.m) IS NOT NULL")
+def member_links(t):
+    owner, seat = F.col("owner_cik"), F.col("issuer_cik") % 20
+    letter = lambda n: F.char((97 + owner % n).cast("int"))
+    last = F.when(owner % 5 == 0, "Van Dam").when(owner % 5 == 1, "Núñez").otherwise(F.concat(F.lit("Name"), letter(7)))
+    first = F.concat(letter(3), F.lit("ob"))
+    state = F.when(F.col("id") % 4 != 1, F.concat(F.lit("CA"), F.when(seat == 0, "AL").otherwise(seat.cast("string"))))
+    name = F.concat(F.lit("Hon. "), F.when(F.col("id") % 7 < 5, F.concat(first, F.lit(" "))).otherwise(""), last, F.lit(" Jr"))
+    reports = t.select(F.col("id").cast("string").alias("doc_id"), F.when(F.col("id") % 3 == 0, "senate").otherwise("house").alias("chamber"), state.alias("state"), name.alias("name"), F.col("filing_date").alias("filed"), F.lit(None).cast("int").alias("year"))
+    year = F.trunc("trans_date", "year")
+    terms = t.where("owner_cik < 20 OR year(trans_date) % 2 = 0").select(owner.alias("member"), F.when(owner % 4 == 3, "senate").otherwise("house").alias("chamber"), F.lit("CA").alias("state"), (owner % 20).alias("district"), last.alias("last"), first.alias("first"), F.lit(None).cast("string").alias("nickname"), year.alias("start"), F.add_months(year, 2).alias("end")).distinct()
+    return identity.member_links(reports, terms)
+
+
 @query("met_02_latest_balance", "statement_items", sql="SELECT cik, max(period_end) AS period_end, max_by(value, period_end) AS value FROM statement_items WHERE filed <= DATE '1999-12-31' AND period_end <= DATE '1999-12-31' GROUP BY 1 HAVING datediff('day', max(period_end), DATE '1999-12-31') <= 400")
 def latest_balance(s):
     known = s.where("filed <= '1999-12-31' AND period_end <= '1999-12-31'").groupBy("cik").agg(F.max("period_end").alias("period_end"), F.max_by("value", "period_end").alias("value"))
