@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import text
+from tidemark.operators import fulltext, text
 from tidemark.plans.registry import ORACLES, QUERIES, query
 from tidemark.sources.views import shared_folder, table
 from tidemark.streaming import streams
@@ -96,11 +96,36 @@ def matching_bills(b):
     return text.matching_bills(titled, '"urgent act"', ["2-HIGH", "5-LOW"], [1, 2]).select("id")
 
 
+STORED = 'rewh thatin OR "de la" -ononst'
+
+
+def stored_search(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """Search of an index that is written first; matches with their cover density."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = fulltext.write_index(docs, "doc_id", _path(spark, "fulltext"))
+    return fulltext.search(index, docs, STORED, limit).select("doc_id", "score")
+
+
+def stored_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_search(spark, sf_dir, 50)
+
+
+_ENDS = "(er|es|ed|ing|ly|erly|edly|ingly|lyed|lying)?$"
+COVERS = rf"""WITH l AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM l),
+ a AS (SELECT doc_id, place, CASE WHEN regexp_matches(word, '^rewh{_ENDS}') THEN 'r' WHEN regexp_matches(word, '^thatin{_ENDS}') THEN 't' WHEN regexp_matches(word, '^ononst{_ENDS}') THEN 'o' WHEN word IN ('de', 'la') THEN word END AS s FROM u),
+ e AS (SELECT doc_id, place, min(place) FILTER (s = 'r') OVER f AS r, min(place) FILTER (s = 't') OVER f AS t FROM a WHERE s IN ('r', 't') WINDOW f AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ c AS (SELECT doc_id, place, CASE WHEN r IS NOT NULL AND t IS NOT NULL THEN greatest(r, t) END AS z, lead(CASE WHEN r IS NOT NULL AND t IS NOT NULL THEN greatest(r, t) END) OVER (PARTITION BY doc_id ORDER BY place) AS next FROM e),
+ s AS (SELECT doc_id, 1.0::DOUBLE / (1 + greatest(0, z - place - 1)) AS score FROM c WHERE z IS NOT NULL AND (next IS NULL OR next > z)
+ UNION ALL SELECT d.doc_id, 1.0 FROM a d JOIN a l ON l.doc_id = d.doc_id AND l.place = d.place + 1 WHERE d.s = 'de' AND l.s = 'la' AND d.doc_id NOT IN (SELECT doc_id FROM a WHERE s = 'o'))
+ SELECT doc_id, round(sum(score), 6) AS score FROM s GROUP BY 1"""
+
 QUERIES |= {
+    "txt_03_stored": stored_search, "txt_03_stored_top": stored_top,
     "txt_01_page_text": page_text, "txt_02_sections": sections, "txt_03_search": search, "txt_03_matches": search_matches, "txt_04_keyword_filter": keyword_filter, "str_01_bars": bars, "str_02_once": once,
     "str_03_buyers": buyers, "str_04_newly_flagged": newly_flagged, "str_05_known_values": known_values, "str_06_daily_activity": daily_activity,
 }
 ORACLES |= {
+    "txt_03_stored": COVERS, "txt_03_stored_top": f"{COVERS} ORDER BY 2 DESC, 1 LIMIT 50",
     "txt_04_keyword_filter": r"SELECT doc_id, lang FROM documents WHERE (regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])') AND NOT regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])of[^\p{L}\p{N}_]+the($|[^\p{L}\p{N}_])')) OR regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])und($|[^\p{L}\p{N}_])')",
     "txt_03_matches": r"WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents) SELECT doc_id FROM w WHERE (t LIKE '% the %' AND t LIKE '% and %') OR (t LIKE '% of the %' AND t NOT LIKE '% der %')",
     "str_01_bars": "SELECT event_type, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
