@@ -60,7 +60,7 @@ def timeline(sources: list[DataFrame], start, end, per_source: int, parts: int =
     orders a kind gets parts times per_source rows, however many there are.
     """
     every = reduce(DataFrame.unionByName, [s.select(*TIMELINE) for s in sources]).where((F.col("date") >= start) & (F.col("date") <= end))
-    n = lambda *keys: F.row_number().over(W.partitionBy("kind", *keys).orderBy(F.desc("date"), "ref"))
+    n = lambda *keys: F.row_number().over(W.partitionBy("kind", *keys).orderBy(F.desc("date"), "ref", "title"))
     some = every.withColumn("_p", F.pmod(F.xxhash64("ref", "date"), F.lit(parts))).withColumn("_n", n("_p")).where(F.col("_n") <= per_source).drop("_p")
     return some.withColumn("_n", n()).where(F.col("_n") <= per_source).drop("_n").orderBy(F.desc("date"), F.desc("kind"), "ref")
 

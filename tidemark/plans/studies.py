@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import disclosures, graph, macro, portfolio, premiums, prices, statistics
+from tidemark.operators import disclosures, graph, macro, portfolio, premiums, prices, statistics, timelines
 from tidemark.plans.registry import query
 
 R = lambda c, d=6: F.round(c, d)
@@ -441,6 +441,27 @@ def policy_events(b, l, o):
     return macro.policy_events(b, l, o)
 
 
+@query("tml_01_every_kind", "insider_transactions", "congress_trades", "filings", "bills", "lobbying_reports", "obligations", "short_interest", "securities", "positions", "vintages", "papers", sql=f"""WITH {COMPANY}, cur AS (SELECT * FROM lobbying_reports QUALIFY row_number() OVER (PARTITION BY registrant, client, year, quarter ORDER BY posted DESC, id DESC) = 1), ob AS (SELECT left(naics, 3) AS p, month, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS a FROM obligations GROUP BY 1, 2),
+ si AS (SELECT *, position / nullif(lag(position) OVER (PARTITION BY security_id ORDER BY settlement_date), 0)::DOUBLE - 1 AS c FROM short_interest),
+ hq AS (SELECT CAST(right(cusip, 2) AS BIGINT) AS cik, period, count(DISTINCT filer_cik) AS n, sum(shares) AS s FROM positions WHERE put_call = '' AND filer_cik % 60 <= 45 AND filer_cik % 7 != 0 GROUP BY 1, 2), hl AS (SELECT *, lag(n) OVER w AS ln, lag(s) OVER w AS ls FROM hq WINDOW w AS (PARTITION BY cik ORDER BY period)),
+ e AS (SELECT * FROM ce UNION ALL SELECT introduced, 'bill', 'introduced: ' || area, subject, NULL, CAST(id AS VARCHAR) FROM bills UNION ALL SELECT enacted, 'bill', 'enacted: ' || area, subject, NULL, CAST(id AS VARCHAR) FROM bills WHERE enacted IS NOT NULL UNION ALL SELECT posted, 'lobbying', 'registrant ' || registrant, client, round(amount, 2), CAST(id AS VARCHAR) FROM cur
+ UNION ALL SELECT CAST(last_day(a.month) + 90 AS DATE), 'contracts', 'code ' || a.p, CAST(a.p AS BIGINT), round(a.a - b.a, 2), a.p || ':' || a.month FROM ob a JOIN ob b ON b.p = a.p AND b.month = a.month - INTERVAL 12 MONTH
+ UNION ALL SELECT settlement_date + 12, 'short_interest', 'Short interest ' || CASE WHEN round(c * 100) >= 0 THEN '+' ELSE '' END || CAST(round(c * 100) AS BIGINT) || '% to ' || position || ' shares', cik, NULL, 'short_interest:' || security_id || ':' || settlement_date FROM si JOIN securities USING (security_id) WHERE abs(c) >= 0.25
+ UNION ALL SELECT period + 45, '13f', '13F: ' || n || ' holders' || coalesce(' (' || CASE WHEN n >= ln THEN '+' ELSE '' END || (n - ln) || ')', '') || CASE WHEN ls != 0 THEN ', shares held ' || CASE WHEN round((s / ls - 1) * 100) >= 0 THEN '+' ELSE '' END || CAST(round((s / ls - 1) * 100) AS BIGINT) || '%' ELSE '' END, cik, NULL, 'institutional_positions:' || cik || ':' || period FROM hl
+ UNION ALL SELECT signed, 'presidential', left(concat_ws(': ', replace(type, '_', ' '), coalesce(title, '')), 300), NULL, NULL, 'presidential_documents:' || number FROM papers
+ UNION ALL SELECT DISTINCT realtime_start, 'release', series_id || ' (' || series_id || ')', NULL::BIGINT, NULL::DOUBLE, 'economic_releases:' || series_id FROM vintages WHERE series_id != 'click')
+ SELECT * FROM e WHERE date BETWEEN DATE '1997-06-01' AND DATE '2026-12-31' QUALIFY row_number() OVER (PARTITION BY kind ORDER BY date DESC, ref, title) <= 100""")
+def every_kind(t, c, f, b, l, o, si, s, p, v, d):
+    filed = p.withColumn("filed", F.date_add("period", F.when(F.col("filer_cik") % 7 == 0, 60).otherwise(F.col("filer_cik") % 60).cast("int")))
+    cusips = p.select("cusip", F.right("cusip", F.lit(2)).cast("long").alias("cik")).distinct()
+    catalogue = v.select(F.col("series_id").alias("release"), "series_id", (F.col("series_id") == "click").alias("daily")).distinct()
+    sources = [
+        _company_events(t, c, f), macro.policy_events(b, l, o), timelines.short_interest_events(si, s, F.date_add("settlement_date", 12)), timelines.holder_events(filed, cusips), timelines.presidential_events(d),
+        timelines.release_events(v.select(F.col("series_id").alias("release"), F.col("realtime_start").alias("date")), catalogue),
+    ]
+    return macro.timeline(sources, F.lit("1997-06-01").cast("date"), F.lit("2026-12-31").cast("date"), 100)
+
+
 @query("tml_04_company_dossier", "insider_transactions", "congress_trades", "filings", "statement_items", "positions", sql=f"""WITH {COMPANY}, ne AS (SELECT entity, count(*) AS events, max(date) AS newest FROM ce WHERE date <= DATE '1998-12-31' GROUP BY 1), fi AS (SELECT cik, count(*) AS years, max(y) AS last_year FROM (SELECT cik, year(period_end) AS y FROM statement_items WHERE filed <= DATE '1998-12-31' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cik ORDER BY year(period_end) DESC) <= 5) GROUP BY 1), ow AS (SELECT CAST(right(cusip, 2) AS BIGINT) AS cik, count(DISTINCT filer_cik) AS holders FROM positions WHERE period <= DATE '1998-12-31' AND put_call = '' GROUP BY 1), co AS (SELECT DISTINCT cik FROM filings)
  SELECT co.cik, events, newest, years, CAST(last_year AS INT) AS last_year, holders FROM co LEFT JOIN ne ON entity = co.cik LEFT JOIN fi ON fi.cik = co.cik LEFT JOIN ow ON ow.cik = co.cik""")
 def company_dossier(t, c, f, s, p):

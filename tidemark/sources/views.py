@@ -73,6 +73,7 @@ VIEWS = {
         CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber IN (1, 2, 7) THEN CAST(date_trunc('quarter', o_orderdate) - INTERVAL 12 MONTH AS DATE) WHEN l_linenumber = 5 THEN CAST(date_trunc('quarter', o_orderdate) - INTERVAL 6 MONTH AS DATE) ELSE CAST(date_trunc('quarter', o_orderdate) - INTERVAL 3 MONTH AS DATE) END AS period_start,
         CAST(date_trunc('quarter', o_orderdate) AS DATE) - CAST(1 AS INT) AS period_end, CAST(o_orderdate AS DATE) + CAST(40 AS INT) AS filed, CAST(year(o_orderdate) - CASE WHEN o_custkey % 50 % 5 = 0 THEN 1 ELSE 0 END AS INT) AS fiscal_year, MAX(l_extendedprice) AS value
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10""",
+    "papers": "SELECT doc_id AS number, CAST(DATE '1997-01-01' + CAST(doc_id % 900 AS INT) AS DATE) AS signed, source AS type, lang AS title FROM documents",
     "feed_log": """SELECT event_id AS id, event_type AS provider, CAST(user_id % 40 AS STRING) AS item, CAST(ts AS DATE) AS day, value < 3 AS error, md5(CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS body FROM events""",
 }
 #: A ledger with every kind of record: transfers, reinvestments and, for every third symbol, splits as a broker books them.
