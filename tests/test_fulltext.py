@@ -92,7 +92,7 @@ def test_filters_and_snippets(corpus, spark, tmp_path):
 
 def test_the_index_prunes_and_bears_an_empty_table(corpus, spark, tmp_path):
     _, table, index = corpus
-    plan = index.read(spark, "postings", ["china"])._jdf.queryExecution().executedPlan().toString()
+    plan = index.read(spark, ["china"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "EqualTo(term,china)" in plan
     none = fulltext.write_index(table.where("id < 0"), "id", str(tmp_path / "none"), buckets=2)

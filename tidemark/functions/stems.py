@@ -98,13 +98,3 @@ def stem(term: Column) -> Column:
         return words.map(lambda w: None if w is None else english_stem(w))
 
     return stems(term)
-
-
-def stem_each(words: Column, ignored: frozenset[str] = frozenset()) -> Column:
-    """The stems of an array of lower-case words, null for ignored ones, so that places are kept."""
-
-    @F.pandas_udf("array<string>")
-    def stems(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ws: None if ws is None else [None if w in ignored else english_stem(w) for w in ws])
-
-    return stems(words)

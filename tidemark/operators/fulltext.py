@@ -1,17 +1,21 @@
-"""Full-text search (TXT-03): a stored inverted index in term buckets with block maxima, cover density and snippets."""
+"""Full-text search (TXT-03): a stored inverted index in term buckets with block bounds, cover density and snippets."""
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.stems import english_stem, stem, stem_each
+from tidemark.functions.stems import english_stem, stem
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -27,7 +31,7 @@ def _places(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index. postings: bucket, term, block, key, places; blocks: bucket, term, block, most (places of the term in one document), docs."""
+    """A stored index of rows (bucket, term, block, key, places, n), n the number of places."""
 
     path: str
     key: str
@@ -35,14 +39,15 @@ class Index:
     buckets: int
     ignored: frozenset[str]
 
-    def read(self, spark, part: str, terms: list[str] | None = None) -> DataFrame:
+    def read(self, spark, terms: list[str] | None = None) -> DataFrame:
         """The rows of some terms, or all; the filters on bucket and term reach the files."""
-        schema = {"postings": f"term string, block long, `{self.key}` {self.kind}, places array<int>, bucket long", "blocks": "term string, block long, most int, docs long, bucket long"}[part]
-        rows = spark.read.schema(schema).parquet(f"{self.path}/{part}")  # an empty index has no file to tell its columns
-        if terms is None:
-            return rows
-        numbers = spark.sql("SELECT collect_set(pmod(xxhash64(t), :n)) FROM (SELECT explode(:terms) AS t)", {"n": self.buckets, "terms": F.array(*map(F.lit, terms))}).first()[0]  # one a term of the query
-        return rows.where(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
+        schema = f"term string, block long, `{self.key}` {self.kind}, places array<int>, n int, bucket int"
+        rows = spark.read.schema(schema).parquet(self.path)  # an empty index has no file to tell its columns
+        return rows if terms is None else rows.where(F.col("bucket").isin(sorted({_bucket(t, self.buckets) for t in terms})) & F.col("term").isin(terms))
+
+
+def _bucket(term: str, buckets: int) -> int:
+    return zlib.crc32(term.encode()) % buckets
 
 
 def write_index(docs: DataFrame, key: str, path: str, text: str = "text", buckets: int = 64, spread: int = 8, block: int = 256, ignored: list[str] | None = None) -> Index:
@@ -53,21 +58,33 @@ def write_index(docs: DataFrame, key: str, path: str, text: str = "text", bucket
     null texts count as empty. Postings lie in folders by the hash of the stem,
     sorted by stem, and a common stem is spread over ``spread`` files by block.
     A block holds about ``block`` documents of like length, so that the most
-    places of a stem in one of its documents says much about all of them.
+    places of a stem in one of its documents says much about all of them. Each
+    document is grouped by stem where it lies; one shuffle lays out the files.
     """
     ignored = stop_words() if ignored is None else ignored
     words = docs.select(F.col(key), _places(F.col(text)).alias("_w"))
     some = max(1, words.count() // block)
     shelf = F.floor(F.log2(F.size("_w") + 1)).cast("long") * some + F.pmod(F.xxhash64(key), F.lit(some))
-    each = words.select(key, shelf.alias("block"), F.posexplode(stem_each(F.col("_w"), frozenset(ignored))).alias("place", "term")).where("term IS NOT NULL")
-    rows = each.groupBy("term", "block", key).agg(F.sort_array(F.collect_list("place")).alias("places"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    laid = rows.repartition("bucket", F.pmod("block", F.lit(spread))).sortWithinPartitions("bucket", "term", "block")
-    laid.write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = Index(path, key, docs.schema[key].dataType.simpleString(), buckets, frozenset(ignored))
-    most = index.read(docs.sparkSession, "postings").groupBy("bucket", "term", "block").agg(F.max(F.size("places")).alias("most"), F.count(F.lit(1)).alias("docs"))
-    most.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks")
-    return index
+    dropped, kind = frozenset(ignored), docs.schema[key].dataType.simpleString()
+
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row a document and bucket: its stems with their places."""
+        for batch in batches:
+            for k, shelf, ws in zip(batch[key], batch["block"], batch["_w"], strict=True):
+                at: dict[str, list[int]] = defaultdict(list)
+                for i, w in enumerate(ws):
+                    if w not in dropped:
+                        at[english_stem(w)].append(i)
+                cells: dict[int, list[str]] = defaultdict(list)
+                for term in at:
+                    cells[_bucket(term, buckets)].append(term)
+                if cells:
+                    yield pd.DataFrame({key: [k] * len(cells), "block": [shelf] * len(cells), "bucket": list(cells), "terms": list(cells.values()), "places": [[at[x] for x in xs] for xs in cells.values()]})
+
+    each = words.where(F.size("_w") > 0).select(key, shelf.alias("block"), "_w").mapInPandas(grouped, f"`{key}` {kind}, block long, bucket int, terms array<string>, places array<array<int>>")
+    laid = each.repartition("bucket", F.pmod("block", F.lit(spread))).select("bucket", "block", key, F.inline(F.arrays_zip("terms", "places")).alias("term", "places"))
+    laid.withColumn("n", F.size("places")).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(path)
+    return Index(path, key, kind, buckets, dropped)
 
 
 Unit = list[tuple[str, int]]  # stems with their distance from the first
@@ -133,13 +150,13 @@ def _matched(rows: DataFrame, key: str, groups: list[tuple[list[Unit], list[Unit
     return hits.select(key).join(scores, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"), "first", "last")
 
 
-def _bounds(blocks: DataFrame, groups: list[tuple[list[Unit], list[Unit]]]) -> DataFrame:
-    """(block, bound): a score that no document of the block exceeds; blocks without a match are left out.
+def _bounds(postings: DataFrame, groups: list[tuple[list[Unit], list[Unit]]]) -> DataFrame:
+    """(block, bound): a score that no document of the block exceeds; blocks without a match are left out. Reads no places.
 
     A cover begins at a place of one of its units and counts at most 1, so a
     group cannot exceed the places of its units together.
     """
-    at = blocks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("term", "most"))).alias("_m"))  # one entry a term of the query
+    at = postings.groupBy("block", "term").agg(F.max("n").alias("most")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("term", "most"))).alias("_m"))  # one entry a term of the query
     total = F.lit(0)
     for yes, _ in groups:
         units = [F.least(*cs) if len(cs) > 1 else cs[0] for cs in ([F.coalesce(F.col("_m")[w], F.lit(0)) for w, _ in u] for u in yes)]
@@ -163,7 +180,7 @@ def search(index: Index, docs: DataFrame, query: str, limit: int | None = None,
     if not groups:
         return scope.select(key, F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
     terms = sorted({w for yes, no in groups for u in yes + no for w, _ in u})
-    postings = index.read(spark, "postings", terms)
+    postings = index.read(spark, terms)
     if where is not None:
         postings = postings.join(scope.select(key), key, "left_semi")
 
@@ -175,11 +192,11 @@ def search(index: Index, docs: DataFrame, query: str, limit: int | None = None,
         every = scope.select(key).join(spread(postings), key, "left").withColumn("_at", F.coalesce("_at", empty))
         best = _matched(every, key, groups)
     else:
-        bounds = _bounds(index.read(spark, "blocks", terms), groups)
+        bounds = _bounds(index.read(spark, terms), groups)
         chosen = bounds.select("block")
         if limit is not None:
-            head = bounds.orderBy(F.desc("bound"), "block").limit(first).select("block")
-            top = _matched(spread(postings.join(head, "block", "left_semi")), key, groups).orderBy(F.desc("score")).limit(limit).select("score").collect()  # at most limit rows
+            head = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(first).collect()]  # at most first rows
+            top = _matched(spread(postings.where(F.col("block").isin(head))), key, groups).orderBy(F.desc("score")).limit(limit).select("score").collect()  # at most limit rows
             if len(top) == limit and limit:
                 chosen = bounds.where(F.col("bound") >= top[-1]["score"]).select("block")
         best = _matched(spread(postings.join(chosen, "block", "left_semi")), key, groups)
