@@ -90,6 +90,31 @@ def event_study(events: DataFrame, closes: DataFrame, horizons: list[int], bench
     return out.select("h", "n", "mean", "median", "hit_rate", F.when(F.col("_s") > 0, F.col("mean") / F.col("_s") * F.sqrt("n")).alias("t"))
 
 
+def calendar_study(events: DataFrame, closes: DataFrame, horizons: list[int], benchmark: int = 0, within: int = 10) -> DataFrame:
+    """DIS-06 on the benchmark's calendar: entry on its first day after the event (at most ``within`` days later), exits so many of its days on.
+
+    An event counts at a horizon only where the security has a close on both days;
+    every lookup is an equal join on the security and a day. Means of excess and plain returns per horizon.
+    """
+    days = W.orderBy("date")  # one row a trading day: thousands
+    bench = closes.where(F.col("security_id") == benchmark).groupBy("date").agg(F.max("close").alias("b"))
+    calendar = bench.select("date", "b", F.row_number().over(days).alias("i"), F.lag("date").over(days).alias("before"))
+    first = F.greatest(F.col("before"), F.date_sub("date", within))  # skips the null before the first day
+    entries = calendar.select(F.explode(F.sequence(first, F.date_sub("date", 1))).alias("event_date"), F.col("date").alias("d0"), F.col("b").alias("b0"), "i")
+    own = closes.where("close IS NOT NULL").select("security_id", "date", "close")
+    held = events.join(entries, "event_date").join(own.select("security_id", F.col("date").alias("d0"), F.col("close").alias("c0")), ["security_id", "d0"])
+    ahead = held.select("security_id", "c0", "b0", "i", F.explode(F.array(*map(F.lit, horizons))).alias("h")).withColumn("i", F.col("i") + F.col("h"))
+    exits = ahead.join(calendar.select("i", F.col("date").alias("d1"), F.col("b").alias("b1")), "i").join(own.select("security_id", F.col("date").alias("d1"), F.col("close").alias("c1")), ["security_id", "d1"])
+    moved = exits.select("h", (F.col("c1") / F.col("c0") - 1).alias("r"), (F.col("c1") / F.col("c0") - F.col("b1") / F.col("b0")).alias("x"))
+    out = moved.groupBy("h").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.avg((F.col("x") > 0).cast("double")).alias("hit_rate"), F.stddev_samp("x").alias("_s"), F.avg("r").alias("mean_return"))
+    return out.withColumn("t", F.when(F.col("_s") > 0, F.col("mean") / F.col("_s") * F.sqrt("n"))).drop("_s")
+
+
+def unpriced(events: DataFrame, closes: DataFrame) -> DataFrame:
+    """DIS-06: securities of events without any bar, with the number of their events."""
+    return events.join(closes.select("security_id").distinct(), "security_id", "left_anti").groupBy("security_id").agg(F.count(F.lit(1)).alias("events"))
+
+
 def classify_buys(trades: DataFrame) -> DataFrame:
     """STS-19: purchases as routine (same month in each of three years before), new (none in 3 x 365 days) or opportunistic."""
     buys = trades.where("trans_code = 'P'").select("id", "issuer_cik", "owner_cik", "trans_date")

@@ -191,6 +191,26 @@ def search(securities: DataFrame, text: str, limit: int = 20) -> DataFrame:
     return securities.where(F.lower("ticker").contains(text.lower()) & F.col("active")).orderBy("ticker").limit(limit)
 
 
+def list_securities(securities: DataFrame, text: str | None = None, kind: str | None = None, active: bool | None = None, limit: int = 50) -> DataFrame:
+    """IDN-24: securities whose ticker or name contains the text in any case, of a type, active or not, by ticker."""
+    found = securities
+    if text:
+        found = found.where(F.lower("ticker").contains(text.lower()) | F.lower("name").contains(text.lower()))
+    if kind is not None:
+        found = found.where(F.col("security_type") == kind.upper())
+    if active is not None:
+        found = found.where(F.col("active") == active)
+    return found.orderBy("ticker").limit(limit)
+
+
+def with_history(securities: DataFrame, history: DataFrame) -> DataFrame:
+    """IDN-24: each security with its symbols in the order first seen; none: an empty array. history: security_id, symbol, first_seen, last_seen."""
+    seen = history.join(securities.select("security_id").distinct(), "security_id", "left_semi")
+    lists = seen.groupBy("security_id").agg(F.array_sort(F.collect_list(F.struct("first_seen", "symbol", "last_seen"))).alias("symbols"))
+    none = F.array().cast("array<struct<first_seen:date,symbol:string,last_seen:date>>")
+    return securities.join(lists, "security_id", "left").withColumn("symbols", F.coalesce("symbols", none))
+
+
 def attach_ids(rows: DataFrame, history: DataFrame, current: DataFrame) -> DataFrame:
     """IDN-02: each market row with the holder of its symbol on its date; rows of unknown symbols go. Distinct (symbol, date) pairs are resolved once."""
     known = symbol_as_of(rows.select("symbol", "date").distinct(), history, current).where("security_id IS NOT NULL")

@@ -16,6 +16,13 @@ FLOWS = ["revenue", "operating_income", "net_income", "operating_cash_flow", "ca
 BALANCES = ["assets", "liabilities", "equity", "current_assets", "current_liabilities", "retained_earnings", "cash", "short_term_investments", "debt", "short_term_debt", "leases", "shares"]
 
 
+def latest_balance(items: DataFrame, as_of: Column, keys: list[str], within: int = 400) -> DataFrame:
+    """MET-02: per key the value of the newest period that had ended and was filed by a day, unless it ended more than ``within`` days before; of several filings the last."""
+    known = items.where((F.col("filed") <= as_of) & (F.col("period_end") <= as_of) & F.col("value").isNotNull())
+    newest = known.groupBy(*keys).agg(F.max("period_end").alias("period_end"), F.max_by("value", F.struct("period_end", "filed")).alias("value"))
+    return newest.where(F.datediff(as_of, "period_end") <= within)
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 

@@ -133,6 +133,28 @@ def calendar_time(rows: DataFrame) -> DataFrame:
     return means.groupBy("group").agg(F.count(F.lit(1)).alias("periods"), F.avg("m").alias("mean"), F.percentile("m", F.lit(0.5)).alias("median"), F.avg((F.col("m") > 0).cast("double")).alias("hit_rate"))
 
 
+def calendar_time_error(rows: DataFrame, lags: int | None = None, least: int = 8) -> DataFrame:
+    """STS-21: the calendar-time mean with its autocovariance error, t and one-sided p; groups of fewer than ``least`` periods go. rows: group, period, excess."""
+    means = rows.where("excess IS NOT NULL").groupBy(F.col("group").alias("key"), F.col("period").alias("date")).agg(F.avg("excess").alias("value"), F.count(F.lit(1)).alias("names"))
+    sizes = means.groupBy("key").agg(F.avg("names").alias("names_per_period"))
+    return _tested(newey_west(means, lags).where(F.col("n") >= least)).join(sizes, "key").withColumnRenamed("key", "group")
+
+
+def calendar_time_difference(rows: DataFrame, pairs: DataFrame, lags: int | None = None) -> DataFrame:
+    """STS-21: mean difference of two groups' calendar-time series over the periods that both have. rows: group, period, excess; pairs: first, second."""
+    means = rows.where("excess IS NOT NULL").groupBy("group", "period").agg(F.avg("excess").alias("m"))
+    a = pairs.join(means.select(F.col("group").alias("first"), "period", F.col("m").alias("a")), "first")
+    both = a.join(means.select(F.col("group").alias("second"), "period", F.col("m").alias("b")), ["second", "period"])
+    series = both.select(F.struct("first", "second").alias("key"), F.col("period").alias("date"), (F.col("a") - F.col("b")).alias("value"))
+    return _tested(newey_west(series, lags)).select("key.first", "key.second", "n", "mean", "error", "low", "high", "t", "p")
+
+
+def _tested(estimates: DataFrame) -> DataFrame:
+    """t of a mean with its error, and the one-sided p of a mean above zero; null without an error."""
+    t = F.when(F.col("error") > 0, F.col("mean") / F.col("error"))
+    return estimates.withColumn("t", t).withColumn("p", normal_tail(F.col("t")))
+
+
 def cluster_bootstrap(rows: DataFrame, replicates: int = 2000, seed: int = 7) -> DataFrame:
     """STS-04: interval of a mean per key, whole clusters drawn again. rows: key, cluster, value.
 
@@ -216,6 +238,11 @@ def trial_guard(log: DataFrame) -> DataFrame:
     return out.select("hypothesis", "variants", F.col("f.variant").alias("frozen"), (F.col("f").isNotNull() & F.col("h").isNull()).alias("holdout_allowed"))
 
 
+def past_holdout(log: DataFrame, start: Column) -> DataFrame:
+    """STS-10: runs on design or validation data that reach the holdout, with the days they reach into it. log: hypothesis, variant, kind, data_end."""
+    return log.where((F.col("kind") != "holdout") & (F.col("data_end") >= start)).withColumn("days_past", F.datediff("data_end", start) + 1)
+
+
 def expanding_forecasts(origins: DataFrame, least: int = 20, ahead: int = 1) -> DataFrame:
     """STS-11: at each origin the mean of the targets known by then (base) and the fit on x (model); a target is known ``ahead`` rows later. origins: key, date, x, y."""
     known = W.partitionBy("key").orderBy("date").rowsBetween(W.unboundedPreceding, -ahead)
@@ -384,6 +411,13 @@ def after_controls(rows: DataFrame, controls: list[str]) -> DataFrame:
     return known.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("excess").alias("mean"), F.count_distinct("period").alias("periods"))
 
 
+def after_controls_interval(rows: DataFrame, controls: list[str], replicates: int = 1000, seed: int = 7, least: int = 50) -> DataFrame:
+    """STS-22: the control-adjusted mean with an interval that draws whole periods again; groups of fewer than ``least`` rows go."""
+    known = rows.dropna(subset=["excess", *controls])
+    drawn = cluster_bootstrap(known.select(F.col("group").alias("key"), F.col("period").alias("cluster"), F.col("excess").alias("value")), replicates, seed)
+    return after_controls(rows, controls).where(F.col("n") >= least).join(drawn.withColumnRenamed("key", "group"), "group")
+
+
 def exit_counts(flags: DataFrame, prices: DataFrame, exits: DataFrame, ahead: int = 3) -> DataFrame:
     """STS-23: per period flagged names priced now, priced no more ``ahead`` months later, and those of them with an exit filing since. flags: period, key; prices: period, key; exits: key, filed."""
     now = flags.join(prices.select("period", "key"), ["period", "key"]).withColumn("until", F.last_day(F.add_months("period", ahead)))

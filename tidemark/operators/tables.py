@@ -97,6 +97,22 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def declared_rows(rows: DataFrame, sets: DataFrame, keys: list[str], day: str, order: list[str]) -> DataFrame:
+    """EXT-05: the stored rows that a rebuild reads, by the declared kind of their data set.
+
+    sets: provider, dataset, kind, with kind snapshot (the newest row of each key),
+    reference (the rows of the newest day as a whole) or log (every row); rows of
+    sets that are not declared go. ``order`` breaks ties of a day. Newest rows come
+    from partial aggregates, so a key of many rows stays spread over tasks.
+    """
+    names = ["provider", "dataset"]
+    known = rows.join(sets.select(*names, "kind"), names)
+    snapshot = known.where("kind = 'snapshot'").groupBy(*names, *keys).agg(F.max_by(F.struct(*rows.columns), F.struct(day, *order)).alias("row")).select("row.*")
+    reference = known.where("kind = 'reference'")
+    newest = reference.groupBy(*names).agg(F.max(day).alias(day))
+    return snapshot.unionByName(reference.join(newest, [*names, day]).select(*rows.columns)).unionByName(known.where("kind = 'log'").select(*rows.columns))
+
+
 def periods_to_compute(available: DataFrame, derived: DataFrame, newest: int = 2) -> DataFrame:
     """SRC-22: periods not derived yet, and always the newest ones."""
     periods = available.select("period").distinct()

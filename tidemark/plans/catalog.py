@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import companies, feeds, holdings, issuers, market, more, registry, research, specs, studies, texts, upkeep  # noqa: F401  importing a plan module registers its queries
+from tidemark.plans import companies, feeds, holdings, issuers, market, more, registry, reports, research, specs, studies, texts, upkeep  # noqa: F401  importing a plan module registers its queries
 
 FLAGSHIP = "brd_01_breadth"
 
