@@ -68,8 +68,10 @@ def write_index(docs: DataFrame, key: str, path: str, text: str = "text", bucket
     dropped, kind = frozenset(ignored), docs.schema[key].dataType.simpleString()
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row a document and bucket: its stems with their places."""
+        """One row a document and bucket: its stems, and their places, as text, which is a third of nested arrays."""
+        names = [key, "block", "bucket", "terms", "places"]
         for batch in batches:
+            rows, held = [], 0
             for k, shelf, ws in zip(batch[key], batch["block"], batch["_w"], strict=True):
                 at: dict[str, list[int]] = defaultdict(list)
                 for i, w in enumerate(ws):
@@ -78,11 +80,18 @@ def write_index(docs: DataFrame, key: str, path: str, text: str = "text", bucket
                 cells: dict[int, list[str]] = defaultdict(list)
                 for term in at:
                     cells[_bucket(term, buckets)].append(term)
-                if cells:
-                    yield pd.DataFrame({key: [k] * len(cells), "block": [shelf] * len(cells), "bucket": list(cells), "terms": list(cells.values()), "places": [[at[x] for x in xs] for xs in cells.values()]})
-
-    each = words.where(F.size("_w") > 0).select(key, shelf.alias("block"), "_w").mapInPandas(grouped, f"`{key}` {kind}, block long, bucket int, terms array<string>, places array<array<int>>")
-    laid = each.repartition("bucket", F.pmod("block", F.lit(spread))).select("bucket", "block", key, F.inline(F.arrays_zip("terms", "places")).alias("term", "places"))
+                rows += [(k, shelf, n, " ".join(terms), " ".join(",".join(map(str, at[x])) for x in terms)) for n, terms in cells.items()]
+                held += len(ws)
+                if held > 500_000:  # long texts leave at once
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    each = words.where(F.size("_w") > 0).select(key, shelf.alias("block"), "_w").mapInPandas(grouped, f"`{key}` {kind}, block long, bucket int, terms string, places string")
+    pairs = F.arrays_zip(F.split("terms", " ").alias("terms"), F.split("places", " ").alias("places"))
+    laid = each.repartition("bucket", F.pmod("block", F.lit(spread))).select("bucket", "block", key, F.inline(pairs).alias("term", "places"))
+    laid = laid.withColumn("places", F.split("places", ",").cast("array<int>"))
     laid.withColumn("n", F.size("places")).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(path)
     return Index(path, key, kind, buckets, dropped)
 
