@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtests, disclosures, fundamentals, identity, indicators, metrics, portfolio, prices, rules, series, statistics, tables, text
+from tidemark.plans import research
 from tidemark.streaming import streams
 
 D = lambda s: dt.date.fromisoformat(s)
@@ -225,6 +226,13 @@ def test_backtest(spark):
     assert round(stats.total, 6) == -0.1 and round(backtests.trades(out).orderBy("entry").first().ret, 6) == -0.1
 
 
+def test_signal_days_count_every_day(spark):
+    day = lambda i: D("2024-12-10") + dt.timedelta(days=i)
+    closes = spark.createDataFrame([(1, day(i), float(i), 1) for i in range(25)] + [(2, day(i), 5.0, 1) for i in range(5)], "security_id long, date date, close double, volume long")
+    out = {(r.security_id, r.year): (r.long_days, r.flat_days, r.unknown_days) for r in research.signal_days(closes).collect()}
+    assert out == {(1, 2024): (3, 0, 19), (1, 2025): (3, 0, 0), (2, 2024): (0, 0, 5)}
+
+
 def test_fifo(spark):
     rows = [(1, 1, D("2024-01-02"), "buy", "X", 10.0, 100.0), (2, 1, D("2024-06-03"), "buy", "X", 10.0, 150.0), (3, 1, D("2025-03-03"), "sell", "X", 15.0, 120.0), (4, 2, D("2024-01-02"), "buy", "Y", 5.0, 1.0), (5, 2, D("2024-01-03"), "sell", "Y", 8.0, 1.0)]
     t = spark.createDataFrame(rows, "id long, account_id long, trade_date date, action string, symbol string, quantity double, price double").withColumn("fees", F.lit(0.0))
