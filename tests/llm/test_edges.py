@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, factorisation, line_dedup, quality_rules, queries, suffixes, url_filters
+from tidemark.llm import components, factorisation, line_dedup, minhash, quality_rules, queries, suffixes, url_filters
 from tidemark.llm.common import table
 
 LARGER = "/root/testdata/sf0.01"
@@ -92,3 +92,14 @@ def test_lines_at_one_place_and_set_equal_lines(spark, documents):
     rows = [(1, "alpha beta gamma delta epsilon"), (1, "zeta eta theta iota kappa"), (2, "epsilon delta gamma beta alpha"), (3, "two words"), (4, "words  two"), (5, "words two three"), (6, "kappa iota theta eta zeta\nalpha")]
     gone = {(x.doc_id, x.line_no) for x in line_dedup.duplicate_lines(documents(rows)).collect()}
     assert gone == {(2, 0), (4, 0), (6, 0)}
+
+
+def test_lines_that_match_their_nearest_are_compared_with_nothing_else(spark, documents, monkeypatch):
+    r = random.Random(4)
+    base = prose(r, 30).split(" ")
+    rows = [(k, " ".join(w if i != k % 30 else f"edit{k}" for i, w in enumerate(base))) for k in range(60)] + [(100 + k, prose(r, 30)) for k in range(20)]
+    seen = []
+    real = line_dedup.closer
+    monkeypatch.setattr(line_dedup, "closer", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    gone = {x.doc_id for x in line_dedup.duplicate_lines(documents(rows)).collect()}
+    assert gone == set(range(1, 60)) and sum(seen) <= 60
