@@ -103,3 +103,27 @@ def test_lines_that_match_their_nearest_are_compared_with_nothing_else(spark, do
     monkeypatch.setattr(line_dedup, "closer", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
     gone = {x.doc_id for x in line_dedup.duplicate_lines(documents(rows)).collect()}
     assert gone == set(range(1, 60)) and sum(seen) <= 60
+
+
+def test_crowds_post_prefixes_only(spark, documents, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w if r.random() > r.choice([0.01, 0.03, 0.05]) else f"e{r.random()}" for w in base) for _ in range(80)]
+    sizes, real = {}, minhash.staged
+
+    def staged(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "staged", staged)
+    out = {x.doc_id: x.component_id for x in minhash.near_duplicates(documents(list(enumerate(texts))), percent=80, least_depth=2).collect()}
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(196)) for t in texts]
+    root = list(range(80))
+    for a in range(80):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert out == dict(enumerate(root)) and len(set(root)) > 1
+    assert sizes["dense"] > 24 and max(sizes.values()) <= 80 * (196 // 5 + 2)

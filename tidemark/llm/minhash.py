@@ -35,14 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import deleted, staged
+from tidemark.llm.common import staged
 from tidemark.llm.components import components
 
 SHINGLE = 5
 TREES, DEPTH, LEAST_DEPTH, WINDOW, REGION = 16, 8, 3, 3, 24
+BUCKET_BITS = 16
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -216,23 +216,66 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.lit(100).cast("long") * F.col("n") >= percent * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b").distinct()
 
 
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each hash bucket (of fixed number) occur; what occurs once in a task may be left out.
+
+    It only serves an order of the shingles: every order gives all pairs, this one short lists.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            values = batch.column("hashes").flatten().to_numpy().view(np.uint64)
+            seen += np.bincount((values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
+        often = np.flatnonzero(seen > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(seen[often])], ["bucket", "n"])
+
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for row in sets.select("hashes").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[row.bucket] = row.n
+    return counts
+
+
+def postings(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """class_id, n, hash, place (from 1) and indexed of the rarest shingles of each set, enough of them to share one with every similar set.
+
+    ``indexed`` are those that are enough for a set that is not the larger one.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids, sizes, hashes, places, indexed = [], [], [], [], []
+                for key, values in zip(part.column("class_id").to_pylist(), part.column("hashes"), strict=True):
+                    h = values.values.to_numpy()
+                    n = len(h)
+                    least = n + 1 + -percent * n // 100  # n - ceil(percent * n / 100) + 1
+                    order = np.lexsort((h, counts[(h.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))[:least]
+                    hashes.append(h[order])
+                    places.append(np.arange(1, len(order) + 1))
+                    indexed.append(places[-1] <= n + 1 + -2 * percent * n // (100 + percent))
+                    ids += [key] * len(order)
+                    sizes += [n] * len(order)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(np.concatenate(x)) for x in (hashes, places, indexed))], ["class_id", "n", "hash", "place", "indexed"])
+
+    return sets.select("class_id", "hashes").mapInArrow(run, "class_id long, n long, hash long, place long, indexed boolean")
+
+
 def prefix_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different groups, among them every pair with 100 * |intersection| >= percent * |union|.
 
     Shingles are ordered by rarity. The first shingle that such a pair shares lies
     in the prefix of both sets, where enough shingles follow for the overlap.
     """
-    n, p = F.size("hashes"), F.lit(percent).cast("long")
-    rows = staged(sets.select("class_id", n.alias("n"), F.explode("hashes").alias("hash")), "crowd-shingles")  # read for the counts and for the order
-    rarity = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # shingles of one class meet nothing but come first in its order
-    alone = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("class_id"))
-    ranked = rows.join(rarity.hint("merge"), "hash").withColumn("place", alone + F.row_number().over(W.partitionBy("class_id").orderBy("often", "hash")))
-    probed = ranked.where(F.col("place") <= F.col("n") - F.ceil(p * F.col("n") / 100 - 1e-9) + 1)
-    indexed = F.col("place") <= F.col("n") - F.ceil(2 * p * F.col("n") / (100 + p) - 1e-9) + 1
     known = groups.select(F.col("node").alias("class_id"), "component")
-    posted = staged(probed.withColumn("indexed", indexed).join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("hash", "class_id", "component", "n", "place", "indexed"), "postings")
-    deleted(rows)
+    rows = postings(sets, bucket_counts(sets), percent).join(known, "class_id", "left")
+    posted = staged(rows.select("hash", "class_id", F.coalesce("component", "class_id").alias("component"), "n", "place", "indexed"), "postings")
     tops = posted.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("hash").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     # pairs inside the largest group of a list are never formed: one side is always of another group
     tagged = posted.join(tops.hint("merge"), "hash").select("hash", "class_id", "component", "n", "place", "indexed", (F.col("component") == F.col("top")).alias("main"))
@@ -276,7 +319,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     mixed = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
     dense = staged(placed.join(mixed, "region", "left_semi").select("class_id").distinct(), "dense")
     if not dense.isEmpty():
-        dense = sets.join(dense.hint("merge"), "class_id", "left_semi")
+        dense = staged(sets.join(dense.hint("merge"), "class_id", "left_semi"), "dense-sets")  # read for the counts and for the order
         groups = regrouped(groups, confirm(prefix_pairs(dense, groups, percent), sets, percent))
     members = some.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     known = members.join(groups.select(F.col("node").alias("class_id"), F.col("component").alias("found")), "class_id", "left").select("set_key", F.coalesce("found", "class_id").alias("component_id"))
