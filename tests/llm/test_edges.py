@@ -127,3 +127,20 @@ def test_crowds_post_prefixes_only(spark, documents, monkeypatch):
                 root = [low if x == high else x for x in root]
     assert out == dict(enumerate(root)) and len(set(root)) > 1
     assert sizes["dense"] > 24 and max(sizes.values()) <= 80 * (196 // 5 + 2)
+
+
+def test_size_classes_keep_partners_together(spark):
+    for percent in (50, 80, 90, 100):
+        rows = spark.range(1, 3000).select(F.col("id").alias("n")).select("n", line_dedup.size_class(percent).alias("c")).collect()
+        number = {x.n: x.c for x in rows}
+        assert all(number[m] - c in (0, 1) for n, c in number.items() for m in (n, 100 * n // percent) if m in number)
+        assert percent == 100 or number[2999] - number[1] > 5
+
+
+def test_words_of_places_are_read_by_the_same_join_at_every_size(spark, documents, capsys):
+    docs = documents([(1, "alpha beta\n\ngamma"), (2, "delta")])
+    wanted = spark.createDataFrame([((1, 2),), ((2, 0),)], "at struct<doc_id: long, line_no: int>")
+    found = line_dedup.words_of_lines(docs, wanted)
+    assert sorted((x.at.doc_id, x.at.line_no, x.n) for x in found.collect()) == [(1, 2, 1), (2, 0, 1)]
+    found.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
