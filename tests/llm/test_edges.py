@@ -144,3 +144,11 @@ def test_words_of_places_are_read_by_the_same_join_at_every_size(spark, document
     assert sorted((x.at.doc_id, x.at.line_no, x.n) for x in found.collect()) == [(1, 2, 1), (2, 0, 1)]
     found.explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_what_made_the_links_stands_in_one_plan_once(spark, monkeypatch):
+    plans, real = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") * 7 % 40).alias("b"))
+    out = {x.node: x.component for x in components.components(links).collect()}
+    assert out[7] == out[9] == 1 and sum(plan.count("Range (") for plan in plans) == 1

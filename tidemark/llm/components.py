@@ -13,15 +13,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each step is a minimum per node, combined on the map side, and an equi-join,
     so a node with very many links costs no large group. The links are rewritten
-    until they form stars; every round is cut off with a checkpoint.
+    until they form stars; every step is cut off with a checkpoint. The steps read
+    what they start from several times, so the links are checkpointed first: the
+    plan of what made them would stand in theirs as often and fill the driver.
     """
-    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    pairs = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours move to the least neighbour
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: smaller neighbours and the node itself move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
