@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -137,6 +138,34 @@ def test_size_classes_keep_partners_together(spark):
         assert percent == 100 or number[2999] - number[1] > 5
 
 
+def test_the_table_of_ranks_is_copied_into_no_row(spark, documents, capsys):
+    line_dedup.first_lines(documents([(1, "alpha beta\ngamma")]), 80).explain()
+    plan = capsys.readouterr().out
+    assert "Subquery" in plan and not re.search(r"\] AS r#", plan)
+
+
+def test_the_smaller_line_posts_what_its_partners_need_and_no_more_than_before(spark):
+    for percent in (50, 80, 90, 95):
+        posts = line_dedup.smaller_posts(percent)
+        rows = spark.range(1, 700).select(F.col("id").alias("n")).select("n", line_dedup.size_class(percent).alias("c"), posts.alias("posts")).collect()
+        number, posted = {x.n: x.c for x in rows}, {x.n: dict(x.posts) for x in rows}
+        least = line_dedup.least_size(percent)
+        for n in number:
+            for m in range(n, min(100 * n // percent, 699) + 1):
+                shared = -(-percent * (n + m) // (100 + percent))
+                if shared <= n and (n >= least or m == n):
+                    assert posted[n].get(number[m], 0) >= (n - shared + 1 if n >= least else 1), (percent, n, m)
+        own = {n: n - -(-2 * percent * n // (100 + percent)) + 1 if n >= least else 1 for n in number}
+        assert all(sorted(posted[n].values())[1] == own[n] for n in number)
+        assert percent != 80 or sum(sum(p.values()) for p in posted.values()) < 1.6 * sum(own.values())
+
+
+def test_words_are_split_at_every_white_space_character(spark, documents):
+    rows = [(1, "alpha\tbeta gamma\x0bdelta\x0cepsilon\rzeta"), (2, "zeta  epsilon delta\t\tgamma beta alpha "), (3, "alpha\u00a0beta gamma"), (4, "alpha beta gamma"), (5, "a|b."), (6, "a b"), (7, "\t\r")]
+    gone = {(x.doc_id, x.line_no) for x in line_dedup.duplicate_lines(documents(rows)).collect()}
+    assert gone == {(2, 0)}
+
+
 def test_words_of_places_are_read_by_the_same_join_at_every_size(spark, documents, capsys):
     docs = documents([(1, "alpha beta\n\ngamma"), (2, "delta")])
     wanted = spark.createDataFrame([((1, 2),), ((2, 0),)], "at struct<doc_id: long, line_no: int>")
