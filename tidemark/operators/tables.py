@@ -71,7 +71,7 @@ def expand_codes(text: Column) -> Column:
     def one(t: Column) -> Column:
         low, tail = F.regexp_extract(t, r"^([0-9]+)\s*-\s*([0-9]+)$", 1), F.regexp_extract(t, r"^([0-9]+)\s*-\s*([0-9]+)$", 2)
         high = F.concat(F.substring(low, F.lit(1), F.greatest(F.length(low) - F.length(tail), F.lit(0))), tail)
-        numbers = F.transform(F.sequence(low.cast("long"), high.cast("long")), lambda n: F.lpad(n.cast("string"), F.length(low), F.lit("0")))
+        numbers = F.transform(F.sequence(low.cast("long"), high.cast("long")), lambda n: F.lpad(n.cast("string"), F.greatest(F.length(low), F.length(n.cast("string"))), F.lit("0")))  # lpad cuts longer numbers
         return F.when((low != "") & (high.cast("long") >= low.cast("long")), numbers).otherwise(F.array(t))
 
     return F.flatten(F.transform(tokens, one))
