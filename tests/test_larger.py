@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import portfolio, tables
+from tidemark.operators import portfolio, statistics, tables
 
 D = lambda s: dt.date.fromisoformat(s)
 
@@ -23,3 +23,13 @@ def test_split_factors_are_exact(spark):
     assert got == {(1, 3): 0.000003, (1, None): 0.000008, (2, None): 0.000488}  # 3 / 2**18 and 1 / 2**11 in millionths
     one = portfolio.lots(t.where("id = 2"), splits.withColumn("ratio", F.when(F.col("ex_date") < "2024-03-10", 0.5).otherwise(0.25)), places=6).first()
     assert one.quantity == 0.000122  # 9 halves and 2 quarters: 2**-13
+
+
+def test_block_bootstrap_equals_joined_draws(spark):
+    rows = spark.createDataFrame([(k, i, float(i * i % 13)) for k, n in (("a", 40), ("b", 17), ("c", 4)) for i in range(n)], "key string, i long, value double")
+    middle = lambda: F.percentile("value", F.lit(0.5)) + F.max("value")
+    got = statistics.block_bootstrap(rows, middle, ["key"], 60, 5)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # joined draws were broadcast, which failed on more keys
+    joined = statistics.bootstrap(rows, statistics.block_draws(rows, ["key"], 60, 5), middle, ["key"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect())) and got.count() == 2
+    assert "broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()

@@ -94,8 +94,7 @@ def rule_test(ranked: DataFrame, least: int = 24, block: int = 24, replicates: i
     rows = rows.withColumns({"i": (F.row_number().over(W.partitionBy("key").orderBy("end")) - 1).cast("long"), "_n": F.count(F.lit(1)).over(W.partitionBy("key"))}).where(F.col("_n") >= least)
     gap = lambda: sharpe("rule_excess") - sharpe("always_excess")
     point = rows.groupBy("key").agg(F.count(F.lit(1)).alias("months"), F.avg(F.col("above").cast("double")).alias("share_on"), gap().alias("difference"))
-    draws = statistics.block_draws(rows.where(F.col("_n") >= 2 * block), ["key"], replicates, block, seed)
-    spread = statistics.bootstrap(rows, draws, gap, ["key"])
+    spread = statistics.block_bootstrap(rows.where(F.col("_n") >= 2 * block).select("key", "i", "rule_excess", "always_excess"), gap, ["key"], replicates, block, seed)
     out = point.join(spread, "key", "left")
     verdict = F.when(F.col("low") > 0, "support").when(F.col("difference") <= 0, "no").otherwise("weak")
     return out.select("key", "months", "share_on", "difference", "low", "high", verdict.alias("verdict"))

@@ -170,7 +170,17 @@ def cluster_bootstrap(rows: DataFrame, replicates: int = 2000, seed: int = 7) ->
 
 def bootstrap(rows: DataFrame, draws: DataFrame, statistic: Callable[..., Column], keys: list[str]) -> DataFrame:
     """EXT-04: any grouped aggregate over drawn rows, with its 95% interval. draws: keys, rep, i; rows: keys, i and what the statistic reads."""
-    values = draws.join(rows, [*keys, "i"]).groupBy(*keys, "rep").agg(statistic().alias("m"))
+    # shuffle_hash: exploded draws look small to the planner, which must not broadcast them
+    values = draws.join(rows.hint("shuffle_hash"), [*keys, "i"]).groupBy(*keys, "rep").agg(statistic().alias("m"))
+    return values.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def block_bootstrap(rows: DataFrame, statistic: Callable[..., Column], keys: list[str], replicates: int = 2000, block: int = 10, seed: int = 7) -> DataFrame:
+    """STS-03: ``bootstrap`` over ``block_draws``, drawn where a key's rows (its periods) lie: no drawn row is shuffled. rows: keys, i from 0 and what the statistic reads."""
+    rest = [c for c in rows.columns if c not in (*keys, "i")]
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", *rest))).alias("_r"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= block)
+    drawn = _drawn(whole, keys, replicates, block, seed, "_r").withColumn("_x", F.get("_r", F.col("i").cast("int")))
+    values = drawn.select(*keys, "rep", *(F.col(f"_x.{c}").alias(c) for c in rest)).groupBy(*keys, "rep").agg(statistic().alias("m"))
     return values.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
@@ -180,10 +190,15 @@ def block_draws(rows: DataFrame, keys: list[str], replicates: int = 2000, block:
     Keys with fewer rows than a block have no samples. Block starts are seeded hashes.
     """
     sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= block)
+    return _drawn(sized, keys, replicates, block, seed)
+
+
+def _drawn(sized: DataFrame, keys: list[str], replicates: int, block: int, seed: int, *more: str) -> DataFrame:
+    """keys, rep, i and ``more`` columns of each drawn row. sized: keys, _n rows."""
     reps = sized.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_b", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int"))))
     starts = reps.withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), *keys, "rep", "_b"), F.col("_n") - block + 1))
     inside = starts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("_b") * block + F.col("_o") < F.col("_n"))
-    return inside.select(*keys, "rep", (F.col("_s") + F.col("_o")).alias("i"))
+    return inside.select(*keys, "rep", (F.col("_s") + F.col("_o")).alias("i"), *more)
 
 
 def cluster_draws(rows: DataFrame, keys: list[str], cluster: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
