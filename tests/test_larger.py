@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import portfolio, statistics, tables
@@ -33,3 +34,14 @@ def test_block_bootstrap_equals_joined_draws(spark):
     joined = statistics.bootstrap(rows, statistics.block_draws(rows, ["key"], 60, 5), middle, ["key"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect())) and got.count() == 2
     assert "broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bootstrap_means_store_no_draws(spark):
+    values = [float(i * 7 % 11) for i in range(33)]
+    series = spark.createDataFrame([("k", D("2024-01-01") + dt.timedelta(days=i), v) for i, v in enumerate(values)], "key string, date date, value double")
+    out = statistics.bootstrap_means(series, 40, 10)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    starts = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(40))).alias("rep"), F.lit("k").alias("key")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("rep", F.pmod(F.xxhash64(F.lit(7), "key", "rep", "b"), F.lit(24).cast("long")).alias("s")).collect()
+    means = [np.mean([np.mean(values[r.s : r.s + 10]) for r in starts if r.rep == rep]) for rep in range(1, 41)]
+    got = out.first()
+    assert got.replicates == 40 and abs(got.low - np.quantile(means, 0.025)) < 1e-9 and abs(got.high - np.quantile(means, 0.975)) < 1e-9

@@ -96,15 +96,19 @@ def hac_slope(pairs: DataFrame, lags: int = 1) -> DataFrame:
 
 
 def bootstrap_means(series: DataFrame, replicates: int = 2000, block: int = 10, seed: int = 7) -> DataFrame:
-    """STS-03: moving-block bootstrap interval of the mean per key; block starts are seeded hashes, replicates run in parallel."""
+    """STS-03: moving-block bootstrap interval of the mean per key; block starts are seeded hashes.
+
+    A key's block means, one a day, are one array, from which a replicate draws
+    where it lies: draws (days x replicates / block a key) are neither shuffled nor stored.
+    """
     rows = series.where("value IS NOT NULL").withColumn("i", F.row_number().over(W.partitionBy("key").orderBy("date")) - 1)
-    sized = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= block)
-    draws = sized.select("key", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    draws = draws.select("key", "n", "rep", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))).alias("b"))
-    starts = draws.withColumn("s", F.pmod(F.xxhash64(F.lit(seed), "key", "rep", "b"), F.col("n") - block + 1))
-    sums = rows.select("key", "i", (F.sum("value").over(W.partitionBy("key").orderBy("i").rowsBetween(0, block - 1)) / block).alias("m"))
-    means = starts.join(sums, (starts["key"] == sums["key"]) & (starts["s"] == sums["i"])).drop(sums["key"]).groupBy("key", "rep").agg(F.avg("m").alias("m"))
-    return means.groupBy("key").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("replicates"))
+    means = rows.select("key", "i", (F.sum("value").over(W.partitionBy("key").orderBy("i").rowsBetween(0, block - 1)) / block).alias("m"))
+    whole = means.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= block)
+    reps = whole.select("key", "n", F.col("_s.m").alias("_m"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    blocks = F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))
+    start = lambda b: F.pmod(F.xxhash64(F.lit(seed), "key", "rep", b), F.col("n") - block + 1).cast("int")
+    drawn = F.aggregate(blocks, F.lit(0.0), lambda a, b: a + F.get("_m", start(b)))
+    return reps.select("key", (drawn / F.ceil(F.col("n") / block)).alias("m")).groupBy("key").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
 
 def normal_tail(z: Column) -> Column:
