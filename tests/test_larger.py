@@ -45,3 +45,25 @@ def test_bootstrap_means_store_no_draws(spark):
     means = [np.mean([np.mean(values[r.s : r.s + 10]) for r in starts if r.rep == rep]) for rep in range(1, 41)]
     got = out.first()
     assert got.replicates == 40 and abs(got.low - np.quantile(means, 0.025)) < 1e-9 and abs(got.high - np.quantile(means, 0.975)) < 1e-9
+
+
+def test_tracking_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(portfolio, "BLOCK", 2)
+    monkeypatch.setattr(portfolio, "SPAN", 7)
+    draw = np.random.default_rng(3)
+    rets = {s: {d: 0.5 if s == 6 else float(x) for d, x in enumerate(draw.normal(0.001, 0.01, 40)) if draw.random() < 0.7} for s in range(7)}
+    rows = [(s, D("2024-01-01") + dt.timedelta(days=d), x) for s, xs in rets.items() for d, x in xs.items()] + [(0, D("2025-01-01"), None)]
+    funds = spark.createDataFrame([(s,) for s in (1, 2, 5, 6)], "security_id long")
+    out = portfolio.tracking(spark.createDataFrame(rows, "security_id long, date date, ret double"), funds, least=15, most=9.0)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row for a day of a pair
+    got = {(r.held, r.fund): (r.n, r.corr, r.beta, r.error) for r in out.collect()}
+    want = {}
+    for h in rets:
+        for f in (1, 2, 5, 6):
+            days = sorted(set(rets[h]) & set(rets[f]))
+            if h != f and len(days) >= 15:
+                x, y = (np.array([rets[s][d] for d in days]) for s in (h, f))
+                c = np.cov(x, y)
+                want[h, f] = (len(days), None if 6 in (h, f) else np.corrcoef(x, y)[0, 1], None if f == 6 else c[0, 1] / c[1, 1], np.std(x - y, ddof=1) * 252**0.5)
+    assert got.keys() == want.keys() and len(got) > 15
+    assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for k in want for a, b in zip(got[k], want[k], strict=True))
