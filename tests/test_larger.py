@@ -67,3 +67,21 @@ def test_tracking_by_blocks(spark, monkeypatch):
                 want[h, f] = (len(days), None if 6 in (h, f) else np.corrcoef(x, y)[0, 1], None if f == 6 else c[0, 1] / c[1, 1], np.std(x - y, ddof=1) * 252**0.5)
     assert got.keys() == want.keys() and len(got) > 15
     assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return plan.count("Exchange hashpartitioning")
+
+
+def trades(spark, rows):
+    kind = "id long, account_id long, trade_date date, action string, symbol string, quantity double, price double"
+    return spark.createDataFrame([(i, a, D(d), w, s, q, p) for i, (a, d, w, s, q, p) in enumerate(rows)], kind).withColumn("fees", F.lit(0.0))
+
+
+def test_lots_take_one_shuffle(spark):
+    t = trades(spark, [(1, "2024-01-02", "buy", "X", 10.0, 5.0), (1, "2024-01-03", "dividend", "X", 4.0, 1.0), (1, "2024-01-04", "buy", "X", 3.0, 6.0), (1, "2024-02-01", "sell", "X", 12.0, 4.0), (1, "2024-02-02", "sell", "X", 2.0, 4.0), (1, "2024-02-03", "sell", "Y", 1.0, 4.0)])
+    gains = portfolio.realized_gains(portfolio.fifo_lots(t))
+    assert exchanges(gains) == 1
+    got = sorted(((r.buy_id, r.sell_id, r.quantity) for r in gains.collect()), key=repr)
+    assert got == [(0, 3, 10.0), (2, 3, 2.0), (2, 4, 1.0), (None, 4, 1.0), (None, 5, 1.0)]  # other records cut no lot
