@@ -85,3 +85,10 @@ def test_lots_take_one_shuffle(spark):
     assert exchanges(gains) == 1
     got = sorted(((r.buy_id, r.sell_id, r.quantity) for r in gains.collect()), key=repr)
     assert got == [(0, 3, 10.0), (2, 3, 2.0), (2, 4, 1.0), (None, 4, 1.0), (None, 5, 1.0)]  # other records cut no lot
+
+
+def test_wash_sales_meet_days_of_the_symbol(spark):
+    t = trades(spark, [(1, "2024-01-02", "buy", "X", 1.0, 9.0), (1, "2024-01-20", "sell", "X", 1.0, 5.0), (2, "2024-02-19", "reinvest", "Y", 1.0, 5.0), (1, "2024-01-02", "buy", "Y", 1.0, 9.0), (1, "2024-01-20", "sell", "Y", 1.0, 5.0), (1, "2024-01-02", "buy", "Z", 1.0, 9.0), (1, "2024-01-20", "sell", "Z", 1.0, 5.0), (2, "2024-02-20", "buy", "Z", 1.0, 5.0), (1, "2024-03-01", "sell", "Z", 1.0, 5.0)])
+    out = portfolio.wash_sales(portfolio.realized_gains(portfolio.fifo_lots(t.repartition("symbol"))), t)
+    assert {(r.symbol, r.sell_id): r.wash for r in out.collect()} == {("X", 1): False, ("Y", 4): True, ("Z", 6): False, ("Z", 8): False}
+    assert exchanges(out) <= 2  # the trades, and a symbol's days of purchase
