@@ -92,3 +92,13 @@ def test_wash_sales_meet_days_of_the_symbol(spark):
     out = portfolio.wash_sales(portfolio.realized_gains(portfolio.fifo_lots(t.repartition("symbol"))), t)
     assert {(r.symbol, r.sell_id): r.wash for r in out.collect()} == {("X", 1): False, ("Y", 4): True, ("Z", 6): False, ("Z", 8): False}
     assert exchanges(out) <= 2  # the trades, and a symbol's days of purchase
+
+
+def test_ledger_takes_one_shuffle(spark):
+    t = trades(spark, [(1, "2024-01-02", "buy", "X", 10.0, 5.0), (1, "2024-02-01", "split", "X", 10.0, None), (1, "2024-03-01", "sell", "X", 15.0, 4.0), (1, "2024-03-02", "split", "X", 5.0, None), (1, "2024-03-04", "transfer_out", "X", 12.0, None), (2, "2024-01-02", "buy", "X", 1.0, 5.0), (1, "2024-01-02", "sell", "Y", 2.0, 4.0), (1, "2024-01-05", "buy", "Y", 2.0, 4.0)]).withColumn("amount", F.lit(None).cast("double"))
+    splits = spark.createDataFrame([("X", D("2024-02-01"), 7.0), ("Y", D("2024-02-01"), 3.0)], "symbol string, ex_date date, ratio double")
+    parts = portfolio.lots(t, splits)
+    assert exchanges(parts) <= 3  # the rows, once for the join with the splits at most, and the splits
+    got = sorted(((r.symbol, r.buy and r.buy.id, r.sell and r.sell.id, round(r.quantity, 6), round(r.shares, 6)) for r in parts.collect()), key=repr)
+    # X: 10 shares are 20 after the first record, 5 left are 10 after the second, 2 of 12 were never held; of account 2 no split is recorded
+    assert got == [("X", 0, 2, 30.0, 15.0), ("X", 0, 4, 10.0, 10.0), ("X", 5, None, 1.0, 1.0), ("X", None, 4, 2.0, 2.0), ("Y", 7, None, 6.0, 6.0), ("Y", None, 6, 6.0, 2.0)]
