@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import portfolio, statistics, tables
+from tidemark.operators import portfolio, statistics, tables, text
 
 D = lambda s: dt.date.fromisoformat(s)
 
@@ -102,3 +102,15 @@ def test_ledger_takes_one_shuffle(spark):
     got = sorted(((r.symbol, r.buy and r.buy.id, r.sell and r.sell.id, round(r.quantity, 6), round(r.shares, 6)) for r in parts.collect()), key=repr)
     # X: 10 shares are 20 after the first record, 5 left are 10 after the second, 2 of 12 were never held; of account 2 no split is recorded
     assert got == [("X", 0, 2, 30.0, 15.0), ("X", 0, 4, 10.0, 10.0), ("X", 5, None, 1.0, 1.0), ("X", None, 4, 2.0, 2.0), ("Y", 7, None, 6.0, 6.0), ("Y", None, 6, 6.0, 2.0)]
+
+
+def test_search_reads_the_words_asked_for_once(spark):
+    docs = spark.createDataFrame([(1, "Tariffs and tariff talk"), (2, "no tariff here, no war"), (3, "war tariffs, tariff war"), (4, None)], "id long, text string")
+    found = text.search(text.inverted_index(docs, "id"), docs, "id", 'tariff -war OR "tariff war"')
+    keys = found.select("id")
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.index("Aggregate [term") < plan.index(" IN (ta,wa)")  # the filter lies under the index's grouping
+    assert sorted(r.id for r in keys.collect()) == [1, 3]
+    scores = {r.id: r.score for r in found.collect()}
+    part = lambda n, df, tf: np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)
+    assert scores == {1: round(part(4, 3, 2), 6), 3: round(part(4, 3, 2) + part(4, 2, 2), 6)}
