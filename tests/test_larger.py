@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
 from tidemark.operators import portfolio, statistics, tables, text
 
 D = lambda s: dt.date.fromisoformat(s)
@@ -114,3 +115,16 @@ def test_search_reads_the_words_asked_for_once(spark):
     scores = {r.id: r.score for r in found.collect()}
     part = lambda n, df, tf: np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)
     assert scores == {1: round(part(4, 3, 2), 6), 3: round(part(4, 3, 2) + part(4, 2, 2), 6)}
+
+
+def test_running_sums_and_report_in_parts(spark):
+    rows = [(g, float(i), i % 3, 1) for g, n in (("a", 50), ("b", 3)) for i in range(n)]
+    out = ranks.running_sums(spark.createDataFrame(rows, "g string, v double, x long, c long").repartition(7), ["g"], "v", ["x", "c"])
+    got = {(r.g, r.v): (r.before_x, r.all_x, r.before_c, r.all_c) for r in out.collect()}
+    assert got == {(g, float(i)): (sum(k % 3 for k in range(i)), sum(k % 3 for k in range(n)), i, n) for g, n in (("a", 50), ("b", 3)) for i in range(n)}
+    draw = np.random.default_rng(5)
+    people = [(i % 3, float(draw.normal()), int(draw.random() < 0.3)) for i in range(300)]
+    report = statistics.out_of_group_report(spark.createDataFrame(people, "g long, a double, hit int"), "g", {"one": ["a"]}, "hit")
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan and "percentile(" not in plan  # neither takes a model's scores into one task
+    assert report.first().n == 300

@@ -41,6 +41,24 @@ def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str]
     return table.join(offsets, same).withColumn("place", F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift", *(f"_{g}" for g in groups))
 
 
+def running_sums(df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str], name: str = "running") -> DataFrame:
+    """``df`` with ``before_`` and ``all_`` of each value: its sum over the rows before in the group, and over the whole group. A group's rows differ in ``order``.
+
+    One range-partitioned sort is written; each partition is summed where it lies, from the
+    sums of those before, one row for each partition and group.
+    """
+    rows = df.repartitionByRange(*groups, order).sortWithinPartitions(*groups, order)
+    table = staged(rows.withColumn("_part", F.spark_partition_id()), name)
+    parts = table.groupBy(*groups, "_part").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
+    of = W.partitionBy(*groups)
+    earlier = of.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select(*groups, "_part", *(F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values), *(F.sum(f"_t_{v}").over(of).alias(f"all_{v}") for v in values))
+    inside = W.partitionBy("_part", *groups).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    summed = table.withColumns({f"_i_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    out = summed.join(F.broadcast(offsets), [*groups, "_part"])  # one row for each partition and group
+    return out.withColumns({f"before_{v}": F.col(f"_i_{v}") + F.col(f"_o_{v}") for v in values}).drop("_part", *(f"_{k}_{v}" for k in "io" for v in values))
+
+
 def bits(n: Column) -> Column:
     """Binary digits of n - 1, at least one."""
     return F.length(F.bin(F.greatest(n - 1, F.lit(0))))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import running_sums, staged
+
 
 def usual_lags(n: int) -> int:
     return int(4 * (n / 100) ** (2 / 9))
@@ -382,12 +384,21 @@ def out_of_group_report(rows: DataFrame, group: str, models: dict[str, list[str]
 
     Every model is judged on the rows that have all models' features.
     """
-    usable = rows.dropna(subset=[outcome, *{n for names in models.values() for n in names}])
+    usable = staged(rows.dropna(subset=[outcome, *{n for names in models.values() for n in names}]).select(group, outcome, *sorted({n for names in models.values() for n in names})), "usable")  # every Newton step reads it
     parts = [out_of_group(usable, group, names, outcome).select(F.lit(m).alias("model"), "score", "label") for m, names in models.items()]
-    scored = reduce(DataFrame.unionByName, parts)
-    flagged = top_share(scored, "model", "score", share)
-    hits = flagged.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("events"), F.avg(F.when(F.col("flagged"), F.col("label"))).alias("precision"), F.avg("label").alias("base_rate"))
-    return hits.join(auc(scored, "model", "score", "label").select("model", "auc"), "model").select("model", "n", "events", "auc", "precision", "base_rate")
+    # equal scores together, in order: ranks and the quantile follow from running sums, no model's scores are sorted in one task
+    each = reduce(DataFrame.unionByName, parts).groupBy("model", "score").agg(F.count(F.lit(1)).alias("c"), F.sum("label").alias("p"))
+    ranked = running_sums(each.where("score IS NOT NULL"), ["model"], "score", ["c", "p"], "scores")
+    place = (F.col("all_c") - 1) * F.lit(1 - share)
+    at = lambda k: F.max(F.when((F.col("before_c") <= k) & (k < F.col("before_c") + F.col("c")), F.col("score")))
+    cut = ranked.groupBy("model").agg(at(F.floor(place)).alias("_low"), at(F.ceil(place)).alias("_high"), F.max(place - F.floor(place)).alias("_w"))
+    cut = cut.select("model", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((1 - F.col("_w")) * F.col("_low") + F.col("_w") * F.col("_high")).alias("_cut"))
+    flagged = F.col("score") >= F.col("_cut")
+    less = F.col("before_c") - F.col("before_p")  # rows without the label below
+    pairs = F.sum(F.col("p") * (less + (F.col("c") - F.col("p")) / 2))
+    n, events = F.sum("c"), F.sum("p")
+    top = F.try_divide(F.sum(F.when(flagged, F.col("p"))).cast("double"), F.sum(F.when(flagged, F.col("c"))))
+    return ranked.join(F.broadcast(cut), "model").groupBy("model").agg(n.alias("n"), events.alias("events"), F.when((events > 0) & (events < n), pairs / (events.cast("double") * (n - events))).alias("auc"), top.alias("precision"), (events / n).alias("base_rate"))  # cut: a row a model
 
 
 def warning_days(flags: DataFrame, failures: DataFrame) -> DataFrame:
